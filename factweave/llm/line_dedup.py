@@ -1,2 +1,157 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Operator 5: line dedup by a deletion-neighbourhood join (native)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .components import held
+
+#: Slots of the tables that thin out lines before the joins; one byte each, whatever the data.
+SLOTS = 1 << 19
+
+
+def _words(line: Column) -> Column:
+    """The symbols of a line: lower-cased words between blanks."""
+    return F.array_remove(F.split(F.lower(line), " "), "")
+
+
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """Lines of ``least`` words or more: id, ln (from 0), words, n, and two hashes that name the line's class."""
+    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).select("id", "ln", _words(F.col("line")).alias("words"))
+    lines = lines.withColumn("n", F.size("words")).where(F.col("n") >= least)
+    return lines.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(7), "words")})
+
+
+def _halves() -> Column:
+    """Keys of which lines within one edit share one: the first or last half, cut for the line's own length and for one word more."""
+
+    def key(m: Column, first: bool) -> Column:
+        front = F.floor(m / 2).cast("int")
+        back = m - front
+        half = F.slice("words", F.lit(1), front) if first else F.slice("words", F.col("n") - back + 1, back)
+        return F.xxhash64(m, F.lit(first), half)
+
+    n = F.col("n")
+    return F.array(*(key(m, first) for m in (n, n + 1) for first in (True, False)))
+
+
+def _table(classes: DataFrame) -> Column:
+    """A literal with a 1 in the slot of each class: of fixed size, tested inside the scan."""
+    slots = bytearray(SLOTS)
+    for r in classes.select(F.pmod("h1", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toLocalIterator():
+        slots[r.slot] = 1
+    return F.lit(bytes(slots))
+
+
+def _holds(table: Column) -> Column:
+    return F.substring(table, F.pmod("h1", F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+
+
+def _neighbours(lines: DataFrame) -> DataFrame:
+    """For each line class (h1, h2, at, words, n) the earliest other class within one word insertion, deletion or replacement, if that is earlier: h1, h2, near.
+
+    Every class emits the hash of each text with one word deleted, and of its
+    whole text.  Classes with an equal variant at the same place differ in that
+    word; a whole text that equals a variant differs by one word more or less.
+    For each key the earliest classes are kept by minima (combined before the
+    shuffle), so classes meet the earliest one instead of each other.
+    """
+    words = lines.select("h1", "h2", "at", "n", F.posexplode("words").alias("i", "word"))
+    here, before = F.xxhash64("word", "i"), F.xxhash64("word", F.col("i") - 1)
+    line = Window.partitionBy("h1", "h2")
+    so_far = line.orderBy("i")
+    marked = words.withColumns({"f": here, "g": before}).withColumns(
+        {
+            "front": F.coalesce(F.bit_xor("f").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "until": F.bit_xor("g").over(so_far.rowsBetween(Window.unboundedPreceding, 0)),
+            "all_g": F.bit_xor("g").over(line),
+        }
+    )
+    less = marked.select("h1", "h2", "at", F.col("front").bitwiseXOR(F.col("until")).bitwiseXOR(F.col("all_g")).alias("key"), (F.col("n") - 1).alias("m"), "i")
+    whole = words.groupBy("h1", "h2", "at", "n").agg(F.bit_xor(here).alias("key")).select("h1", "h2", "at", "key", F.col("n").alias("m"), F.lit(-1).alias("i"))
+    variants = held(less.unionByName(whole))
+
+    who = F.min(F.struct("at", "h1", "h2", "i")).alias("who")
+    places = variants.groupBy("key", "m", "i").agg(who, F.count("*").alias("c"))
+    same_place = variants.where("i >= 0").join(places.where("i >= 0 AND c > 1").select("key", "m", "i", "who"), ["key", "m", "i"])
+    one_less = variants.where("i >= 0").join(variants.where("i < 0").groupBy("key", "m").agg(who), ["key", "m"])
+    one_more = variants.where("i < 0").join(variants.where("i >= 0").groupBy("key", "m").agg(who), ["key", "m"])
+    pairs = [x.where("who.at < at").select("h1", "h2", "i", "who") for x in (same_place, one_less, one_more)]
+    found = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
+
+    texts = lines.select("h1", "h2", "words")
+    checked = found.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("words").alias("other")), (F.col("who.h1") == F.col("p1")) & (F.col("who.h2") == F.col("p2")))
+
+    def without(array: str, i: Column) -> Column:
+        return F.when(i < 0, F.col(array)).otherwise(F.concat(F.slice(array, F.lit(1), F.greatest(i, F.lit(0))), F.slice(array, F.greatest(i, F.lit(0)) + 2, F.size(array))))
+
+    equal = without("words", F.col("i")) == without("other", F.col("who.i"))
+    return checked.where(equal).groupBy("h1", "h2").agg(F.min("who.at").alias("near"))
+
+
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
+    """Drop each line that repeats, within one word edit, a line that comes earlier in the corpus.
+
+    Symbols are lower-cased words between blanks; lines of fewer than
+    ``min_words`` words are left alone.  A line goes if the same words, or words
+    within one insertion, deletion or replacement, stand in a line with a smaller
+    (id, line number).  Equal lines are put together first, so thousands of copies count
+    once; only classes that share half of their words with another class can be within
+    one edit, and only those emit their deletion neighbourhood (an exact
+    condition: one edit leaves one half as it is).  Keys are hashes; every pair
+    found is verified on its words.
+
+    Null text is empty; rows that repeat an id are the same document and drop the
+    same lines; lines of a null id are never dropped; an empty table gives no
+    rows; other columns are not looked at.  Columns: id, text (lines kept), n_lines, n_dropped.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    lines = _lines(texts, min_words)
+    classes = lines.withColumn("keys", _halves()).groupBy("h1", "h2").agg(F.min(F.struct("id", "ln")).alias("at"), F.count("*").alias("c"), F.any_value("keys").alias("keys"))
+    halves = classes.select("h1", "h2", F.explode("keys").alias("half"))
+    shared = halves.groupBy("half").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).where("a <> b")
+    close = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct().withColumn("close", F.lit(True))
+    wanted = held(classes.select("h1", "h2", "at", "c").join(close, ["h1", "h2"], "left").where("c > 1 OR close"))
+
+    any_of, close_of = _table(wanted), _table(wanted.where("close"))
+    thin = lines.where(_holds(any_of)).select("id", "ln", "h1", "h2", F.when(_holds(close_of), F.col("words")).alias("words"))
+    first = (F.col("at.id") == F.col("id")) & (F.col("at.ln") == F.col("ln")) & F.col("close")
+    lines = held(thin.join(wanted, ["h1", "h2"]).select("id", "ln", "h1", "h2", "at", F.when(first, F.col("words")).alias("words")))
+
+    near = _neighbours(lines.where("words IS NOT NULL").dropDuplicates(["h1", "h2"]).withColumn("n", F.size("words")))
+    here = F.struct("id", "ln")
+    gone = lines.select("id", "ln", "h1", "h2", "at").join(near, ["h1", "h2"], "left").where((F.col("at") < here) | (F.col("near") < here))
+    dropped = gone.groupBy("id").agg(F.collect_set("ln").alias("dropped"))
+    parts = F.split("text", "\n")
+    kept = F.filter(parts, lambda _, i: ~F.array_contains("dropped", i))
+    return texts.join(dropped, "id", "left").select(
+        F.col("id").alias(id_col),
+        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.size(parts).cast("long").alias("n_lines"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {"op5_line_dedup": op5_line_dedup}
+ORACLE_SQL = {
+    "op5_line_dedup": """
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l0 AS (SELECT doc_id, unnest(range(len(ls))) AS ln, unnest(ls) AS line FROM s),
+l AS (SELECT doc_id, ln, line, list_filter(string_split(lower(line), ' '), lambda w: w <> '') AS ws FROM l0),
+c AS (SELECT array_to_string(ws, ' ') AS k, any_value(ws) AS ws, min((doc_id, ln)) AS pos FROM l WHERE len(ws) >= 5 GROUP BY 1),
+v AS (SELECT k, pos, len(ws) - 1 AS m, i, array_to_string(list_concat(ws[1 : i - 1], ws[i + 1 :]), ' ') AS t FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM c)),
+sub AS (SELECT k, min(pos) OVER (PARTITION BY t, m, i) AS near FROM v),
+ins AS (SELECT v.k, c.pos AS near FROM v JOIN c ON v.t = c.k),
+del AS (SELECT c.k, v.pos AS near FROM v JOIN c ON v.t = c.k),
+n AS (SELECT k, min(near) AS near FROM (FROM sub UNION ALL FROM ins UNION ALL FROM del) GROUP BY k),
+j AS (SELECT l.doc_id, l.ln, l.line, coalesce(c.pos < (l.doc_id, l.ln), false) OR coalesce(n.near < (l.doc_id, l.ln), false) AS gone
+      FROM l LEFT JOIN c ON len(l.ws) >= 5 AND c.k = array_to_string(l.ws, ' ') LEFT JOIN n ON n.k = c.k)
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT gone), '')) AS text_sha256 FROM j GROUP BY doc_id
+"""
+}
