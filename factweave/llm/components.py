@@ -44,7 +44,7 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
         if mapping is None:
             mapping = step
         else:
-            mapping = held(mapping.join(step.withColumnsRenamed({"node": "to", "to": "next"}), "to", "left").select("node", F.coalesce("next", "to").alias("to")))
+            mapping = held(mapping.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to")))
     else:
         raise RuntimeError("the contraction did not end")
     if mapping is None:

@@ -1,2 +1,226 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Operator 6: n-gram Jaccard join by vertical partitioning."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import bytesets as B
+from .components import components, held
+
+#: Counters of the frequency sketch and slots of the bit table; neither depends on the data.
+COUNTERS, BLOCK, SLOTS = 1 << 20, 1 << 12, 1 << 22
+
+
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each row: k words each, or all words of a shorter text."""
+    raw, at = B.buffers(batch.column("text"))
+    *_, hashes, first = B.words(raw, at, B.NONSPACE)
+    whole = B.grams(hashes, k)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        yield np.unique(whole[a : b - k + 1] if b - a >= k else B.grams(hashes[a:b], b - a)) if b > a else whole[:0]
+
+
+def _signature(shingles: np.ndarray) -> int:
+    """A 64-bit name of a set."""
+    return int((B.mix(shingles ^ np.uint64(0xA24BAED4963EE407)).sum() + np.uint64(len(shingles))).view(np.int64))
+
+
+def _members(k: int):
+    """A row (id, sig, n) for each document, and at the end of the task its frequency sketch in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        counts, kind = np.zeros(COUNTERS, np.uint32), None
+        for batch in B.portions(batches, "text"):
+            sigs, sizes, kind = [], [], batch.schema.field("id").type
+            found = list(_sets(batch, k))
+            for s in found:
+                sigs.append(_signature(s) if len(s) else None)
+                sizes.append(len(s))
+            every = np.concatenate(found)
+            counts += np.bincount((every >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "sig", "n", "block", "counts"])
+        if kind is not None:
+            codec = pa.Codec("zstd", 1)
+            blocks = [codec.compress(x.tobytes()).to_pybytes() for x in counts.reshape(-1, BLOCK)]
+            n = len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], ["id", "sig", "n", "block", "counts"])
+
+    return run
+
+
+def _add_blocks(table: pa.Table) -> pa.Table:
+    codec, total = pa.Codec("zstd"), np.zeros(BLOCK, np.uint64)
+    for x in table.column("counts"):
+        total += np.frombuffer(codec.decompress(x.as_py(), BLOCK * 4), np.uint32)
+    level = np.minimum(np.round(10 * np.log2(total + 1.0)), 65535).astype(np.uint16)
+    return pa.table({"block": table.column("block")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
+
+
+def _ordered(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A set in the global order: rarest first by the sketch, then by hash."""
+    return shingles[np.lexsort((shingles, levels[(shingles >> np.uint64(44)).astype(np.int64)]))]
+
+
+def _postings(k: int, percent: int, levels):
+    """(key, sig, n, pos) for the prefix of each set; a set that the task has had is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        seen: set[int] = set()
+        for batch in B.portions(batches, "text"):
+            keys, sigs, sizes, places = [], [], [], []
+            for s in _sets(batch, k):
+                sig = _signature(s) if len(s) else None
+                if sig is None or sig in seen:
+                    continue
+                seen.add(sig)
+                p = len(s) - -(-percent * len(s) // 100) + 1
+                keys.append(_ordered(s, levels.value)[:p])
+                sigs.append(np.full(p, sig, np.int64))
+                sizes.append(np.full(p, len(s), np.int32))
+                places.append(np.arange(p, dtype=np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(B.signed(np.concatenate(keys))), *(pa.array(np.concatenate(x)) for x in (sigs, sizes, places))], ["key", "sig", "n", "pos"])
+
+    return run
+
+
+def _fragments(k: int, parts: int, table):
+    """(id, sig, part, shingles): the sets of the wanted documents, cut where the hash order is cut into equal ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        cuts = (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)).astype(np.uint64)
+        for batch in B.portions(batches, "text"):
+            batch = batch.filter(pa.array(table.value[batch.column("slot").to_numpy()]))
+            if not batch.num_rows:
+                continue
+            rows, sigs, fragment, pieces = [], [], [], []
+            for row, s in enumerate(_sets(batch, k)):
+                if len(s):
+                    sig = _signature(s)
+                    bounds = [0, *np.searchsorted(s, cuts).tolist(), len(s)]
+                    for f, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                        if b > a:
+                            rows.append(row)
+                            sigs.append(sig)
+                            fragment.append(f)
+                            pieces.append(B.signed(s[a:b]))
+            if rows:
+                offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(pieces)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(sigs, pa.int64()), pa.array(fragment, pa.int32()), lists], ["id", "sig", "part", "shingles"])
+
+    return run
+
+
+def _fits(a: str, b: str, percent: int):
+    """Whether sizes and places leave room for the similarity: the overlap needed is percent / (100 + percent) of both sizes."""
+    na, nb, pa_, pb = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
+    most = 1 + F.least(na - pa_ - 1, nb - pb - 1)
+    # The place in the prefix bounds what is still to come after the first common shingle only, so earlier ones count as common too.
+    room = most + F.least(pa_, pb)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * room >= percent * (na + nb))
+
+
+class _Join:
+    """The sets of one table and how pairs of them are verified."""
+
+    def __init__(self, texts: DataFrame, k: int, percent: int, parts: int):
+        self.texts, self.k, self.percent, self.parts = texts, k, percent, parts
+        id_type = texts.schema["id"].dataType.simpleString()
+        self.id_type = id_type
+        made = held(texts.mapInArrow(_members(k), f"id {id_type}, sig long, n long, block int, counts binary"))
+        self.members = made.where("block IS NULL").select("id", "sig", "n")
+        levels = np.zeros(COUNTERS, np.uint16)
+        for r in made.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, levels binary").toLocalIterator():
+            levels[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.levels, np.uint16)
+        self.levels = texts.sparkSession.sparkContext.broadcast(levels)
+        self.chosen = self.members.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"))
+
+    def postings(self) -> DataFrame:
+        """Prefix entries whose shingle another set has in its prefix too, with the entry before and the first entry of the shingle."""
+        rows = self.texts.mapInArrow(_postings(self.k, self.percent, self.levels), "key long, sig long, n int, pos int")
+        order = Window.partitionBy("key").orderBy("n", "sig")
+        entry = F.struct("sig", "n", "pos")
+        seen = rows.select("key", "sig", "n", "pos", F.lag(entry).over(order).alias("before"), F.lead("sig").over(order).alias("after"), F.first(entry).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("hub"))
+        return seen.where((F.col("before.sig") != F.col("sig")) | (F.col("after") != F.col("sig")))
+
+    def pairs(self, rows: DataFrame, a: str, b: str) -> DataFrame:
+        fit = rows.where((F.col(f"{a}.sig") != F.col(f"{b}.sig")) & _fits(a, b, self.percent))
+        return fit.select(F.least(f"{a}.sig", f"{b}.sig").alias("a"), F.greatest(f"{a}.sig", f"{b}.sig").alias("b"))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar: overlaps are counted fragment by fragment and added up for each pair."""
+        ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+        wanted = held(ends.join(self.chosen, "sig"))
+        slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
+        table = np.zeros(SLOTS, bool)
+        for r in wanted.select(slot.alias("slot")).distinct().toLocalIterator():
+            table[r.slot] = True
+        shared = self.texts.sparkSession.sparkContext.broadcast(table)
+        sets = self.texts.withColumn("slot", slot).mapInArrow(_fragments(self.k, self.parts, shared), f"id {self.id_type}, sig long, part int, shingles array<long>")
+        sets = held(sets.join(wanted, ["sig", "id"], "left_semi").select("sig", "part", "shingles").dropDuplicates(["sig", "part"]))
+        left = pairs.join(sets.select(F.col("sig").alias("a"), "part", F.col("shingles").alias("sa")), "a")
+        both = left.join(sets.select(F.col("sig").alias("b"), "part", F.col("shingles").alias("sb")), ["b", "part"])
+        overlap = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("c")).groupBy("a", "b").agg(F.sum("c").alias("c"))
+        total = sets.groupBy("sig").agg(F.sum(F.size("shingles")).alias("n"))
+        sized = overlap.join(total.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(total.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
+        return sized.where(100 * F.col("c") >= self.percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+
+
+def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, parts: int = 4) -> DataFrame:
+    """Classes of documents linked by Jaccard similarity of their word shingles.
+
+    Sets of ``k``-word shingles (words between white space, A-Z lower-cased; a
+    shorter text is one shingle) link when 100 * intersection >= ``percent`` *
+    union.  Equal sets are one set from the start, named by a 64-bit hash.
+    Shingles have one global order: rarest first by a frequency sketch of fixed
+    size that counts all documents, then by hash.  Similar sets share a shingle
+    of their prefixes (percent / 100 of the set has to be common), so frequent
+    passages, last in order, bring nothing together.
+
+    First each prefix entry is compared with the entry before it and with the first
+    entry of its shingle: as many pairs as entries, however long the list.  The
+    global order is cut into ``parts`` fragments; the overlaps of a pair are
+    counted fragment by fragment and summed.  The links give components.  Then all
+    pairs of prefix entries in different components are compared that length and
+    position allow: pairs inside a component cannot change the classes, so none
+    that matters is left out.
+
+    Null and empty texts have the empty set and link with nothing; rows that
+    repeat an id are one node (rows stay); an empty table gives no rows; other
+    columns are not looked at.  Columns: id, n_shingles, component_id (smallest
+    id reachable).
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    join = _Join(texts, k, percent, parts)
+    postings = held(join.postings().withColumn("me", F.struct("sig", "n", "pos")).select("key", "me", "before", "hub"))
+    near = held(join.pairs(postings, "me", "before").union(join.pairs(postings, "me", "hub")).distinct())
+    links = held(join.links(near))
+    groups = components(links)
+
+    marked = postings.select("key", "me").distinct().join(groups.select(F.col("node").alias("s"), "component"), F.col("me.sig") == F.col("s"), "left").select("key", "me", F.coalesce("component", "me.sig").alias("c"))
+    mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    open_rows = held(marked.join(mixed, "key", "left_semi"))
+    if not open_rows.isEmpty():
+        other = open_rows.select("key", F.col("me").alias("you"), F.col("c").alias("d"))
+        across = join.pairs(open_rows.join(other, (open_rows["key"] == other["key"]) & (F.col("c") < F.col("d")) & _fits("me", "you", percent)), "me", "you").distinct()
+        more = held(join.links(held(across.join(near, ["a", "b"], "left_anti"))))
+        if not more.isEmpty():
+            groups = components(links.union(more))
+    named = join.members.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("class", F.coalesce("component", "sig"))
+    smallest = named.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("component_id"))
+    return named.join(smallest, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op6_ngram_jaccard": op6_ngram_jaccard}
+ORACLE_SQL: dict[str, str] = {}
