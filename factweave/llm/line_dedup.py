@@ -90,7 +90,7 @@ def _neighbours(lines: DataFrame) -> DataFrame:
     return checked.where(equal).groupBy("h1", "h2").agg(F.min("who.at").alias("near"))
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop each line that repeats, within one word edit, a line that comes earlier in the corpus.
 
     Symbols are lower-cased words between blanks; lines of fewer than
@@ -104,9 +104,11 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Null text is empty; rows that repeat an id are the same document and drop the
     same lines; lines of a null id are never dropped; an empty table gives no
-    rows; other columns are not looked at.  Columns: id, text (lines kept), n_lines, n_dropped.
+    rows; other columns are not looked at, those in ``keep`` are handed on as kept_<name>.
+    Columns: id, text (lines kept), n_lines, n_dropped.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    handed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     lines = _lines(texts, min_words)
     classes = lines.withColumn("keys", _halves()).groupBy("h1", "h2").agg(F.min(F.struct("id", "ln")).alias("at"), F.count("*").alias("c"), F.any_value("keys").alias("keys"))
     halves = classes.select("h1", "h2", F.explode("keys").alias("half"))
@@ -125,11 +127,12 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     dropped = gone.groupBy("id").agg(F.collect_set("ln").alias("dropped"))
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda _, i: ~F.array_contains("dropped", i))
-    return texts.join(dropped, "id", "left").select(
+    return handed.join(dropped, "id", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.size(parts).cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(f"kept_{c}" for c in keep),
     )
 
 

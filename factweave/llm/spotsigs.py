@@ -1,2 +1,138 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Operator 7: document fingerprints by spot signatures (native)."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .components import held
+
+#: Anchors: common words of English, French, German and Spanish.
+ANCHORS = (
+    "a an and are as at be by for from has he in is it its of on or that the their there this to was were will with "
+    "au aux ce ces dans de des du elle en est et il la le les leur mais ne ou par pas pour qui que se sur un une "
+    "als auch auf aus bei das dem den der die ein eine er es für im ist mit nicht oder sich sie sind und von war zu "
+    "al como con del el ella los las lo más no para pero por se si sin su sus y"
+).split()
+
+
+def _spots(text: Column, chain: int) -> Column:
+    """All spots of a text: each anchor with the content words that follow it, ``chain`` at most; anchors without a content word give none."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+    anchors = list(dict.fromkeys(ANCHORS))
+    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(anchors), F.concat(F.lit("\x01"), w)).otherwise(w)), " ")
+    runs = F.filter(F.split(marked, " ?\x01"), lambda r: r.contains(" "))
+    starts = F.when(marked.startswith("\x01"), runs).otherwise(F.slice(runs, F.when(F.substring_index(marked, " \x01", 1).contains(" "), 2).otherwise(1), F.greatest(F.size(runs), F.lit(1))))
+    return F.transform(starts, lambda r: F.substring_index(r, " ", chain + 1))
+
+
+def signatures(text: Column, chain: int = 3) -> Column:
+    """The spot signature set of a text: sorted distinct 32-bit hashes.
+
+    A text without spots but with words has one signature, of all its words; one without words has none.
+    """
+    spots = F.array_sort(F.array_distinct(F.transform(_spots(text, chain), lambda s: F.hash(s))))
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return F.when(F.size(spots) > 0, spots).when(plain == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(plain)))
+
+
+def as_text(signature_set: Column) -> Column:
+    """A fingerprint as a string: the signatures in order, joined by dots."""
+    return F.array_join(signature_set.cast("array<string>"), ".")
+
+
+def length_partition(size: Column, threshold: float = 0.8) -> Column:
+    """Sets whose sizes differ by more than one partition are less alike than ``threshold``."""
+    return F.when(size > 0, F.floor(F.log(size.cast("double")) / F.lit(-math.log(threshold)))).otherwise(-1).cast("int")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two signature sets; two empty sets are alike (1), an empty and another one are not (0, without a comparison)."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
+def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 3) -> DataFrame:
+    """Pairs of different fingerprints that are alike by ``threshold`` or more: a, b (ids of the smallest documents that have them), likeness.
+
+    Equal fingerprints are one.  Sets are partitioned by length; a set meets
+    those of its own and the next partition only, on a signature that both have
+    among the rarest ones that must hold one in common.  Sizes prune each pair
+    before its sets are compared.
+    """
+    sets = docs.select(F.col(id_col).alias("id"), signatures(F.coalesce(F.col(text_col), F.lit("")), chain).alias("set"))
+    sets = held(sets.where(F.size("set") > 0).groupBy("set").agg(F.min("id").alias("id")).withColumn("n", F.size("set")))
+    spots = sets.select("id", "n", F.explode("set").alias("spot"))
+    ranked = spots.join(spots.groupBy("spot").count(), "spot").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "spot"))).alias("order"))
+    need = F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int")
+    prefix = ranked.select("id", "n", F.explode(F.slice("order", F.lit(1), F.col("n") - need + 1)).alias("s")).select("id", "n", "s.spot", length_partition(F.col("n"), threshold).alias("part"))
+    right = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "spot", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))
+    met = prefix.select(F.col("id").alias("a"), "n", "spot", "part").join(right, ["spot", "part"]).where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9))
+    pairs = met.select("a", "b").distinct()
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    return both.select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness")).where(F.col("likeness") >= threshold - 1e-9)
+
+
+def neighbours(ids: DataFrame, pieces: int = 64) -> DataFrame:
+    """For each distinct id (with n) its next id, its previous id and the n of that, in a circle: id, next, prev, prev_n.
+
+    Ids are cut into ranges at quantiles; each range is ordered by itself, and the ends of
+    the ranges (one row each) are joined to one another.
+    """
+    ids = held(ids.groupBy("id").agg(F.max("n").alias("n")).where("id IS NOT NULL"))
+    cuts = ids.agg(F.percentile_approx("id", [i / pieces for i in range(1, pieces)], 10_000)).first()[0] or []
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
+    ranged = ids.withColumn("range", at)
+    order = Window.partitionBy("range").orderBy("id")
+    placed = ranged.select("id", "n", "range", F.lead("id").over(order).alias("next"), F.lag(F.struct("id", "n")).over(order).alias("prev"))
+    ends = ranged.groupBy("range").agg(F.min("id").alias("first"), F.max(F.struct("id", "n")).alias("last"))  # as many rows as ranges
+    circle = Window.orderBy("range")
+    lone = Window.partitionBy(F.lit(0))
+    ends = ends.select("range", F.coalesce(F.lead("first").over(circle), F.min("first").over(lone)).alias("first"), F.coalesce(F.lag("last").over(circle), F.max("last").over(lone)).alias("last"))
+    joined = placed.join(F.broadcast(ends), "range")
+    before = F.coalesce("prev", "last")
+    return joined.select("id", F.coalesce("next", "first").alias("next"), before["id"].alias("prev"), before["n"].alias("prev_n"))
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chain: int = 3) -> DataFrame:
+    """Fingerprint of each text, of the text with its last quarter replaced by the beginning of the next document, and how alike they and the next one are.
+
+    Only the part of a text that the previous document takes and its signatures go to
+    that document; every whole text is shuffled once, by id.
+
+    Null text is empty; the next document of the last is the first, of a lone
+    one itself; rows that repeat an id each give a row, and their smallest text is
+    their neighbours' next; rows without id are left out of the order and have
+    the empty text as next; an empty table gives no rows; other columns are not
+    looked at.  Columns: id, n_chars, edited, fingerprint, edited_fingerprint
+    (arrays of signatures), near_edited, near_next, length_partition.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    order = held(neighbours(texts.select("id", F.length("text").alias("n"))))
+    heads = texts.join(order, "id").select(
+        F.col("prev").alias("id"), F.col("text").substr(F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("head"), signatures(F.col("text"), chain).alias("next_set")
+    )
+    heads = heads.groupBy("id").agg(F.min(F.struct("head", "next_set")).alias("h"))
+    n = F.length("text")
+    quarter = F.floor(n / 4).cast("int")
+    head = F.coalesce("h.head", F.lit(""))
+    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(head, F.lit(1), quarter))
+    whole = texts.join(heads, "id", "left").select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), signatures(F.col("text"), chain).alias("fingerprint"), F.coalesce("h.next_set", F.array().cast("array<int>")).alias("next_set"))
+    # The generator keeps each signature set from being worked out again for each use.
+    made = whole.select("*", F.explode(F.array(F.struct(F.col("fingerprint").alias("own"), signatures(F.col("edited"), chain).alias("new")))).alias("s"))
+    return made.select(
+        F.col("id").alias(id_col), "n_chars", "edited", F.col("s.own").alias("fingerprint"), F.col("s.new").alias("edited_fingerprint"),
+        likeness(F.col("s.own"), F.col("s.new")).alias("near_edited"), likeness(F.col("s.own"), F.col("next_set")).alias("near_next"), length_partition(F.size("s.own")).alias("length_partition"),
+    )
+
+
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fingerprint")).alias("fingerprint"), as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next", "length_partition")
+
+
+QUERIES = {"op7_spotsigs": op7_spotsigs}
+ORACLE_SQL: dict[str, str] = {}
