@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Lets a finished query drop its shuffle files at once instead of when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def held(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write a table to the shared folder and read it again.
+
+    This cuts the lineage: lost executors lose none of it, later steps read it
+    instead of working it out anew, and the shuffle files behind it can go.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/held-{uuid4().hex}", spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,7 +47,7 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     round in expectation, for chains and stars alike.  Minima are combined
     before the shuffle, so a hub with a third of all edges is no hot key of the
     aggregation, and the joins are plain equi-joins that adaptive execution can
-    split.  Nothing is collected; each round ends in a checkpoint.
+    split.  Nothing is collected; each round ends in a table in the shared folder.
 
     Columns: node, component.  Null ends and loops are no edges; repeated edges
     count once; an empty table gives no rows.

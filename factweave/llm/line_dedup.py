@@ -36,58 +36,69 @@ def _halves() -> Column:
     return F.array(*(key(m, first) for m in (n, n + 1) for first in (True, False)))
 
 
-def _table(classes: DataFrame) -> Column:
-    """A literal with a 1 in the slot of each class: of fixed size, tested inside the scan."""
+def _table(values: DataFrame) -> Column:
+    """A literal with a 1 in the slot of each value of column v: of fixed size, tested inside the scan."""
     slots = bytearray(SLOTS)
-    for r in classes.select(F.pmod("h1", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toLocalIterator():
+    for r in values.select(_slot(F.col("v")).alias("slot")).distinct().toLocalIterator():
         slots[r.slot] = 1
     return F.lit(bytes(slots))
 
 
-def _holds(table: Column) -> Column:
-    return F.substring(table, F.pmod("h1", F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+def _slot(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(SLOTS)).cast("int")
+
+
+def _holds(table: Column, value: Column) -> Column:
+    return F.substring(table, _slot(value) + 1, F.lit(1)) == F.lit(b"\x01")
 
 
 def _neighbours(lines: DataFrame) -> DataFrame:
-    """For each line class (h1, h2, at, words, n) the earliest other class within one word insertion, deletion or replacement, if that is earlier: h1, h2, near.
+    """For each line (id, ln, words), one of each class, the earliest other one within one word insertion, deletion or replacement, if that is earlier: id, ln, near.
 
-    Every class emits the hash of each text with one word deleted, and of its
-    whole text.  Classes with an equal variant at the same place differ in that
+    Every line emits the hash of each text with one word deleted, and of its
+    whole text.  Lines with an equal variant at the same place differ in that
     word; a whole text that equals a variant differs by one word more or less.
-    For each key the earliest classes are kept by minima (combined before the
-    shuffle), so classes meet the earliest one instead of each other.
+    For each key the earliest lines are kept by minima (combined before the
+    shuffle), so lines meet the earliest one instead of each other.
     """
-    words = lines.select("h1", "h2", "at", "n", F.posexplode("words").alias("i", "word"))
-    here, before = F.xxhash64("word", "i"), F.xxhash64("word", F.col("i") - 1)
-    line = Window.partitionBy("h1", "h2")
+    words = lines.select("id", "ln", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    line = Window.partitionBy("id", "ln")
     so_far = line.orderBy("i")
-    marked = words.withColumns({"f": here, "g": before}).withColumns(
+    marked = words.select("id", "ln", "n", "i", F.xxhash64("word", "i").alias("f"), F.xxhash64("word", F.col("i") - 1).alias("g")).withColumns(
         {
             "front": F.coalesce(F.bit_xor("f").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
             "until": F.bit_xor("g").over(so_far.rowsBetween(Window.unboundedPreceding, 0)),
+            "all_f": F.bit_xor("f").over(line),
             "all_g": F.bit_xor("g").over(line),
         }
     )
-    less = marked.select("h1", "h2", "at", F.col("front").bitwiseXOR(F.col("until")).bitwiseXOR(F.col("all_g")).alias("key"), (F.col("n") - 1).alias("m"), "i")
-    whole = words.groupBy("h1", "h2", "at", "n").agg(F.bit_xor(here).alias("key")).select("h1", "h2", "at", "key", F.col("n").alias("m"), F.lit(-1).alias("i"))
-    variants = held(less.unionByName(whole))
-
-    who = F.min(F.struct("at", "h1", "h2", "i")).alias("who")
-    places = variants.groupBy("key", "m", "i").agg(who, F.count("*").alias("c"))
-    same_place = variants.where("i >= 0").join(places.where("i >= 0 AND c > 1").select("key", "m", "i", "who"), ["key", "m", "i"])
-    one_less = variants.where("i >= 0").join(variants.where("i < 0").groupBy("key", "m").agg(who), ["key", "m"])
-    one_more = variants.where("i < 0").join(variants.where("i >= 0").groupBy("key", "m").agg(who), ["key", "m"])
-    pairs = [x.where("who.at < at").select("h1", "h2", "i", "who") for x in (same_place, one_less, one_more)]
-    found = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
-
-    texts = lines.select("h1", "h2", "words")
-    checked = found.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("words").alias("other")), (F.col("who.h1") == F.col("p1")) & (F.col("who.h2") == F.col("p2")))
+    less = F.struct(F.col("front").bitwiseXOR(F.col("until")).bitwiseXOR(F.col("all_g")).alias("key"), (F.col("n") - 1).alias("m"), F.col("i").alias("i"))
+    whole = F.struct(F.col("all_f").alias("key"), F.col("n").alias("m"), F.lit(-1).alias("i"))
+    each = F.when(F.col("i") == 0, F.array(less, whole)).otherwise(F.array(less))
+    variants = held(marked.select("id", "ln", F.explode(each).alias("v")).select("id", "ln", "v.*"))
+
+    me = F.struct("id", "ln")
+    met = variants.groupBy("key", "m").agg(F.min(me).alias("a"), F.max(me).alias("b")).where("a <> b").select("key", "m")
+    variants = held(variants.join(met, ["key", "m"], "left_semi"))
+    who = F.min(F.struct("id", "ln", "i")).alias("who")
+    less, whole = variants.where("i >= 0"), variants.where("i < 0")
+    pairs = [
+        less.join(less.groupBy("key", "m", "i").agg(who), ["key", "m", "i"]),
+        less.join(whole.groupBy("key", "m").agg(who), ["key", "m"]),
+        whole.join(less.groupBy("key", "m").agg(who), ["key", "m"]),
+    ]
+    earlier = F.struct("who.id", "who.ln") < me
+    first, second, third = (x.where(earlier).select("id", "ln", "i", "who") for x in pairs)
+    found = first.unionByName(second).unionByName(third)
+    checked = found.join(lines.select("id", "ln", "words"), ["id", "ln"]).join(
+        lines.select(F.struct(F.col("id").alias("id"), F.col("ln").alias("ln")).alias("there"), F.col("words").alias("other")), F.struct("who.id", "who.ln") == F.col("there")
+    )
 
     def without(array: str, i: Column) -> Column:
         return F.when(i < 0, F.col(array)).otherwise(F.concat(F.slice(array, F.lit(1), F.greatest(i, F.lit(0))), F.slice(array, F.greatest(i, F.lit(0)) + 2, F.size(array))))
 
     equal = without("words", F.col("i")) == without("other", F.col("who.i"))
-    return checked.where(equal).groupBy("h1", "h2").agg(F.min("who.at").alias("near"))
+    return checked.where(equal).groupBy("id", "ln").agg(F.min(F.struct("who.id", "who.ln")).alias("near"))
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -109,22 +120,24 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     handed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
-    lines = _lines(texts, min_words)
+    lines = _lines(texts.where("id IS NOT NULL"), min_words)
     classes = lines.withColumn("keys", _halves()).groupBy("h1", "h2").agg(F.min(F.struct("id", "ln")).alias("at"), F.count("*").alias("c"), F.any_value("keys").alias("keys"))
+    classes = held(classes)
     halves = classes.select("h1", "h2", F.explode("keys").alias("half"))
-    shared = halves.groupBy("half").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).where("a <> b")
-    close = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct().withColumn("close", F.lit(True))
+    shared = halves.groupBy("half").count().where("count > 1")
+    close = held(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct().withColumn("close", F.lit(True)))
     wanted = held(classes.select("h1", "h2", "at", "c").join(close, ["h1", "h2"], "left").where("c > 1 OR close"))
 
-    any_of, close_of = _table(wanted), _table(wanted.where("close"))
-    thin = lines.where(_holds(any_of)).select("id", "ln", "h1", "h2", F.when(_holds(close_of), F.col("words")).alias("words"))
-    first = (F.col("at.id") == F.col("id")) & (F.col("at.ln") == F.col("ln")) & F.col("close")
-    lines = held(thin.join(wanted, ["h1", "h2"]).select("id", "ln", "h1", "h2", "at", F.when(first, F.col("words")).alias("words")))
+    first = wanted.where("close").select(F.col("at.id").alias("id"), F.col("at.ln").alias("ln"))
+    some = texts.where(_holds(_table(first.select(F.col("id").alias("v"))), F.col("id"))).dropDuplicates(["id"])
+    taken = some.join(first.groupBy("id").agg(F.collect_set("ln").alias("lns")), "id").select("id", F.explode("lns").alias("ln"), F.split("text", "\n").alias("parts"))
+    near = held(_neighbours(held(taken.select("id", "ln", _words(F.get("parts", F.col("ln"))).alias("words")))))
 
-    near = _neighbours(lines.where("words IS NOT NULL").dropDuplicates(["h1", "h2"]).withColumn("n", F.size("words")))
+    classes = wanted.join(near.select(F.struct("id", "ln").alias("at"), "near"), "at", "left")
+    thin = lines.where(_holds(_table(wanted.select(F.col("h1").alias("v"))), F.col("h1"))).select("id", "ln", "h1", "h2")
     here = F.struct("id", "ln")
-    gone = lines.select("id", "ln", "h1", "h2", "at").join(near, ["h1", "h2"], "left").where((F.col("at") < here) | (F.col("near") < here))
-    dropped = gone.groupBy("id").agg(F.collect_set("ln").alias("dropped"))
+    gone = thin.join(classes.select("h1", "h2", "at", "near"), ["h1", "h2"]).where((F.col("at") < here) | (F.col("near") < here))
+    dropped = held(gone.groupBy("id").agg(F.collect_set("ln").alias("dropped")))
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda _, i: ~F.array_contains("dropped", i))
     return handed.join(dropped, "id", "left").select(
