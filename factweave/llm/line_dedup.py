@@ -130,7 +130,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     first = wanted.where("close").select(F.col("at.id").alias("id"), F.col("at.ln").alias("ln"))
     some = texts.where(_holds(_table(first.select(F.col("id").alias("v"))), F.col("id"))).dropDuplicates(["id"])
-    taken = some.join(first.groupBy("id").agg(F.collect_set("ln").alias("lns")), "id").select("id", F.explode("lns").alias("ln"), F.split("text", "\n").alias("parts"))
+    taken = some.join(first.groupBy("id").agg(F.collect_set("ln").alias("lns")).hint("merge"), "id").select("id", F.explode("lns").alias("ln"), F.split("text", "\n").alias("parts"))
     near = held(_neighbours(held(taken.select("id", "ln", _words(F.get("parts", F.col("ln"))).alias("words")))))
 
     classes = wanted.join(near.select(F.struct("id", "ln").alias("at"), "near"), "at", "left")
@@ -140,7 +140,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     dropped = held(gone.groupBy("id").agg(F.collect_set("ln").alias("dropped")))
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda _, i: ~F.array_contains("dropped", i))
-    return handed.join(dropped, "id", "left").select(
+    return handed.join(dropped.hint("merge"), "id", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.size(parts).cast("long").alias("n_lines"),

@@ -127,6 +127,25 @@ def _fits(a: str, b: str, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * room >= percent * (na + nb))
 
 
+def _mixed(postings: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Entries (key, me, c: the component so far) of shingles that are in different components so far."""
+    if groups is None:
+        return postings.withColumn("c", F.col("me.sig"))
+    own = postings.withColumn("s", F.col("me.sig")).join(groups, "s", "left").select("key", "me", F.coalesce("component", "s").alias("c"))
+    mixed = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    return own.join(mixed, "key", "left_semi")
+
+
+def _drawn(join: "_Join", rest: DataFrame, turn: int, most: int = 2) -> DataFrame:
+    """For each set up to ``most`` others (a, b) that stand before it in the lists' drawn orders, those that do so most often."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "me.sig", F.lit(turn)))
+    met = rest.withColumns({"you": F.lag("me").over(order), "d": F.lag("c").over(order)})
+    fit = met.where((F.col("c") != F.col("d")) & _fits("me", "you", join.percent))
+    counted = fit.groupBy(F.col("me.sig").alias("x"), F.col("you.sig").alias("y")).count()
+    best = counted.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "y")), False), 1, most).alias("m"))
+    return best.select("x", F.explode("m").alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b"))
+
+
 class _Join:
     """The sets of one table and how pairs of them are verified."""
 
@@ -143,12 +162,11 @@ class _Join:
         self.chosen = self.members.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"))
 
     def postings(self) -> DataFrame:
-        """Prefix entries whose shingle another set has in its prefix too, with the entry before and the first entry of the shingle."""
+        """Prefix entries whose shingle another set has in its prefix too."""
         rows = self.texts.mapInArrow(_postings(self.k, self.percent, self.levels), "key long, sig long, n int, pos int")
-        order = Window.partitionBy("key").orderBy("n", "sig")
-        entry = F.struct("sig", "n", "pos")
-        seen = rows.select("key", "sig", "n", "pos", F.lag(entry).over(order).alias("before"), F.lead("sig").over(order).alias("after"), F.first(entry).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("hub"))
-        return seen.where((F.col("before.sig") != F.col("sig")) | (F.col("after") != F.col("sig")))
+        order = Window.partitionBy("key").orderBy("sig")
+        seen = rows.select("key", "sig", "n", "pos", F.lag("sig").over(order).alias("before"), F.lead("sig").over(order).alias("after"))
+        return seen.where((F.col("before") != F.col("sig")) | (F.col("after") != F.col("sig")))
 
     def pairs(self, rows: DataFrame, a: str, b: str) -> DataFrame:
         fit = rows.where((F.col(f"{a}.sig") != F.col(f"{b}.sig")) & _fits(a, b, self.percent))
@@ -173,7 +191,7 @@ class _Join:
         return sized.where(100 * F.col("c") >= self.percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
 
-def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, parts: int = 4) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, parts: int = 4, turns: int = 3) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of their word shingles.
 
     Sets of ``k``-word shingles (words between white space, A-Z lower-cased; a
@@ -184,8 +202,9 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     of their prefixes (percent / 100 of the set has to be common), so frequent
     passages, last in order, bring nothing together.
 
-    First each prefix entry is compared with the entry before it and with the first
-    entry of its shingle: as many pairs as entries, however long the list.  The
+    First each set is compared with two others at most that it meets in lists of
+    prefix entries, and so in up to ``turns`` turns while sets in different components
+    meet: pairs in proportion to the sets, however long the lists.  The
     global order is cut into ``parts`` fragments; the overlaps of a pair are
     counted fragment by fragment and summed.  The links give components.  Then all
     pairs of prefix entries in different components are compared that length and
@@ -199,20 +218,31 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     join = _Join(texts, k, percent, parts)
-    postings = held(join.postings().withColumn("me", F.struct("sig", "n", "pos")).select("key", "me", "before", "hub"))
-    near = held(join.pairs(postings, "me", "before").union(join.pairs(postings, "me", "hub")).distinct())
-    links = held(join.links(near))
-    groups = components(links)
-
-    marked = postings.select("key", "me").distinct().join(groups.select(F.col("node").alias("s"), "component"), F.col("me.sig") == F.col("s"), "left").select("key", "me", F.coalesce("component", "me.sig").alias("c"))
-    mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    open_rows = held(marked.join(mixed, "key", "left_semi"))
-    if not open_rows.isEmpty():
-        other = open_rows.select("key", F.col("me").alias("you"), F.col("c").alias("d"))
-        across = join.pairs(open_rows.join(other, (open_rows["key"] == other["key"]) & (F.col("c") < F.col("d")) & _fits("me", "you", percent)), "me", "you").distinct()
-        more = held(join.links(held(across.join(near, ["a", "b"], "left_anti"))))
+    postings = held(join.postings().select("key", F.struct("sig", "n", "pos").alias("me")).distinct())
+
+    # Turns: each set meets, in lists that join different components so far, the entry before it in an order drawn anew for each list.
+    links = tried = groups = None
+    for turn in range(turns):
+        rest = held(_mixed(postings, groups))
+        if rest.isEmpty():
+            break
+        near = _drawn(join, rest, turn).distinct()
+        near = held(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
+        found = held(join.links(near))
+        tried = near if tried is None else held(tried.union(near))
+        if turn and found.isEmpty():
+            break
+        links = found if links is None else held(links.union(found))
+        groups = held(components(links)).withColumnRenamed("node", "s")
+
+    rest = held(_mixed(postings, groups))
+    if not rest.isEmpty():
+        other = rest.select("key", F.col("me").alias("you"), F.col("c").alias("d"))
+        across = join.pairs(rest.select("key", "me", "c").join(other, (rest["key"] == other["key"]) & (F.col("c") < F.col("d")) & _fits("me", "you", percent)), "me", "you").distinct()
+        more = held(join.links(held(across.join(tried, ["a", "b"], "left_anti"))))
         if not more.isEmpty():
-            groups = components(links.union(more))
+            groups = components(links.union(more)).withColumnRenamed("node", "s")
+    groups = groups.withColumnRenamed("s", "node")
     named = join.members.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("class", F.coalesce("component", "sig"))
     smallest = named.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("component_id"))
     return named.join(smallest, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
