@@ -222,6 +222,7 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     # Turns: each set meets, in lists that join different components so far, the entry before it in an order drawn anew for each list.
     links = tried = groups = None
+    no_pairs = texts.sparkSession.createDataFrame([], "a long, b long")
     for turn in range(turns):
         rest = held(_mixed(postings, groups))
         if rest.isEmpty():
@@ -242,7 +243,7 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         more = held(join.links(held(across.join(tried, ["a", "b"], "left_anti"))))
         if not more.isEmpty():
             groups = components(links.union(more)).withColumnRenamed("node", "s")
-    groups = groups.withColumnRenamed("s", "node")
+    groups = components(no_pairs) if groups is None else groups.withColumnRenamed("s", "node")
     named = join.members.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("class", F.coalesce("component", "sig"))
     smallest = named.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("component_id"))
     return named.join(smallest, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
