@@ -23,9 +23,8 @@ def _spots(text: Column, chain: int) -> Column:
     words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
     anchors = list(dict.fromkeys(ANCHORS))
     marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(anchors), F.concat(F.lit("\x01"), w)).otherwise(w)), " ")
-    runs = F.filter(F.split(marked, " ?\x01"), lambda r: r.contains(" "))
-    starts = F.when(marked.startswith("\x01"), runs).otherwise(F.slice(runs, F.when(F.substring_index(marked, " \x01", 1).contains(" "), 2).otherwise(1), F.greatest(F.size(runs), F.lit(1))))
-    return F.transform(starts, lambda r: F.substring_index(r, " ", chain + 1))
+    runs = F.slice(F.split(marked, " ?\x01"), 2, 1 << 30)  # what stands before the first anchor is no spot
+    return F.transform(F.filter(runs, lambda r: r.contains(" ")), lambda r: F.substring_index(r, " ", chain + 1))
 
 
 def signatures(text: Column, chain: int = 3) -> Column:
@@ -35,7 +34,8 @@ def signatures(text: Column, chain: int = 3) -> Column:
     """
     spots = F.array_sort(F.array_distinct(F.transform(_spots(text, chain), lambda s: F.hash(s))))
     plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.size(spots) > 0, spots).when(plain == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(plain)))
+    bare = F.when(plain == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(plain)))
+    return F.get(F.transform(F.array(spots), lambda s: F.when(F.size(s) > 0, s).otherwise(bare)), F.lit(0))  # a lambda, so that spots is worked out once
 
 
 def as_text(signature_set: Column) -> Column:
@@ -101,26 +101,26 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Fingerprint of each text, of the text with its last quarter replaced by the beginning of the next document, and how alike they and the next one are.
 
     Only the part of a text that the previous document takes and its signatures go to
-    that document; every whole text is shuffled once, by id.
+    that document; every whole text is shuffled once, by id (both joins read one exchange).
 
     Null text is empty; the next document of the last is the first, of a lone
     one itself; rows that repeat an id each give a row, and their smallest text is
-    their neighbours' next; rows without id are left out of the order and have
-    the empty text as next; an empty table gives no rows; other columns are not
+    their neighbours' next; rows without id have no place in the order and are left
+    out; an empty table gives no rows; other columns are not
     looked at.  Columns: id, n_chars, edited, fingerprint, edited_fingerprint
     (arrays of signatures), near_edited, near_next, length_partition.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id IS NOT NULL")
     order = held(neighbours(texts.select("id", F.length("text").alias("n"))))
-    heads = texts.join(order, "id").select(
+    heads = texts.join(order.hint("merge"), "id").select(
         F.col("prev").alias("id"), F.col("text").substr(F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("head"), signatures(F.col("text"), chain).alias("next_set")
     )
     heads = heads.groupBy("id").agg(F.min(F.struct("head", "next_set")).alias("h"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    head = F.coalesce("h.head", F.lit(""))
+    head = F.col("h.head")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(head, F.lit(1), quarter))
-    whole = texts.join(heads, "id", "left").select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), signatures(F.col("text"), chain).alias("fingerprint"), F.coalesce("h.next_set", F.array().cast("array<int>")).alias("next_set"))
+    whole = texts.join(heads.hint("merge"), "id").select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), signatures(F.col("text"), chain).alias("fingerprint"), F.col("h.next_set").alias("next_set"))
     # The generator keeps each signature set from being worked out again for each use.
     made = whole.select("*", F.explode(F.array(F.struct(F.col("fingerprint").alias("own"), signatures(F.col("edited"), chain).alias("new")))).alias("s"))
     return made.select(
