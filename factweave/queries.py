@@ -32,10 +32,10 @@ def query(sql: str | None = None, over_graph: bool = True):
 
 @query("""SELECT x.id AS experiment_id, m.id AS material_id, m.name AS material, m.material_class, d.id AS document_id, d.year::INT AS year, d.country, p.name AS process, x.regime_name, x.status
 FROM experiments x JOIN li USING (id) JOIN materials m ON m.id = 'm:' || l_partkey JOIN docs d ON d.id = 'd:' || l_orderkey JOIN processes p ON p.id = 'p:' || l_suppkey
-WHERE contains(lower(m.name), 'a') AND m.material_class IN (SELECT DISTINCT p_type FROM part ORDER BY 1 LIMIT 3) AND scope = 'international' AND year BETWEEN 1996 AND 1999 AND round(li.l_quantity, 2) BETWEEN 20 AND 40""")
+WHERE (contains(lower(m.name), 'rod') OR contains(lower(m.aliases[1]), 'rod')) AND m.material_class IN (SELECT DISTINCT p_type FROM part ORDER BY 1 LIMIT 3) AND scope = 'international' AND year BETWEEN 1996 AND 1999 AND round(li.l_quantity, 2) BETWEEN 20 AND 40""")
 def structured_search(c: Corpus) -> DataFrame:
     classes = [r.p_type for r in c.table("part").select("p_type").distinct().orderBy("p_type").limit(3).collect()]
-    return analytics.structured_search(c, material="A", classes=classes, place="international", years=(1996, 1999), prop="quantity", low=20, high=40)
+    return analytics.structured_search(c, material="Rod", classes=classes, place="international", years=(1996, 1999), prop="quantity", low=20, high=40)
 
 
 @query("""SELECT 'm:' || a.l_partkey AS material_id, a.id AS first_id, round(a.l_quantity, 2)::DECIMAL(18, 2)::VARCHAR AS first_value, 'd:' || a.l_orderkey AS first_document,
