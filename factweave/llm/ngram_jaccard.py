@@ -14,6 +14,8 @@ from .components import components, held
 
 #: Counters of the frequency sketch and slots of the bit table; neither depends on the data.
 COUNTERS, BLOCK, SLOTS = 1 << 20, 1 << 12, 1 << 22
+#: Words of 64 parities that stand for a set.
+WORDS = ("w0", "w1", "w2", "w3")
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -30,8 +32,14 @@ def _signature(shingles: np.ndarray) -> int:
     return int((B.mix(shingles ^ np.uint64(0xA24BAED4963EE407)).sum() + np.uint64(len(shingles))).view(np.int64))
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * len(WORDS) bins whether an odd number of shingles falls into it, as signed words."""
+    bins = (B.mix(shingles) % np.uint64(64 * len(WORDS))).astype(np.int64)
+    return np.packbits((np.bincount(bins, minlength=64 * len(WORDS)) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _members(k: int):
-    """A row (id, sig, n) for each document, and at the end of the task its frequency sketch in blocks."""
+    """A row (id, sig, n, parities) for each document, and at the end of the task its frequency sketch in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         counts, kind = np.zeros(COUNTERS, np.uint32), None
@@ -42,14 +50,15 @@ def _members(k: int):
                 sigs.append(_signature(s) if len(s) else None)
                 sizes.append(len(s))
             every = np.concatenate(found)
+            words = np.array([_parities(s) for s in found]).T
             counts += np.bincount((every >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "sig", "n", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(w) for w in words), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "sig", "n", *WORDS, "block", "counts"])
         if kind is not None:
             codec = pa.Codec("zstd", 1)
             blocks = [codec.compress(x.tobytes()).to_pybytes() for x in counts.reshape(-1, BLOCK)]
             n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], ["id", "sig", "n", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * (2 + len(WORDS)), pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], ["id", "sig", "n", *WORDS, "block", "counts"])
 
     return run
 
@@ -127,6 +136,17 @@ def _fits(a: str, b: str, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * room >= percent * (na + nb))
 
 
+def _near_parities(a: str, b: str, percent: int):
+    """Whether the parities allow the similarity.
+
+    A shingle that only one of two sets has turns one parity, so parities that
+    differ are at most as many as such shingles, and similar sets have no more
+    of them than (100 - percent) / (100 + percent) of both sizes.
+    """
+    differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in WORDS), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def _mixed(postings: DataFrame, groups: DataFrame | None) -> DataFrame:
     """Entries (key, me, c: the component so far) of shingles that are in different components so far."""
     if groups is None:
@@ -153,12 +173,13 @@ class _Join:
         self.texts, self.k, self.percent, self.parts = texts, k, percent, parts
         id_type = texts.schema["id"].dataType.simpleString()
         self.id_type = id_type
-        made = held(texts.mapInArrow(_members(k), f"id {id_type}, sig long, n long, block int, counts binary"))
-        self.members = made.where("block IS NULL").select("id", "sig", "n")
+        made = held(texts.mapInArrow(_members(k), f"id {id_type}, sig long, n long, {', '.join(f'{w} long' for w in WORDS)}, block int, counts binary"))
+        self.members = made.where("block IS NULL").select("id", "sig", "n", *WORDS)
         levels = np.zeros(COUNTERS, np.uint16)
         for r in made.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, levels binary").toLocalIterator():
             levels[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.levels, np.uint16)
         self.levels = texts.sparkSession.sparkContext.broadcast(levels)
+        self.parities = self.members.where("sig IS NOT NULL").groupBy("sig").agg(*(F.first(w).alias(w) for w in WORDS))
         self.chosen = self.members.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"))
 
     def postings(self) -> DataFrame:
@@ -169,7 +190,7 @@ class _Join:
         return seen.where((F.col("before") != F.col("sig")) | (F.col("after") != F.col("sig")))
 
     def pairs(self, rows: DataFrame, a: str, b: str) -> DataFrame:
-        fit = rows.where((F.col(f"{a}.sig") != F.col(f"{b}.sig")) & _fits(a, b, self.percent))
+        fit = rows.where(F.col(f"{a}.sig") != F.col(f"{b}.sig"))
         return fit.select(F.least(f"{a}.sig", f"{b}.sig").alias("a"), F.greatest(f"{a}.sig", f"{b}.sig").alias("b"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -207,8 +228,8 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     meet: pairs in proportion to the sets, however long the lists.  The
     global order is cut into ``parts`` fragments; the overlaps of a pair are
     counted fragment by fragment and summed.  The links give components.  Then all
-    pairs of prefix entries in different components are compared that length and
-    position allow: pairs inside a component cannot change the classes, so none
+    pairs of prefix entries in different components are compared that length,
+    position and the parities of both sets' bins allow: pairs inside a component cannot change the classes, so none
     that matters is left out.
 
     Null and empty texts have the empty set and link with nothing; rows that
@@ -236,10 +257,11 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         links = found if links is None else held(links.union(found))
         groups = held(components(links)).withColumnRenamed("node", "s")
 
-    rest = held(_mixed(postings, groups))
+    rest = _mixed(postings, groups).withColumn("sig", F.col("me.sig")).join(join.parities, "sig")
+    rest = held(rest.select("key", F.struct("me.*", *WORDS).alias("me"), "c"))
     if not rest.isEmpty():
         other = rest.select("key", F.col("me").alias("you"), F.col("c").alias("d"))
-        across = join.pairs(rest.select("key", "me", "c").join(other, (rest["key"] == other["key"]) & (F.col("c") < F.col("d")) & _fits("me", "you", percent)), "me", "you").distinct()
+        across = join.pairs(rest.select("key", "me", "c").join(other, (rest["key"] == other["key"]) & (F.col("c") < F.col("d")) & _fits("me", "you", percent) & _near_parities("me", "you", percent)), "me", "you").distinct()
         more = held(join.links(held(across.join(tried, ["a", "b"], "left_anti"))))
         if not more.isEmpty():
             groups = components(links.union(more)).withColumnRenamed("node", "s")
