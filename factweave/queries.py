@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.functions import classify as K
 from factweave.functions import text as T
-from factweave.operators import analytics, graph, ingest, retrieval
+from factweave.operators import analytics, graph, ingest, retrieval, thinning, upserts
 from factweave.plans.corpus_graph import GRAPH_SQL, Corpus
 from factweave.sources import html
 from factweave.streaming import ingest as streams
@@ -329,4 +330,92 @@ def active_users(c: Corpus) -> DataFrame:
     return c.table("events").groupBy("user_id").agg(F.count("*").alias("events"), F.max("ts").alias("last_seen")).orderBy(F.desc("events"), "user_id").limit(20)
 
 
+# Writes
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS version FROM embeddings UNION ALL SELECT vec_id + 1000000000, 1 FROM embeddings WHERE vec_id % 3 = 1", over_graph=False)
+def vector_upsert(c: Corpus) -> DataFrame:
+    rows = c.table("embeddings").select("vec_id", F.lit(0).alias("version"))
+    new = rows.where("vec_id % 3 = 0").union(rows.where("vec_id % 3 = 1").selectExpr("vec_id + 1000000000", "version")).withColumn("version", F.lit(1))
+    return upserts.latest(rows, new, ["vec_id"])
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS name, CASE WHEN p_partkey % 2 = 0 AND p_brand <> p_type THEN list_sort([p_brand, p_type]) ELSE [p_brand] END AS aliases, p_type AS material_class FROM part""", over_graph=False)
+def material_upsert(c: Corpus) -> DataFrame:
+    p = c.table("part")
+    stored = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"), F.col("p_type").alias("material_class"))
+    change = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("name"), F.array("p_type").alias("aliases"), F.lit("none").alias("material_class"))
+    return upserts.merge_nodes(stored, change, "id", ["name"], ["aliases"])
+
+
+@query("SELECT id, title, CASE WHEN year >= 1998 THEN 'recent' ELSE document_type END AS document_type FROM docs")
+def document_patch(c: Corpus) -> DataFrame:
+    d = c.documents
+    return upserts.patch(d.select("id", "title", "document_type"), d.where("year >= 1998").select("id", F.lit("recent").alias("document_type")), "id")
+
+
+@query("SELECT DISTINCT src, dst, type FROM edges WHERE type = 'AUTHORED' UNION SELECT 't:' || c_mktsegment, 'd:' || o_orderkey, 'REVIEWED' FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 2 = 0 AND c_mktsegment IS NOT NULL AND c_nationkey IN (SELECT n_nationkey FROM nation)")
+def linked_edges(c: Corpus) -> DataFrame:
+    made = c.documents.where(F.right("id", F.lit(1)).isin(*"02468")).select(F.concat(F.lit("t:"), "team").alias("src"), F.col("id").alias("dst"), F.lit("REVIEWED").alias("type"))
+    dangling = made.withColumn("dst", F.concat(F.lit("no:"), "dst"))
+    return upserts.link(c.edges.where("type = 'AUTHORED'").select("src", "dst", "type"), made.union(made).union(dangling), c.nodes)
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source IS NOT DISTINCT FROM (SELECT min(source) FROM documents))", over_graph=False)
+def vector_delete(c: Corpus) -> DataFrame:
+    d = c.table("documents")
+    gone = d.join(F.broadcast(d.agg(F.min("source").alias("least"))), F.col("source") == F.col("least")).select(F.col("doc_id").alias("vec_id"))
+    return upserts.without(c.table("embeddings").select("vec_id"), gone, "vec_id")
+
+
+@query("""SELECT doc_id, sum(n)::BIGINT AS image_count, string_agg(n || ' ' || kind, ', ' ORDER BY n DESC, kind) AS type_summary FROM (SELECT l_orderkey AS doc_id, l_returnflag AS kind, count(*) AS n FROM (SELECT DISTINCT ON (l_orderkey, id) * FROM li) GROUP BY ALL) GROUP BY 1""")
+def figure_galleries(c: Corpus) -> DataFrame:
+    x = c._items.select(F.col("l_orderkey").alias("doc_id"), F.col("id").alias("storage_key"), F.col("l_returnflag").alias("image_type"))
+    return upserts.galleries(x.union(x))
+
+
+# Thinning, scans and classes
+
+
+# DuckDB's word boundary knows ASCII letters only, so other letters become one.
+_DENSE = f"least(3.0, len(regexp_extract_all(regexp_replace(text, '[^\\P{{L}}A-Za-z]', 'z', 'g'), '{thinning.MEASURES}')) / 4.0) + CASE WHEN contains(text, '[TABLE]') THEN 1.5 ELSE 0 END"
+
+
+@query(f"""SELECT chunk_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (must OR i % greatest(1, n // greatest(1, 12 - held)) = 0) DESC, i) AS place FROM (SELECT *, count_if(must) OVER (PARTITION BY doc_id) AS held FROM (
+SELECT *, i IN (0, n - 1) OR row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, i) <= 6 AS must FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, {_DENSE} AS p FROM chunks)))) WHERE place <= 12""")
+def thinned_chunks(c: Corpus) -> DataFrame:
+    return thinning.thin_chunks(c.chunks, 12)
+
+
+@query()
+def thinned_batches(c: Corpus) -> DataFrame:
+    return thinning.thin_batches(ingest.pack(c.chunks, 400), 6)
+
+
+_WORDS = "regexp_extract_all(lower(text), '[A-Za-z\\x{0400}-\\x{04FF}0-9]{2,}')"
+
+
+@query(f""", w AS (SELECT chunk_id, {_WORDS} AS t FROM chunks), terms AS (SELECT DISTINCT array_to_string(list_slice({_WORDS}, 1, 2), ' ') AS term FROM benchmark)
+SELECT DISTINCT chunk_id, term FROM (SELECT chunk_id, unnest(list_transform(range(1, len(t) + 1), lambda i: array_to_string(list_slice(t, i, i + 1), ' '))) AS g FROM w UNION ALL SELECT chunk_id, unnest(t) FROM w) JOIN terms ON g = term""")
+def term_mentions(c: Corpus) -> DataFrame:
+    terms = c.table("benchmark").select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 2), " ").alias("term"))
+    return thinning.term_scan(c.chunks, terms, 2)
+
+
+_TOP = f""", r AS (SELECT chunk_id, doc_id, text, ({_HITS})::BIGINT AS score FROM chunks WHERE ({_HITS}) > 0), b AS (SELECT doc_id FROM r GROUP BY 1 ORDER BY sum(score) DESC, doc_id LIMIT 12),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) AS place FROM r SEMI JOIN b USING (doc_id) QUALIFY place <= 4)"""
+
+
+@query(f"{_TOP} SELECT doc_id, string_agg('[' || place || '] ' || text, chr(10) ORDER BY place) AS context FROM top GROUP BY 1")
+def aggregate_contexts(c: Corpus) -> DataFrame:
+    ranked = retrieval.keyword_hits(c.chunks, TERMS).select("chunk_id", "doc_id", F.col("hits").alias("score"))
+    return thinning.excerpts(thinning.per_document_top(ranked), c.chunks)
+
+
+@query()
+def name_classes(c: Corpus) -> DataFrame:
+    names = c.nodes.select("name").union(c.table("documents").select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 2), " ")))
+    return names.groupBy("name").count().select("name", "count", K.entity_kind(F.col("name")).alias("kind"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
