@@ -128,11 +128,14 @@ def _fragments(k: int, parts: int, table):
 
 
 def _fits(a: str, b: str, percent: int):
-    """Whether sizes and places leave room for the similarity: the overlap needed is percent / (100 + percent) of both sizes."""
+    """Whether sizes and places leave room for the similarity, if this shingle is the first in the global order that both sets have.
+
+    The overlap needed is percent / (100 + percent) of both sizes; it lies at and
+    after the first common shingle, and a similar pair has that one in both
+    prefixes, so it is met there even where its later shingles are turned down.
+    """
     na, nb, pa_, pb = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
-    most = 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    # The place in the prefix bounds what is still to come after the first common shingle only, so earlier ones count as common too.
-    room = most + F.least(pa_, pb)
+    room = F.least(na - pa_, nb - pb)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * room >= percent * (na + nb))
 
 
