@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import held
+from .components import held, holds, slot_table
 
 #: Slots of the tables that thin out lines before the joins; one byte each, whatever the data.
 SLOTS = 1 << 19
@@ -36,22 +36,6 @@ def _halves() -> Column:
     return F.array(*(key(m, first) for m in (n, n + 1) for first in (True, False)))
 
 
-def _table(values: DataFrame) -> Column:
-    """A literal with a 1 in the slot of each value of column v: of fixed size, tested inside the scan."""
-    slots = bytearray(SLOTS)
-    for r in values.select(_slot(F.col("v")).alias("slot")).distinct().toLocalIterator():
-        slots[r.slot] = 1
-    return F.lit(bytes(slots))
-
-
-def _slot(value: Column) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(SLOTS)).cast("int")
-
-
-def _holds(table: Column, value: Column) -> Column:
-    return F.substring(table, _slot(value) + 1, F.lit(1)) == F.lit(b"\x01")
-
-
 def _neighbours(lines: DataFrame) -> DataFrame:
     """For each line (id, ln, words), one of each class, the earliest other one within one word insertion, deletion or replacement, if that is earlier: id, ln, near.
 
@@ -129,12 +113,12 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     wanted = held(classes.select("h1", "h2", "at", "c").join(close, ["h1", "h2"], "left").where("c > 1 OR close"))
 
     first = wanted.where("close").select(F.col("at.id").alias("id"), F.col("at.ln").alias("ln"))
-    some = texts.where(_holds(_table(first.select(F.col("id").alias("v"))), F.col("id"))).dropDuplicates(["id"])
+    some = texts.where(holds(slot_table(first.select(F.col("id").alias("v")), SLOTS), F.col("id"), SLOTS)).dropDuplicates(["id"])
     taken = some.join(first.groupBy("id").agg(F.collect_set("ln").alias("lns")).hint("merge"), "id").select("id", F.explode("lns").alias("ln"), F.split("text", "\n").alias("parts"))
     near = held(_neighbours(held(taken.select("id", "ln", _words(F.get("parts", F.col("ln"))).alias("words")))))
 
     classes = wanted.join(near.select(F.struct("id", "ln").alias("at"), "near"), "at", "left")
-    thin = lines.where(_holds(_table(wanted.select(F.col("h1").alias("v"))), F.col("h1"))).select("id", "ln", "h1", "h2")
+    thin = lines.where(holds(slot_table(wanted.select(F.col("h1").alias("v")), SLOTS), F.col("h1"), SLOTS)).select("id", "ln", "h1", "h2")
     here = F.struct("id", "ln")
     gone = thin.join(classes.select("h1", "h2", "at", "near"), ["h1", "h2"]).where((F.col("at") < here) | (F.col("near") < here))
     dropped = held(gone.groupBy("id").agg(F.collect_set("ln").alias("dropped")))

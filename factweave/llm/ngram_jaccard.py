@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesets as B
-from .components import components, held
+from .components import components, held, holds, slot_table
 
-#: Counters of the frequency sketch and slots of the bit table; neither depends on the data.
-COUNTERS, BLOCK, SLOTS = 1 << 20, 1 << 12, 1 << 22
+#: Counters of the frequency sketch and slots of the table of wanted documents; neither depends on the data.
+COUNTERS, BLOCK, SLOTS = 1 << 20, 1 << 12, 1 << 19
 #: Words of 64 parities that stand for a set.
 WORDS = ("w0", "w1", "w2", "w3")
 
@@ -38,8 +38,34 @@ def _parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bins, minlength=64 * len(WORDS)) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _bins(shingles: np.ndarray) -> bytes:
+    """The same parities with as many bins as the set has shingles, up to a power of two: close to the true difference at every size."""
+    bins = max(64, 1 << (len(shingles) - 1).bit_length())
+    places = (B.mix(shingles ^ np.uint64(0x632BE59BD9B4E019)) & np.uint64(bins - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bins) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """In how many bins two sets' parities differ; more bins are folded to as few as the other has."""
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0) for x in (a, b))
+    return int(np.unpackbits(a ^ b).sum())
+
+
+def _may_link(percent: int):
+    """(a, b): the pairs whose parities allow the similarity (see _near_parities)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            most = (100 - percent) * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
+            differ = [_differ(x.as_py(), y.as_py()) for x, y in zip(batch.column("ba"), batch.column("bb"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * np.array(differ, np.int64) <= most))
+
+    return run
+
+
 def _members(k: int):
-    """A row (id, sig, n, parities) for each document, and at the end of the task its frequency sketch in blocks."""
+    """A row (id, sig, n, parities, bins) for each document, and at the end of the task its frequency sketch in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         counts, kind = np.zeros(COUNTERS, np.uint32), None
@@ -49,16 +75,17 @@ def _members(k: int):
             for s in found:
                 sigs.append(_signature(s) if len(s) else None)
                 sizes.append(len(s))
+            bins = pa.array([_bins(s) if len(s) else None for s in found], pa.binary())
             every = np.concatenate(found)
             words = np.array([_parities(s) for s in found]).T
             counts += np.bincount((every >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(w) for w in words), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "sig", "n", *WORDS, "block", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(w) for w in words), bins, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "sig", "n", *WORDS, "bins", "block", "counts"])
         if kind is not None:
             codec = pa.Codec("zstd", 1)
             blocks = [codec.compress(x.tobytes()).to_pybytes() for x in counts.reshape(-1, BLOCK)]
             n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * (2 + len(WORDS)), pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], ["id", "sig", "n", *WORDS, "block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * (2 + len(WORDS)), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], ["id", "sig", "n", *WORDS, "bins", "block", "counts"])
 
     return run
 
@@ -99,30 +126,27 @@ def _postings(k: int, percent: int, levels):
     return run
 
 
-def _fragments(k: int, parts: int, table):
-    """(id, sig, part, shingles): the sets of the wanted documents, cut where the hash order is cut into equal ranges."""
+def _fragments(k: int, parts: int):
+    """(sig, part, n, shingles): the sets of documents, cut where the hash order is cut into equal ranges; n is the size of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         cuts = (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)).astype(np.uint64)
         for batch in B.portions(batches, "text"):
-            batch = batch.filter(pa.array(table.value[batch.column("slot").to_numpy()]))
-            if not batch.num_rows:
-                continue
-            rows, sigs, fragment, pieces = [], [], [], []
-            for row, s in enumerate(_sets(batch, k)):
-                if len(s):
-                    sig = _signature(s)
-                    bounds = [0, *np.searchsorted(s, cuts).tolist(), len(s)]
-                    for f, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                        if b > a:
-                            rows.append(row)
-                            sigs.append(sig)
-                            fragment.append(f)
-                            pieces.append(B.signed(s[a:b]))
-            if rows:
+            sigs, fragment, sizes, pieces = [], [], [], []
+            for s, wanted in zip(_sets(batch, k), batch.column("sig").to_pylist(), strict=True):
+                if not len(s) or _signature(s) != wanted:
+                    continue
+                bounds = [0, *np.searchsorted(s, cuts).tolist(), len(s)]
+                for f, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    if b > a:
+                        sigs.append(wanted)
+                        fragment.append(f)
+                        sizes.append(len(s))
+                        pieces.append(B.signed(s[a:b]))
+            if pieces:
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(pieces)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(sigs, pa.int64()), pa.array(fragment, pa.int32()), lists], ["id", "sig", "part", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(fragment, pa.int32()), pa.array(sizes, pa.int64()), lists], ["sig", "part", "n", "shingles"])
 
     return run
 
@@ -176,14 +200,14 @@ class _Join:
         self.texts, self.k, self.percent, self.parts = texts, k, percent, parts
         id_type = texts.schema["id"].dataType.simpleString()
         self.id_type = id_type
-        made = held(texts.mapInArrow(_members(k), f"id {id_type}, sig long, n long, {', '.join(f'{w} long' for w in WORDS)}, block int, counts binary"))
-        self.members = made.where("block IS NULL").select("id", "sig", "n", *WORDS)
+        made = held(texts.mapInArrow(_members(k), f"id {id_type}, sig long, n long, {', '.join(f'{w} long' for w in WORDS)}, bins binary, block int, counts binary"))
+        self.members = made.where("block IS NULL").select("id", "sig", "n")
         levels = np.zeros(COUNTERS, np.uint16)
         for r in made.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, levels binary").toLocalIterator():
             levels[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.levels, np.uint16)
         self.levels = texts.sparkSession.sparkContext.broadcast(levels)
-        self.parities = self.members.where("sig IS NOT NULL").groupBy("sig").agg(*(F.first(w).alias(w) for w in WORDS))
-        self.chosen = self.members.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"))
+        first = [F.first(c).alias(c) for c in ("n", *WORDS, "bins")]
+        self.sets = held(made.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"), *first))
 
     def postings(self) -> DataFrame:
         """Prefix entries whose shingle another set has in its prefix too."""
@@ -197,22 +221,24 @@ class _Join:
         return fit.select(F.least(f"{a}.sig", f"{b}.sig").alias("a"), F.greatest(f"{a}.sig", f"{b}.sig").alias("b"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar: overlaps are counted fragment by fragment and added up for each pair."""
+        """The pairs that are similar.
+
+        Pairs that their parities rule out go first.  Of the rest, overlaps are
+        counted fragment by fragment and added up for each pair.  Sides that grow
+        with the input are merged at every size.
+        """
+        side = lambda c: self.sets.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"b{c}"))
+        pairs = held(pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").mapInArrow(_may_link(self.percent), "a long, b long"))
         ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-        wanted = held(ends.join(self.chosen, "sig"))
-        slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
-        table = np.zeros(SLOTS, bool)
-        for r in wanted.select(slot.alias("slot")).distinct().toLocalIterator():
-            table[r.slot] = True
-        shared = self.texts.sparkSession.sparkContext.broadcast(table)
-        sets = self.texts.withColumn("slot", slot).mapInArrow(_fragments(self.k, self.parts, shared), f"id {self.id_type}, sig long, part int, shingles array<long>")
-        sets = held(sets.join(wanted, ["sig", "id"], "left_semi").select("sig", "part", "shingles").dropDuplicates(["sig", "part"]))
-        left = pairs.join(sets.select(F.col("sig").alias("a"), "part", F.col("shingles").alias("sa")), "a")
-        both = left.join(sets.select(F.col("sig").alias("b"), "part", F.col("shingles").alias("sb")), ["b", "part"])
-        overlap = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("c")).groupBy("a", "b").agg(F.sum("c").alias("c"))
-        total = sets.groupBy("sig").agg(F.sum(F.size("shingles")).alias("n"))
-        sized = overlap.join(total.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(total.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
-        return sized.where(100 * F.col("c") >= self.percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+        wanted = held(ends.hint("merge").join(self.sets.select("sig", "id"), "sig"))
+        texts = self.texts.where(holds(slot_table(wanted.select(F.col("id").alias("v")), SLOTS), F.col("id"), SLOTS)).join(wanted.hint("merge"), "id").dropDuplicates(["id", "sig", "text"])
+        sets = held(texts.mapInArrow(_fragments(self.k, self.parts), "sig long, part int, n long, shingles array<long>"))
+        side = lambda c: sets.select(F.col("sig").alias(c), "part", F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}"))
+        both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), ["b", "part"])
+        # A row that repeats an id may repeat its set, so a fragment counts once.
+        overlap = both.select("a", "b", "part", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c")).groupBy("a", "b", "part").agg(F.max("c").alias("c"), F.max(F.col("na") + F.col("nb")).alias("n"))
+        total = overlap.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
+        return total.where(100 * F.col("c") >= self.percent * (F.col("n") - F.col("c"))).select("a", "b")
 
 
 def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, parts: int = 4, turns: int = 3) -> DataFrame:
@@ -228,7 +254,8 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     First each set is compared with two others at most that it meets in lists of
     prefix entries, and so in up to ``turns`` turns while sets in different components
-    meet: pairs in proportion to the sets, however long the lists.  The
+    meet: pairs in proportion to the sets, however long the lists.  Pairs
+    whose parities (of as many bins as a set has shingles) differ too often are no links; for the others the
     global order is cut into ``parts`` fragments; the overlaps of a pair are
     counted fragment by fragment and summed.  The links give components.  Then all
     pairs of prefix entries in different components are compared that length,
@@ -260,7 +287,7 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         links = found if links is None else held(links.union(found))
         groups = held(components(links)).withColumnRenamed("node", "s")
 
-    rest = _mixed(postings, groups).withColumn("sig", F.col("me.sig")).join(join.parities, "sig")
+    rest = _mixed(postings, groups).withColumn("sig", F.col("me.sig")).join(join.sets.select("sig", *WORDS), "sig")
     rest = held(rest.select("key", F.struct("me.*", *WORDS).alias("me"), "c"))
     if not rest.isEmpty():
         other = rest.select("key", F.col("me").alias("you"), F.col("c").alias("d"))
