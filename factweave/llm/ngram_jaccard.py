@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesets as B
-from .components import components, held, holds, slot_table
+from .components import components, held
 
 #: Counters of the frequency sketch and slots of the table of wanted documents; neither depends on the data.
-COUNTERS, BLOCK, SLOTS = 1 << 20, 1 << 12, 1 << 19
+COUNTERS, BLOCK, SLOTS = 1 << 20, 1 << 12, 1 << 22
 #: Words of 64 parities that stand for a set.
 WORDS = ("w0", "w1", "w2", "w3")
 
@@ -126,6 +126,16 @@ def _postings(k: int, percent: int, levels):
     return run
 
 
+def _only(table):
+    """(id, text) of the rows whose slot is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield batch.select(["id", "text"]).filter(pa.array(table.value[batch.column("slot").to_numpy()]))
+
+    return run
+
+
 def _fragments(k: int, parts: int):
     """(sig, part, n, shingles): the sets of documents, cut where the hash order is cut into equal ranges; n is the size of the whole set."""
 
@@ -231,7 +241,13 @@ class _Join:
         pairs = held(pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").mapInArrow(_may_link(self.percent), "a long, b long"))
         ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
         wanted = held(ends.hint("merge").join(self.sets.select("sig", "id"), "sig"))
-        texts = self.texts.where(holds(slot_table(wanted.select(F.col("id").alias("v")), SLOTS), F.col("id"), SLOTS)).join(wanted.hint("merge"), "id").dropDuplicates(["id", "sig", "text"])
+        slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
+        table = np.zeros(SLOTS, bool)
+        for r in wanted.select(slot.alias("slot")).distinct().toLocalIterator():
+            table[r.slot] = True
+        shared = self.texts.sparkSession.sparkContext.broadcast(table)
+        some = self.texts.withColumn("slot", slot).mapInArrow(_only(shared), f"id {self.id_type}, text string")
+        texts = some.join(wanted.hint("merge"), "id").dropDuplicates(["id", "sig", "text"])
         sets = held(texts.mapInArrow(_fragments(self.k, self.parts), "sig long, part int, n long, shingles array<long>"))
         side = lambda c: sets.select(F.col("sig").alias(c), "part", F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}"))
         both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), ["b", "part"])
