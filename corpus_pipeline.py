@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm import bpe, decontaminate, language_id, line_dedup, ngram_jaccard
@@ -25,16 +25,35 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", *(F.col(f"kept_{c}").alias(c) for c in others), F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A name for each row: its id, rows without id last, and two hashes of all its columns.
+
+    Only rows that are equal in every column share it; it is never null and orders rows by id.
+    """
+    cells = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*cells).alias("h1"), F.xxhash64(F.lit(7), *cells).alias("h2"))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, keep the document with the smallest id."""
-    kept = ngram_jaccard.ngram_jaccard(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each class of near duplicates, keep one row: the one with the smallest id.
+
+    Rows are judged, not ids.  A row without id takes part like any other but
+    comes after all that have one: it stays if its class holds no row with an id,
+    and a class of such rows alone keeps one.  Rows that repeat an id are rows of
+    their own with the classes of their own texts; where a class holds several
+    with its smallest id, one stays, chosen by a hash of all columns.  Rows equal
+    in every column are one.  Texts without words are like no other and stay.
+    """
+    keyed = docs.withColumn("row_key", row_key(docs))
+    kept = ngram_jaccard.ngram_jaccard(keyed, id_col="row_key").where("component_id = row_key").select("row_key").distinct()
+    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
-    hit = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Drop rows that hold a window of a benchmark item, each by its own text, with or without id."""
+    keyed = docs.withColumn("row_key", row_key(docs))
+    hit = decontaminate.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_key").where("contaminated").select("row_key")
+    return keyed.join(hit, "row_key", "left_anti").select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
