@@ -74,7 +74,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     longest wins and decides the pages that it fits.  For the others decisions
     spread over aliases: URLs are put together by ``alias_key``, by the canonical
     links and refresh redirects in the HTML, and by ``redirects`` (source,
-    target); the connected components are found by distributed contraction.  An
+    target; neither needs to be a page, and rules judge both); the connected
+    components are found by distributed contraction.  An
     explicit allow anywhere in a component goes before a block; a component with
     a block and no allow is blocked; anything else is allowed.
 
@@ -93,7 +94,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     urls = seen.select("url")
     if links is not None:
         links = held(links.select("source", resolved(F.col("target"), F.col("source")).alias("target")).where("target IS NOT NULL").distinct())
-        urls = urls.union(links.select("target"))
+        urls = urls.union(links.select("source")).union(links.select("target"))
     urls = urls.where("url IS NOT NULL").distinct().withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "alias": alias_key(F.col("url"))})
     judged = held(urls.join(ruled(urls, rules), "url", "left"))
 

@@ -106,6 +106,14 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages.limit(0), rules).count() == 0
 
 
+def test_url_filter_sources_that_are_no_pages(spark):
+    pages = spark.createDataFrame([(0, "http://one.com/x", ""), (1, "http://two.com/x", ""), (2, "http://three.com/x", ""), (3, "http://four.com/x", "")], "page_id long, url string, html string")
+    moves = [("http://old.net/a", "http://one.com/x"), ("http://www.example.net/en/b", "http://two.com/x"), ("http://bad.net/b", "http://two.com/x"), ("http://far.net/c", "http://middle.com/c"), ("http://middle.com/c", "/d"), ("http://middle.com/d", "http://three.com/x"), (None, "http://four.com/x")]
+    redirects = spark.createDataFrame(moves, "source string, target string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(pages, url_filter.rule_table(spark, url_filter.RULES), redirects=redirects).collect()}
+    assert got == {0: (None, "block"), 1: (None, "allow"), 2: (None, "block"), 3: (None, "allow")}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
