@@ -54,26 +54,71 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 3) -> DataFrame:
-    """Pairs of different fingerprints that are alike by ``threshold`` or more: a, b (ids of the smallest documents that have them), likeness.
+def _named(docs: DataFrame, id_col: str, text_col: str, chain: int) -> DataFrame:
+    """Rows with an id: id, set, name (a 128-bit hash of the set)."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), signatures(F.coalesce(F.col(text_col).cast("string"), F.lit("")), chain).alias("set"))
+    return rows.withColumn("name", F.md5(as_text(F.col("set"))))
+
+
+def _alike(sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Pairs (x, y: names, likeness) of the distinct ``sets`` (name, set, n) that are alike by ``threshold`` or more.
 
-    Equal fingerprints are one.  Sets are partitioned by length; a set meets
-    those of its own and the next partition only, on a signature that both have
-    among the rarest ones that must hold one in common.  Sizes prune each pair
-    before its sets are compared.
+    The smaller set of a pair (by size, then name) meets the larger one at a
+    signature that both have among the rarest ones of which one must be common,
+    in a partition that holds the smaller one's length.  Sizes and the place of
+    the signature prune each pair.  Lists of more than ``block`` entries are cut
+    into blocks, and all blocks of the two sides meet: no pair is left out.
     """
-    sets = docs.select(F.col(id_col).alias("id"), signatures(F.coalesce(F.col(text_col), F.lit("")), chain).alias("set"))
-    sets = held(sets.where(F.size("set") > 0).groupBy("set").agg(F.min("id").alias("id")).withColumn("n", F.size("set")))
-    spots = sets.select("id", "n", F.explode("set").alias("spot"))
-    ranked = spots.join(spots.groupBy("spot").count(), "spot").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "spot"))).alias("order"))
-    need = F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int")
-    prefix = ranked.select("id", "n", F.explode(F.slice("order", F.lit(1), F.col("n") - need + 1)).alias("s")).select("id", "n", "s.spot", length_partition(F.col("n"), threshold).alias("part"))
-    right = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "spot", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))
-    met = prefix.select(F.col("id").alias("a"), "n", "spot", "part").join(right, ["spot", "part"]).where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9))
-    pairs = met.select("a", "b").distinct()
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness")).where(F.col("likeness") >= threshold - 1e-9)
+    sets = sets.where("n > 0")
+    spots = sets.select("name", "n", F.explode("set").alias("spot"))
+    ranked = spots.join(spots.groupBy("spot").count(), "spot").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("count", "spot"))).alias("order"))
+    least = lambda share, n: F.ceil(F.lit(share) * n - 1e-9).cast("int")
+    entries = held(ranked.select("name", "n", F.posexplode(F.slice("order", F.lit(1), F.col("n") - least(threshold, F.col("n")) + 1)).alias("pos", "s")).select("name", "n", "pos", "s.spot"))
+    smaller = entries.where(F.col("pos") <= F.col("n") - least(2 * threshold / (1 + threshold), F.col("n"))).withColumn("part", length_partition(F.col("n"), threshold))
+    reach = F.sequence(length_partition(F.greatest(least(threshold, F.col("n")), F.lit(1)), threshold), length_partition(F.col("n"), threshold))
+    larger = entries.withColumn("part", F.explode(reach))
+
+    blocks = lambda df, c: df.groupBy("spot", "part").agg(F.ceil(F.count("*") / block).cast("int").alias(c))
+    # Only lists that both sides have, and that are long on one, are cut.
+    cut = held(blocks(smaller, "u").join(blocks(larger, "v"), ["spot", "part"]).where("u > 1 OR v > 1"))
+    salted = lambda df, own: df.join(cut, ["spot", "part"], "left").withColumn(own, F.pmod(F.xxhash64("name"), F.coalesce(own, F.lit(1))).cast("int"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+    left = salted(smaller, "u").withColumn("v", every("v")).select("spot", "part", "u", "v", F.col("name").alias("x"), "n", "pos")
+    right = salted(larger, "v").withColumn("u", every("u")).select("spot", "part", "u", "v", F.col("name").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"))
+
+    n, m = F.col("n"), F.col("m")
+    order = (n < m) | ((n == m) & (F.col("x") < F.col("y")))
+    room = (1 + threshold) * F.least(n - F.col("pos"), m - F.col("at")) >= threshold * (n + m) - 1e-6
+    pairs = held(left.join(right, ["spot", "part", "u", "v"]).where(order & (n >= threshold * m - 1e-9) & room).select("x", "y").distinct())
+    both = pairs.join(sets.select(F.col("name").alias("x"), F.col("set").alias("s")), "x").join(sets.select(F.col("name").alias("y"), F.col("set").alias("t")), "y")
+    return both.select("x", "y", likeness(F.col("s"), F.col("t")).alias("likeness")).where(F.col("likeness") >= threshold - 1e-9)
+
+
+def fingerprint_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 3, block: int = 1000) -> DataFrame:
+    """All that is alike by ``threshold`` or more: a, b, likeness, kind.
+
+    Kind "equal": b is a row whose fingerprint equals that of a, the smallest id
+    that has it (a row for each row, that of the smallest id itself included, with
+    likeness 1).  Kind "alike": a < b are the smallest ids of two different
+    fingerprints that are alike.  Two documents are alike if their smallest ids are
+    the same or a pair.  All texts without words have one fingerprint, the empty set.
+
+    Rows without id are left out, as they cannot be named; rows that repeat an id
+    each have their own fingerprint, so ids of a pair may be the same; an empty
+    table gives no rows.  The pairs within a group of near copies grow with the
+    square of its size.
+    """
+    named = held(_named(docs, id_col, text_col, chain))
+    sets = held(named.groupBy("name").agg(F.min("id").alias("id"), F.any_value("set").alias("set")).withColumn("n", F.size("set")))
+    ids = sets.select("name", "id")
+    equal = named.select("name", F.col("id").alias("b")).join(ids, "name").select(F.col("id").alias("a"), "b", F.lit(1.0).alias("likeness"), F.lit("equal").alias("kind"))
+    met = _alike(sets, threshold, block).join(ids.select(F.col("name").alias("x"), F.col("id").alias("i")), "x").join(ids.select(F.col("name").alias("y"), F.col("id").alias("j")), "y")
+    return equal.unionByName(met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "likeness", F.lit("alike").alias("kind")))
+
+
+def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 3) -> DataFrame:
+    """The pairs of different fingerprints alone (see fingerprint_links): a, b, likeness."""
+    return fingerprint_links(docs, id_col=id_col, text_col=text_col, threshold=threshold, chain=chain).where("kind = 'alike'").drop("kind")
 
 
 def neighbours(ids: DataFrame, pieces: int = 64) -> DataFrame:
@@ -134,5 +179,9 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fingerprint")).alias("fingerprint"), as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next", "length_partition")
 
 
-QUERIES = {"op7_spotsigs": op7_spotsigs}
+def op7_spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_links(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), "likeness", "kind")
+
+
+QUERIES = {"op7_spotsigs": op7_spotsigs, "op7_spotsigs_links": op7_spotsigs_links}
 ORACLE_SQL: dict[str, str] = {}

@@ -210,6 +210,29 @@ def test_spotsigs(spark, docs, none):
     assert all(a < b for a, b in pairs)
 
 
+def test_spotsigs_links(spark, docs, none):
+    """Membership and pairs against brute force, where different texts have one fingerprint, and with lists cut into blocks."""
+    import random
+
+    draw = random.Random(3)
+    base = [f"the w{i} x{i}" for i in range(20)]
+    near = [[*base[: -draw.randint(1, 4)], f"the y{draw.randrange(3)}"] for _ in range(25)] + [[f"Rome {i}", *base] for i in range(3)]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + i, ("; " if i % 2 else " ").join(x)) for i, x in enumerate(near)] + [(None, " ".join(base))], "doc_id long, text string"))
+    sets = {r.doc_id: frozenset(r.fingerprint) for r in spotsigs.fingerprints(table).collect()}
+    first = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+    want = {("equal", first[s], i): 1.0 for i, s in sets.items()}
+    for a, b in itertools.combinations(sorted(first.values()), 2):
+        x, y = sets[a], sets[b]
+        if x and y and len(x & y) >= 0.8 * len(x | y):
+            want["alike", a, b] = len(x & y) / len(x | y)
+    assert sum(k == "equal" and a != b for k, a, b in want) > 3 and sum(k == "alike" for k, *_ in want) > 10
+    for block in (3, 1000):
+        got = spotsigs.fingerprint_links(table, block=block).collect()
+        assert len(got) == len(want)
+        assert {(r.kind, r.a, r.b): r.likeness for r in got} == pytest.approx(want)
+    assert spotsigs.fingerprint_links(none).count() == 0
+
+
 def test_chat_format(spark):
     texts = ["</s>[INST] ok [/INST]", "<\\/s> [\\INST]", None, "\\", "[TURN x] a [/TURN] </s></s>"]
     turns = [(1, i, r, t) for i, (t, r) in enumerate(itertools.product(texts, ["user", "assistant", "system", "to ol]", None]))]
