@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,57 @@ def vector_topk(embeddings: DataFrame, vector: list[float], k: int, id_col: str
     return embeddings.select(id_col, F.round(dot(F.col("embedding"), query), 6).alias("score")).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
 
 
+def _packed(rows: DataFrame, id_col: str, block: int) -> DataFrame:
+    """Vectors in rows of up to ``block`` of one length: ids, dim, cells (doubles, one vector after the other)."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    rows = rows.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)").select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            dims = batch.column("v").value_lengths().to_numpy()
+            for dim in np.unique(dims):
+                own = batch.filter(pa.array(dims == dim))
+                for at in range(0, own.num_rows, block):
+                    part = own.slice(at, block)
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([int(dim)], pa.int32()), pa.array([part.column("v").flatten().to_numpy().tobytes()], pa.binary())], ["ids", "dim", "cells"])
+
+    return rows.mapInArrow(run, f"ids array<{kind}>, dim int, cells binary")
+
+
+def vector_search(embeddings: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", block: int = 1024) -> DataFrame:
+    """The k nearest rows of each query vector by cosine, ties by id: query_id, vec_id, score.
+
+    ``queries`` is a table like ``embeddings``, of any size.  Both are packed into
+    blocks of up to ``block`` vectors; each block of queries meets each block of
+    rows in one matrix product that hands on k rows of a query, and these are
+    merged by query.  Scores are rounded to 6 digits before they are compared.
+    Vectors that are null or hold null find nothing and are not found; vectors of
+    another length than the query's have no score; a query repeated gives its rows once.
+    """
+    kind = embeddings.schema[id_col].dataType.simpleString()
+    rows = _packed(embeddings, id_col, block).select(F.col("ids").alias("row_ids"), "dim", F.col("cells").alias("row_cells"))
+    pairs = rows.crossJoin(_packed(queries.dropDuplicates([id_col]), id_col, block).select(F.col("ids").alias("query_ids"), F.col("dim").alias("query_dim"), F.col("cells").alias("query_cells")))
+
+    def best(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                if batch.column("dim")[r] != batch.column("query_dim")[r]:  # here, as a join by the length would send all to one task
+                    continue
+                own, asked = (batch.column(c)[r].values for c in ("row_ids", "query_ids"))
+                a, b = (np.frombuffer(batch.column(c)[r].as_py(), np.float64).reshape(len(n), -1) for c, n in (("row_cells", own), ("query_cells", asked)))
+                scores = np.round(b @ a.T, 6)
+                place = np.argsort(own.to_numpy(zero_copy_only=False), kind="stable")
+                top = place[np.argsort(-scores[:, place], axis=1, kind="stable")[:, :k]]
+                found = np.take_along_axis(scores, top, axis=1)
+                width = top.shape[1]
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(np.repeat(np.arange(len(asked)), width))), own.take(pa.array(top.ravel())), pa.array(found.ravel())], ["query_id", "vec_id", "score"])
+
+    found = pairs.mapInArrow(best, f"query_id {kind}, vec_id {kind}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+
+
 def keyword_hits(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """Chunks with any term and how many different terms they hold."""
     low = F.lower("text")

@@ -200,6 +200,13 @@ def vector_topk(c: Corpus) -> DataFrame:
     return retrieval.vector_topk(c.table("embeddings"), vector, 20)
 
 
+@query("""SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e
+WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 20""", over_graph=False)
+def vector_search(c: Corpus) -> DataFrame:
+    vectors = c.table("embeddings")
+    return retrieval.vector_search(vectors, vectors.where("vec_id % 100 = 0"), 20)
+
+
 _HITS = " + ".join(f"contains(lower(text), '{t}')::INT" for t in TERMS)
 
 
