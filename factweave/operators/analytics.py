@@ -54,15 +54,27 @@ def structured_search(
     return out.select("experiment_id", "material_id", "material", "material_class", "document_id", "year", "country", "process", "regime_name", "status")
 
 
-def contradictions(corpus, prop: str, materials: DataFrame) -> DataFrame:
-    """Pairs of experiments on one material whose values of a property differ as text, with their documents."""
-    values = corpus.measured.where(F.col("dst") == f"prop:{prop}").select(F.col("src").alias("experiment_id"), "value")
+def contradictions(corpus, materials: DataFrame, prop: str | None = None) -> DataFrame:
+    """Pairs of experiments on one material whose values of one property differ as text, with the property and their documents.
+
+    All measured properties, or ``prop`` alone.  Equal values of a material and
+    property are put together first, so that only groups of different values
+    meet and nothing is expanded but pairs of the result.
+    """
+    values = corpus.measured.where("value IS NOT NULL").select(F.col("src").alias("experiment_id"), F.col("dst").alias("property"), "value")
+    if prop:
+        values = values.where(F.col("property") == f"prop:{prop}")
     mine = edge(corpus.edges, "USES_MATERIAL", "experiment_id", "material_id").join(materials.select(F.col("id").alias("material_id")), "material_id", "left_semi")
     docs = edge(corpus.edges, "DESCRIBED_IN", "experiment_id", "document_id")
     one = mine.join(values, "experiment_id").join(docs, "experiment_id", "left")
-    a = one.select("material_id", F.col("experiment_id").alias("first_id"), F.col("value").alias("first_value"), F.col("document_id").alias("first_document"))
-    b = one.select(F.col("material_id").alias("m"), F.col("experiment_id").alias("second_id"), F.col("value").alias("second_value"), F.col("document_id").alias("second_document"))
-    return a.join(b, (F.col("material_id") == F.col("m")) & (F.col("first_id") < F.col("second_id")) & (F.col("first_value") != F.col("second_value"))).drop("m")
+    groups = one.groupBy("material_id", "property", "value").agg(F.collect_list(F.struct(F.col("experiment_id").alias("id"), F.col("document_id").alias("document"))).alias("held"))
+    side = lambda c: groups.select("material_id", "property", F.col("value").alias(f"{c}_value"), F.col("held").alias(f"{c}_held"))
+    met = side("a").join(side("b"), ["material_id", "property"]).where("a_value < b_value")
+    rows = met.withColumn("a", F.explode("a_held")).withColumn("b", F.explode("b_held")).where("a.id <> b.id")
+    x, y = (F.struct(F.col(f"{c}.id"), F.col(f"{c}_value").alias("value"), F.col(f"{c}.document")) for c in "ab")
+    pair = rows.select("material_id", "property", F.when(F.col("a.id") < F.col("b.id"), F.struct(x.alias("p"), y.alias("q"))).otherwise(F.struct(y.alias("p"), x.alias("q"))).alias("o"))
+    ends = [F.col(f"o.{o}.{f}").alias(f"{name}_{f}") for o, name in (("p", "first"), ("q", "second")) for f in ("id", "value", "document")]
+    return pair.select("material_id", "property", *ends)
 
 
 def gaps(corpus, least: float = 49) -> DataFrame:

@@ -43,7 +43,15 @@ def structured_search(c: Corpus) -> DataFrame:
 b.id AS second_id, round(b.l_quantity, 2)::DECIMAL(18, 2)::VARCHAR AS second_value, 'd:' || b.l_orderkey AS second_document
 FROM li a JOIN li b ON a.l_partkey = b.l_partkey AND a.id < b.id AND round(a.l_quantity, 2) <> round(b.l_quantity, 2)""")
 def contradictions(c: Corpus) -> DataFrame:
-    return analytics.contradictions(c, "quantity", c.materials)
+    return analytics.contradictions(c, c.materials, "quantity").drop("property")
+
+
+@query("""SELECT a.material_id, a.dst AS property, a.src AS first_id, a.value AS first_value, a.document AS first_document, b.src AS second_id, b.value AS second_value, b.document AS second_document
+FROM (SELECT src, dst, value, 'm:' || l_partkey AS material_id, 'd:' || l_orderkey AS document FROM measured JOIN li ON src = id) a
+JOIN (SELECT src, dst, value, 'm:' || l_partkey AS material_id, 'd:' || l_orderkey AS document FROM measured JOIN li ON src = id) b
+ON a.material_id = b.material_id AND a.dst = b.dst AND a.src < b.src AND a.value <> b.value""")
+def all_contradictions(c: Corpus) -> DataFrame:
+    return analytics.contradictions(c, c.materials)
 
 
 _GAPS = """, known AS (SELECT * FROM li WHERE l_quantity >= 49),
