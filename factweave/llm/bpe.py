@@ -20,7 +20,10 @@ def _codec(path: str, pattern: str):
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return encoding, {rank: token for token, rank in ranks.items()}, regex.compile(pattern)
+    token = [b""] * (1 + max(ranks.values(), default=-1))
+    for of, rank in ranks.items():
+        token[rank] = of
+    return encoding, token, regex.compile(pattern)
 
 
 def sync_points(pattern, text: str, start: int, end: int) -> list[int]:

@@ -38,7 +38,10 @@ _powers = np.cumprod(np.full(64, _STEP, dtype=np.uint64))
 
 
 def _power(n: int) -> np.ndarray:
+    """The first powers, n at least; those for very long words are made anew and not kept."""
     global _powers
+    if n > 1 << 16:
+        return np.cumprod(np.full(n, _STEP, dtype=np.uint64))
     if n > len(_powers):
         _powers = np.cumprod(np.full(max(n, 2 * len(_powers)), _STEP, dtype=np.uint64))
     return _powers

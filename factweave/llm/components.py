@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where the session names none, as in tests."""
+    """The folder that driver and executors share.
+
+    It is the one of spark.checkpoint.dir.  Only a session in one process (local
+    mode, as in tests) may go without: it gets a temporary one.  On a cluster a
+    folder of one machine would be read in vain by the others, so that raises.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -38,23 +48,6 @@ def held(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _slot(value: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(slots)).cast("int")
-
-
-def slot_table(values: DataFrame, slots: int) -> Column:
-    """A literal with a 1 in the slot of each value of column v: of fixed size, tested inside the scan."""
-    table = bytearray(slots)
-    for r in values.select(_slot(F.col("v"), slots).alias("slot")).distinct().toLocalIterator():
-        table[r.slot] = 1
-    return F.lit(bytes(table))
-
-
-def holds(table: Column, value: Column, slots: int) -> Column:
-    """Whether the value's slot in a table of slot_table is set; always so for values that it was made of."""
-    return F.substring(table, _slot(value, slots) + 1, F.lit(1)) == F.lit(b"\x01")
-
-
 def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     """Label each node that has an edge with the smallest node it is connected to.
 

@@ -86,30 +86,35 @@ def _fit(like: np.ndarray, first: np.ndarray, share: np.ndarray, turns: int):
     return share, np.log((like * share[row]).sum(axis=1) + 1e-30)
 
 
-def infer(logs: np.ndarray, first: np.ndarray, *, most: int = 3, turns: int = 6, penalty: float = 2.0):
+def infer(logs: np.ndarray, first: np.ndarray, *, turns: int = 6, penalty: float = 2.0):
     """For each row: proportions over all languages, and over the chosen set (0 outside).
 
     ``logs``: log-likelihood of each word in each language.  The sets tried are
-    the 1, 2, ... ``most`` languages with the largest proportions; each is
-    fitted by itself, and the largest log-likelihood wins after ``penalty`` times
-    the log of the number of words for each further language.
+    the 1, 2, ... languages with the largest proportions, up to all of them; each is
+    fitted by itself, and the log-likelihood counts less ``penalty`` times the log of
+    the number of words for each further language.  A row's search ends at the
+    first set that is no better than the one before.
     """
     rows, languages = len(first) - 1, logs.shape[1]
     top = logs.max(axis=1, keepdims=True) if len(logs) else logs[:, :1]
     like = np.exp(np.maximum(logs - top, -60))
     share, _ = _fit(like, first, np.full((rows, languages), 1 / max(1, languages), np.float32), turns)
     order = np.argsort(-share, axis=1, kind="stable")
-    n = np.diff(first)
-    row = B.owner(first)
-    best, chosen = np.full(rows, -np.inf), share
-    for k in range(1, min(most, languages) + 1):
-        start = np.zeros_like(share)
-        np.put_along_axis(start, order[:, :k], np.float32(1 / k), axis=1)
-        fitted, word = _fit(like, first, start, turns if k > 1 else 1)
-        value = np.bincount(row, weights=word, minlength=rows) - penalty * (k - 1) * np.log(n + 1.0)
-        better = value > best
-        best = np.where(better, value, best)
-        chosen = np.where(better[:, None], fitted, chosen)
+    sizes, best, chosen = np.diff(first), np.full(rows, -np.inf), share.copy()
+    active = np.arange(rows)
+    for k in range(1, languages + 1):
+        if not len(active):
+            break
+        n = sizes[active]
+        words = like if len(active) == rows else like[np.repeat(first[active] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        start = np.zeros((len(active), languages), share.dtype)
+        np.put_along_axis(start, order[active, :k], np.float32(1 / k), axis=1)
+        begin = np.concatenate([[0], np.cumsum(n)])
+        fitted, word = _fit(words, begin, start, turns if k > 1 else 1)
+        value = np.bincount(B.owner(begin), weights=word, minlength=len(active)) - penalty * (k - 1) * np.log(n + 1.0)
+        better = value > best[active]
+        active = active[better]
+        best[active], chosen[active] = value[better], fitted[better]
     return share, chosen
 
 
@@ -123,7 +128,7 @@ def has_letter(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), most: int = 3) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Language and mixture of each text; ``keep``: columns handed on as they are.
 
     Each word is a unit with the likelihood of its trigrams and of itself in
@@ -134,15 +139,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str
 
     Null texts and texts without a letter are ``und`` with score 0, as is every
     text if nothing was learned; repeated rows are judged alike; ties go to the
-    first language in order; an empty table gives no rows.  Columns: id,
+    first language in order; an empty table gives no rows; a very long text is
+    judged whole, by itself in a batch; null and repeated ids are handed on; other
+    columns are not looked at, whatever their names.  Columns: id,
     lang_pred, score, languages (name:share of the set, largest first).
     """
     names = model[0]
     held_model = docs.sparkSession.sparkContext.broadcast(model[1])
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
+    # The text goes to the workers once, even if it is handed on.
+    others = [c for c in keep if c != text_col]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_keep_{c}") for c in others))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in B.portions(batches, "text"):
+        for batch in B.portions(batches, "text", 1 << 19):
             raw, at = B.buffers(batch.column("text"))
             known = has_letter(raw, at)
             langs, scores, sets = ["und"] * batch.num_rows, np.zeros(batch.num_rows), [""] * batch.num_rows
@@ -152,16 +161,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str
                 logs = table[word]
                 if len(begin):
                     logs = logs + np.add.reduceat(table[code], begin, axis=0)
-                share, chosen = infer(logs, first, most=most)
+                share, chosen = infer(logs, first)
                 best = chosen.argmax(axis=1)
                 ranked = np.argsort(-chosen, axis=1, kind="stable")
                 for i in np.flatnonzero(known & (np.diff(first) > 0)):
                     langs[i], scores[i] = names[best[i]], min(1.0, max(0.0, float(share[i, best[i]])))
                     sets[i] = ",".join(f"{names[j]}:{chosen[i, j]:.3f}" for j in ranked[i] if chosen[i, j] > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(sets, pa.string()), *(batch.column(f"_keep_{c}") for c in keep)], ["_id", "lang_pred", "score", "languages", *(f"_keep_{c}" for c in keep)])
+            kept = [batch.column("text")] if text_col in keep else []
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(sets, pa.string()), *kept, *(batch.column(f"_keep_{c}") for c in others)], given)
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join([f"_id {kinds['_id']}", "lang_pred string", "score double", "languages string", *(f"`_keep_{c}` {kinds[f'_keep_{c}']}" for c in keep)])
+    handed = [text_col, *others] if text_col in keep else others
+    given = ["_id", "lang_pred", "score", "languages", *(f"_keep_{c}" for c in handed)]
+    schema = ", ".join([f"_id {kinds['_id']}", "lang_pred string", "score double", "languages string", *(f"`_keep_{c}` {kinds.get(f'_keep_{c}', 'string')}" for c in handed)])
     return rows.mapInArrow(run, schema).select(F.col("_id").alias(id_col), "lang_pred", "score", "languages", *(F.col(f"_keep_{c}").alias(f"kept_{c}") for c in keep))
 
 

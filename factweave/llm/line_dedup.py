@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import held, holds, slot_table
-
-#: Slots of the tables that thin out lines before the joins; one byte each, whatever the data.
-SLOTS = 1 << 19
+from .components import held
 
 
 def _words(line: Column) -> Column:
@@ -17,10 +14,10 @@ def _words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """Lines of ``least`` words or more: id, ln (from 0), words, n, and two hashes that name the line's class."""
+    """Lines with a word: id, ln (from 0), two hashes that name the line's class, and from ``least`` words on its half keys."""
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).select("id", "ln", _words(F.col("line")).alias("words"))
-    lines = lines.withColumn("n", F.size("words")).where(F.col("n") >= least)
-    return lines.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(7), "words")})
+    lines = lines.withColumn("n", F.size("words")).where("n > 0")
+    return lines.select("id", "ln", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), F.when(F.col("n") >= least, _halves()).alias("keys"))
 
 
 def _halves() -> Column:
@@ -88,39 +85,42 @@ def _neighbours(lines: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop each line that repeats, within one word edit, a line that comes earlier in the corpus.
 
-    Symbols are lower-cased words between blanks; lines of fewer than
-    ``min_words`` words are left alone.  A line goes if the same words, or words
-    within one insertion, deletion or replacement, stand in a line with a smaller
-    (id, line number).  Equal lines are put together first, so thousands of copies count
-    once; only classes that share half of their words with another class can be within
-    one edit, and only those emit their deletion neighbourhood (an exact
+    Symbols are lower-cased words between blanks; lines without a word stay.  A
+    line goes if the same words, or words within one insertion, deletion or
+    replacement, stand in a line with a smaller (id, line number).  One edit is
+    much of a short line (any word is one edit from any other), so the edit bound
+    is 0 where one of the two lines has fewer than ``min_words`` words: such lines
+    go if they repeat exactly.  Equal lines are put together first, so thousands of
+    copies count once; only classes that share half of their words with another class can be
+    within one edit, and only those emit their deletion neighbourhood (an exact
     condition: one edit leaves one half as it is).  Keys are hashes; every pair
-    found is verified on its words.
-
-    Null text is empty; rows that repeat an id are the same document and drop the
-    same lines; lines of a null id are never dropped; an empty table gives no
-    rows; other columns are not looked at, those in ``keep`` are handed on as kept_<name>.
+    found is verified on its words.  All sides of the joins that grow with the
+    corpus are merged or split by adaptive execution, and nothing comes to the driver.
+
+    Null text is empty, and a text without words keeps all lines; rows that repeat
+    an id are the same document and drop the same lines; lines of a null id are
+    never dropped; an empty table gives no rows; a very long text is cut into lines
+    in one task, a very long line into its words over a shuffle; other columns are
+    not looked at, those in ``keep`` are handed on as kept_<name>, whatever their names.
     Columns: id, text (lines kept), n_lines, n_dropped.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     handed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
-    lines = _lines(texts.where("id IS NOT NULL"), min_words)
-    classes = lines.withColumn("keys", _halves()).groupBy("h1", "h2").agg(F.min(F.struct("id", "ln")).alias("at"), F.count("*").alias("c"), F.any_value("keys").alias("keys"))
-    classes = held(classes)
+    known = texts.where("id IS NOT NULL")
+    lines = held(_lines(known, min_words))
+    classes = held(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "ln")).alias("at"), F.count("*").alias("c"), F.any_value("keys").alias("keys")))
     halves = classes.select("h1", "h2", F.explode("keys").alias("half"))
     shared = halves.groupBy("half").count().where("count > 1")
     close = held(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct().withColumn("close", F.lit(True)))
     wanted = held(classes.select("h1", "h2", "at", "c").join(close, ["h1", "h2"], "left").where("c > 1 OR close"))
 
     first = wanted.where("close").select(F.col("at.id").alias("id"), F.col("at.ln").alias("ln"))
-    some = texts.where(holds(slot_table(first.select(F.col("id").alias("v")), SLOTS), F.col("id"), SLOTS)).dropDuplicates(["id"])
-    taken = some.join(first.groupBy("id").agg(F.collect_set("ln").alias("lns")).hint("merge"), "id").select("id", F.explode("lns").alias("ln"), F.split("text", "\n").alias("parts"))
+    taken = known.dropDuplicates(["id"]).join(first.groupBy("id").agg(F.collect_set("ln").alias("lns")).hint("merge"), "id").select("id", F.explode("lns").alias("ln"), F.split("text", "\n").alias("parts"))
     near = held(_neighbours(held(taken.select("id", "ln", _words(F.get("parts", F.col("ln"))).alias("words")))))
 
-    classes = wanted.join(near.select(F.struct("id", "ln").alias("at"), "near"), "at", "left")
-    thin = lines.where(holds(slot_table(wanted.select(F.col("h1").alias("v")), SLOTS), F.col("h1"), SLOTS)).select("id", "ln", "h1", "h2")
+    classes = wanted.join(near.select(F.struct("id", "ln").alias("at"), "near"), "at", "left").where("c > 1 OR near IS NOT NULL")
     here = F.struct("id", "ln")
-    gone = thin.join(classes.select("h1", "h2", "at", "near"), ["h1", "h2"]).where((F.col("at") < here) | (F.col("near") < here))
+    gone = lines.select("id", "ln", "h1", "h2").join(classes.select("h1", "h2", "at", "near"), ["h1", "h2"]).where((F.col("at") < here) | (F.col("near") < here))
     dropped = held(gone.groupBy("id").agg(F.collect_set("ln").alias("dropped")))
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda _, i: ~F.array_contains("dropped", i))
@@ -144,14 +144,14 @@ ORACLE_SQL = {
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l0 AS (SELECT doc_id, unnest(range(len(ls))) AS ln, unnest(ls) AS line FROM s),
 l AS (SELECT doc_id, ln, line, list_filter(string_split(lower(line), ' '), lambda w: w <> '') AS ws FROM l0),
-c AS (SELECT array_to_string(ws, ' ') AS k, any_value(ws) AS ws, min((doc_id, ln)) AS pos FROM l WHERE len(ws) >= 5 GROUP BY 1),
-v AS (SELECT k, pos, len(ws) - 1 AS m, i, array_to_string(list_concat(ws[1 : i - 1], ws[i + 1 :]), ' ') AS t FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM c)),
+c AS (SELECT array_to_string(ws, ' ') AS k, any_value(ws) AS ws, min((doc_id, ln)) AS pos FROM l WHERE len(ws) > 0 GROUP BY 1),
+v AS (SELECT k, pos, len(ws) - 1 AS m, i, array_to_string(list_concat(ws[1 : i - 1], ws[i + 1 :]), ' ') AS t FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM c WHERE len(ws) >= 5)),
 sub AS (SELECT k, min(pos) OVER (PARTITION BY t, m, i) AS near FROM v),
-ins AS (SELECT v.k, c.pos AS near FROM v JOIN c ON v.t = c.k),
-del AS (SELECT c.k, v.pos AS near FROM v JOIN c ON v.t = c.k),
+ins AS (SELECT v.k, c.pos AS near FROM v JOIN c ON v.t = c.k AND len(c.ws) >= 5),
+del AS (SELECT c.k, v.pos AS near FROM v JOIN c ON v.t = c.k AND len(c.ws) >= 5),
 n AS (SELECT k, min(near) AS near FROM (FROM sub UNION ALL FROM ins UNION ALL FROM del) GROUP BY k),
 j AS (SELECT l.doc_id, l.ln, l.line, coalesce(c.pos < (l.doc_id, l.ln), false) OR coalesce(n.near < (l.doc_id, l.ln), false) AS gone
-      FROM l LEFT JOIN c ON len(l.ws) >= 5 AND c.k = array_to_string(l.ws, ' ') LEFT JOIN n ON n.k = c.k)
+      FROM l LEFT JOIN c ON len(l.ws) > 0 AND c.k = array_to_string(l.ws, ' ') LEFT JOIN n ON n.k = c.k)
 SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT gone), '')) AS text_sha256 FROM j GROUP BY doc_id
 """
 }

@@ -140,12 +140,10 @@ def test_line_dedup(spark, docs, none):
         out = []
         for line in text.split("\n"):
             words = [w for w in line.lower().split(" ") if w]
-            if len(words) >= 5:
-                if any(word_edits(words, s) <= 1 for s in seen):
-                    seen.append(words)
-                    continue
-                seen.append(words)
-            out.append(line)
+            gone = words and any(words == s or min(len(words), len(s)) >= 5 and word_edits(words, s) <= 1 for s in seen)
+            seen.append(words)
+            if not gone:
+                out.append(line)
         want[i] = "\n".join(out)
     got = rows(line_dedup.line_dedup(table))
     assert {i: got[i].text for i in want} == want
