@@ -5,15 +5,18 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A cut before white space that follows other text: no pre-token spans it.
-_BLANKS = frozenset(" \t\n\r")
+#: Where a byte-level pre-token always ends: text turns to white space, or letters or digits end.
+_BLANK = regex.compile(r"(?<=\S)(?=[ \t\n\r])")
+_TURN = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})")
 
 
 @lru_cache(maxsize=4)
 def _counter(path: str, kind: str):
+    """The numbers of tokens of a list of texts, and the strings of the added tokens."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -21,27 +24,40 @@ def _counter(path: str, kind: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], ()
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return lambda texts: [len(x.ids) for x in encode(texts, add_special_tokens=False)]
+    added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+    return lambda texts: [len(x.ids) for x in encode(texts, add_special_tokens=False)], added
 
 
-def safe_pieces(text: str, size: int) -> list[str]:
-    """Cut a text every ``size`` characters or later, where it turns from text to white space.
+def _cut(text: str, at: int, size: int, added: tuple[str, ...]) -> int:
+    """The first safe place from ``at`` on: white space if some comes soon, else the end of a run of letters or digits that lies in no added token."""
+    soon = _BLANK.search(text, at, min(len(text), at + size))
+    if soon:
+        return soon.start()
+    for m in _TURN.finditer(text, at):
+        p = m.start()
+        if not any(text.find(t, max(0, p - len(t) + 1), p + len(t) - 1) >= 0 for t in added):
+            return p
+    return len(text)
+
+
+def safe_pieces(text: str, size: int, added: tuple[str, ...] = ()) -> list[str]:
+    """Cut a text every ``size`` characters or later, at safe boundaries.
 
     A byte-level pre-token never goes on from a non-space character to white
-    space, and no special string has white space in it, so counts add up.
+    space, nor from a letter or digit to another kind of character, and no added
+    token (``added``) is cut, so counts add up.  A text that is one long word has
+    no safe boundary: no encoder may split it, so it is one piece.
     """
     pieces, start, n = [], 0, len(text)
     while n - start > size:
-        cut = start + size
-        while cut < n and not (text[cut] in _BLANKS and not text[cut - 1].isspace()):
-            cut += 1
+        cut = _cut(text, start + size, size, added)
         pieces.append(text[start:cut])
         start = cut
     pieces.append(text[start:])
@@ -53,40 +69,49 @@ def token_counts(docs: DataFrame, path: str, *, kind: str = "tokenizers", id_col
 
     A map over Arrow batches without a shuffle: long texts are cut at safe
     boundaries (byte-level tokenizers only; sentencepiece texts stay whole),
-    pieces are put into batches of about ``batch_bytes`` and encoded together,
-    and only lengths leave the worker.
+    pieces are put into batches of about ``batch_bytes`` UTF-8 bytes, over the
+    bounds of Arrow batches too, and encoded together; only lengths leave the worker.
 
     Null text counts as empty (0 bytes, 0 tokens); each row gives a row,
-    repeated rows too; an empty table gives no rows; other columns of ``docs``
-    are not looked at.  Columns: id, n_bytes, n_tokens, over_limit
-    (n_tokens > ``limit``).
+    repeated rows and null ids too; an empty table gives no rows; other columns of
+    ``docs`` are not looked at, whatever their names.  Columns: id, n_bytes, n_tokens,
+    over_limit (n_tokens > ``limit``).
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def count(batches):
-        counter = _counter(path, kind)
+        counter, added = _counter(path, kind)
+        waiting: list[tuple] = []  # Arrow batches whose pieces are all collected, but not all encoded
+        pieces: list[str] = []
+        owners: list[tuple[list[int], int]] = []
+        size = 0
+
+        def encode():
+            for (totals, row), n in zip(owners, counter(pieces), strict=True):
+                totals[row] += n
+            pieces.clear()
+            owners.clear()
+
+        def ready():
+            for batch, totals in waiting:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(totals, pa.int64()), batch.column("n_bytes")], ["id", "n_tokens", "n_bytes"])
+            waiting.clear()
+
         for batch in batches:
             totals = [0] * batch.num_rows
-            pieces: list[str] = []
-            owners: list[int] = []
-            held = 0
-
-            def flush(pieces, owners, totals):
-                for row, n in zip(owners, counter(pieces), strict=True):
-                    totals[row] += n
-
             for row, value in enumerate(batch.column("text")):
                 text = value.as_py()
-                for piece in safe_pieces(text, piece_chars) if kind == "tokenizers" and len(text) > piece_chars else (text,):
+                for piece in safe_pieces(text, piece_chars, added) if kind == "tokenizers" and len(text) > piece_chars else (text,):
                     pieces.append(piece)
-                    owners.append(row)
-                    held += len(piece)
-                    if held >= batch_bytes:
-                        flush(pieces, owners, totals)
-                        pieces, owners, held = [], [], 0
-            if pieces:
-                flush(pieces, owners, totals)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(totals, pa.int64()), batch.column("n_bytes")], ["id", "n_tokens", "n_bytes"])
+                    owners.append((totals, row))
+                    size += len(piece.encode()) + 16  # empty texts take room too
+                    if size >= batch_bytes:
+                        encode()
+                        yield from ready()
+                        size = 0
+            waiting.append((batch.select(["id", "n_bytes"]), totals))
+        encode()
+        yield from ready()
 
     kind_of_id = rows.schema["id"].dataType.simpleString()
     counted = rows.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(count, f"id {kind_of_id}, n_tokens long, n_bytes long")
