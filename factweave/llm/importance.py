@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesets as B
@@ -93,9 +93,12 @@ def importance_resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "do
     is found by counting bins, never by sorting all rows in one task.
 
     Null and empty texts have no n-grams and weight 0; without labels all weights
-    are 0 and k is 0; repeated rows are judged alike; ties go to the smaller id;
-    an empty table gives no rows.  Columns: id, n_grams, log_weight, sample_key,
-    selected.
+    are 0 and k is 0; a label with a null id marks no document, a null label does not
+    fulfil the target, and of several labels of an id one has to; repeated rows are
+    judged alike, so that more than k rows are selected where the last id repeats; ties go
+    to the smaller id, null first; an empty table gives no rows; a very long text is
+    worked off in blocks by one task; other columns are not looked at, whatever their
+    names.  Columns: id, n_grams, log_weight, sample_key, selected.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marks = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(F.coalesce(F.expr(target), F.lit(False))).alias("good"))
@@ -114,7 +117,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "do
         for batch in B.portions(batches, "text"):
             buckets, row = _features(batch)
             n = batch.num_rows
-            weight = np.bincount(row, weights=model.value[buckets], minlength=n)
+            weight = np.bincount(row, weights=model.value[buckets], minlength=n).astype(np.float64)  # without words numpy counts in integers
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(weight)], ["id", "n_grams", "log_weight"])
 
     scored = texts.mapInArrow(score, f"id {texts.schema['id'].dataType.simpleString()}, n_grams long, log_weight double")
@@ -125,13 +128,12 @@ def importance_resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "do
     if not 0 < k < total:
         return scored.select(F.col("id").alias(id_col), "n_grams", "log_weight", "sample_key", F.lit(k > 0).alias("selected"))
     low, high, above = _kth(scored, k)
-    from pyspark.sql import Window
-
-    edge = scored.where((F.col("sample_key") >= low) & (F.col("sample_key") <= high))
-    rank = F.row_number().over(Window.orderBy(F.desc("sample_key"), F.asc("id")))  # one bin: few rows, or one id repeated
-    edge = edge.withColumn("selected", rank <= k - above)
-    rest = scored.where((F.col("sample_key") < low) | (F.col("sample_key") > high)).withColumn("selected", F.col("sample_key") > high)
-    return rest.unionByName(edge).select(F.col("id").alias(id_col), "n_grams", "log_weight", "sample_key", "selected")
+    # Rows of one id and key count together, so however often an id repeats, the edge has a row for it.
+    edge = scored.where((F.col("sample_key") >= low) & (F.col("sample_key") <= high)).groupBy("sample_key", "id").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("sample_key"), F.asc("id")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = edge.withColumn("before", before).where(F.col("before") < k - above).orderBy("sample_key", F.desc("id")).first()
+    tie = (F.col("sample_key") == last.sample_key) & (F.col("id").isNull() if last.id is None else F.col("id").isNull() | (F.col("id") <= F.lit(last.id)))
+    return scored.select(F.col("id").alias(id_col), "n_grams", "log_weight", "sample_key", ((F.col("sample_key") > last.sample_key) | tie).alias("selected"))
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
