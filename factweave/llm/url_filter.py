@@ -72,16 +72,18 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     ``rules``: rule (text), rule_host, rule_path, verdict (allow or block).  A
     rule fits its host and all subdomains if the path starts with its path; the
     longest wins and decides the pages that it fits.  For the others decisions
-    spread over aliases: URLs are put together by ``alias_key``, by the canonical
-    links and refresh redirects in the HTML, and by ``redirects`` (source,
-    target; neither needs to be a page, and rules judge both); the connected
+    spread over aliases.  One edge table holds each URL with its ``alias_key``, the
+    canonical links and refresh redirects in the HTML, and ``redirects`` (source,
+    target; neither needs to be a page, and rules judge both); its connected
     components are found by distributed contraction.  An
     explicit allow anywhere in a component goes before a block; a component with
     a block and no allow is blocked; anything else is allowed.
 
     Null URLs and URLs without :// have empty host and path, no alias and fit no
-    rule: allowed.  Repeated rows give repeated rows; an empty table gives no
-    rows; other columns are not looked at.  Columns: id, host, path, rule,
+    rule: allowed.  Of rules of one text the greater verdict counts.  Repeated rows give
+    repeated rows, null ids are handed on; an empty table gives no
+    rows; a very long URL or page is one row like any other; other columns are not
+    looked at, whatever their names.  Columns: id, host, path, rule,
     verdict, alias.
     """
     seen = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
@@ -96,18 +98,19 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
         links = held(links.select("source", resolved(F.col("target"), F.col("source")).alias("target")).where("target IS NOT NULL").distinct())
         urls = urls.union(links.select("source")).union(links.select("target"))
     urls = urls.where("url IS NOT NULL").distinct().withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "alias": alias_key(F.col("url"))})
-    judged = held(urls.join(ruled(urls, rules), "url", "left"))
+    judged = held(urls.join(ruled(urls, rules).hint("merge"), "url", "left"))
 
-    says = lambda v: F.max(F.coalesce(F.col("verdict") == v, F.lit(False))).alias(v)
-    groups = judged.where("alias IS NOT NULL").groupBy("alias").agg(says("allow"), says("block"))
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c))
+    edges = judged.where("alias IS NOT NULL").select(node("url ", "url").alias("a"), node("alias ", "alias").alias("b"))
     if links is not None:
-        ends = components(links.select(alias_key(F.col("source")).alias("a"), alias_key(F.col("target")).alias("b")))
-        groups = groups.join(ends.withColumnRenamed("node", "alias"), "alias", "left").withColumn("component", F.coalesce("component", "alias"))
-        whole = groups.groupBy("component").agg(F.max("allow").alias("any_allow"), F.max("block").alias("any_block"))
-        groups = groups.select("alias", "component").join(whole, "component").select("alias", F.col("any_allow").alias("allow"), F.col("any_block").alias("block"))
+        edges = edges.union(links.select(node("url ", "source"), node("url ", "target")))
+    ends = components(edges).where(F.col("node").startswith("url ")).select(F.substring("node", 5, 2**31 - 1).alias("url"), "component")
+    placed = held(judged.join(ends.hint("merge"), "url", "left"))
+    says = lambda v: F.max(F.coalesce(F.col("verdict") == v, F.lit(False))).alias(v)
+    groups = placed.where("component IS NOT NULL").groupBy("component").agg(says("allow"), says("block"))
     spread = F.when(F.col("block") & ~F.col("allow"), "block").otherwise("allow")
-    decided = judged.join(groups, "alias", "left").select("url", "host", "path", "rule", F.coalesce("verdict", spread, F.lit("allow")).alias("verdict"), "alias")
-    return seen.join(decided, "url", "left").select(F.col("id").alias(id_col), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "alias")
+    decided = placed.join(groups.hint("merge"), "component", "left").select("url", "host", "path", "rule", F.coalesce("verdict", spread, F.lit("allow")).alias("verdict"), "alias")
+    return seen.join(decided.hint("merge"), "url", "left").select(F.col("id").alias(id_col), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "alias")
 
 
 #: The rules of the registered query.
