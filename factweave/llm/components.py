@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,17 @@ def held(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bit_table(slots: DataFrame, size: int) -> np.ndarray:
+    """Which of ``size`` slots stand in column slot: bits are put together in Spark, and size / 32768 rows of 4 kB at most come to the driver."""
+    table, at = np.zeros(size, bool), F.col("slot").cast("long") + 1
+    bits = slots.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    for r in bits.collect():
+        own = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+        start = (r.bucket - 1) * len(own)
+        table[start : start + len(own)] = own[: size - start]
+    return table
+
+
 def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     """Label each node that has an edge with the smallest node it is connected to.
 
@@ -71,15 +83,15 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
         order = lambda c, turn=turn: F.xxhash64(F.lit(turn), c)
         nearest = both.groupBy("a").agg(F.min(F.struct(order(F.col("b")).alias("h"), F.col("b").alias("v"))).alias("m"))
         step = held(nearest.select(F.col("a").alias("node"), F.when(F.col("m.h") < order(F.col("a")), F.col("m.v")).otherwise(F.col("a")).alias("to")))
-        moved = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+        moved = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")).hint("merge"), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")).hint("merge"), "b")
         left = held(moved.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
         if mapping is None:
             mapping = step
         else:
-            mapping = held(mapping.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to")))
+            mapping = held(mapping.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")).hint("merge"), "to", "left").select("node", F.coalesce("next", "to").alias("to")))
     else:
         raise RuntimeError("the contraction did not end")
     if mapping is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     least = mapping.groupBy("to").agg(F.min("node").alias("component"))
-    return mapping.join(least, "to").select("node", "component")
+    return mapping.join(least.hint("merge"), "to").select("node", "component")

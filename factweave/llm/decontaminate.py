@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesets as B
-from .components import held
+from .components import bit_table, held
 
 #: Slots of the bit table that thins out document shingles before the join; its size does not depend on the data.
 SLOTS = 1 << 21
@@ -52,11 +52,8 @@ def _window_shingles(window: int, shingle: int):
 
 
 def _slots(keys: DataFrame) -> np.ndarray:
-    """The bit table of the keys: at most SLOTS booleans, however many keys there are."""
-    table = np.zeros(SLOTS, dtype=bool)
-    used = keys.select(F.shiftrightunsigned("key", 43).cast("int").alias("slot")).distinct()
-    table[[r.slot for r in used.collect()]] = True
-    return table
+    """The bit table of the keys: SLOTS booleans, however many keys there are."""
+    return bit_table(keys.select(F.shiftrightunsigned("key", 43).alias("slot")), SLOTS)
 
 
 def _document_shingles(batch: pa.RecordBatch, sizes: list[int], table: np.ndarray):
@@ -125,9 +122,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     the workers; it thins out the shingles and decides nothing.
 
     Null text has no words; an item without words has no window; equal item
-    texts all count; rows that repeat a document id become one row (its places
-    and items together, the larger word count); empty tables give no rows, or
-    documents without hits.  Other columns are not looked at.  Columns: id,
+    texts all count, and a null item id is left out of the items; rows that repeat a
+    document id become one row (its places and items together, the larger word count),
+    and so do all rows with a null id; empty tables give no rows, or documents
+    without hits; a very long text is one row of a batch of its own, its words
+    worked off in blocks.  Other columns are not looked at, whatever their names.  Columns: id,
     n_words, n_hit, n_items, items_sha256, contaminated, items (sorted array of
     strings), spans (sorted array of [start, end) word places).
     """

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesets as B
-from .components import components, held
+from .components import bit_table, components, held
 
 #: Counters of the frequency sketch and slots of the table of wanted documents; neither depends on the data.
 COUNTERS, BLOCK, SLOTS = 1 << 20, 1 << 12, 1 << 22
@@ -136,23 +136,30 @@ def _only(table):
     return run
 
 
-def _fragments(k: int, parts: int):
-    """(sig, part, n, shingles): the sets of documents, cut where the hash order is cut into equal ranges; n is the size of the whole set."""
+def _cuts(levels: np.ndarray, parts: int) -> np.ndarray:
+    """The fragment of each counter of the sketch, where the global order (rarest first, then by hash) is cut into ``parts`` of about as many occurrences."""
+    order = np.lexsort((np.arange(len(levels)), levels))
+    mass = np.cumsum(np.exp2(levels[order] / 10.0) - 1)
+    fragment = np.empty(len(levels), np.uint8)
+    fragment[order] = np.minimum(parts - 1, mass * parts / max(mass[-1], 1)).astype(np.uint8)
+    return fragment
+
+
+def _fragments(k: int, cuts):
+    """(sig, part, n, shingles): the sets of documents by fragment of the global order; n is the size of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        cuts = (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)).astype(np.uint64)
         for batch in B.portions(batches, "text"):
             sigs, fragment, sizes, pieces = [], [], [], []
             for s, wanted in zip(_sets(batch, k), batch.column("sig").to_pylist(), strict=True):
                 if not len(s) or _signature(s) != wanted:
                     continue
-                bounds = [0, *np.searchsorted(s, cuts).tolist(), len(s)]
-                for f, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    if b > a:
-                        sigs.append(wanted)
-                        fragment.append(f)
-                        sizes.append(len(s))
-                        pieces.append(B.signed(s[a:b]))
+                part = cuts.value[(s >> np.uint64(44)).astype(np.int64)]
+                for f in np.unique(part):
+                    sigs.append(wanted)
+                    fragment.append(f)
+                    sizes.append(len(s))
+                    pieces.append(B.signed(s[part == f]))
             if pieces:
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(pieces)))
@@ -216,6 +223,7 @@ class _Join:
         for r in made.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, levels binary").toLocalIterator():
             levels[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.levels, np.uint16)
         self.levels = texts.sparkSession.sparkContext.broadcast(levels)
+        self.cuts = texts.sparkSession.sparkContext.broadcast(_cuts(levels, parts))
         first = [F.first(c).alias(c) for c in ("n", *WORDS, "bins")]
         self.sets = held(made.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"), *first))
 
@@ -242,13 +250,11 @@ class _Join:
         ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
         wanted = held(ends.hint("merge").join(self.sets.select("sig", "id"), "sig"))
         slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
-        table = np.zeros(SLOTS, bool)
-        for r in wanted.select(slot.alias("slot")).distinct().toLocalIterator():
-            table[r.slot] = True
-        shared = self.texts.sparkSession.sparkContext.broadcast(table)
+        shared = self.texts.sparkSession.sparkContext.broadcast(bit_table(wanted.select(slot.alias("slot")), SLOTS))
         some = self.texts.withColumn("slot", slot).mapInArrow(_only(shared), f"id {self.id_type}, text string")
         texts = some.join(wanted.hint("merge"), "id").dropDuplicates(["id", "sig", "text"])
-        sets = held(texts.mapInArrow(_fragments(self.k, self.parts), "sig long, part int, n long, shingles array<long>"))
+        sets = held(texts.mapInArrow(_fragments(self.k, self.cuts), "sig long, part int, n long, shingles array<long>"))
+        shared.unpersist()
         side = lambda c: sets.select(F.col("sig").alias(c), "part", F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}"))
         both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), ["b", "part"])
         # A row that repeats an id may repeat its set, so a fragment counts once.
@@ -279,9 +285,12 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     that matters is left out.
 
     Null and empty texts have the empty set and link with nothing; rows that
-    repeat an id are one node (rows stay); an empty table gives no rows; other
-    columns are not looked at.  Columns: id, n_shingles, component_id (smallest
-    id reachable).
+    repeat an id are one node (rows stay); rows with a null id link like others, and a
+    component has a null id only if it has no other; ties (equal sets) are one set
+    under the smallest id; an empty table gives no rows; a very long text is a row of
+    a batch of its own, its words worked off in blocks; other
+    columns are not looked at, whatever their names.  Columns: id, n_shingles,
+    component_id (smallest id reachable).
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     join = _Join(texts, k, percent, parts)
