@@ -121,16 +121,18 @@ def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return fingerprint_links(docs, id_col=id_col, text_col=text_col, threshold=threshold, chain=chain).where("kind = 'alike'").drop("kind")
 
 
-def neighbours(ids: DataFrame, pieces: int = 64) -> DataFrame:
+def neighbours(ids: DataFrame, per_range: int = 100_000) -> DataFrame:
     """For each distinct id (with n) its next id, its previous id and the n of that, in a circle: id, next, prev, prev_n.
 
-    Ids are cut into ranges at quantiles; each range is ordered by itself, and the ends of
-    the ranges (one row each) are joined to one another.
+    Spark deals the ids out over ranges, about ``per_range`` to each and as many ranges
+    as the session's shuffles have partitions at least; each range is ordered by itself, and the
+    ends of the ranges (one row each) are joined to one another.  Ids of any type
+    that has an order will do.
     """
-    ids = held(ids.groupBy("id").agg(F.max("n").alias("n")).where("id IS NOT NULL"))
-    cuts = ids.agg(F.percentile_approx("id", [i / pieces for i in range(1, pieces)], 10_000)).first()[0] or []
-    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
-    ranged = ids.withColumn("range", at)
+    spark = ids.sparkSession
+    ids = held(ids.where("id IS NOT NULL").groupBy("id").agg(F.max("n").alias("n")))
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // per_range))
+    ranged = held(ids.repartitionByRange(pieces, "id").withColumn("range", F.spark_partition_id()))
     order = Window.partitionBy("range").orderBy("id")
     placed = ranged.select("id", "n", "range", F.lead("id").over(order).alias("next"), F.lag(F.struct("id", "n")).over(order).alias("prev"))
     ends = ranged.groupBy("range").agg(F.min("id").alias("first"), F.max(F.struct("id", "n")).alias("last"))  # as many rows as ranges
@@ -151,8 +153,9 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null text is empty; the next document of the last is the first, of a lone
     one itself; rows that repeat an id each give a row, and their smallest text is
     their neighbours' next; rows without id have no place in the order and are left
-    out; an empty table gives no rows; other columns are not
-    looked at.  Columns: id, n_chars, edited, fingerprint, edited_fingerprint
+    out; ids may be of any type with an order; an empty table gives no rows; a very
+    long text is worked off by one task; other columns are not
+    looked at, whatever their names.  Columns: id, n_chars, edited, fingerprint, edited_fingerprint
     (arrays of signatures), near_edited, near_next, length_partition.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id IS NOT NULL")
