@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.functions import values as V
 from factweave.functions.text import first_number
 
-#: Words that stand for a side of the geography filter.
-DOMESTIC, INTERNATIONAL = ("domestic", "local", "россия", "отечественн"), ("international", "foreign", "world", "зарубеж")
-
 
 def geography(word: str, scope: Column, country: Column) -> Column:
-    """Scope for the known words, else the country that holds the word."""
-    low = word.lower()
-    if any(w in low for w in DOMESTIC):
-        return scope == "domestic"
-    if any(w in low for w in INTERNATIONAL):
-        return scope == "international"
-    return F.lower(country).contains(low)
+    """Scope or country for the known words, else the country that holds the word."""
+    low, scope, country = word.lower().strip(), F.lower(F.coalesce(scope, F.lit(""))), F.lower(F.coalesce(country, F.lit("")))
+    if low in V.DOMESTIC:
+        return (scope == "domestic") | country.isin(*V.DOMESTIC_COUNTRIES)
+    if low in V.INTERNATIONAL:
+        return scope.isin(*V.INTERNATIONAL_SCOPES)
+    return F.contains(country, F.lit(low))
 
 
 def edge(edges: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
@@ -41,19 +39,39 @@ def structured_search(
     if years:
         d = d.where(F.col("year").between(*years))
     p = corpus.processes.select(F.col("id").alias("process_id"), F.col("name").alias("process"))
-    if process:
-        p = p.where(F.contains(F.lower("process"), F.lit(process.lower())))
-    out = corpus.experiments.select(F.col("id").alias("experiment_id"), "regime_name", "status")
-    out = out.join(edge(corpus.edges, "USES_MATERIAL", "experiment_id", "material_id"), "experiment_id").join(m.drop("aliases"), "material_id")
-    out = out.join(edge(corpus.edges, "DESCRIBED_IN", "experiment_id", "document_id"), "experiment_id", "left").join(d, "document_id", "inner" if place or years else "left")
-    out = out.join(edge(corpus.edges, "USES_PROCESS", "experiment_id", "process_id"), "experiment_id", "left").join(p, "process_id", "inner" if process else "left")
-    if prop:
+    out = corpus.experiments.select(F.col("id").alias("experiment_id"), "regime_type", "regime_name", "status")
+    if prop or low is not None or high is not None:
+        hit = corpus.measured.where(F.contains(F.lower(F.substring("dst", 6, 1 << 30)), F.lit((prop or "").lower())))
         value = first_number(F.col("value"))
-        hit = corpus.measured.where(F.col("dst") == f"prop:{prop}").where((value >= low) if low is not None else F.lit(True)).where((value <= high) if high is not None else F.lit(True))
+        hit = hit.where((value >= low) if low is not None else F.lit(True)).where((value <= high) if high is not None else F.lit(True))
         out = out.join(hit.select(F.col("src").alias("experiment_id")), "experiment_id", "left_semi")
+    out = out.join(edge(corpus.edges, "USES_MATERIAL", "experiment_id", "material_id"), "experiment_id").join(m.drop("aliases"), "material_id")
+    out = out.join(edge(corpus.edges, "DESCRIBED_IN", "experiment_id", "document_id"), "experiment_id", "left").join(d, "document_id", "inner" if place or years else "left")
+    out = out.join(edge(corpus.edges, "USES_PROCESS", "experiment_id", "process_id"), "experiment_id", "left").join(p, "process_id", "left")
+    if process:
+        held = F.lit(False)
+        for c in ("process", "regime_name", "regime_type"):
+            held = held | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(process.lower()))
+        out = out.where(held)
     return out.select("experiment_id", "material_id", "material", "material_class", "document_id", "year", "country", "process", "regime_name", "status")
 
 
+def conflicting_values(corpus, materials: DataFrame) -> DataFrame:
+    """The values of a material and property that has several: material_id, property, value, experiments, first_id, first_document, others.
+
+    Any two values of a (material, property) contradict each other, so its rows
+    stand for all pairs: their number grows with the measurements, never with their
+    square, and equal values are one row however many experiments have them.
+    """
+    mine = edge(corpus.edges, "USES_MATERIAL", "experiment_id", "material_id").join(materials.select(F.col("id").alias("material_id")), "material_id", "left_semi")
+    values = corpus.measured.where("value IS NOT NULL").select(F.col("src").alias("experiment_id"), F.col("dst").alias("property"), "value")
+    docs = edge(corpus.edges, "DESCRIBED_IN", "experiment_id", "document_id")
+    one = mine.join(values, "experiment_id").join(docs, "experiment_id", "left")
+    groups = one.groupBy("material_id", "property", "value").agg(F.count("*").alias("experiments"), F.min(F.struct("experiment_id", "document_id")).alias("f"))
+    several = groups.groupBy("material_id", "property").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    return groups.join(several, ["material_id", "property"]).select("material_id", "property", "value", "experiments", F.col("f.experiment_id").alias("first_id"), F.col("f.document_id").alias("first_document"), "others")
+
+
 def contradictions(corpus, materials: DataFrame, prop: str | None = None) -> DataFrame:
     """Pairs of experiments on one material whose values of one property differ as text, with the property and their documents.
 
@@ -77,16 +95,19 @@ def contradictions(corpus, materials: DataFrame, prop: str | None = None) -> Dat
     return pair.select("material_id", "property", *ends)
 
 
-def gaps(corpus, least: float = 49) -> DataFrame:
-    """What is missing: gap_type, id, name.  Experiments count from a quantity of ``least`` on."""
-    known = corpus.experiments.where(F.col("l_quantity") >= least).select(F.col("id").alias("src"))
-    used = corpus.edges.where("type = 'USES_MATERIAL'").join(known, "src", "left_semi").select(F.col("dst").alias("id"))
-    mechanical = corpus.measured.where("dst IN ('prop:discount', 'prop:tax') AND value <> '0.00'").select("src").distinct()
-    strong = corpus.edges.where("type = 'USES_MATERIAL'").join(mechanical.join(known, "src", "left_semi"), "src", "left_semi").select(F.col("dst").alias("id"))
-    bare = corpus.measured.where("value <> '0.00' AND dst = 'prop:discount'").select(F.col("src").alias("id"))
-    a = corpus.materials.join(used, "id", "left_anti").select(F.lit("no_experiments").alias("gap_type"), "id", "name")
-    b = corpus.materials.join(strong, "id", "left_anti").select(F.lit("no_mechanical_properties").alias("gap_type"), "id", "name")
-    c = corpus.experiments.join(bare, "id", "left_anti").select(F.lit("no_measurements").alias("gap_type"), "id", F.col("regime_name").alias("name"))
+def gaps(materials: DataFrame, experiments: DataFrame, edges: DataFrame, properties: DataFrame, category: str = "mechanical") -> DataFrame:
+    """What is missing: gap_type, id, name.
+
+    Materials that no experiment uses, materials that have no property of the
+    category, and experiments that measured nothing.  ``properties``: id, category.
+    """
+    uses = edges.where("type = 'USES_MATERIAL'").select(F.col("dst").alias("id"))
+    wanted = properties.where(F.col("category") == category).select(F.col("id").alias("dst"))
+    own = edges.where("type = 'HAS_PROPERTY'").join(wanted, "dst", "left_semi").select(F.col("src").alias("id"))
+    found = edges.where("type = 'MEASURED'").select(F.col("src").alias("id"))
+    a = materials.join(uses, "id", "left_anti").select(F.lit("no_experiments").alias("gap_type"), "id", "name")
+    b = materials.join(own, "id", "left_anti").select(F.lit("no_mechanical_properties").alias("gap_type"), "id", "name")
+    c = experiments.join(found, "id", "left_anti").select(F.lit("no_measured_properties").alias("gap_type"), "id", F.col("regime_name").alias("name"))
     return a.unionByName(b).unionByName(c)
 
 
@@ -99,11 +120,13 @@ def status_histogram(experiments: DataFrame, buckets: tuple[str, ...] = ("planne
 
 
 def material_overview(corpus) -> DataFrame:
-    """Materials with their numbers of experiments and of processes; both are counted before they are joined."""
-    experiments = corpus.edges.where("type = 'USES_MATERIAL'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("experiments"))
-    processes = corpus.edges.where("type = 'PROCESSED_IN'").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("processes"))
+    """Materials with their numbers of experiments, of properties and of processes; each is counted before it is joined."""
+    count = lambda kind, end, name: corpus.edges.where(F.col("type") == kind).groupBy(F.col(end).alias("id")).agg(F.count("*").alias(name))
+    out = corpus.materials
+    for counted in (count("USES_MATERIAL", "dst", "experiments"), count("HAS_PROPERTY", "src", "properties"), count("PROCESSED_IN", "src", "processes")):
+        out = out.join(counted, "id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return corpus.materials.join(experiments, "id", "left").join(processes, "id", "left").select("id", "name", "material_class", zero("experiments"), zero("processes"))
+    return out.select("id", "name", "material_class", zero("experiments"), zero("properties"), zero("processes"))
 
 
 def latest_values(corpus) -> DataFrame:

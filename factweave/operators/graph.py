@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.store import kept
+
 
 def label_counts(nodes: DataFrame, labels: list[str]) -> DataFrame:
     """Nodes of each label; labels without nodes count 0."""
@@ -26,14 +28,26 @@ def neighbours(nodes: DataFrame, edges: DataFrame, node: str, skip: tuple[str, .
 def reach(edges: DataFrame, seeds: DataFrame, hops: int, keep: Column | None = None) -> DataFrame:
     """Nodes within ``hops`` undirected steps of the seeds (id), with their distance.
 
-    Each step joins only the frontier to the edges; nodes reached before go by an anti-join.
+    Each step joins only the frontier to the edges and is written to the shared
+    folder, as is the result, so a further hop adds one join to the work and none to the plans.
     """
-    found = seeds.select("id", F.lit(0).alias("distance")).distinct()
     both = undirected(edges if keep is None else edges.where(keep)).select("a", "b")
-    front = found.select("id")
+    found = front = kept(seeds.select("id", F.lit(0).alias("distance")).distinct())
+    for step in range(1, hops + 1):
+        near = both.join(front.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        front = kept(near.join(found.select("id"), "id", "left_anti").select("id", F.lit(step).alias("distance")))
+        found = found.union(front)
+    return found
+
+
+def nearest(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """For each node within ``hops`` undirected steps the seed (id) that is nearest, the smaller id first: id, seed, distance."""
+    both = undirected(edges).select("a", "b").distinct()
+    found = front = kept(seeds.select("id", F.col("id").alias("seed"), F.lit(0).alias("distance")).distinct())
     for step in range(1, hops + 1):
-        front = both.join(front.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct().join(found.select("id"), "id", "left_anti")
-        found = found.union(front.select("id", F.lit(step).alias("distance")))
+        near = both.join(front.select(F.col("id").alias("a"), "seed"), "a").groupBy(F.col("b").alias("id")).agg(F.min("seed").alias("seed"))
+        front = kept(near.join(found.select("id"), "id", "left_anti").withColumn("distance", F.lit(step)))
+        found = found.union(front)
     return found
 
 
@@ -46,7 +60,7 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def document_members(edges: DataFrame, documents: DataFrame) -> DataFrame:
     """Nodes of each document: linked directly, or through an experiment described in it: document, id."""
     docs = documents.select(F.col("id").alias("document"))
-    direct = undirected(edges).join(docs, F.col("a") == F.col("document")).select("document", F.col("b").alias("id"))
+    direct = undirected(edges.where("type <> 'MEASURED'")).join(docs, F.col("a") == F.col("document")).select("document", F.col("b").alias("id"))
     described = edges.where("type = 'DESCRIBED_IN'").join(docs, F.col("dst") == F.col("document")).select("document", F.col("src").alias("experiment"))
     chained = edges.where("type <> 'DESCRIBED_IN'").join(described, F.col("src") == F.col("experiment")).select("document", F.col("dst").alias("id"))
     return direct.union(chained).distinct()
@@ -56,10 +70,23 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def shortest_paths(edges: DataFrame, source: str, targets: DataFrame, most: int = 4) -> DataFrame:
-    """Length of the shortest undirected path from a node to each target within ``most`` steps."""
-    start = edges.sparkSession.createDataFrame([(source,)], "id string")
-    return reach(edges, start, most).join(targets.select("id"), "id")
+def shortest_paths(edges: DataFrame, source: str, targets: DataFrame, most: int = 5, allowed: DataFrame | None = None) -> DataFrame:
+    """The shortest undirected path of up to ``most`` steps from a node to each target (id), through allowed nodes only: id, distance, path.
+
+    A node keeps one path, the first by the order of its nodes.
+    """
+    both = undirected(edges).select("a", "b").distinct()
+    if allowed is not None:
+        inside = allowed.select("id")
+        both = both.join(inside.withColumnRenamed("id", "a"), "a", "left_semi").join(inside.withColumnRenamed("id", "b"), "b", "left_semi")
+    both = kept(both)
+    found = front = kept(edges.sparkSession.range(1).select(F.lit(source).alias("id"), F.lit(0).alias("distance"), F.array(F.lit(source)).alias("path")))
+    for step in range(1, most + 1):
+        near = both.join(front.select(F.col("id").alias("a"), "path"), "a").groupBy(F.col("b").alias("id")).agg(F.min("path").alias("path"))
+        fresh = near.join(found.select("id"), "id", "left_anti")
+        front = kept(fresh.select("id", F.lit(step).alias("distance"), F.concat("path", F.array("id")).alias("path")))
+        found = found.union(front)
+    return found.join(targets.select("id").distinct(), "id")
 
 
 def merge_snapshots(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
@@ -83,33 +110,90 @@ def redirect(edges: DataFrame, keepers: DataFrame) -> DataFrame:
     return out.where("src <> dst").select("src", "dst", "type", "value").distinct()
 
 
-def cascade_delete(nodes: DataFrame, edges: DataFrame, document: str) -> tuple[DataFrame, DataFrame]:
-    """Delete a document, the experiments only it describes, and nodes left without any edge that had one to them."""
-    owned = edges.where("type = 'DESCRIBED_IN'").groupBy("src").agg(F.collect_set("dst").alias("d")).where((F.size("d") == 1) & F.array_contains("d", document)).select(F.col("src").alias("id"))
-    gone = owned.union(nodes.sparkSession.createDataFrame([(document,)], "id string"))
-    touched = edges.join(gone.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).union(edges.join(gone.select(F.col("id").alias("dst")), "dst", "left_semi").select("src"))
-    left = edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
-    orphans = touched.distinct().join(left.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_anti").select("id")
-    return nodes.join(gone.union(orphans), "id", "left_anti"), left
+#: Edges by which a document owns a node: type, whether the document is its source.
+OWNED = {"MENTIONS_MATERIAL": True, "DESCRIBES_PROCESS": True, "MENTIONS_EQUIPMENT": True, "FROM_FACILITY": True, "AUTHORED_BY": True, "AUTHORED": False}
+#: Edges to what belongs to one document alone.
+PARTS = ("HAS_CHUNK", "HAS_FIGURES", "CONTAINS_IMAGE")
 
 
-def orphans(nodes: DataFrame, edges: DataFrame, rules: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Nodes of a label without any edge of the types that keep it alive."""
-    kept = edges.select(F.explode(F.array("src", "dst")).alias("id"), "type")
-    wanted = nodes.sparkSession.createDataFrame([(label, t) for label, types in rules.items() for t in types], "label string, type string")
+def cascade_delete(nodes: DataFrame, edges: DataFrame, document: str) -> tuple[DataFrame, DataFrame]:
+    """Delete a document with the experiments described in it, what it alone owns (see OWNED), and its chunks, galleries and images.
+
+    A node is owned by the documents that mention, describe or author it; other edges of it do not keep it.
+    """
+    described = edges.where((F.col("type") == "DESCRIBED_IN") & (F.col("dst") == document)).select(F.col("src").alias("id"))
+    owner = F.when(F.col("type").isin(*(t for t, out in OWNED.items() if out)), F.struct(F.col("src").alias("owner"), F.col("dst").alias("id"))).otherwise(F.struct(F.col("dst").alias("owner"), F.col("src").alias("id")))
+    owned = edges.where(F.col("type").isin(*OWNED)).select(owner.alias("o")).select("o.*")
+    mine = owned.where(F.col("owner") == document).select("id").distinct()
+    alone = mine.join(owned.where(F.col("owner") != document).select("id"), "id", "left_anti")
+    parts = edges.where(F.col("type").isin(*PARTS) & (F.col("src") == document)).select(F.col("dst").alias("id"))
+    inner = edges.where("type = 'CONTAINS_IMAGE'").join(parts.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
+    gone = kept(described.union(alone).union(parts).union(inner).union(nodes.sparkSession.range(1).select(F.lit(document).alias("id"))).distinct())
+    left = edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return nodes.join(gone, "id", "left_anti"), left.select(*edges.columns)
+
+
+#: What keeps nodes of a label alive: an edge of one of the types, that ends in the node (in) or starts from it (out).
+ALIVE = {
+    "Material": [("in", "MENTIONS_MATERIAL")],
+    "Experiment": [("out", "DESCRIBED_IN")],
+    "Process": [("in", "DESCRIBES_PROCESS"), ("in", "USES_PROCESS"), ("in", "PROCESSED_IN")],
+    "Team": [("out", "AUTHORED")],
+    "Expert": [("in", "AUTHORED_BY"), ("out", "MEMBER_OF")],
+    "Equipment": [("in", "MENTIONS_EQUIPMENT"), ("in", "USES_EQUIPMENT")],
+    "Facility": [("in", "FROM_FACILITY"), ("in", "REFERENCES")],
+    "Property": [("in", "HAS_PROPERTY"), ("in", "MEASURED"), ("in", "HAS_VALUE")],
+    "PropertyValue": [("in", "HAS_VALUE")],
+    "RegimeParameter": [("in", "HAS_REGIME_PARAM"), ("in", "HAS_TOPIC")],
+    "FigureGallery": [("in", "HAS_FIGURES")],
+    "Image": [("in", "CONTAINS_IMAGE")],
+    "DocumentChunk": [("in", "HAS_CHUNK")],
+}
+
+
+def orphans(nodes: DataFrame, edges: DataFrame, rules: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
+    """Nodes that nothing keeps alive (see ALIVE); a material lives by a described experiment that uses it too, an expert by a team that wrote a document."""
+    rules = ALIVE if rules is None else rules
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit("out").alias("end")), F.struct(F.col("dst").alias("id"), F.lit("in").alias("end")))).alias("e"), "type", F.col("dst").alias("other")).select("e.*", "type", "other")
+    wanted = F.lit(False)
+    for label, ways in rules.items():
+        for end, kind in ways:
+            if (label, kind) != ("Expert", "MEMBER_OF"):
+                wanted = wanted | ((F.col("label") == label) & (F.col("end") == end) & (F.col("type") == kind))
     judged = nodes.where(F.col("label").isin(*rules))
-    alive = judged.join(F.broadcast(wanted), "label").join(kept, ["id", "type"], "left_semi").select("id")
+    alive = judged.select("id", "label").join(ends, "id").where(wanted).select("id")
+    described = edges.where("type = 'DESCRIBED_IN'").select("src").distinct()
+    used = edges.where("type = 'USES_MATERIAL'").join(described, "src", "left_semi").select(F.col("dst").alias("id"))
+    writers = edges.where("type = 'AUTHORED'").select(F.col("src").alias("dst")).distinct()
+    members = edges.where("type = 'MEMBER_OF'").join(writers, "dst", "left_semi").select(F.col("src").alias("id"))
+    for label, kept_by in (("Material", used), ("Expert", members)):
+        if label in rules:
+            alive = alive.union(kept_by)
     return judged.join(alive, "id", "left_anti")
 
 
-def json_ld(nodes: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Nodes as JSON-LD entities: id, entity."""
-    kind = F.create_map(*(F.lit(x) for pair in types.items() for x in pair))
-    entity = F.to_json(F.struct(F.concat(F.lit("urn:"), "id").alias("@id"), F.coalesce(kind[F.col("label")], F.lit("Thing")).alias("@type"), F.col("name").alias("name")))
-    return nodes.select("id", entity.alias("entity"))
+def purge(nodes: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Delete all nodes of some labels: what is left, and how many of each label went."""
+    doomed = F.col("label").isin(*labels)
+    return nodes.where(~doomed), nodes.where(doomed).groupBy("label").agg(F.count("*").alias("n"))
+
 
+def unlinked(edges: DataFrame, document: str, types: tuple[str, ...] = ("AUTHORED_BY", "HAS_TOPIC")) -> DataFrame:
+    """Edges without a document's edges of some types, and without the process links of materials that it alone mentions."""
+    away = edges.where(~((F.col("src") == document) & F.col("type").isin(*types)))
+    mentions = edges.where("type = 'MENTIONS_MATERIAL'")
+    own = mentions.where(F.col("src") == document).select("dst").join(mentions.where(F.col("src") != document).select("dst"), "dst", "left_anti").distinct()
+    links = away.where("type = 'PROCESSED_IN'").join(own.withColumnRenamed("dst", "src"), "src", "left_anti")
+    return away.where("type <> 'PROCESSED_IN'").unionByName(links.select(*edges.columns))
 
-def newest(rows: DataFrame, key: list[str], by: str, tie: str) -> DataFrame:
-    """The newest row of each key, then the smallest tie."""
-    order = Window.partitionBy(*key).orderBy(F.col(by).desc_nulls_last(), F.col(tie))
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+def json_ld(nodes: DataFrame, types: dict[str, str], edges: DataFrame | None = None) -> DataFrame:
+    """Nodes, and edges if given, as JSON-LD entities and relations: id, entity."""
+    kind = F.create_map(*(F.lit(x) for pair in types.items() for x in pair))
+    urn = lambda c: F.concat(F.lit("urn:"), c)
+    entity = F.to_json(F.struct(urn("id").alias("@id"), F.coalesce(kind[F.col("label")], F.lit("Thing")).alias("@type"), F.col("name").alias("name")))
+    entities = nodes.select("id", entity.alias("entity"))
+    if edges is None:
+        return entities
+    relation = F.to_json(F.struct(urn("src").alias("subject"), F.col("type").alias("predicate"), urn("dst").alias("object")))
+    return entities.union(edges.select("src", "type", "dst").distinct().select(F.col("src").alias("id"), relation.alias("entity")))

@@ -14,24 +14,43 @@ def split_long(chunks: DataFrame, size: int) -> DataFrame:
     return chunks.select("chunk_id", "doc_id", F.posexplode(F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(size)))).alias("part", "text"))
 
 
-def pack(chunks: DataFrame, target: int = 1400) -> DataFrame:
-    """Greedy packs of neighbouring chunks of up to ``target`` characters: doc_id, pack, n_chunks, text.
+def pack(chunks: DataFrame, target: int = 1400, bypass: int = 0) -> DataFrame:
+    """Greedy packs of neighbouring chunks of up to ``target`` characters: doc_id, pack, n_chunks, text, first_chunk.
 
-    One array per document folds over lengths: a chunk opens a new pack when
-    it does not fit with the two characters between chunks.
+    Only lengths are folded, and the fold keeps but the numbers of the chunks that
+    open a pack: a chunk does that when it does not fit with the two characters
+    between chunks.  Texts are joined once, by pack.  A document of up to ``bypass``
+    chunks keeps them as they are.
     """
-    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("rows"))
-    start = F.struct(F.lit(0).alias("pack"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("packs"))
+    sizes = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.length("text").alias("size")))).alias("rows"))
+    start = F.struct(F.lit(-1).alias("held"), F.lit("").alias("opens"))
 
     def step(acc: Column, row: Column) -> Column:
-        size = F.length(row["text"])
-        fits = (acc["held"] == 0) | (acc["held"] + 2 + size <= target)
-        at = F.when(fits, acc["pack"]).otherwise(acc["pack"] + 1)
-        return F.struct(at.alias("pack"), F.when(fits & (acc["held"] > 0), acc["held"] + 2 + size).otherwise(size).alias("held"), F.concat(acc["packs"], F.array(at)).alias("packs"))
+        fits = (acc["held"] >= 0) & (acc["held"] + 2 + row["size"] <= target)
+        # Openers are gathered in a string, which grows by few bytes a pack.
+        opens = F.when(fits, acc["opens"]).otherwise(F.concat(acc["opens"], F.lit(","), row["chunk_index"].cast("string")))
+        return F.struct(F.when(fits, acc["held"] + 2 + row["size"]).otherwise(row["size"]).alias("held"), opens.alias("opens"))
 
-    packed = rows.select("doc_id", F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step)["packs"].alias("packs"))).alias("z"))
-    flat = packed.select("doc_id", F.col("z.packs").alias("pack"), F.col("z.rows.chunk_index").alias("i"), F.col("z.rows.text").alias("text"))
-    return flat.groupBy("doc_id", "pack").agg(F.count("*").alias("n_chunks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda r: r["text"]), "\n\n").alias("text"))
+    alone = F.transform("rows", lambda r: r["chunk_index"])
+    opened = F.transform(F.filter(F.split(F.aggregate("rows", start, step)["opens"], ","), lambda x: x != ""), lambda x: x.cast("int"))
+    bounds = sizes.select("doc_id", F.posexplode(F.when(F.size("rows") <= bypass, alone).otherwise(opened)).alias("pack", "opens"))
+    opens = chunks.join(bounds.select("doc_id", F.col("opens").alias("chunk_index"), "pack"), ["doc_id", "chunk_index"], "left")
+    packed = opens.withColumn("pack", F.last("pack", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)))
+    texts = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
+    return packed.groupBy("doc_id", "pack").agg(F.count("*").alias("n_chunks"), F.array_join(F.transform(texts, lambda r: r["text"]), "\n\n").alias("text"), F.min_by("chunk_id", "chunk_index").alias("first_chunk"))
+
+
+def sample_places(n: Column, points: int = 32) -> Column:
+    """Evenly spaced places (from 0) of n rows: the first, the middle and the last, and ``points`` in between."""
+    spread = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.floor(i * n / points).cast("int"))
+    return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.floor(n / 2).cast("int"), (n - 1).cast("int")), spread)))
+
+
+def sampled(chunks: DataFrame, points: int = 32) -> DataFrame:
+    """The chunks of each document at evenly spaced places: chunk_id, doc_id, place."""
+    by = Window.partitionBy("doc_id")
+    placed = chunks.select("chunk_id", "doc_id", (F.row_number().over(by.orderBy("chunk_index")) - 1).alias("place"), F.count("*").over(by).alias("n"))
+    return placed.where(F.array_contains(sample_places(F.col("n"), points), F.col("place"))).select("chunk_id", "doc_id", "place")
 
 
 def sections(chunks: DataFrame, passes: int) -> DataFrame:
@@ -63,9 +82,41 @@ def duplicate_documents(documents: DataFrame, keys: list[str], id_col: str, by:
     return rows.join(best, "key").where(F.col(f"best.{id_col}") != F.col(id_col)).select(id_col).distinct()
 
 
+def newest(stored: DataFrame, key: str) -> DataFrame:
+    """Of the stored documents (id, content_hash, created_at) with one key the newest, then the smallest id: the key, existing_id, existing_hash."""
+    rows = stored.select(F.col(key).alias("k"), F.col("id").alias("existing_id"), F.col("content_hash").alias("existing_hash"), "created_at").where("k IS NOT NULL")
+    first = rows.groupBy("k", "created_at").agg(F.min(F.struct("existing_id", "existing_hash")).alias("d"))
+    return first.groupBy("k").agg(F.max_by("d", F.struct(F.col("created_at").isNotNull(), "created_at")).alias("d")).select(F.col("k").alias(key), "d.*")
+
+
+def _decided(incoming: DataFrame, stored: DataFrame, ways: list[tuple[str, bool]]) -> DataFrame:
+    """The first way (a key; whether changed content replaces) by which a stored document matches decides."""
+    out, action, existing = incoming, F.lit("create"), F.lit(None)
+    for i, (key, _) in enumerate(ways):
+        out = out.join(newest(stored, key).select(F.col(key), F.col("existing_id").alias(f"_id{i}"), F.col("existing_hash").alias(f"_hash{i}")), key, "left")
+    for i, (_, replaces) in reversed(list(enumerate(ways))):
+        same = F.col(f"_hash{i}").isNull() | (F.col(f"_hash{i}") == F.col("content_hash"))
+        met = F.when(same, "skip").otherwise("replace") if replaces else F.lit("skip")
+        action, existing = F.when(F.col(f"_id{i}").isNotNull(), met).otherwise(action), F.coalesce(f"_id{i}", existing)
+    return out.select("name", action.alias("action"), existing.alias("existing_id"))
+
+
 def decide(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """create, replace or skip for each incoming (name, source, content_hash): equal content skips, a known source with other content replaces."""
-    same = stored.select("content_hash").distinct().withColumn("known", F.lit(True))
-    place = stored.select("source").distinct().withColumn("placed", F.lit(True))
-    joined = incoming.join(same, "content_hash", "left").join(place, "source", "left")
-    return joined.select("name", F.when(F.col("known"), "skip").when(F.col("placed"), "replace").otherwise("create").alias("action"))
+    """create, replace or skip for each incoming page (name, source, content_hash), with the document that it meets.
+
+    A known source comes first: with equal (or unknown) content it skips, else it
+    replaces.  Then content that is stored from elsewhere skips; all else creates.
+    Of several documents with a key the newest counts.
+    """
+    return _decided(incoming, stored, [("source", True), ("content_hash", False)])
+
+
+def decide_file(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """The same for a file (name, file_hash, file_path, content_hash): by its bytes (changed content replaces), its name, its content."""
+    return _decided(incoming, stored, [("file_hash", True), ("file_path", False), ("content_hash", False)])
+
+
+def consolidated(matches: DataFrame, key: str) -> DataFrame:
+    """Documents that are not the newest of their key: id, keeper."""
+    keep = newest(matches, key).select(key, F.col("existing_id").alias("keeper"))
+    return matches.join(keep, key).where("id <> keeper").select("id", "keeper").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.functions import classify as K
 from factweave.functions import text as T
 
 #: Numbers and units that mark a text as dense in measurements.
@@ -46,7 +47,7 @@ def thin_batches(batches: DataFrame, k: int) -> DataFrame:
 
 
 def term_scan(chunks: DataFrame, terms: DataFrame, words: int = 3) -> DataFrame:
-    """Terms (term, of up to ``words`` tokens) that stand in a chunk as whole tokens: chunk_id, term.
+    """Terms (term, of up to ``words`` tokens, four characters or more, no class of matter) that stand in a chunk as whole tokens: chunk_id, term.
 
     An equi-join of token n-grams with the terms, so neither side has to be small.
     """
@@ -56,7 +57,7 @@ def term_scan(chunks: DataFrame, terms: DataFrame, words: int = 3) -> DataFrame:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("t", i, n), " "))
 
     grams = F.flatten(F.array(*(grams_of(n) for n in range(1, words + 1))))
-    return tokens.select("chunk_id", F.explode(F.array_distinct(grams)).alias("term")).join(terms.select("term").distinct(), "term", "left_semi").select("chunk_id", "term")
+    return tokens.select("chunk_id", F.explode(F.array_distinct(grams)).alias("term")).join(terms.select("term").where((F.length("term") >= 4) & ~K.generic_class(F.col("term"))).distinct(), "term", "left_semi").select("chunk_id", "term")
 
 
 def per_document_top(ranked: DataFrame, per: int = 4, documents: int = 12) -> DataFrame:

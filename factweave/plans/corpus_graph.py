@@ -8,10 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.text import canonical_key
+from factweave.store import kept
+
+#: Properties that items measure and that parts have of themselves (a size only from 11 on), with their category.
+MEASURED = {"quantity": "technological", "extendedprice": "economic", "discount": "economic", "tax": "economic"}
+OWN = {"size": "mechanical", "retailprice": "economic"}
+#: Tables that were stored in this process, by session, folder and name.
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Corpus:
-    """Nodes by label, edges and chunks of one data folder; every table is a lazy DataFrame."""
+    """Nodes by label, edges and chunks of one data folder.
+
+    The graph is written once for each session and folder, edges in folders by
+    type, so that a query reads the types it needs; all else is a lazy DataFrame.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -19,6 +30,12 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stored(self, name: str, make, *by: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            _STORED[key] = kept(make(), *by)
+        return _STORED[key]
+
     @cached_property
     def materials(self) -> DataFrame:
         p = self.table("part")
@@ -34,9 +51,12 @@ class Corpus:
             F.when(F.col("n_regionkey") == 0, "domestic").otherwise("international").alias("scope"), F.col("c_mktsegment").alias("team"),
         )
 
-    @cached_property
+    @property
     def _items(self) -> DataFrame:
-        return self.table("lineitem").dropDuplicates(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]).withColumn("id", F.concat_ws("-", F.concat(F.lit("e:"), "l_orderkey"), "l_partkey", "l_suppkey", "l_linenumber"))
+        def make():
+            return self.table("lineitem").dropDuplicates(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]).withColumn("id", F.concat_ws("-", F.concat(F.lit("e:"), "l_orderkey"), "l_partkey", "l_suppkey", "l_linenumber"))
+
+        return self.stored("items", make)
 
     @cached_property
     def experiments(self) -> DataFrame:
@@ -46,62 +66,70 @@ class Corpus:
     def processes(self) -> DataFrame:
         return self.table("supplier").select(F.concat(F.lit("p:"), "s_suppkey").alias("id"), F.col("s_name").alias("name"))
 
-    @cached_property
+    @property
     def measured(self) -> DataFrame:
         """Experiment, property and value as text, unpivoted."""
-        i = self._items
-        cells = F.explode(F.array(*(F.struct(F.lit(f"prop:{n}").alias("dst"), F.round(F.col(f"l_{n}"), 2).cast("decimal(18,2)").cast("string").alias("value")) for n in ("quantity", "extendedprice", "discount", "tax"))))
-        return i.select(F.col("id").alias("src"), cells.alias("c")).select("src", "c.dst", F.lit("MEASURED").alias("type"), "c.value")
+        return self.edges.where("type = 'MEASURED'").select("src", "dst", "type", "value")
 
-    @cached_property
-    def edges(self) -> DataFrame:
-        i = self._items
+    def _edges(self) -> DataFrame:
+        i, raw = self._items, self.table("lineitem")
         none = F.lit(None).cast("string").alias("value")
-        edge = lambda df, a, b, t: df.select(a.alias("src"), b.alias("dst"), F.lit(t).alias("type"), none).distinct()
         key = lambda p, c: F.concat(F.lit(p), c)
-        per_item = i.select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("id").alias("src"), key("m:", "l_partkey").alias("dst"), F.lit("USES_MATERIAL").alias("type")),
-                    F.struct(F.col("id").alias("src"), key("d:", "l_orderkey").alias("dst"), F.lit("DESCRIBED_IN").alias("type")),
-                    F.struct(F.col("id").alias("src"), key("p:", "l_suppkey").alias("dst"), F.lit("USES_PROCESS").alias("type")),
-                )
-            ).alias("e")
-        ).select("e.*", none)
-        raw = self.table("lineitem")
-        parts = [
-            per_item,
-            self.measured,
-            edge(raw, key("d:", "l_orderkey"), key("m:", "l_partkey"), "MENTIONS_MATERIAL"),
-            edge(raw, key("m:", "l_partkey"), key("p:", "l_suppkey"), "PROCESSED_IN"),
-            edge(self.documents, F.concat(F.lit("t:"), "team"), F.col("id"), "AUTHORED"),
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        edge = lambda src, dst, kind, value=none: F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), value.alias("value"))
+        value = lambda n: F.round(F.col(f"l_{n}"), 2).cast("decimal(18,2)").cast("string")
+        own = F.array(
+            edge(F.col("id"), key("m:", "l_partkey"), "USES_MATERIAL"), edge(F.col("id"), key("d:", "l_orderkey"), "DESCRIBED_IN"), edge(F.col("id"), key("p:", "l_suppkey"), "USES_PROCESS"),
+            *(edge(F.col("id"), F.lit(f"prop:{n}"), "MEASURED", value(n)) for n in MEASURED),
+        )
+        per_item = i.select(F.explode(own).alias("e")).select("e.*")
+        plain = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), none).distinct()
+        mentioned = plain(raw, key("d:", "l_orderkey"), key("m:", "l_partkey"), "MENTIONS_MATERIAL")
+        processed = plain(raw, key("m:", "l_partkey"), key("p:", "l_suppkey"), "PROCESSED_IN")
+        authored = plain(self.documents, F.concat(F.lit("t:"), "team"), F.col("id"), "AUTHORED")
+        part, text = self.table("part"), lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+        of_part = F.array(F.when(F.col("p_size") > 10, edge(key("m:", "p_partkey"), F.lit("prop:size"), "HAS_PROPERTY", text("p_size"))), edge(key("m:", "p_partkey"), F.lit("prop:retailprice"), "HAS_PROPERTY", text("p_retailprice")))
+        owned = part.select(F.explode(F.array_compact(of_part)).alias("e")).select("e.*")
+        return per_item.unionByName(mentioned).unionByName(processed).unionByName(authored).unionByName(owned)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.stored("edges", self._edges, "type").select("src", "dst", "type", "value")
 
     @cached_property
-    def nodes(self) -> DataFrame:
-        """All nodes: id, label, name."""
+    def properties(self) -> DataFrame:
+        """The properties with their category: a table of fixed size."""
+        rows = F.array(*(F.struct(F.lit(f"prop:{n}").alias("id"), F.lit(n).alias("name"), F.lit(c).alias("category")) for n, c in (MEASURED | OWN).items()))
+        return self.spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+
+    def _nodes(self) -> DataFrame:
         named = lambda df, label, name: df.select("id", F.lit(label).alias("label"), name.alias("name"))
-        properties = self.spark.createDataFrame([(f"prop:{n}", "Property", n) for n in ("quantity", "extendedprice", "discount", "tax")], "id string, label string, name string")
         teams = self.table("customer").select(F.concat(F.lit("t:"), "c_mktsegment").alias("id"), F.lit("Team").alias("label"), F.col("c_mktsegment").alias("name")).distinct()
+        properties = named(self.properties, "Property", F.col("name"))
         out = named(self.materials, "Material", F.col("name")).unionByName(named(self.documents, "Document", F.col("title")))
         return out.unionByName(named(self.experiments, "Experiment", F.col("regime_name"))).unionByName(named(self.processes, "Process", F.col("name"))).unionByName(properties).unionByName(teams)
 
+    @property
+    def nodes(self) -> DataFrame:
+        """All nodes: id, label, name."""
+        return self.stored("nodes", self._nodes)
+
     @cached_property
     def chunks(self) -> DataFrame:
         """Non-blank lines of the texts: chunk_id, doc_id, chunk_index, text."""
         lines = self.table("documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("chunk_index", "text"))
-        kept = lines.where(F.trim("text") != "")
-        return kept.select(F.concat_ws(":", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", "chunk_index", "text")
+        kept_lines = lines.where(F.trim("text") != "")
+        return kept_lines.select(F.concat_ws(":", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", "chunk_index", "text")
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        """What users ask: conv_id, turn, q."""
+        return self.table("conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("q"))
 
 
 #: The same tables as common table expressions.
 GRAPH_SQL = """
 WITH li AS (SELECT DISTINCT ON (l_orderkey, l_partkey, l_suppkey, l_linenumber) *, 'e:' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS id FROM lineitem),
-materials AS (SELECT 'm:' || p_partkey AS id, p_name AS name, p_type AS material_class, [p_brand] AS aliases, regexp_replace(regexp_replace(trim(lower(p_name)), '[\\s_-]+', '_', 'g'), '[^\\p{L}\\p{N}_]', '', 'g') AS canonical_key FROM part),
+materials AS (SELECT 'm:' || p_partkey AS id, p_name AS name, p_type AS material_class, [p_brand] AS aliases, regexp_replace(trim(regexp_replace(lower(p_name), '[\\s_-]+', ' ', 'g')), ' ', '_', 'g') AS canonical_key FROM part),
 docs AS (SELECT 'd:' || o_orderkey AS id, 'Order ' || o_orderkey AS title, year(o_orderdate) AS year, o_orderstatus AS document_type, o_orderdate AS created_at, n_name AS country,
          CASE WHEN n_regionkey = 0 THEN 'domestic' ELSE 'international' END AS scope, c_mktsegment AS team FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 experiments AS (SELECT id, l_returnflag AS regime_type, l_returnflag || l_linestatus AS regime_name, CASE WHEN l_linestatus = 'F' THEN 'completed' ELSE 'ongoing' END AS status, l_shipdate AS created_at, l_quantity FROM li),
@@ -111,10 +139,12 @@ measured AS (SELECT id AS src, 'prop:' || k AS dst, 'MEASURED' AS type, round(v,
 edges AS (SELECT id AS src, 'm:' || l_partkey AS dst, 'USES_MATERIAL' AS type, NULL::VARCHAR AS value FROM li
   UNION ALL SELECT id, 'd:' || l_orderkey, 'DESCRIBED_IN', NULL FROM li UNION ALL SELECT id, 'p:' || l_suppkey, 'USES_PROCESS', NULL FROM li
   UNION ALL FROM measured UNION ALL (SELECT DISTINCT 'd:' || l_orderkey, 'm:' || l_partkey, 'MENTIONS_MATERIAL', NULL FROM lineitem)
+  UNION ALL SELECT 'm:' || p_partkey, 'prop:size', 'HAS_PROPERTY', p_size::DECIMAL(18, 2)::VARCHAR FROM part WHERE p_size > 10 UNION ALL SELECT 'm:' || p_partkey, 'prop:retailprice', 'HAS_PROPERTY', p_retailprice::DECIMAL(18, 2)::VARCHAR FROM part
   UNION ALL (SELECT DISTINCT 'm:' || l_partkey, 'p:' || l_suppkey, 'PROCESSED_IN', NULL FROM lineitem) UNION ALL (SELECT DISTINCT 't:' || team, id, 'AUTHORED', NULL FROM docs)),
 nodes AS (SELECT id, 'Material' AS label, name FROM materials UNION ALL SELECT id, 'Document', title FROM docs UNION ALL SELECT id, 'Experiment', regime_name FROM experiments
-  UNION ALL SELECT id, 'Process', name FROM processes UNION ALL SELECT 'prop:' || k, 'Property', k FROM (SELECT unnest(['quantity', 'extendedprice', 'discount', 'tax']) AS k)
+  UNION ALL SELECT id, 'Process', name FROM processes UNION ALL SELECT 'prop:' || k, 'Property', k FROM (SELECT unnest(['quantity', 'extendedprice', 'discount', 'tax', 'size', 'retailprice']) AS k)
   UNION ALL (SELECT DISTINCT 't:' || c_mktsegment, 'Team', c_mktsegment FROM customer)),
 chunk0 AS (SELECT doc_id, unnest(range(len(ls)))::INT AS chunk_index, unnest(ls) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-chunks AS (SELECT doc_id || ':' || chunk_index AS chunk_id, doc_id, chunk_index, text FROM chunk0 WHERE trim(text, ' ') <> '')
+chunks AS (SELECT doc_id || ':' || chunk_index AS chunk_id, doc_id, chunk_index, text FROM chunk0 WHERE trim(text, ' ') <> ''),
+questions AS (SELECT conv_id, turn, coalesce(text, '') AS q FROM conversations WHERE role = 'user')
 """

@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import classify as K
+from factweave.functions import scores
 from factweave.functions import text as T
-from factweave.operators import analytics, graph, ingest, retrieval, thinning, upserts
-from factweave.plans.corpus_graph import GRAPH_SQL, Corpus
+from factweave.operators import analytics, entities, graph, ingest, lookup, retrieval, thinning, upserts
+from factweave.plans.corpus_graph import Corpus
+from factweave.registry import ORACLE_SQL, QUERIES, query
 from factweave.sources import html
 from factweave.streaming import ingest as streams
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 TERMS = ["the", "and", "ation", "with"]
 LABELS = ["Document", "Material", "Experiment", "Process", "Property", "Team", "Facility", "Expert"]
 
 
-def query(sql: str | None = None, over_graph: bool = True):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(Corpus(spark, folder))
-        if sql:
-            ORACLE_SQL[f.__name__] = (GRAPH_SQL if over_graph else "") + sql
-        return f
-
-    return add
-
-
 # Structured search and analytics
 
 
@@ -54,20 +44,30 @@ def all_contradictions(c: Corpus) -> DataFrame:
     return analytics.contradictions(c, c.materials)
 
 
-_GAPS = """, known AS (SELECT * FROM li WHERE l_quantity >= 49),
-gaps AS (SELECT 'no_experiments' AS gap_type, id, name FROM materials WHERE id NOT IN (SELECT 'm:' || l_partkey FROM known)
-UNION ALL SELECT 'no_mechanical_properties', id, name FROM materials WHERE id NOT IN (SELECT 'm:' || l_partkey FROM known WHERE round(l_discount, 2) <> 0 OR round(l_tax, 2) <> 0)
-UNION ALL SELECT 'no_measurements', id, regime_name FROM experiments WHERE id NOT IN (SELECT id FROM li WHERE round(l_discount, 2) <> 0))"""
+_GAPS = """, gaps AS (SELECT 'no_experiments' AS gap_type, id, name FROM materials WHERE id NOT IN (SELECT dst FROM edges WHERE type = 'USES_MATERIAL')
+UNION ALL SELECT 'no_mechanical_properties', id, name FROM materials WHERE id NOT IN (SELECT 'm:' || p_partkey FROM part WHERE p_size > 10)
+UNION ALL SELECT 'no_measured_properties', id, regime_name FROM experiments WHERE id NOT IN (SELECT src FROM measured))"""
+
+
+def _gaps(c: Corpus) -> DataFrame:
+    return analytics.gaps(c.materials, c.experiments, c.edges, c.properties)
 
 
 @query(f"{_GAPS} FROM gaps")
 def gaps(c: Corpus) -> DataFrame:
-    return analytics.gaps(c)
+    return _gaps(c)
 
 
 @query(f"{_GAPS} SELECT gap_type, count(*) AS n FROM gaps GROUP BY 1")
 def gap_summary(c: Corpus) -> DataFrame:
-    return analytics.gaps(c).groupBy("gap_type").agg(F.count("*").alias("n"))
+    return _gaps(c).groupBy("gap_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT material_id, property, value, count(*) AS experiments, min(src) AS first_id, arg_min(document, src) AS first_document, any_value(n) - 1 AS others
+FROM (SELECT *, count(DISTINCT value) OVER (PARTITION BY material_id, property) AS n FROM (SELECT src, dst AS property, value, 'm:' || l_partkey AS material_id, 'd:' || l_orderkey AS document FROM measured JOIN li ON src = id))
+WHERE n > 1 GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY material_id, property, value"))
+def conflicting_values(c: Corpus) -> DataFrame:
+    return analytics.conflicting_values(c, c.materials)
 
 
 @query("SELECT b AS status, count(status) AS n FROM (SELECT unnest(['planned', 'ongoing', 'completed']) AS b) LEFT JOIN experiments ON status = b GROUP BY 1")
@@ -85,7 +85,7 @@ def regimes(c: Corpus) -> DataFrame:
     return c.experiments.groupBy("regime_type", "regime_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
 
 
-@query("""SELECT m.id, m.name, material_class, coalesce(e.n, 0)::BIGINT AS experiments, coalesce(p.n, 0)::BIGINT AS processes FROM materials m
+@query("""SELECT m.id, m.name, material_class, coalesce(e.n, 0)::BIGINT AS experiments, 1 + (p_size > 10)::BIGINT AS properties, coalesce(p.n, 0)::BIGINT AS processes FROM materials m JOIN part ON m.id = 'm:' || p_partkey
 LEFT JOIN (SELECT dst, count(*) AS n FROM edges WHERE type = 'USES_MATERIAL' GROUP BY 1) e ON e.dst = m.id LEFT JOIN (SELECT src, count(*) AS n FROM edges WHERE type = 'PROCESSED_IN' GROUP BY 1) p ON p.src = m.id""")
 def material_overview(c: Corpus) -> DataFrame:
     return analytics.material_overview(c)
@@ -122,7 +122,7 @@ def node_neighbours(c: Corpus) -> DataFrame:
     return graph.neighbours(c.nodes, c.edges, "m:7").select("id", "label", "name")
 
 
-_HOPS = """, e2 AS (SELECT src AS a, dst AS b FROM edges WHERE type <> 'MEASURED' AND type <> 'USES_PROCESS' UNION ALL SELECT dst, src FROM edges WHERE type <> 'MEASURED' AND type <> 'USES_PROCESS'),
+_HOPS = """, e2 AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges),
 h1 AS (SELECT DISTINCT b AS id FROM e2 WHERE a = 'd:1' AND b <> 'd:1'),
 h2 AS (SELECT DISTINCT b AS id FROM e2 JOIN h1 ON a = h1.id WHERE b <> 'd:1' AND b NOT IN (FROM h1)),
 hops AS (SELECT 'd:1' AS id, 0 AS distance UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2)"""
@@ -130,7 +130,7 @@ hops AS (SELECT 'd:1' AS id, 0 AS distance UNION ALL SELECT id, 1 FROM h1 UNION
 
 def _two_hops(c: Corpus) -> DataFrame:
     start = c.spark.createDataFrame([("d:1",)], "id string")
-    return graph.reach(c.edges, start, 2, ~F.col("type").isin("MEASURED", "USES_PROCESS"))
+    return graph.reach(c.edges, start, 2)
 
 
 @query(f"{_HOPS} FROM hops")
@@ -167,30 +167,36 @@ def entity_keepers(c: Corpus) -> DataFrame:
 
 
 @query(f"""{_KEEP} SELECT DISTINCT coalesce(a.keeper, src) AS src, coalesce(b.keeper, dst) AS dst, type, value FROM edges LEFT JOIN kept a ON a.id = src LEFT JOIN kept b ON b.id = dst
-WHERE coalesce(a.keeper, src) <> coalesce(b.keeper, dst) AND type <> 'MEASURED'""")
+WHERE coalesce(a.keeper, src) <> coalesce(b.keeper, dst)""")
 def merged_edges(c: Corpus) -> DataFrame:
-    return graph.redirect(c.edges.where("type <> 'MEASURED'"), graph.canonical_groups(c.materials, c.edges))
+    return graph.redirect(c.edges, graph.canonical_groups(c.materials, c.edges))
 
 
-@query("SELECT label, count(*) AS n FROM nodes WHERE label IN ('Team', 'Process') AND id NOT IN (SELECT src FROM edges WHERE type = 'AUTHORED') AND NOT EXISTS (FROM edges WHERE type = 'PROCESSED_IN' AND dst = nodes.id) GROUP BY 1")
+@query("""SELECT label, count(*) AS n FROM (SELECT 'Experiment' AS label, id FROM li WHERE 'd:' || l_orderkey IN (SELECT id FROM docs WHERE year < 1996)
+UNION ALL SELECT 'Material', id FROM materials WHERE id NOT IN (SELECT 'm:' || l_partkey FROM li WHERE 'd:' || l_orderkey IN (SELECT id FROM docs WHERE year >= 1996))
+UNION ALL SELECT 'Team', 't:' || c_mktsegment FROM customer GROUP BY c_mktsegment HAVING c_mktsegment NOT IN (SELECT team FROM docs WHERE year >= 1996)) GROUP BY 1""")
 def orphan_counts(c: Corpus) -> DataFrame:
-    return graph.orphans(c.nodes, c.edges, {"Team": ("AUTHORED",), "Process": ("PROCESSED_IN",)}).groupBy("label").agg(F.count("*").alias("n"))
+    """What dies with the links of the documents before 1996."""
+    old = c.documents.where("year < 1996").select("id")
+    left = c.edges.join(old.withColumnRenamed("id", "src"), "src", "left_anti").join(old.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return graph.orphans(c.nodes, left).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT label, count(*) AS n FROM nodes WHERE id <> 'd:1' AND id NOT IN (SELECT id FROM li WHERE l_orderkey = 1) AND (NOT EXISTS (FROM edges WHERE (src = 'd:1' AND dst = nodes.id) OR (dst = 'd:1' AND src = nodes.id)
-OR (src IN (SELECT id FROM li WHERE l_orderkey = 1) AND dst = nodes.id)) OR EXISTS (FROM edges WHERE nodes.id IN (src, dst) AND 'd:1' NOT IN (src, dst) AND src NOT IN (SELECT id FROM li WHERE l_orderkey = 1))) GROUP BY 1""")
+@query("""SELECT label, count(*) AS n FROM nodes WHERE id <> 'd:1' AND id NOT IN (SELECT id FROM li WHERE l_orderkey = 1) AND id NOT IN (SELECT 'm:' || l_partkey FROM lineitem GROUP BY l_partkey HAVING min(l_orderkey) = 1 AND max(l_orderkey) = 1)
+AND id NOT IN (SELECT 't:' || team FROM docs GROUP BY team HAVING min(id) = 'd:1' AND max(id) = 'd:1') GROUP BY 1""")
 def nodes_after_delete(c: Corpus) -> DataFrame:
     return graph.cascade_delete(c.nodes, c.edges, "d:1")[0].groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT id, '{"@id":"urn:' || id || '","@type":"' || CASE label WHEN 'Document' THEN 'ScholarlyArticle' WHEN 'Material' THEN 'ChemicalSubstance' ELSE 'Thing' END || '","name":"' || name || '"}' AS entity FROM nodes""")
+@query("""SELECT id, '{"@id":"urn:' || id || '","@type":"' || CASE label WHEN 'Document' THEN 'ScholarlyArticle' WHEN 'Material' THEN 'ChemicalSubstance' ELSE 'Thing' END || '","name":"' || name || '"}' AS entity FROM nodes
+UNION ALL SELECT src, '{"subject":"urn:' || src || '","predicate":"' || type || '","object":"urn:' || dst || '"}' FROM (SELECT DISTINCT src, type, dst FROM edges)""")
 def json_ld_export(c: Corpus) -> DataFrame:
-    return graph.json_ld(c.nodes, {"Document": "ScholarlyArticle", "Material": "ChemicalSubstance"})
+    return graph.json_ld(c.nodes, {"Document": "ScholarlyArticle", "Material": "ChemicalSubstance"}, c.edges)
 
 
-@query("SELECT id, title, year::INT AS year, country FROM docs ORDER BY created_at DESC, id LIMIT 20 OFFSET 20")
+@query("SELECT id, title, year::INT AS year, country, (SELECT count(*) FROM docs) AS total, (SELECT count(*) FROM docs) > 40 AS has_more FROM docs ORDER BY created_at DESC, id LIMIT 20 OFFSET 20")
 def documents_page(c: Corpus) -> DataFrame:
-    return c.documents.orderBy(F.desc_nulls_first("created_at"), "id").offset(20).limit(20).select("id", "title", "year", "country")
+    return lookup.page(c.documents, [F.desc_nulls_first("created_at"), "id"], 20, 20).select("id", "title", "year", "country", "total", "has_more")
 
 
 @query("""SELECT document_type, country, count(*) AS n FROM docs WHERE contains(lower(country), 'an') OR scope = 'domestic' GROUP BY ALL""")
@@ -202,14 +208,17 @@ def documents_by_place(c: Corpus) -> DataFrame:
 # Retrieval
 
 
-@query("""SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))::DOUBLE[]), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20""", over_graph=False)
+_COS = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 12)"
+
+
+@query(f"SELECT vec_id, round(s, 6) AS score FROM (SELECT e.vec_id, {_COS} AS s FROM embeddings e, (FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY s DESC, e.vec_id LIMIT 20)", over_graph=False)
 def vector_topk(c: Corpus) -> DataFrame:
     vector = c.table("embeddings").orderBy("vec_id").first().embedding
     return retrieval.vector_topk(c.table("embeddings"), vector, 20)
 
 
-@query("""SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e
-WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 20""", over_graph=False)
+@query(f"""SELECT query_id, vec_id, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS s FROM embeddings q, embeddings e
+WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) <= 20)""", over_graph=False)
 def vector_search(c: Corpus) -> DataFrame:
     vectors = c.table("embeddings")
     return retrieval.vector_search(vectors, vectors.where("vec_id % 100 = 0"), 20)
@@ -238,27 +247,56 @@ def lexical_rerank(c: Corpus) -> DataFrame:
     return c.chunks.select("chunk_id", retrieval.rerank_score(F.col("text"), TERMS).alias("score"))
 
 
-_HYBRID = f""", w AS (SELECT chunk_id, doc_id, row_number() OVER (ORDER BY h DESC, chunk_index, doc_id) AS rank FROM (SELECT *, ({_HITS}) AS h FROM chunks) WHERE h > 0 QUALIFY rank <= 80),
-v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM (SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))::DOUBLE[]), 6) AS s FROM embeddings) QUALIFY rank <= 80),
-f AS (SELECT chunk_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (FROM w UNION ALL SELECT arg_min(chunk_id, chunk_index), doc_id, rank FROM v JOIN chunks USING (doc_id) GROUP BY doc_id, rank) GROUP BY ALL)
-SELECT chunk_id, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) > 2)::INT AS o FROM f) ORDER BY o, score DESC, chunk_id LIMIT 10"""
+# The question's terms, as its words give them: no stop word, three letters or more; page 2 and its neighbours.
+QUESTION = "How many percent of nation and station, page 2?"
+_ASKED = ["many", "percent", "nation", "station", "page"]
+_PAGED = ", ch AS (SELECT *, chunk_index // 5 + 1 AS page, 'Document ' || doc_id AS title FROM chunks)"
+_UNIT = "(?i)(?:мг/л|mg/l|мг/дм|mg/dm|ppm|%|°c|℃|м/ч|м³/ч|m3/h|мм/с|т/год|t/y|t/a|usd|\\$|руб|млн|million|billion|tonnes?|tonne|mt\\b)"
+_NUMERIC = f"CASE WHEN trim(text, E' \\t\\n\\r') = '' THEN 0 ELSE 0.55 * least(1, len(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?')) / 6.0) + 0.45 * least(1, len(regexp_extract_all(text, '{_UNIT}')) / 3.0) END"
+_YEARS = "len(regexp_extract_all(text, '\\b(?:19|20)\\d{2}\\b'))"
+_BIBLIOGRAPHY = f"""least(0.5, CASE WHEN {" OR ".join(f"contains(lower(text)[:400], '{m}')" for m in ("references", "bibliography", "литература", "библиограф", "источник"))} THEN 0.25 ELSE 0 END
++ CASE WHEN len(string_split(lower(text), 'doi')) > 2 OR contains(lower(text), 'ssrn') THEN 0.35 ELSE 0 END + CASE WHEN {_YEARS} > 8 THEN 0.2 ELSE 0 END)"""
+_SUM = " + ".join(f"w{i} * contains(lower(text), '{t}')::INT" for i, t in enumerate(_ASKED))
+_WEIGHT = ", ".join(f"ln((count(*) - count_if(contains(lower(text), '{t}')) + 0.5) / (count_if(contains(lower(text), '{t}')) + 0.5) + 1) AS w{i}" for i, t in enumerate(_ASKED))
+_WORDS_ASKED = ["how", "many", "percent", "nation", "and", "station", "page"]
+_BIGRAMS = " + ".join(f"contains(lower(text), '{a} {b}')::INT" for a, b in zip(_WORDS_ASKED, _WORDS_ASKED[1:], strict=False))
+_HIT = " + ".join(f"contains(lower(text), '{t}')::INT" for t in _ASKED)
+_HYBRID = f"""{_PAGED}, w AS (SELECT chunk_id, row_number() OVER (ORDER BY h DESC, chunk_index, doc_id) AS rank FROM (SELECT *, ({_HIT}) AS h FROM ch) WHERE h > 0 QUALIFY rank <= 80),
+v AS (SELECT vec_id AS doc_id, s, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM (SELECT e.vec_id, round({_COS}, 6) AS s, {_COS} AS t FROM embeddings e, (FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY t DESC, vec_id LIMIT 80)),
+f AS (SELECT arg_min(chunk_id, chunk_index) AS chunk_id, rank FROM v JOIN ch USING (doc_id) GROUP BY doc_id, rank),
+g AS (SELECT chunk_id, row_number() OVER (ORDER BY doc_id, page, chunk_index) AS rank FROM (FROM ch WHERE page BETWEEN 1 AND 3 ORDER BY doc_id, page, chunk_index LIMIT 80)),
+p AS (SELECT chunk_id, sum(1 / (60 + rank)) AS rrf, list_sort(list(source)) AS sources FROM (SELECT *, 'keyword' AS source FROM w UNION ALL SELECT *, 'vector' FROM f UNION ALL SELECT *, 'page' FROM g) GROUP BY 1),
+pool AS (SELECT * FROM p JOIN ch USING (chunk_id)), idf AS (SELECT {_WEIGHT} FROM pool),
+scored AS (SELECT *, ({_SUM}) / ({" + ".join(f"w{i}" for i in range(len(_ASKED)))}) AS cover FROM pool, idf),
+final AS (SELECT chunk_id, doc_id, sources, round(0.55 * (rrf + 0.3 * cover + 0.25 * ({_NUMERIC}) + 0.1 * contains(text, '%')::INT + 0.45 * list_contains(sources, 'page')::INT + 0.05 * (len(sources) > 1)::INT - {_BIBLIOGRAPHY})
+  + 0.45 * (0.72 * cover + 0.28 * least(1, ({_BIGRAMS}) / {len(_WORDS_ASKED) - 1}.0)), 6) AS score FROM scored)
+SELECT chunk_id, doc_id, score, sources FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) > 2)::INT AS o FROM final) ORDER BY o, score DESC, chunk_id LIMIT 10"""
+
+
+def _paged(c: Corpus) -> DataFrame:
+    return c.chunks.withColumns({"page": F.floor(F.col("chunk_index") / 5).cast("int") + 1, "title": F.concat(F.lit("Document "), "doc_id")})
 
 
 @query(_HYBRID)
 def hybrid_retrieval(c: Corpus) -> DataFrame:
     vector = c.table("embeddings").orderBy("vec_id").first().embedding
-    return retrieval.hybrid(c.chunks, c.table("embeddings"), TERMS, vector)
+    return retrieval.hybrid(_paged(c), c.table("embeddings"), QUESTION, vector)
 
 
-@query()
+_SENTENCES = """CASE WHEN len(num) > 0 THEN num ELSE list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, E' \\t\\n\\r')), lambda s: s <> '') END"""
+_WORTH = " + ".join(f"contains(lower(s), '{t}')::INT" for t in TERMS) + " + 2 * regexp_matches(s, '\\d')::INT"
+
+
+@query(f"""SELECT chunk_id, CASE WHEN r[1].n < 0 THEN array_to_string(list_transform(r[1:3], lambda x: x.s), ' ')[:900] WHEN length(text) <= 700 THEN text ELSE rtrim(text[:700], ' ') || '…' END AS snippet
+FROM (SELECT chunk_id, text, list_sort(list_transform(ss, lambda s, i: {{'n': -({_WORTH}), 'i': i, 's': trim(s, E' \\t\\n\\r')}})) AS r
+FROM (SELECT chunk_id, text, {_SENTENCES} AS ss FROM (SELECT chunk_id, trim(text, E' \\t\\n\\r') AS text, regexp_extract_all(trim(text, E' \\t\\n\\r'), '[^.!?]*\\d+(?:[.,]\\d+)?[^.!?]*[.!?]') AS num FROM chunks) WHERE text <> ''))""")
 def extractive_answers(c: Corpus) -> DataFrame:
     return retrieval.best_sentences(c.chunks, TERMS)
 
 
-@query("SELECT doc_id, round(0.55 * least(1, len(regexp_extract_all(coalesce(text, ''), '\\d+(?:[.,]\\d+)?')) / 6.0), 6) AS density FROM documents", over_graph=False)
+@query(f"SELECT doc_id, round({_NUMERIC}, 6) AS density FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)", over_graph=False)
 def number_density(c: Corpus) -> DataFrame:
-    numbers = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\d+(?:[.,]\d+)?"))
-    return c.table("documents").select("doc_id", F.round(0.55 * F.least(F.lit(1.0), numbers / 6), 6).alias("density"))
+    return c.table("documents").select("doc_id", F.round(scores.numeric_density(F.coalesce("text", F.lit(""))), 6).alias("density"))
 
 
 # Text
@@ -269,7 +307,11 @@ def document_tokens(c: Corpus) -> DataFrame:
     return c.table("documents").select("doc_id", F.size(T.tokens(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"))
 
 
-@query("SELECT page_id, regexp_extract(lower(url), '^([a-z]+)://', 1) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND split_part(p, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'ref'))), '&'), ''), '') AS canonical FROM pages", over_graph=False)
+@query("""SELECT page_id, CASE WHEN scheme = '' OR host = '' THEN bare ELSE lower(scheme) || '://' || lower(host) || CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/+$', '') END
+|| coalesce('?' || nullif(array_to_string(list_sort(list_filter(list_transform(string_split(query, '&'), lambda p: CASE WHEN p = '' OR contains(p, '=') THEN p ELSE p || '=' END), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN
+('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'mc_cid', 'mc_eid'))), '&'), ''), '') END AS canonical
+FROM (SELECT page_id, trim(url, E' \\t\\n\\r') AS bare, regexp_extract(url, '^\\s*([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, regexp_extract(url, '^\\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host,
+regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ';[^/]*$', '') AS path, regexp_extract(url, '^[^#?]*\\?([^#]*)', 1) AS query FROM pages)""", over_graph=False)
 def canonical_urls(c: Corpus) -> DataFrame:
     return c.table("pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
 
@@ -327,13 +369,44 @@ def duplicate_documents(c: Corpus) -> DataFrame:
     return ingest.duplicate_documents(hashes, ["content_hash"], "doc_id", "age")
 
 
-@query(f"""{_HASH}, h AS (SELECT doc_id::VARCHAR AS name, source, content_hash, doc_id % 2 = 1 AS new FROM hashes JOIN documents USING (doc_id))
-SELECT name, CASE WHEN content_hash IN (SELECT content_hash FROM h WHERE NOT new) THEN 'skip' WHEN source IN (SELECT source FROM h WHERE NOT new) THEN 'replace' ELSE 'create' END AS action FROM h WHERE new""")
+_STORED = f"""{_HASH}, h AS (SELECT doc_id, doc_id::VARCHAR AS name, source, md5(source || length(text)) AS file_hash, source || '/' || (doc_id % 7) AS file_path, content_hash, doc_id % 2 = 1 AS new FROM hashes JOIN documents USING (doc_id)),
+newest AS (SELECT key, value, arg_max(doc_id, doc_id) AS id, arg_max(content_hash, doc_id) AS content_hash FROM (
+  SELECT doc_id, content_hash, unnest(['source', 'file_hash', 'file_path', 'content_hash']) AS key, unnest([source, file_hash, file_path, content_hash]) AS value FROM h WHERE NOT new) WHERE value IS NOT NULL GROUP BY ALL)"""
+
+
+def _rows(c: Corpus) -> DataFrame:
+    d = c.table("documents").select("doc_id", "source", F.md5(F.concat("source", F.length("text").cast("string")).cast("binary")).alias("file_hash"), F.concat_ws("/", "source", (F.col("doc_id") % 7).cast("string")).alias("file_path"))
+    return ingest.content_hash(c.chunks).join(d, "doc_id").withColumns({"name": F.col("doc_id").cast("string"), "id": F.col("doc_id"), "created_at": F.col("doc_id")})
+
+
+@query(f"""{_STORED} SELECT name, CASE WHEN s.id IS NOT NULL THEN CASE WHEN s.content_hash = h.content_hash THEN 'skip' ELSE 'replace' END WHEN c.id IS NOT NULL THEN 'skip' ELSE 'create' END AS action, coalesce(s.id, c.id) AS existing_id
+FROM h LEFT JOIN newest s ON s.key = 'source' AND s.value = source LEFT JOIN newest c ON c.key = 'content_hash' AND c.value = h.content_hash WHERE new""")
 def ingest_decisions(c: Corpus) -> DataFrame:
-    rows = ingest.content_hash(c.chunks).join(c.table("documents").select("doc_id", "source"), "doc_id").withColumn("name", F.col("doc_id").cast("string"))
+    rows = _rows(c)
     return ingest.decide(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0"))
 
 
+@query(f"""{_STORED} SELECT name, CASE WHEN f.id IS NOT NULL THEN CASE WHEN f.content_hash = h.content_hash THEN 'skip' ELSE 'replace' END WHEN p.id IS NOT NULL OR c.id IS NOT NULL THEN 'skip' ELSE 'create' END AS action, coalesce(f.id, p.id, c.id) AS existing_id
+FROM h LEFT JOIN newest f ON f.key = 'file_hash' AND f.value = h.file_hash LEFT JOIN newest p ON p.key = 'file_path' AND p.value = h.file_path LEFT JOIN newest c ON c.key = 'content_hash' AND c.value = h.content_hash WHERE new""")
+def file_decisions(c: Corpus) -> DataFrame:
+    rows = _rows(c)
+    return ingest.decide_file(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0"))
+
+
+@query(f"{_HASH} SELECT doc_id AS id, max(doc_id) OVER (PARTITION BY content_hash) AS keeper FROM hashes QUALIFY doc_id <> keeper")
+def consolidated_documents(c: Corpus) -> DataFrame:
+    return ingest.consolidated(_rows(c), "content_hash")
+
+
+@query("""SELECT DISTINCT page_id FROM (SELECT page_id, max(page_id) OVER (PARTITION BY k, v) AS newest FROM (SELECT page_id, unnest(['source', 'file', 'content', 'path', 'canonical']) AS k,
+unnest([regexp_replace(url, '[?#].*', ''), md5(html), md5(regexp_replace(lower(html), '\\s+', ' ', 'g')), url, regexp_replace(lower(url), '[?#].*|/$', '')]) AS v FROM pages)) WHERE page_id < newest""", over_graph=False)
+def duplicate_pages(c: Corpus) -> DataFrame:
+    """Pages that are not the newest by one of five fingerprints."""
+    p, url = c.table("pages"), F.col("url")
+    keys = {"source": F.regexp_replace(url, "[?#].*", ""), "file": F.md5(F.col("html").cast("binary")), "content": F.md5(F.regexp_replace(F.lower("html"), r"\s+", " ").cast("binary")), "path": url, "canonical": F.regexp_replace(F.lower(url), "[?#].*|/$", "")}
+    return ingest.duplicate_documents(p.select("page_id", F.col("page_id").alias("age"), *(v.alias(k) for k, v in keys.items())), list(keys), "page_id", "age")
+
+
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", over_graph=False)
 def event_counts(c: Corpus) -> DataFrame:
     ntz = streams.event_counts(c.table("events").withColumn("ts", F.col("ts").cast("timestamp")))
@@ -348,11 +421,12 @@ def active_users(c: Corpus) -> DataFrame:
 # Writes
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS version FROM embeddings UNION ALL SELECT vec_id + 1000000000, 1 FROM embeddings WHERE vec_id % 3 = 1", over_graph=False)
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS version, CASE WHEN vec_id % 3 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding, label FROM embeddings UNION ALL SELECT vec_id + 1000000000, 1, embedding, label FROM embeddings WHERE vec_id % 3 = 1", over_graph=False)
 def vector_upsert(c: Corpus) -> DataFrame:
-    rows = c.table("embeddings").select("vec_id", F.lit(0).alias("version"))
-    new = rows.where("vec_id % 3 = 0").union(rows.where("vec_id % 3 = 1").selectExpr("vec_id + 1000000000", "version")).withColumn("version", F.lit(1))
-    return upserts.latest(rows, new, ["vec_id"])
+    rows = c.table("embeddings").select("vec_id", F.lit(0).alias("version"), "embedding", "label")
+    changed = rows.where("vec_id % 3 = 0").withColumn("embedding", F.reverse("embedding"))
+    new = changed.unionByName(rows.where("vec_id % 3 = 1").withColumn("vec_id", F.col("vec_id") + 1000000000)).withColumn("version", F.lit(1))
+    return upserts.latest(rows, new, ["vec_id"], "version")
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS name, CASE WHEN p_partkey % 2 = 0 AND p_brand <> p_type THEN list_sort([p_brand, p_type]) ELSE [p_brand] END AS aliases, p_type AS material_class FROM part""", over_graph=False)
@@ -376,11 +450,11 @@ def linked_edges(c: Corpus) -> DataFrame:
     return upserts.link(c.edges.where("type = 'AUTHORED'").select("src", "dst", "type"), made.union(made).union(dangling), c.nodes)
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source IS NOT DISTINCT FROM (SELECT min(source) FROM documents))", over_graph=False)
+@query("SELECT vec_id, embedding FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source IS NOT DISTINCT FROM (SELECT min(source) FROM documents))", over_graph=False)
 def vector_delete(c: Corpus) -> DataFrame:
     d = c.table("documents")
     gone = d.join(F.broadcast(d.agg(F.min("source").alias("least"))), F.col("source") == F.col("least")).select(F.col("doc_id").alias("vec_id"))
-    return upserts.without(c.table("embeddings").select("vec_id"), gone, "vec_id")
+    return upserts.without(c.table("embeddings"), gone, "vec_id").select("vec_id", "embedding")
 
 
 @query("""SELECT doc_id, sum(n)::BIGINT AS image_count, string_agg(n || ' ' || kind, ', ' ORDER BY n DESC, kind) AS type_summary FROM (SELECT l_orderkey AS doc_id, l_returnflag AS kind, count(*) AS n FROM (SELECT DISTINCT ON (l_orderkey, id) * FROM li) GROUP BY ALL) GROUP BY 1""")
@@ -410,11 +484,21 @@ def thinned_batches(c: Corpus) -> DataFrame:
 _WORDS = "regexp_extract_all(lower(text), '[A-Za-z\\x{0400}-\\x{04FF}0-9]{2,}')"
 
 
-@query(f""", w AS (SELECT chunk_id, {_WORDS} AS t FROM chunks), terms AS (SELECT DISTINCT array_to_string(list_slice({_WORDS}, 1, 2), ' ') AS term FROM benchmark)
-SELECT DISTINCT chunk_id, term FROM (SELECT chunk_id, unnest(list_transform(range(1, len(t) + 1), lambda i: array_to_string(list_slice(t, i, i + 1), ' '))) AS g FROM w UNION ALL SELECT chunk_id, unnest(t) FROM w) JOIN terms ON g = term""")
+_GRAMS = "list_transform(range(1, greatest(2, len(t) - {0} + 2)), lambda i: array_to_string(list_slice(t, i, i + {0} - 1), ' '))"
+
+
+def _grams(text: Column, *sizes: int) -> Column:
+    """All runs of so many tokens of a text."""
+    t = T.tokens(text)
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+    return F.concat(*map(of, sizes))
+
+
+@query(f""", w AS (SELECT chunk_id, {_WORDS} AS t FROM chunks), terms AS (SELECT DISTINCT unnest({_GRAMS.format(2)} || {_GRAMS.format(3)}) AS term FROM (SELECT {_WORDS} AS t FROM benchmark))
+SELECT DISTINCT chunk_id, term FROM (SELECT chunk_id, unnest({" || ".join(map(_GRAMS.format, (1, 2, 3)))}) AS g FROM w) JOIN terms ON g = term WHERE length(term) >= 4""")
 def term_mentions(c: Corpus) -> DataFrame:
-    terms = c.table("benchmark").select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 2), " ").alias("term"))
-    return thinning.term_scan(c.chunks, terms, 2)
+    terms = c.table("benchmark").select(F.explode(_grams(F.col("text"), 2, 3)).alias("term")).distinct()
+    return thinning.term_scan(c.chunks, terms, 3)
 
 
 _TOP = f""", r AS (SELECT chunk_id, doc_id, text, ({_HITS})::BIGINT AS score FROM chunks WHERE ({_HITS}) > 0), b AS (SELECT doc_id FROM r GROUP BY 1 ORDER BY sum(score) DESC, doc_id LIMIT 12),
@@ -429,8 +513,11 @@ def aggregate_contexts(c: Corpus) -> DataFrame:
 
 @query()
 def name_classes(c: Corpus) -> DataFrame:
-    names = c.nodes.select("name").union(c.table("documents").select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 2), " ")))
+    """The kinds of all names of nodes and of all runs of one to three tokens of the benchmark items."""
+    names = c.nodes.select("name").union(c.table("benchmark").select(F.explode(_grams(F.col("text"), 1, 2, 3))))
     return names.groupBy("name").count().select("name", "count", K.entity_kind(F.col("name")).alias("kind"))
 
 
+from factweave import queries_lists, queries_text  # noqa: E402, F401  they register more queries
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

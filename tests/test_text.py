@@ -27,7 +27,7 @@ def test_values(spark):
     assert tuple(one(spark, T.value_range(F.lit("<5")))) == (None, None)
     assert one(spark, T.first_number(F.lit("12,5 MPa"))) == 12.5
     assert round(one(spark, T.celsius(F.lit(300.0), F.lit("K"))), 2) == 26.85
-    assert one(spark, T.celsius(F.lit(212.0), F.lit("F"))) == 100.0
+    assert one(spark, T.celsius(F.lit(212.0), F.lit("°F"))) == 100.0
     assert one(spark, T.citation_coverage(F.lit("A [1]. B."), F.lit(1))) == 0.5
 
 
@@ -40,6 +40,23 @@ def test_fusion_and_diversity(spark):
 
 
 def test_packing(spark):
-    rows = spark.createDataFrame([(1, i, "x" * n) for i, n in enumerate([700, 690, 20, 1500, 5])], "doc_id long, chunk_index int, text string")
+    rows = spark.createDataFrame([(f"c{i}", 1, i, "x" * n) for i, n in enumerate([700, 690, 20, 1500, 5])], "chunk_id string, doc_id long, chunk_index int, text string")
     got = [(r.pack, r.n_chunks, len(r.text)) for r in ingest.pack(rows).orderBy("pack").collect()]
     assert got == [(0, 2, 1392), (1, 1, 20), (2, 1, 1500), (3, 1, 5)]
+    assert ingest.pack(rows, bypass=5).count() == 5 and {r.first_chunk for r in ingest.pack(rows).collect()} == {"c0", "c2", "c3", "c4"}
+
+
+def test_packing_against_a_loop(spark):
+    import random
+
+    draw = random.Random(4)
+    rows = [(f"{d}:{i}", d, i, "y" * draw.randint(1, 900)) for d in range(6) for i in range(draw.randint(1, 60))]
+    want = {}
+    for _, d, i, t in rows:
+        packs = want.setdefault(d, [])
+        if packs and len("\n\n".join(packs[-1])) + 2 + len(t) <= 1400:
+            packs[-1].append(t)
+        else:
+            packs.append([t])
+    got = ingest.pack(spark.createDataFrame(rows, "chunk_id string, doc_id long, chunk_index int, text string").repartition(3)).orderBy("doc_id", "pack").collect()
+    assert [(r.doc_id, r.text) for r in got] == [(d, "\n\n".join(p)) for d, packs in want.items() for p in packs]
