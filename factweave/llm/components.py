@@ -60,6 +60,10 @@ def bit_table(slots: DataFrame, size: int) -> np.ndarray:
     return table
 
 
+#: Edges whose moves are broadcast instead of shuffled.
+SMALL = 10_000
+
+
 def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     """Label each node that has an edge with the smallest node it is connected to.
 
@@ -70,6 +74,8 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     before the shuffle, so a hub with a third of all edges is no hot key of the
     aggregation, and the joins are plain equi-joins that adaptive execution can
     split.  Nothing is collected; each round ends in a table in the shared folder.
+    The edges left are counted in each round: the moves of up to ``SMALL`` of them are
+    broadcast (two rows an edge at most), those of more are merged.
 
     Columns: node, component.  Null ends and loops are no edges; repeated edges
     count once; an empty table gives no rows.
@@ -77,18 +83,20 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     left = held(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
     mapping = None
     for turn in range(100):
-        if left.isEmpty():
+        n = left.count()
+        if not n:
             break
+        way = "broadcast" if n <= SMALL else "merge"
         both = left.union(left.select("b", "a"))
         order = lambda c, turn=turn: F.xxhash64(F.lit(turn), c)
         nearest = both.groupBy("a").agg(F.min(F.struct(order(F.col("b")).alias("h"), F.col("b").alias("v"))).alias("m"))
         step = held(nearest.select(F.col("a").alias("node"), F.when(F.col("m.h") < order(F.col("a")), F.col("m.v")).otherwise(F.col("a")).alias("to")))
-        moved = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")).hint("merge"), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")).hint("merge"), "b")
+        moved = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")).hint(way), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")).hint(way), "b")
         left = held(moved.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
         if mapping is None:
             mapping = step
         else:
-            mapping = held(mapping.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")).hint("merge"), "to", "left").select("node", F.coalesce("next", "to").alias("to")))
+            mapping = held(mapping.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")).hint(way), "to", "left").select("node", F.coalesce("next", "to").alias("to")))
     else:
         raise RuntimeError("the contraction did not end")
     if mapping is None:
