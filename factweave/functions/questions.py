@@ -9,10 +9,9 @@ from factweave.functions import text as T
 from factweave.functions import values as V
 
 
-def _distinct(values: Column, key=F.lower) -> Column:
-    """The first value of each key, in order."""
-    keys = F.transform(values, key)
-    return F.transform(F.filter(F.transform(values, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_position(keys, key(s["x"])) == s["i"] + 1), lambda s: s["x"])
+def _distinct(values: Column) -> Column:
+    """The first of values that differ by case only, in order."""
+    return T.bind(values, lambda v: T.bind(F.transform(v, F.lower), lambda keys: F.filter(v, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)))
 
 
 def name_phrases(q: Column) -> Column:
@@ -52,11 +51,11 @@ def search_terms(q: Column, limit: int = 16) -> Column:
     ph = F.when(T.has(q, T.bounded("ph")), F.array(F.lit("ph"))).otherwise(F.array().cast("array<string>"))
     low = lambda a: F.filter(F.transform(a, lambda t: T.strip(F.lower(t))), lambda t: t != "")
     own = F.array_distinct(F.concat(T.significant_terms(q), low(name_phrases(q)), low(hyphen_terms(q)), low(chemical_terms(q)), ph, short))
-    more = F.array_distinct(F.concat(own, F.filter(T.tokens(q), lambda t: ~t.isin(*V.STOPWORDS))))
-    base = F.when(F.size(own) >= 2, own).otherwise(more)
-    spelled = F.array_distinct(F.concat(base, spelled_alike(base)))
-    stemmed = F.array_distinct(F.concat(spelled, F.flatten(F.transform(spelled, T.prefix_stems))))
-    return F.slice(F.array_distinct(F.concat(stemmed, glossary_terms(q))), 1, limit)
+    more = lambda o: F.array_distinct(F.concat(o, F.filter(T.tokens(q), lambda t: ~t.isin(*V.STOPWORDS))))
+    spelled = lambda base: F.array_distinct(F.concat(base, spelled_alike(base)))
+    stemmed = lambda s: F.concat(s, F.flatten(F.transform(s, T.prefix_stems)))
+    base = T.bind(own, lambda o: F.when(F.size(o) >= 2, o).otherwise(more(o)))
+    return F.slice(F.array_distinct(F.concat(T.bind(T.bind(base, spelled), stemmed), glossary_terms(q))), 1, limit)
 
 
 def numeric_anchors(q: Column) -> Column:
@@ -116,22 +115,30 @@ def keyword_string(q: Column, extra: Column | None = None) -> Column:
     if extra is not None:
         words = F.filter(F.flatten(F.transform(extra, T.tokens)), lambda t: ~t.isin(*V.STOPWORDS))
         terms = F.array_distinct(F.concat(terms, words))
-    return F.when(F.size(terms) > 0, F.array_join(F.slice(terms, 1, 12), " ")).otherwise(T.strip(q))
+    return T.bind(terms, lambda t: F.when(F.size(t) > 0, F.array_join(F.slice(t, 1, 12), " ")).otherwise(T.strip(q)))
 
 
 def rewrite(q: Column) -> Column:
     """A question with its keywords, as search_query and keywords: search terms and the anchors that are not among them, twelve at most."""
-    terms = search_terms(q, 14)
-    lower = F.transform(terms, F.lower)
-    words = F.slice(F.concat(terms, F.filter(numeric_anchors(q), lambda a: ~F.array_contains(lower, F.lower(a)))), 1, 12)
+    extra = lambda terms: T.bind(F.transform(terms, F.lower), lambda low: F.filter(numeric_anchors(q), lambda a: ~F.array_contains(low, F.lower(a))))
+    words = T.bind(search_terms(q, 14), lambda terms: F.slice(F.concat(terms, extra(terms)), 1, 12))
     label = F.when(T.letter_language(q) == "ru", "ключевые термины").otherwise("keywords")
-    return F.struct(F.when(F.size(words) > 0, F.concat(T.strip(q), F.lit(" — "), label, F.lit(": "), F.array_join(F.slice(words, 1, 10), ", "))).otherwise(T.strip(q)).alias("search_query"), words.alias("keywords"))
+    said = lambda w: F.when(F.size(w) > 0, F.concat(T.strip(q), F.lit(" — "), label, F.lit(": "), F.array_join(F.slice(w, 1, 10), ", "))).otherwise(T.strip(q))
+    return T.bind(words, lambda w: F.struct(said(w).alias("search_query"), w.alias("keywords")))
+
+
+def parsed_rewrite(answer: Column) -> Column:
+    """search_query, search_query_en and keywords (ten at most) of the first JSON object in a model's answer that has a search_query; null without one."""
+    kind = "struct<search_query:string,search_query_en:string,keywords:array<string>>"
+    found = F.filter(F.transform(T.every(answer, r"(?s)\{[^{}]*\}"), lambda x: F.from_json(x, kind)), lambda o: T.strip(F.coalesce(o["search_query"], F.lit(""))) != "")
+    words = lambda o: F.slice(F.filter(F.transform(F.coalesce(o["keywords"], F.array().cast("array<string>")), T.strip), lambda k: k != ""), 1, 10)
+    return F.get(F.transform(found, lambda o: F.struct(T.strip(o["search_query"]).alias("search_query"), T.strip(F.coalesce(o["search_query_en"], F.lit(""))).alias("search_query_en"), words(o).alias("keywords"))), F.lit(0))
 
 
 def auxiliary_queries(q: Column) -> Column:
     """Further queries beside a question: its rewrite and its keyword string, where they differ from it."""
-    r = rewrite(q)
-    return F.array_distinct(F.filter(F.array(r["search_query"], keyword_string(q, r["keywords"])), lambda s: (s != T.strip(q)) & (s != "")))
+    both = T.bind(rewrite(q), lambda r: F.array(r["search_query"], keyword_string(q, r["keywords"])))
+    return F.array_distinct(F.filter(both, lambda s: (s != T.strip(q)) & (s != "")))
 
 
 def inferred_filters(q: Column, this_year: Column | None = None) -> Column:

@@ -42,6 +42,11 @@ def any_of(text: Column, parts: list[str]) -> Column:
     return found
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -80,9 +85,9 @@ def tokens(text: Column) -> Column:
 def significant_terms(text: Column, least: int = 2) -> Column:
     """Distinct tokens in order, without stop words and short ones (two letters count in Russian and mixed texts, else three); the first 48 characters if none is left."""
     short = F.greatest(F.when(letter_language(text) == "en", 3).otherwise(2), F.lit(least))
-    kept = F.array_distinct(F.filter(tokens(text), lambda t: (F.length(t) >= short) & ~t.isin(*V.STOPWORDS)))
+    kept = bind(short, lambda n: F.array_distinct(F.filter(tokens(text), lambda t: (F.length(t) >= n) & ~t.isin(*V.STOPWORDS))))
     head = F.substring(strip(F.lower(text)), 1, 48)
-    return F.when(F.size(kept) > 0, kept).when(head == "", F.array().cast("array<string>")).otherwise(F.array(head))
+    return bind(kept, lambda k: F.when(F.size(k) > 0, k).when(head == "", F.array().cast("array<string>")).otherwise(F.array(head)))
 
 
 def page_references(text: Column) -> Column:
@@ -390,3 +395,53 @@ def final_confidence(mean: Column, chunks: Column, method: str, answer: Column)
     more = F.least(F.lit(1.0), start + F.when(chunks >= 3, 0.03).otherwise(0.0))
     boosted = F.least(F.lit(1.0), more + F.when(cited >= 3, 0.06).when(cited >= 1, 0.04).otherwise(0.0))
     return F.round(F.when(hedges(answer) & (boosted > 0), F.least(boosted, F.lit(0.58))).otherwise(boosted), 3)
+
+
+def unique_names(names: Column) -> Column:
+    """The first of names that differ by case or blanks only, in order."""
+    clean = F.filter(F.transform(names, lambda n: regexp_clean(n)), lambda n: n != "")
+    return bind(clean, lambda c: bind(F.transform(c, F.lower), lambda keys: F.filter(c, lambda n, i: F.array_position(keys, F.lower(n)) == i + 1)))
+
+
+def regexp_clean(text: Column) -> Column:
+    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
+def cell_text(cell: Column) -> Column:
+    """Text of a table cell: entities (those of HTML's markup, and the soft hyphen) resolved twice, breaks and white space as one blank."""
+    out = F.coalesce(cell, F.lit(""))
+    for _ in range(2):
+        for mark, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&shy;", "\u00ad"), ("&amp;", "&")):
+            out = F.replace(out, F.lit(mark), F.lit(sign))
+    return regexp_clean(F.replace(F.regexp_replace(out, r"(?i)&(?:lt|gt|amp|#\d+|#x[0-9a-f]+);|<br\s*/?>", " "), F.lit("\u00ad"), F.lit("")))
+
+
+def grid_rows(grid: Column) -> Column:
+    """The rows of a grid of cells that have a text, cleaned."""
+    return F.filter(F.transform(grid, lambda row: F.transform(row, cell_text)), lambda row: F.exists(row, lambda c: c != ""))
+
+
+def grid_markdown(grid: Column) -> Column:
+    """A grid as a Markdown table whose first row is the header; empty without rows."""
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    rule = lambda head: line(F.transform(head, lambda _: F.lit("---")))
+    whole = lambda r: F.concat(F.array(line(r[0]), rule(r[0])), F.transform(F.slice(r, F.lit(2), F.greatest(F.size(r), F.lit(1))), line))
+    return bind(grid_rows(grid), lambda r: F.when(F.size(r) == 0, "").otherwise(F.array_join(whole(r), "\n")))
+
+
+def grid_quality(grid: Column) -> Column:
+    """0 to 1 for a table: filled cells, numbers and rows speak for it, leftovers of markup against it; 0 for less than two rows, two columns or four cells."""
+
+    def score(rows: Column) -> Column:
+        cells = F.flatten(rows)
+        some = F.filter(cells, lambda c: c != "")
+        bad = F.size(F.filter(some, lambda c: has(c, r"(?i)^col\d+$")))
+        good = F.filter(some, lambda c: ~has(c, r"(?i)^col\d+$"))
+        numbers = F.size(F.filter(good, lambda c: has(c, r"\d")))
+        wide = F.array_max(F.transform(rows, F.size))
+        waste = bad / F.greatest(F.lit(1), F.size(cells))
+        value = F.size(good) / F.greatest(F.lit(1), F.size(cells)) * 0.72 + F.least(F.lit(0.12), F.size(rows) / 12 * 0.12) + F.least(F.lit(0.15), numbers / F.greatest(F.lit(1), F.size(good)) * 0.15) - waste * 0.65
+        cut = F.when(waste > 0.35, value * 0.45).otherwise(value)
+        return F.when((F.size(rows) < 2) | (wide < 2) | (F.size(good) < 4), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cut)))
+
+    return bind(grid_rows(grid), score)

@@ -182,3 +182,45 @@ REFUSALS = [
 OVERFLOWS = ["exceed_context_size", "exceeds the available context size", "context length exceeded", "maximum context length"]
 TABLE_HINT = r"table\s*\d+|таблица\s*\d+|tabular"
 TABLE_BLOCK = r"(?is)\[TABLE\].*?\[/TABLE\]"
+
+# Phrases that name a process, with the process's key; the glossary's processes; words of a process's label.
+PROCESS_PHRASES = [
+    (r"метод\s+конечн(?:ых|ого|ой)\s+элемент|мкэ|mkэ|finite\s+element", "finite_element_method"),
+    (r"связ(?:и|ь)\s+конечн(?:ой|ых)\s+ж[её]сткост", "finite_stiffness_links"),
+    (r"численн(?:ое|ые|ая|ый)?\s+(?:моделир|расч|исслед|анализ)", "numerical_modeling"),
+    (r"моделир(?:ование|овани)?\s+(?:тектон|разлом|геотех|скал|пород|брус|конструкц)", "geotechnical_modeling"),
+    (r"верификационн(?:ая|ое|ые|ый)?\s+модел", "verification_modeling"),
+    (r"вычислительн(?:ая|ые|ое|ый)?\s+гидродинамик", "cfd_simulation"),
+    (r"полев(?:ые|ое|ая|ой)?\s+(?:испытан|исследован|наблюден|работ)", "field_testing"),
+    (r"лабораторн(?:ые|ое|ая|ой)?\s+(?:испытан|исследован|эксперимент)", "laboratory_testing"),
+    (r"геотехнич(?:еск(?:ие|ое|ая|ий)|ески)\s+(?:расч|модел|исслед)", "geotechnical_analysis"),
+    (r"калибров(?:ка|ки|очн)?\s+модел", "model_calibration"),
+    (r"статическ(?:ий|ая|ое|ие)\s+(?:расч|анализ)", "static_analysis"),
+    (r"охлажден(?:ие|ия|ию|ии)?\s+(?:печ|реактор|котел|котёл|установк)", "furnace_cooling"),
+    (r"динамическ(?:ий|ая|ое|ие)\s+(?:расч|анализ|модел)", "dynamic_analysis"),
+]
+PROCESS_WORDS = {"fem": "finite_element_method", "cfd": "cfd_simulation"}
+PROCESS_KEYS = [
+    "beneficiation", "flotation", "leaching", "heap_leaching", "hpal", "hydrometallurgy", "hydrometallurgical_processing", "pyrometallurgy", "roasting", "smelting", "refining", "electrorefining",
+    "electrolytic_refining", "electrowinning", "precipitation", "oxidation", "autoclave_oxidation", "zinc_removal", "de_zn", "finite_element_method", "finite_stiffness_links", "numerical_modeling",
+    "geotechnical_modeling", "verification_modeling", "cfd_simulation", "field_testing", "laboratory_testing", "geotechnical_analysis", "model_calibration", "static_analysis", "dynamic_analysis", "fem_simulation",
+    "structural_analysis", "rock_mechanics_testing",
+]
+PROCESS_HINTS = [
+    "simulation", "modeling", "modelling", "analysis", "calibration", "testing", "experiment", "survey", "monitoring", "drilling", "sampling", "leaching", "flotation", "smelting", "refining", "finite", "element",
+    "stiffness", "fem", "cfd", "моделир", "расчет", "расчёт", "анализ", "испытан", "исследован", "выщелач", "флотац", "плавк", "рафинир", "обогащ", "бурени", "отбор", "мониторинг", "калибров", "метод", "элемент",
+    "мкэ", "жесткост",
+]
+# Words of a prompt that are no entities.
+TEMPLATES = [
+    "short label", "process or theme", "one grounded sentence", "linked process name if any", "canonical material name", "substance name", "organization name", "person name", "site name", "equipment name",
+    "process name", "team name", "company name", "institute name", "facility name", "researcher name", "название материала", "название организации", "краткое описание", "example", "sample", "n/a", "na", "none",
+    "unknown", "tbd", "todo",
+]
+PLACEHOLDERS = {
+    "equipment": ["equipment", "device", "unit", "apparatus", "machine", "tool", "оборудование", "устройство", "установка"],
+    "process": ["process", "operation", "technology", "procedure", "method", "процесс", "операция", "технология", "метод"],
+    "topic": ["topic", "theme", "subject", "area", "тема", "направление"],
+    "field": ["field", "discipline", "specialty", "area", "область", "специальность"],
+}
+RELIABILITY = {"article": 0.92, "report": 0.88, "patent": 0.85, "thesis": 0.80, "other": 0.70}

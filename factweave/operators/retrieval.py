@@ -256,9 +256,10 @@ def best_sentences(chunks: DataFrame, terms: list[str], k: int = 3, most: int =
     all its sentences.  Without a hit the text itself stands, cut after ``whole`` characters.
     """
     text = T.strip(F.col("text"))
-    numeric = T.every(text, r"[^.!?]*\d+(?:[.,]\d+)?[^.!?]*[.!?]")
+    none = F.array().cast("array<string>")
+    numeric = F.when(T.has(text, r"\d"), T.every(text, r"[^.!?]*\d+(?:[.,]\d+)?[^.!?]*[.!?]")).otherwise(none)
     plain = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), T.strip), lambda s: s != "")
-    sentences = F.when(F.size(numeric) > 0, numeric).otherwise(plain)
+    sentences = T.bind(numeric, lambda n: F.when(F.size(n) > 0, n).otherwise(plain))
 
     def score(s: Column) -> Column:
         low = F.lower(s)

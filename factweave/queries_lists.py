@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.operators import analytics, context, entities, graph, ingest, lookup, retrieval, upserts
+from factweave.functions import values as V
+from factweave.operators import analytics, context, entities, extraction, graph, ingest, lookup, retrieval, upserts
 from factweave.plans.corpus_graph import Corpus
 from factweave.registry import query
+from factweave.sources import html as sources
 
 # Lookups
 
@@ -369,3 +371,80 @@ def routed_entities(c: Corpus) -> DataFrame:
     n = c.nodes.where("label = 'Process'")
     return entities.routed(n.select("label", "name"), F.lit("process"))
 
+
+
+# Extraction
+
+
+_PHRASES = " || ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN ['{k}'] ELSE []::VARCHAR[] END" for p, k in V.PROCESS_PHRASES)
+_WORD_KEYS = " || ".join(f"CASE WHEN regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){w}($|[^\\p{{L}}\\p{{N}}_])') THEN ['{k}'] ELSE []::VARCHAR[] END" for w, k in V.PROCESS_WORDS.items())
+_FORMS = {k: dict.fromkeys((k.replace("_", " "), ru.lower(), en.lower(), k)) for k, (ru, en) in V.GLOSSARY.items() if k in V.PROCESS_KEYS}
+_GLOSSED = " || ".join("CASE WHEN {} THEN ['{}'] ELSE []::VARCHAR[] END".format(" OR ".join(f"contains(lower(text), '{f}')" for f in forms), k) for k, forms in _FORMS.items())
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(ks, lambda x, i: list_position(ks, x) = i), '|') AS processes FROM (SELECT doc_id, {_PHRASES} || {_WORD_KEYS} || {_GLOSSED} AS ks FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))", over_graph=False)
+def document_processes(c: Corpus) -> DataFrame:
+    return c.table("documents").select("doc_id", F.array_join(extraction.processes(F.coalesce("text", F.lit(""))), "|").alias("processes"))
+
+
+@query("""SELECT name, coalesce(arg_max(class, (score, -rank)), 'other') AS material_class FROM (SELECT DISTINCT name FROM materials) LEFT JOIN (
+SELECT m.name, class, rank, sum(DISTINCT_POINTS) AS score FROM (SELECT DISTINCT name FROM materials) m JOIN (SELECT 'brand' AS class, 1 AS rank, 'widget' AS term, 3 AS DISTINCT_POINTS UNION ALL SELECT 'cold', 0, 'cold', 2 UNION ALL SELECT 'cold', 0, 'cold wi', 3 UNION ALL SELECT 'late', 2, 'widget', 2) t ON contains(lower(m.name), t.term) GROUP BY ALL) USING (name) GROUP BY 1""".replace("GROUP BY ALL", "GROUP BY m.name, class, rank"))
+def inferred_classes(c: Corpus) -> DataFrame:
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("class"), F.lit(r).alias("rank"), F.lit(t).alias("term"), F.lit(a).alias("alias")) for k, r, t, a in (("brand", 1, "widget", False), ("cold", 0, "Cold", False), ("cold", 0, "cold wi", False), ("cold", 0, "col", True), ("late", 2, "widget", True)))))
+    return extraction.inferred_classes(c.materials, c.spark.range(1).select(rows.alias("r")).select("r.*"))
+
+
+@query("SELECT DISTINCT a.p_type AS class, b.p_type AS sibling FROM part a JOIN part b ON a.p_type[1] = b.p_type[1]", over_graph=False)
+def class_siblings(c: Corpus) -> DataFrame:
+    return extraction.class_siblings(c.table("part").select(F.col("p_type").alias("class"), F.substring("p_type", 1, 1).alias("stage")).distinct())
+
+
+@query("""SELECT x.id AS finding_id, 'm:' || min(l_partkey) AS material_id FROM (SELECT id, l_orderkey FROM li) x JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) m USING (l_orderkey) GROUP BY 1""")
+def finding_materials(c: Corpus) -> DataFrame:
+    doc = F.concat(F.lit("d:"), "l_orderkey").alias("doc_id")
+    named = c._items.select(doc, "l_partkey").distinct().select("doc_id", F.concat(F.lit("m:"), "l_partkey").alias("material_id"), F.concat(F.lit("no such name "), "l_partkey").alias("name"), F.array(F.lit("")).alias("aliases"), F.col("l_partkey").alias("seq"))
+    return extraction.finding_material(c._items.select(F.col("id").alias("finding_id"), doc, F.col("id").alias("text")), named)
+
+
+@query("SELECT conv_id, turn, '1. ' || trim(q, E' \\t\\n\\r') || ' [1][3]' AS lines FROM questions WHERE trim(q, E' \\t\\n\\r') <> ''")
+def fact_lines(c: Corpus) -> DataFrame:
+    """Questions as the claims of a model's fenced JSON answer, some without sources."""
+    rows = F.array(F.struct(F.col("q").alias("claim"), F.array(F.lit("3"), F.lit("1"), F.lit("x"), F.lit("3")).alias("sources")), F.struct(F.lit("without").alias("claim"), F.array().cast("array<string>").alias("sources")))
+    answer = F.concat(F.lit("Here:\n```json\n"), F.to_json(F.struct(rows.alias("facts"))), F.lit("\n```"))
+    return c.questions.where("trim(q) <> ''").select("conv_id", "turn", extraction.fact_lines(extraction.facts(answer)).alias("lines"))
+
+
+@query("SELECT l_orderkey AS chunk_id, 0 AS \"table\", n::INT AS row, h AS head, 'zone ' || l_linenumber AS zone, v::DOUBLE AS value FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY id) AS n FROM li), LATERAL (SELECT 'qty' AS h, l_quantity AS v UNION ALL SELECT 'tax', l_tax) t")
+def table_numbers(c: Corpus) -> DataFrame:
+    line = F.concat(F.lit("| zone "), F.col("l_linenumber").cast("string"), F.lit(" | "), F.col("l_quantity").cast("string"), F.lit(" kg | "), F.col("l_tax").cast("string"), F.lit(" |"))
+    texts = c._items.groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    return extraction.table_rows(texts.select("chunk_id", F.concat(F.lit("x [TABLE]| zone | qty | tax |\n|---|---|---|\n"), "body", F.lit("[/TABLE] y")).alias("text")))
+
+
+@query("SELECT l_orderkey AS key, min(l_linenumber)::INT AS first_line, max(id) AS last_id, list_sort(list(DISTINCT l_returnflag)) AS flags FROM li GROUP BY 1")
+def merged_passes(c: Corpus) -> DataFrame:
+    rows = c._items.select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("first_line"), F.col("id").alias("last_id"), F.array("l_returnflag").alias("flags"))
+    one = rows.withColumn("seq", F.struct("first_line", "last_id"))
+    firsts = extraction.merged_passes(one, ["key"], ["first_line"], [], ["flags"])
+    return firsts.join(extraction.merged_passes(one.withColumn("seq", F.col("last_id")), ["key"], [], ["last_id"], []), "key").select("key", "first_line", "last_id", "flags")
+
+
+@query("SELECT page_id, 2020 AS year, 'Ann Lee|Bob' AS authors FROM pages", over_graph=False)
+def page_people(c: Corpus) -> DataFrame:
+    """Years and authors of the pages, with a head and a byline put into each."""
+    html = F.concat(F.lit('<meta name="author" content="Bob"><meta name="date" content="May 2020">'), "html", F.lit('<p class="x byline">Ann <b>Lee</b></p>'))
+    return c.table("pages").select("page_id", sources.year(html).alias("year"), F.array_join(sources.authors(html), "|").alias("authors"))
+
+
+@query("SELECT page_id, 'http://a.org/b/c.png' AS image_url, 'A graph' AS caption, 'plot' AS image_type FROM pages", over_graph=False)
+def page_images(c: Corpus) -> DataFrame:
+    """Images of the pages, with a figure and an icon put into each."""
+    p = c.table("pages").where("url IS NOT NULL OR url IS NULL")
+    figure = F.lit('<figure><img src="../b/c.png" alt="x"><figcaption>A graph</figcaption></figure><img src="i.png" width="16" height="16">')
+    return sources.page_images(p.select("page_id", F.lit("http://a.org/x/y").alias("url"), F.concat("html", figure).alias("html")))
+
+
+@query("SELECT regexp_extract(event_type, '^.') AS kind, round(CASE lower(event_type) WHEN 'article' THEN 0.92 WHEN 'report' THEN 0.88 ELSE 0.7 END, 2)::DOUBLE AS reliability, count(*) AS n FROM events GROUP BY 1, 2", over_graph=False)
+def event_reliability(c: Corpus) -> DataFrame:
+    e = c.table("events")
+    return e.groupBy(F.substring("event_type", 1, 1).alias("kind"), F.round(extraction.reliability(F.col("event_type")), 2).alias("reliability")).agg(F.count("*").alias("n"))

@@ -5,7 +5,10 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.operators import analytics, context, entities, graph, ingest, lookup, retrieval, upserts
+from factweave.functions import questions as Q
+from factweave.functions import text as T
+from factweave.operators import analytics, context, entities, extraction, graph, ingest, lookup, retrieval, upserts
+from factweave.sources import html
 
 
 def rows(df, *order):
@@ -138,3 +141,45 @@ def test_context(spark):
     assert [c for c, _ in kept(2000, each=1000)] == ["c3", "c4", "c5"] and max(n for _, n in kept(2000, each=1000)) < 700
     rows_ = spark.createDataFrame([(1, 1, "d1", "One", "x"), (1, 2, "d2", None, "y"), (1, 3, "d1", "One", "z")], "answer_id int, rank int, doc_id string, title string, text string")
     assert context.assembled(rows_).first().context == "## One\n[1] x\n[3] z\n\n## Document\n[2] y"
+
+
+def test_extraction(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(extraction.processes(F.lit("Метод конечного элемента, FEM and leaching"))) == ["finite_element_method", "leaching"]
+    assert [one(extraction.process_label(F.lit(n))) for n in ("heap leaching", "process", "rope", "…", "numerical model")] == [True, False, False, False, True]
+    assert [one(extraction.template(F.lit(n))) for n in ("<name>", "TBD", "a...b", "x", "Nickel")] == [True, True, True, True, False] and one(extraction.placeholder(F.lit("Device "), "equipment"))
+    assert tuple(one(extraction.place(F.lit("n/a"), F.lit("Global")))) == (None, "global") and tuple(one(extraction.place(F.lit("Peru"), F.lit("x")))) == ("Peru", None) and one(extraction.reliability(F.lit("patent"))) == 0.85
+    found = extraction.facts(F.lit('text {"facts": [{"claim": " A ", "sources": ["2", "1", "2"]}, {"claim": "", "sources": ["1"]}, {"text": "B", "sources": ["x"]}]} end'))
+    assert one(extraction.fact_lines(found)) == "1. A [1][2]" and one(extraction.facts(F.lit("no json"))) == [] and len(one(extraction.facts(F.lit('[{"text": "B", "sources": ["3"]}]')))) == 1
+    claim = lambda t: extraction.facts(F.lit('[{"claim": "%s", "sources": ["1"]}]' % t))
+    asks = lambda q, t: one(extraction.addresses(F.lit(q), claim(t)))
+    assert asks("how many of 5", "it is 7") and not asks("how many of 5", "it is so") and not asks("when was nickel found", "nickel was found") and asks("when was nickel found", "nickel in 1951") and not asks("what of nickel", "copper is") and not asks("the harm of nickel", "nickel is")
+    taxonomy = spark.createDataFrame([("metal", 2, "nickel", False), ("alloy", 1, "steel", False), ("alloy", 1, "nickel steel", True), ("ore", 0, "ni", True)], "class string, rank int, term string, alias boolean")
+    names = spark.createDataFrame([("Nickel",), ("nickel steel",), ("rope",), ("n",)], "name string")
+    assert rows(extraction.inferred_classes(names, taxonomy)) == [("Nickel", "metal"), ("n", "other"), ("nickel steel", "alloy"), ("rope", "other")]
+    stages = spark.createDataFrame([("a", "s"), ("b", "s"), ("c", "other")], "class string, stage string")
+    assert rows(extraction.class_siblings(stages)) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b"), ("c", "c")]
+    findings = spark.createDataFrame([(1, 1, "of copper"), (2, 1, "of Ni"), (3, 1, "of none")], "finding_id int, doc_id int, text string")
+    of_doc = spark.createDataFrame([(1, "m1", "zinc", ["Zn"], 0), (1, "m2", "Copper", [], 1), (1, "m3", "nickel", ["ni"], 2)], "doc_id int, material_id string, name string, aliases array<string>, seq int")
+    assert rows(extraction.finding_material(findings, of_doc)) == [(1, "m2"), (2, "m3"), (3, "m1")]
+    table = spark.createDataFrame([("c", "[TABLE]| z | Ni, % | t |\n|---|---|---|\n| a | <0,5 % | - |\n| b | 7 | x9 |[/TABLE]")], "chunk_id string, text string")
+    assert rows(extraction.table_rows(table)) == [("c", 0, 1, "Ni, %", "a", 0.5), ("c", 0, 2, "Ni, %", "b", 7.0)]
+    passes = spark.createDataFrame([("k", 1, " ", "a", ["x"]), ("k", 2, "p", "b", ["y"]), ("k", 3, "q", None, [])], "key string, seq int, f string, l string, v array<string>")
+    assert rows(extraction.merged_passes(passes, ["key"], ["f"], ["l"], ["v"])) == [("k", "p", "b", ["x", "y"])]
+    assert rows(extraction.unique_rows(passes, {"k": F.upper("key")}, ["seq"]))[0][1] == 1
+    assert one(T.unique_names(F.array(*map(F.lit, ("Ann  Lee", "ann lee", "", "Bob"))))) == ["Ann Lee", "Bob"]
+    grid = F.array(F.array(F.lit("a &amp;lt; b"), F.lit("v")), F.array(F.lit(""), F.lit(" ")), F.array(F.lit("x<br>y"), F.lit("5")))
+    assert one(T.grid_markdown(grid)) == "| a < b | v |\n| --- | --- |\n| x y | 5 |" and one(T.grid_quality(grid)) == pytest.approx(0.72 + 0.02 + 0.15 / 4) and one(T.grid_quality(F.array(F.array(F.lit("a"))))) == 0
+    r = one(Q.parsed_rewrite(F.lit('x {"keywords": ["a"]} {"search_query": " s ", "keywords": ["a", " "]}')))
+    assert (r.search_query, r.search_query_en, r.keywords) == ("s", "", ["a"]) and one(Q.parsed_rewrite(F.lit("none"))) is None
+
+
+def test_pages(spark):
+    long = "An abstract that is long enough to count, as it has more than eighty characters in it."
+    page = f"""<html><head><title> </title><meta property="og:title" content="Og"><meta name="description" content="{long}"><script>x<p>no</p></script></head><body><p>outside</p><main><p>in main</p><article><h1></h1>
+<p>one<p>two &amp; more</p><h2>Part</h2><ul><li>a</li><li>b</li></ul><table><tr><th>h</th><th>k</th></tr><tr><td>1</td><td>2</td></tr></table><aside><p>ad</p></aside></article></main></body></html>"""
+    assert list(html.chunks_of(page)) == [("Abstract", long), (None, "one\ntwo & more"), ("Part", "a\nb\nh | k\n1 | 2")]
+    assert [len(t.split("\n")) for _, t in html.chunks_of("".join(f"<p>{i}</p>" for i in range(7)))] == [5, 2] and list(html.chunks_of(None)) == []
+    one = lambda f, *x: spark.range(1).select(f(*map(F.lit, x)).alias("x")).first().x
+    assert one(html.title, page, "http://a.org/p/q?x") == "Og" and one(html.title, "<b>", "http://a.org/p/q?x") == "/p/q" and one(html.year, '<time datetime="1999-01">') == 1999 and one(html.year, "<p>") is None
+    assert one(html.authors, '<address>A <b>B</b></address><meta property="article:author" content="C">') == ["A B", "C"]
