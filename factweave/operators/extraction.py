@@ -134,3 +134,44 @@ def unique_rows(rows: DataFrame, keys: dict[str, Column], order: list[str]) -> D
     marked = rows.withColumns({f"_k_{n}": c for n, c in keys.items()})
     place = F.row_number().over(Window.partitionBy(*(f"_k_{n}" for n in keys)).orderBy(*order))
     return marked.withColumn("_place", place).where("_place = 1").select(*rows.columns)
+
+
+def resolved_title(core: Column, heading: Column, paragraphs: Column, stem: Column) -> Column:
+    """A document's title: its own property, else its heading, else the first paragraph of 12 to 280 characters, else its file's name; texts shaped like a person's or organisation's name are none."""
+    named = lambda c: K.person(T.entity_name(c)) | K.organisation(T.entity_name(c))
+    usable = lambda c: F.when((T.strip(c) != "") & ~named(c), T.strip(c))
+    body = F.get(F.filter(F.transform(paragraphs, T.strip), lambda p: F.length(p).between(12, 280) & ~named(p)), F.lit(0))
+    return F.coalesce(usable(core), usable(heading), body, T.upload_title(stem))
+
+
+def titled_processes(chunks: DataFrame) -> DataFrame:
+    """Section titles of chunks (doc_id, section_title) that name a process, each once a document: doc_id, key, name."""
+    clean = chunks.select("doc_id", T.entity_name(F.col("section_title")).alias("name")).where(process_label(F.col("name")))
+    return clean.groupBy("doc_id", T.canonical_key(F.col("name")).alias("key")).agg(F.min("name").alias("name"))
+
+
+def to_translate(strings: DataFrame, language: str) -> DataFrame:
+    """Distinct strings (text) that are not in the language: with letters, most of them of the other script, and without a glossary name in the language."""
+    cyrillic, latin = T.count(F.col("text"), T.CYRILLIC), T.count(F.col("text"), "[A-Za-z]")
+    foreign = cyrillic > latin if language == "en" else latin > cyrillic
+    known = T.strip(F.col("text")) != T.glossary_name(F.col("text"), language)
+    return strings.select("text").distinct().where(foreign & ~known)
+
+
+def distinct_tables(tables: DataFrame, overlap: float = 0.5) -> DataFrame:
+    """Tables of each page (doc_id, page, x0, y0, x1, y1, quality, text) without those that share half of the smaller area with a better one: the best quality first, then the longest text.
+
+    A page's few tables are judged together, page by page.
+    """
+
+    def keep(page):
+        page = page.assign(n=page.text.str.len().fillna(0)).sort_values(["quality", "n", "y0", "x0"], ascending=[False, False, True, True])
+        chosen = []
+        for t in page.itertuples(index=False):
+            area = max(1.0, (t.x1 - t.x0) * (t.y1 - t.y0))
+            shared = lambda o, t=t, area=area: max(0.0, min(t.x1, o.x1) - max(t.x0, o.x0)) * max(0.0, min(t.y1, o.y1) - max(t.y0, o.y0)) / min(area, max(1.0, (o.x1 - o.x0) * (o.y1 - o.y0)))
+            if all(shared(o) < overlap for o in chosen):
+                chosen.append(t)
+        return page.iloc[0:0].drop(columns="n") if not chosen else type(page)(chosen).drop(columns="n")
+
+    return tables.groupBy("doc_id", "page").applyInPandas(keep, tables.schema)

@@ -197,3 +197,9 @@ def json_ld(nodes: DataFrame, types: dict[str, str], edges: DataFrame | None = N
         return entities
     relation = F.to_json(F.struct(urn("src").alias("subject"), F.col("type").alias("predicate"), urn("dst").alias("object")))
     return entities.union(edges.select("src", "type", "dst").distinct().select(F.col("src").alias("id"), relation.alias("entity")))
+
+
+def chain_order(edges: DataFrame, most: int = 24) -> DataFrame:
+    """The nodes of a chain of up to ``most`` nodes in order, from the smaller of its two ends: id, place; nothing if no node has one link alone."""
+    ends = degrees(edges.select("src", "dst").distinct()).where("degree = 1").agg(F.min("id").alias("id")).where("id IS NOT NULL")
+    return reach(edges, ends, most - 1).select("id", F.col("distance").alias("place"))

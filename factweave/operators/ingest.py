@@ -120,3 +120,14 @@ def consolidated(matches: DataFrame, key: str) -> DataFrame:
     """Documents that are not the newest of their key: id, keeper."""
     keep = newest(matches, key).select(key, F.col("existing_id").alias("keeper"))
     return matches.join(keep, key).where("id <> keeper").select("id", "keeper").distinct()
+
+
+def sampled_images(images: DataFrame, pages: int = 48, each: int = 2, most: int = 36, least: int = 2400) -> DataFrame:
+    """Images of each document (doc_id, page, size, sha) that stand for it: of ``pages`` evenly spaced pages the ``each`` largest of ``least`` bytes or more, ``most`` a document in the order of pages; a content counts once, at its first place."""
+    by_doc, place = Window.partitionBy("doc_id"), lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("size"), "sha"))
+    stride = F.greatest(F.lit(1), F.ceil(F.max("page").over(by_doc) / pages))
+    held = images.withColumn("stride", stride).where(((F.col("page") - 1) % F.col("stride") == 0) & (F.col("size") >= least))
+    first = held.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("page", F.desc("size")))).where("copy = 1")
+    top = first.withColumn("place", place("doc_id", "page")).where(F.col("place") <= each)
+    kept = top.withColumn("n", F.row_number().over(by_doc.orderBy("page", "place"))).where(F.col("n") <= most)
+    return kept.select("doc_id", "page", "size", "sha")

@@ -448,3 +448,24 @@ def page_images(c: Corpus) -> DataFrame:
 def event_reliability(c: Corpus) -> DataFrame:
     e = c.table("events")
     return e.groupBy(F.substring("event_type", 1, 1).alias("kind"), F.round(extraction.reliability(F.col("event_type")), 2).alias("reliability")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, page, size, sha FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, place) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY size DESC, sha) AS place FROM (
+SELECT *, row_number() OVER (PARTITION BY doc_id, sha ORDER BY page, size DESC) AS copy FROM (SELECT l_suppkey AS doc_id, 1 + l_orderkey % 60 AS page, l_extendedprice AS size, 'i' || l_partkey AS sha, max(1 + l_orderkey % 60) OVER (PARTITION BY l_suppkey) AS top FROM li)
+WHERE (page - 1) % greatest(1, ceil(top / 48.0)) = 0 AND size >= 2400) WHERE copy = 1) WHERE place <= 2) WHERE n <= 36""")
+def sampled_images(c: Corpus) -> DataFrame:
+    images = c._items.select(F.col("l_suppkey").alias("doc_id"), (1 + F.col("l_orderkey") % 60).alias("page"), F.col("l_extendedprice").alias("size"), F.concat(F.lit("i"), "l_partkey").alias("sha"))
+    return ingest.sampled_images(images)
+
+
+@query("SELECT DISTINCT p_type || ' (тест данных и слов)' AS text FROM part", over_graph=False)
+def strings_to_translate(c: Corpus) -> DataFrame:
+    p = c.table("part")
+    return extraction.to_translate(p.select(F.concat("p_type", F.lit(" (тест данных и слов)")).alias("text")).union(p.select("p_name")), "en")
+
+
+@query("SELECT l_orderkey AS doc_id, 'leaching_' || lower(l_returnflag) AS key, 'Leaching ' || l_returnflag AS name FROM li GROUP BY l_orderkey, l_returnflag")
+def titled_processes(c: Corpus) -> DataFrame:
+    rows = c._items.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit(" Leaching  "), "l_returnflag", F.lit(".")).alias("section_title"))
+    return extraction.titled_processes(rows.unionByName(rows.withColumn("section_title", F.lit("Of the rope"))))
+

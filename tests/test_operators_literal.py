@@ -183,3 +183,18 @@ def test_pages(spark):
     one = lambda f, *x: spark.range(1).select(f(*map(F.lit, x)).alias("x")).first().x
     assert one(html.title, page, "http://a.org/p/q?x") == "Og" and one(html.title, "<b>", "http://a.org/p/q?x") == "/p/q" and one(html.year, '<time datetime="1999-01">') == 1999 and one(html.year, "<p>") is None
     assert one(html.authors, '<address>A <b>B</b></address><meta property="article:author" content="C">') == ["A B", "C"]
+
+
+def test_titles_tables_and_chains(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    none = F.lit(None).cast("string")
+    paragraphs = F.array(F.lit("short"), F.lit("J. Smith"), F.lit("A study of the rope and its ends"))
+    assert one(extraction.resolved_title(F.lit("Acme Group"), none, paragraphs, F.lit("a_b.docx"))) == "A study of the rope and its ends"
+    assert one(extraction.resolved_title(none, F.lit(" On rope "), paragraphs, F.lit("x"))) == "On rope" and one(extraction.resolved_title(none, none, F.array().cast("array<string>"), F.lit("a_b.docx"))) == "a b"
+    boxes = [(1, 1, 0, 0, 10, 10, 0.5, "a"), (1, 1, 1, 1, 9, 9, 0.9, "b"), (1, 1, 20, 0, 30, 10, 0.1, "c"), (1, 2, 0, 0, 10, 10, 0.5, "d")]
+    tables = spark.createDataFrame([(*b[:2], *map(float, b[2:7]), b[7]) for b in boxes], "doc_id long, page long, x0 double, y0 double, x1 double, y1 double, quality double, text string")
+    assert sorted(r.text for r in extraction.distinct_tables(tables).collect()) == ["b", "c", "d"]
+    chain = spark.createDataFrame([("c", "a"), ("b", "c"), ("b", "d")], "src string, dst string").withColumn("type", F.lit("x"))
+    assert rows(graph.chain_order(chain), "place") == [("a", 0), ("c", 1), ("b", 2), ("d", 3)]
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string").withColumn("type", F.lit("x"))
+    assert graph.chain_order(ring).count() == 0
