@@ -12,14 +12,26 @@ from factweave.llm.components import shared_folder
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no letter, or no language with half of the text."""
+    """Drop documents without a language: no letter, or no language with half of the text.
+
+    Null and empty texts have no letter and go.  Each row is judged by itself, so
+    repeated rows and ids and null ids go or stay alike; a very long text is judged
+    whole; if no row has a language to learn from, all go; an empty table stays empty.
+    All columns are handed on, whatever their names.
+    """
     model = language_id.train(docs.where(~language_id.held_out()))
     kept = language_id.predict(docs, model, keep=tuple(docs.columns)).where("lang_pred <> 'und' AND score >= 0.5")
     return kept.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop repeated lines, and documents of which nothing is left."""
+    """Drop repeated lines, and documents of which nothing is left.
+
+    Of a line and those within one word edit of it the one in the smallest (id, line)
+    stays.  Rows that repeat an id drop the same lines; rows without id keep all theirs;
+    a text without words stays as it is, null as the empty text; n_chars is counted
+    anew; an empty table stays empty.  All other columns are handed on.
+    """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cleaned = line_dedup.line_dedup(docs, keep=others).where("n_dropped = 0 OR trim(text) <> ''")
     return cleaned.select("doc_id", "text", *(F.col(f"kept_{c}").alias(c) for c in others), F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
@@ -50,14 +62,22 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop rows that hold a window of a benchmark item, each by its own text, with or without id."""
+    """Drop rows that hold a window of a benchmark item, each by its own text, with or without id.
+
+    Null and empty texts hold none and stay, as do all rows if there are no items;
+    rows equal in every column go or stay together; an empty table stays empty.
+    """
     keyed = docs.withColumn("row_key", row_key(docs))
     hit = decontaminate.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_key").where("contaminated").select("row_key")
     return keyed.join(hit, "row_key", "left_anti").select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with digests that prove the round trip."""
+    """Token counts of what is left, with digests of the ids and of the bytes decoded from them.
+
+    A row for each row: null and empty texts have no tokens, null and repeated ids are
+    handed on, long texts are encoded by piece, an empty table stays empty.
+    """
     import public_tokenizers
 
     return bpe.bpe_codec(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
