@@ -47,6 +47,9 @@ def render(messages: DataFrame) -> DataFrame:
 
     The formatted string is one value, so a conversation is put together in one
     task; lengths and offsets are running sums, not folds over growing arrays.
+    Roles and texts are not null here (``fold`` makes nulls empty); a null conv_id is a
+    conversation of its own; very long texts and many turns make one long string; other
+    columns are not looked at.
     """
     body = escape(F.col("text"))
     head = F.when(F.col("role") == "user", "[INST] ").when(F.col("role") == "assistant", " ").otherwise(F.concat(F.lit("[TURN "), F.url_encode("role"), F.lit("] ")))
