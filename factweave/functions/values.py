@@ -224,3 +224,23 @@ PLACEHOLDERS = {
     "field": ["field", "discipline", "specialty", "area", "область", "специальность"],
 }
 RELIABILITY = {"article": 0.92, "report": 0.88, "patent": 0.85, "thesis": 0.80, "other": 0.70}
+# Phrases that name an experiment, numbers that stand in the text with their unit, words of an experiment's label, headers of properties.
+EXPERIMENT_PHRASES = [
+    (r"верификационн[\p{L}\p{N}_]*\s+модел", "verification_model"),
+    (r"расчетн[\p{L}\p{N}_]*\s+(?:модел|схем|задач)", "computational_model"),
+    (r"численн[\p{L}\p{N}_]*\s+(?:эксперимент|расчет|расчёт|моделир|исслед)", "numerical_experiment"),
+    (r"моделирование\s+(?:тектон|разлом|ослаблен|брус|конечн|упруг)", "geotechnical_simulation"),
+    (r"полев[\p{L}\p{N}_]*\s+(?:испытан|эксперимент|исследован)", "field_experiment"),
+    (r"лабораторн[\p{L}\p{N}_]*\s+(?:испытан|эксперимент)", "laboratory_experiment"),
+    (r"статическ[\p{L}\p{N}_]*\s+(?:расчет|расчёт|анализ|испытан)", "static_test"),
+    (r"динамическ[\p{L}\p{N}_]*\s+(?:расчет|расчёт|анализ|испытан)", "dynamic_test"),
+]
+INLINE_NUMBERS = {
+    "elastic_modulus": (r"(?:модуль\s+)?(?:упругости|Young(?:'s)?(?:\s+modulus)?|E)\s*[=:]\s*([\d.,]+)\s*(MPa|GPa|kPa|Pa|МПа|ГПа)?", "MPa"),
+    "poisson_ratio": (r"(?:коэфф\.?\s+)?(?:Пуассона|Poisson(?:'s)?|ν)\s*[=:]\s*([\d.,]+)()", ""),
+    "density": (r"(?:плотност[\p{L}\p{N}_]*|density)\s*[=:]\s*([\d.,]+)\s*(kg/m3|kg/m³|g/cm3|g/cm³)?", "kg/m3"),
+}
+EXPERIMENT_HINTS = [
+    "model", "simulation", "experiment", "study", "analysis", "verification", "calculation", "computational", "numerical", "test", "run", "case", "модел", "эксперимент", "расчет", "расчёт", "верификац", "численн",
+    "испытан", "исследован", "анализ", "схем",
+]

@@ -175,3 +175,57 @@ def distinct_tables(tables: DataFrame, overlap: float = 0.5) -> DataFrame:
         return page.iloc[0:0].drop(columns="n") if not chosen else type(page)(chosen).drop(columns="n")
 
     return tables.groupBy("doc_id", "page").applyInPandas(keep, tables.schema)
+
+
+def experiment_label(name: Column) -> Column:
+    """Whether a name can be an experiment's."""
+    clean = T.entity_name(name)
+    return (F.length(clean) >= 6) & ~template(clean) & T.any_of(F.lower(clean), V.EXPERIMENT_HINTS)
+
+
+def inline_numbers(text: Column) -> Column:
+    """Numbers that a text states of itself ("E = 5 GPa"): the first of each property, as structs of property, value and unit."""
+
+    def found(prop: str, pattern: str, unit: str) -> Column:
+        part = lambda i: F.regexp_extract(text, f"(?iu){pattern}", i)
+        own = F.coalesce(F.nullif(part(2), F.lit("")), F.nullif(F.lit(unit), F.lit("")))
+        return F.when(part(1) != "", F.struct(F.lit(prop).alias("property"), T.plain_number(F.regexp_replace(part(1), "[.,]+$", "")).alias("value"), own.alias("unit")))
+
+    return F.array_compact(F.array(*(found(p, pattern, unit) for p, (pattern, unit) in V.INLINE_NUMBERS.items())))
+
+
+def experiments(text: Column) -> Column:
+    """Keys of the experiments that a text names; inline_parameters if it names none but states numbers."""
+    phrased = F.array_compact(F.array(*(F.when(T.has(text, f"(?iu){p}"), F.lit(k)) for p, k in V.EXPERIMENT_PHRASES)))
+    return T.bind(phrased, lambda p: F.when((F.size(p) == 0) & (F.size(inline_numbers(text)) > 0), F.array(F.lit("inline_parameters"))).otherwise(p))
+
+
+def experiment_fingerprint(name: Column, parameters: Column, measured: Column) -> Column:
+    """What makes two experiments one: name, parameters but for the status, and measured values (maps), in order of keys."""
+    cells = lambda m, skip=(): F.array_join(F.array_sort(F.transform(F.filter(F.map_entries(m), lambda e: ~e["key"].isin(*skip) if skip else F.lit(True)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), "|")
+    return F.concat_ws("|", F.lower(T.strip(F.coalesce(name, F.lit("")))), cells(parameters, ("status",)), cells(measured))
+
+
+def pruned_bullets(answers: DataFrame, sources: DataFrame, focus: list[str] | None = None) -> DataFrame:
+    """Answers (answer_id, answer) without numbered lines that are bare headings and have no support: answer_id, answer.
+
+    A heading (up to seven capitalised words, no number) stays if its cited excerpts
+    (``sources``: answer_id, n, text) hold it, are no list of short lines, and hold a
+    word of ``focus``, if any.
+    """
+    lines = answers.select("answer_id", F.posexplode(F.split("answer", "\n")).alias("i", "line"))
+    claim = T.strip(F.regexp_extract("line", r"^\s*\d+\.\s+(.+?)(?:\s+\[\d+(?:\s*,\s*\d+)*\])+\s*$", 1))
+    bare = F.regexp_replace(claim, r"\.+$", "")
+    names = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+    letter = lambda w: F.substring(w, 1, 1)
+    capital = F.forall(names, lambda w: (F.upper(letter(w)) == F.lower(letter(w))) | ((F.upper(letter(w)) == letter(w)) & (F.lower(letter(w)) != letter(w))))
+    marked = lines.select("answer_id", "i", "line", claim.alias("claim"), ((claim != "") & (F.length(bare) <= 80) & ~T.has(bare, r"\d") & F.size(names).between(1, 7) & capital).alias("heading"))
+    cited = marked.where("heading").select("answer_id", "i", F.explode(F.transform(T.every(F.col("line"), r"\[(\d+)\]", 1), lambda n: n.cast("int"))).alias("n")).join(sources, ["answer_id", "n"])
+    texts = cited.groupBy("answer_id", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]), "\n").alias("held"))
+    short = lambda x: (F.length(x) < 55) & (F.size(F.split(x, r"\s+")) <= 6)
+    listed = F.filter(F.transform(F.split("held", "\n"), T.strip), lambda x: x != "")
+    contents = (F.size(listed) >= 3) & (F.size(F.filter(listed, short)) / F.size(listed) >= 0.55)
+    supported = F.contains(F.lower("held"), F.lower("claim")) & ~contents & (T.any_of(F.lower("held"), [f.lower() for f in focus]) if focus else F.lit(True))
+    kept = marked.join(texts, ["answer_id", "i"], "left").where(~F.col("heading") | F.coalesce(supported, F.lit(False)))
+    whole = kept.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("kept"))
+    return answers.select("answer_id").join(whole, "answer_id", "left").select("answer_id", F.coalesce("kept", F.lit("")).alias("answer"))

@@ -469,3 +469,23 @@ def titled_processes(c: Corpus) -> DataFrame:
     rows = c._items.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit(" Leaching  "), "l_returnflag", F.lit(".")).alias("section_title"))
     return extraction.titled_processes(rows.unionByName(rows.withColumn("section_title", F.lit("Of the rope"))))
 
+
+
+_TRIED = " || ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN ['{k}'] ELSE []::VARCHAR[] END" for p, k in V.EXPERIMENT_PHRASES)
+
+
+@query(f"SELECT doc_id, array_to_string(CASE WHEN len(k) = 0 THEN ['inline_parameters'] ELSE k END, '|') AS experiments, 7.5::DOUBLE AS density FROM (SELECT doc_id, {_TRIED} AS k FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))", over_graph=False)
+def document_tests(c: Corpus) -> DataFrame:
+    """Experiments that the texts name, each with a density put before it."""
+    text = F.concat(F.lit("density = 7,5 kg/m3 "), F.coalesce("text", F.lit("")))
+    d = c.table("documents").select("doc_id", text.alias("t"))
+    return d.select("doc_id", F.array_join(extraction.experiments(F.col("t")), "|").alias("experiments"), F.filter(extraction.inline_numbers(F.col("t")), lambda x: x["property"] == "density")[0]["value"].alias("density"))
+
+
+@query("SELECT conv_id AS answer_id, string_agg(CASE turn % 2 WHEN 0 THEN '1. Ore And Slag [1].x' || turn ELSE '2. Nickel Matte [1]' END, chr(10) ORDER BY turn) AS answer FROM questions GROUP BY 1")
+def pruned_bullets(c: Corpus) -> DataFrame:
+    """Answers of lines that no rule takes for headings, of supported headings, and of headings without support."""
+    line = F.when(F.col("turn") % 2 == 0, F.format_string("1. Ore And Slag [1].x%d", "turn")).otherwise("2. Nickel Matte [1]")
+    rows = c.questions.select("conv_id", F.struct("turn", F.lit(0).alias("k"), line.alias("s")).alias("x")).union(c.questions.select("conv_id", F.struct("turn", F.lit(1).alias("k"), F.lit("3. Iron Ore [1]").alias("s"))))
+    answers = rows.groupBy(F.col("conv_id").alias("answer_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "\n").alias("answer"))
+    return extraction.pruned_bullets(answers, answers.select("answer_id", F.lit(1).alias("n"), F.lit("It is said that nickel matte was made of it in the end.").alias("text")))

@@ -198,3 +198,16 @@ def test_titles_tables_and_chains(spark):
     assert rows(graph.chain_order(chain), "place") == [("a", 0), ("c", 1), ("b", 2), ("d", 3)]
     ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string").withColumn("type", F.lit("x"))
     assert graph.chain_order(ring).count() == 0
+
+
+def test_experiments_and_bullets(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(extraction.experiments(F.lit("Численный эксперимент и полевые испытания"))) == ["numerical_experiment", "field_experiment"] and one(extraction.experiments(F.lit("E = 5,5 ГПа"))) == ["inline_parameters"] and one(extraction.experiments(F.lit("rope"))) == []
+    assert [tuple(x) for x in one(extraction.inline_numbers(F.lit("модуль упругости: 210 GPa, ν=0.3; density = 7,8.")))] == [("elastic_modulus", 210.0, "GPa"), ("poisson_ratio", 0.3, None), ("density", 7.8, "kg/m3")]
+    assert one(extraction.experiment_label(F.lit("Field test run"))) and not one(extraction.experiment_label(F.lit("rope"))) and not one(extraction.experiment_label(F.lit("study")))
+    maps = lambda d: F.create_map(*(F.lit(x) for p in d.items() for x in p)) if d else F.create_map().cast("map<string,string>")
+    assert one(extraction.experiment_fingerprint(F.lit(" Leach "), maps({"t": "5", "status": "x", "a": "1"}), maps({"q": "2"}))) == "leach|a=1|t=5|q=2"
+    answers = spark.createDataFrame([(1, "Facts:\n1. Heap Leaching [1]\n2. Zinc Removal [2]\n3. Ore [1] [2]\n4. Leaching of 5 t [9]\n5. Copper Matte [3]"), (2, "1. Alone [1]")], "answer_id int, answer string")
+    texts = spark.createDataFrame([(1, 1, "They tried heap leaching of ore for a long while, and it worked out well."), (1, 2, "Zinc Removal\nScope\nAim"), (1, 3, "nothing here")], "answer_id int, n int, text string")
+    assert rows(extraction.pruned_bullets(answers, texts)) == [(1, "Facts:\n1. Heap Leaching [1]\n4. Leaching of 5 t [9]"), (2, "")]
+    assert rows(extraction.pruned_bullets(answers, texts, ["gold"])) == [(1, "Facts:\n4. Leaching of 5 t [9]"), (2, "")]
