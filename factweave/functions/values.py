@@ -244,3 +244,25 @@ EXPERIMENT_HINTS = [
     "model", "simulation", "experiment", "study", "analysis", "verification", "calculation", "computational", "numerical", "test", "run", "case", "модел", "эксперимент", "расчет", "расчёт", "верификац", "численн",
     "испытан", "исследован", "анализ", "схем",
 ]
+
+#: Words that tell no material; words of processes by the stage of a material's class; processes that a material's name hints at.
+MATERIAL_TERM_STOP = ["and", "the", "of", "for", "raw", "materials", "material", "ore", "metal"]
+STAGE_WORDS = {
+    "feedstock": ["mining", "beneficiation", "flotation", "heap", "leaching"],
+    "beneficiation": ["beneficiation", "flotation", "concentrate"],
+    "processing": ["pyrometallurgy", "smelting", "roasting", "leaching", "hydro", "electrowinning"],
+    "product": ["refining", "electrowinning"],
+    "engineering": ["water", "treatment", "recycling", "waste"],
+}
+NAME_HINTS = {
+    "catholyte": ["electrowinning", "electro"],
+    "anolyte": ["electrowinning", "electro"],
+    "matte": ["pyrometallurgy", "smelting"],
+    "slag": ["pyrometallurgy", "smelting"],
+    "gypsum": ["leaching", "hydro", "waste", "water", "recycling"],
+    "sulfate": ["electrowinning", "refining", "nickel", "cobalt"],
+    "nickel": ["nickel", "refining", "electrowinning", "cobalt"],
+    "copper": ["copper", "smelting", "refining"],
+    "rom": ["mining", "beneficiation", "heap", "leaching"],
+    "concentrate": ["flotation", "beneficiation", "smelting"],
+}
