@@ -47,7 +47,7 @@ def _read(batch: pa.RecordBatch):
     raw, at = B.buffers(batch.column("text"))
     starts, ends, hashes, first = B.words(raw, at, _WORD)
     text = B.owner(first)
-    breaks = np.cumsum(_BREAK[raw], dtype=np.int64)
+    breaks = np.cumsum(_BREAK[raw], dtype=np.int32)
     piece = breaks[starts] if len(starts) else np.empty(0, np.int64)
     return raw, starts, ends, hashes, piece, text
 
@@ -69,7 +69,7 @@ def _mine(sizes: tuple[int, ...], shared: Broadcast | None, below: int):
 
     def run(batches: Iterator[pa.RecordBatch]):
         table = shared.value if shared else None
-        for batch in B.portions(batches, "text", 1 << 23):
+        for batch in B.portions(batches, "text", 1 << 22):
             *_, hashes, piece, text = _read(batch)
             group = batch.column("grp").to_numpy().view(np.uint64)[text] if len(text) else np.empty(0, np.uint64)
             if table is not None:
@@ -103,7 +103,7 @@ def _exact(longest: int, shared: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]):
         table = shared.value
-        for batch in B.portions(batches, "text", 1 << 23):
+        for batch in B.portions(batches, "text", 1 << 22):
             raw, starts, ends, hashes, piece, text = _read(batch)
             if not len(starts):
                 continue
@@ -124,7 +124,7 @@ def _exact(longest: int, shared: Broadcast):
     return run
 
 
-def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 5, min_count: int = 100, shards: int = 8) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 5, min_count: int = 100, shards: int = 4) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words that occur ``min_count`` times in a language, with exact counts; and the words of each language.
 
     SON in two phases.  Every document belongs to one of ``shards`` shards, by the hash of its
@@ -173,7 +173,7 @@ def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     return exact, totals
 
 
-def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 5, min_count: int = 100, best: int = 2000, shards: int = 8) -> DataFrame:
+def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 5, min_count: int = 100, best: int = 2000, shards: int = 4) -> DataFrame:
     """The phrases of 2 to ``longest`` words of each language whose words stand together most beyond chance.
 
     Words are what stands between blanks, A-Z as a-z, in pieces that punctuation and line ends
@@ -190,6 +190,11 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     Columns: lang, rank, phrase, a, l, r, n, score.
     """
     counts, totals = frequent_phrases(docs, text_col=text_col, lang_col=lang_col, longest=longest, min_count=min_count, shards=shards)
+    return scored(counts, totals, best=best)
+
+
+def scored(counts: DataFrame, totals: DataFrame, *, best: int) -> DataFrame:
+    """Score the phrases of the tables of ``frequent_phrases`` at their lowest cut, without those that stand in longer ones as often (see collocations)."""
     parts = F.split("phrase", " ")
     phrases = counts.where("k > 1").select("lang", "phrase", F.col("n").alias("a"), "k", parts.alias("words"))
     joined = lambda first, size: F.array_join(F.slice("words", first, size), " ")
@@ -204,7 +209,7 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     of = lambda c, n: counts.select("lang", F.col("phrase").alias(c), F.col("n").alias(n))
     cuts = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"]).withColumn("lang_key", F.xxhash64("lang")).join(totals, "lang_key")
     wide = lambda c: F.col(c).cast("decimal(19,0)")
-    score = F.call_function("div", F.lit(1000).cast("decimal(4,0)") * wide("a").cast("decimal(15,0)") * wide("total"), wide("l") * wide("r"))
+    score = F.call_function("div", F.lit(1000).cast("decimal(4,0)") * F.col("a").cast("decimal(15,0)") * wide("total"), wide("l") * wide("r"))
     lowest = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "total").agg(F.min(F.struct("score", "cut", "l", "r")).alias("x"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     flat = lowest.select("lang", "phrase", "a", F.col("x.l").alias("l"), F.col("x.r").alias("r"), F.col("total").alias("n"), F.col("x.score").alias("score"))
