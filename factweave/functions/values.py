@@ -266,3 +266,6 @@ NAME_HINTS = {
     "rom": ["mining", "beneficiation", "heap", "leaching"],
     "concentrate": ["flotation", "beneficiation", "smelting"],
 }
+
+#: Kinds of facilities that an answer may name.
+FACILITY_TYPES = ["plant", "mine", "smelter", "refinery", "laboratory", "site"]

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from factweave.functions import values as V
 from factweave.operators.entities import _grams
@@ -17,7 +18,7 @@ from factweave.store import kept
 NEAR, BLOCK = 450, 1024
 
 
-@pandas_udf("array<struct<name:string,at:int>>")
+@pandas_udf(ArrayType(StructType().add("name", StringType()).add("at", IntegerType())))
 def found_at(text: pd.Series, names: pd.Series) -> pd.Series:
     """Every place, overlapping ones included, where a text holds one of some names."""
 

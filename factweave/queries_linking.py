@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.operators import linking
+from factweave.operators import answers, linking
 from factweave.plans.corpus_graph import Corpus
 from factweave.registry import query
 
@@ -63,3 +63,79 @@ def process_links(c: Corpus) -> DataFrame:
     processes = words.where("length(w) < 15").withColumn("seq", order).withColumn("start", F.substring("w", 1, 2)).join(own, ["doc_id", "start"], "left")
     processes = processes.select("doc_id", "seq", F.col("w").alias("process_id"), F.col("w").alias("name"), none, F.transform("x", lambda x: x["name"]).alias("listed"))
     return linking.material_processes(materials, processes, c.table("documents"), stage_words=_STAGES, name_hints=_HINTS)
+
+
+# Answers
+
+
+def _answers(c: Corpus) -> DataFrame:
+    """What a model might say about each part, whole, fenced, with closing commas, between prose, or with quotes of another kind and a foreign null."""
+    s, lit, size = F.struct, F.lit, F.col("p_size")
+    big = size > 25
+    text = lambda x: F.concat(x) if isinstance(x, str) else x
+    low = F.floor("p_retailprice").cast("string")
+    value = lambda v, unit=None: s(v.alias("value"), *([lit(unit).alias("unit")] if unit else []))
+    properties = s(
+        value(size, "mm").alias("size"), value(F.concat(low, lit(" – "), (F.floor("p_retailprice") + 10).cast("string"))).alias("price"), s(lit("kg").alias("unit")).alias("empty"),
+        s(s(size.alias("Ni"), lit("1-3").alias("Cu"), F.concat(lit("<"), size.cast("string")).alias("S")).alias("value"), lit("%").alias("unit")).alias("blend"),
+    )
+    material = s(F.concat("p_name", lit(" | plain "), F.substring_index("p_name", " ", -1)).alias("name"), F.array("p_brand").alias("aliases"), F.when(big, "Metal; ore").otherwise(F.col("p_type")).alias("material_class"), F.when(size % 2 == 1, "n/a|liquid").otherwise(F.col("p_type")).alias("state"), properties.alias("properties"))
+    generic = s(lit("alloy").alias("name"), F.array("p_brand").alias("aliases"))
+    regime = s(F.when(big, "mechanical").otherwise(F.col("p_type")).alias("regime_type"), F.lower("p_type").alias("name"), s(value(size).alias("speed")).alias("parameters"))
+    experiment = s(F.when(big, F.col("p_name")).otherwise(lit("...")).alias("material_name"), regime.alias("regime"), s(s(low.alias("value_min"), F.lit("9e9").alias("value_max")).alias("cost")).alias("measured_properties"), F.array("p_brand").alias("conclusions"))
+    washing = s(F.concat(lit("Washing "), F.lower("p_type"), lit("/ washing "), F.lower("p_type")).alias("name"), F.array("p_brand").alias("aliases"), F.array(text(F.col("p_name")), lit("...")).alias("materials"))
+    works = s(F.concat(lit("Works "), "p_brand").alias("name"), F.when(big, "n/a").otherwise(F.col("p_type")).alias("country"), F.when(size % 2 == 1, "Plant").otherwise("shop").alias("facility_type"))
+    expert = s(F.concat(F.initcap(F.substring_index("p_name", " ", -1)), lit(", "), F.initcap(F.substring_index("p_name", " ", 1))).alias("name"), F.when(big, "field").otherwise(F.col("p_type")).alias("field"))
+    json = F.to_json(s(
+        F.array(material, material.withField("name", generic["name"])).alias("materials"), F.array(experiment).alias("experiments"), F.array(F.to_json(washing), F.to_json(s(lit("process").alias("name"))), F.concat(lit("Leaching of "), "p_brand")).alias("processes"),
+        F.array(lit("unit"), F.concat(lit("Mixer "), size.cast("string")), F.concat(lit("mixer "), size.cast("string"))).alias("equipment"), F.array(works).alias("facilities"), F.array(expert, expert).alias("experts"), lit("@").alias("note"),
+    ))
+    kind = F.col("p_partkey") % 5
+    said = (
+        F.when(kind == 0, json).when(kind == 1, F.concat(lit("Well {as} asked:\n```json\n"), json, lit("\n```\nDone.")))
+        .when(kind == 2, F.concat(lit(" "), F.regexp_replace(json, r"\}$", ", }"))).when(kind == 3, F.concat(lit("So {it} is: "), json, lit(" and } that.")))
+        .otherwise(F.replace(F.translate(json, '"', "”"), lit("”@”"), lit("None")))
+    )
+    return c.table("part").select(F.col("p_partkey").alias("answer_id"), said.alias("answer"))
+
+
+def _objects(c: Corpus) -> DataFrame:
+    # Texts in lists of mixed kinds were written as texts of objects; lists of a model hold the objects themselves.
+    return _answers(c).select("answer_id", answers.answer_object(F.col("answer")).alias("object"))
+
+
+_PART = "WITH x AS (SELECT *, p_size > 25 AS big, string_split(p_name, ' ') AS w FROM part) "
+
+
+@query(_PART + """SELECT p_partkey AS answer_id, k % 2 AS part, CASE WHEN k = 0 THEN p_name ELSE 'plain ' || w[len(w)] END AS name, CASE WHEN k = 0 THEN p_brand ELSE '' END AS aliases,
+CASE WHEN k = 0 AND big THEN 'metal' END AS material_class, CASE WHEN p_size % 2 = 1 THEN 'liquid' ELSE 'solid' END AS state FROM x, (SELECT unnest([0, 1]) AS k) WHERE w[len(w)] <> 'ring' -- rings end as operations do""", over_graph=False)
+def answer_materials(c: Corpus) -> DataFrame:
+    return answers.materials(_objects(c)).select("answer_id", "part", "name", F.array_join("aliases", ",").alias("aliases"), "material_class", "state")
+
+
+@query(_PART + """, y AS (SELECT * FROM x WHERE w[len(w)] <> 'ring') SELECT p_partkey AS answer_id, 'size' AS property, p_size::VARCHAR AS value, NULL::DOUBLE AS low, NULL::DOUBLE AS high, 'mm' AS unit, NULL AS parts FROM y
+UNION ALL SELECT p_partkey, 'price', (floor(p_retailprice) + 5)::DOUBLE::VARCHAR, floor(p_retailprice), floor(p_retailprice) + 10, NULL, NULL FROM y
+UNION ALL SELECT p_partkey, 'blend', '{"Ni":"' || p_size || '.0","Cu":"1.0–3.0","S":"<' || p_size || '"}', NULL, NULL, '%', 'Ni ' || p_size || '.0, Cu 1.0–3.0, S <' || p_size FROM y""", over_graph=False)
+def answer_properties(c: Corpus) -> DataFrame:
+    rows = answers.materials(_objects(c)).select("answer_id", F.explode("properties").alias("p"))
+    parts = F.array_join(F.transform(F.map_entries("p.composition"), lambda e: F.concat_ws(" ", e["key"], e["value"])), ", ")
+    return rows.select("answer_id", F.col("p.name").alias("property"), "p.value", "p.low", "p.high", "p.unit", parts.alias("parts"))
+
+
+@query(_PART + """SELECT p_partkey AS answer_id, p_name AS material, 'mechanical' AS regime_type, lower(p_type) AS regime_name, p_size::VARCHAR AS speed, ((floor(p_retailprice) + 9e9) / 2) AS cost, p_brand AS conclusions FROM x WHERE big""", over_graph=False)
+def answer_experiments(c: Corpus) -> DataFrame:
+    e = answers.experiments(_objects(c))
+    return e.select("answer_id", "material", "regime_type", "regime_name", F.col("parameters")[0]["value"].alias("speed"), F.col("measured")[0]["value"].cast("double").alias("cost"), F.array_join("conclusions", ",").alias("conclusions"))
+
+
+@query(_PART + """SELECT p_partkey AS answer_id, 'process' AS kind, 'Washing ' || lower(p_type) AS name, p_name AS detail FROM x UNION ALL SELECT p_partkey, 'process', 'Leaching of ' || p_brand, '' FROM x
+UNION ALL SELECT p_partkey, 'equipment', 'Mixer ' || p_size, '' FROM x UNION ALL SELECT p_partkey, 'facility', 'Works ' || p_brand, CASE WHEN big THEN '' ELSE p_type END || CASE WHEN p_size % 2 = 1 THEN 'plant' ELSE '' END FROM x
+UNION ALL SELECT p_partkey, 'expert', upper(w[1][1]) || w[1][2:] || ' ' || upper(w[-1][1]) || w[-1][2:], CASE WHEN big THEN '' ELSE p_type END FROM x""", over_graph=False)
+def answer_names(c: Corpus) -> DataFrame:
+    objects = _objects(c)
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    row = lambda df, kind, detail: df.select("answer_id", F.lit(kind).alias("kind"), "name", detail.alias("detail"))
+    out = row(answers.processes(objects), "process", F.array_join("materials", ","))
+    out = out.union(row(answers.equipment(objects), "equipment", F.lit("")))
+    out = out.union(row(answers.facilities(objects), "facility", F.concat(blank(F.col("country")), blank(F.col("facility_type")))))
+    return out.union(row(answers.experts(objects), "expert", blank(F.col("field"))))
