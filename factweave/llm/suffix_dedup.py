@@ -389,9 +389,10 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     name = ["key", "h1", "h2"]
 
     sampled = held(texts.select("text").mapInArrow(_sampled(length), "key long, h1 long, h2 long, t1 long, t2 long, place long, least int, most int"))
-    repeated = sampled.groupBy("key").count().where("count > 1").select("key")
     at = F.min(F.struct("t1", "t2", "place", "least", "most")).alias("at")
-    classes = held(sampled.join(repeated, "key", "left_semi").groupBy(*name).agg(F.count("*").alias("n"), at))
+    every = held(sampled.groupBy(*name).agg(F.count("*").alias("n"), at))  # equal surroundings are combined before they meet by key
+    repeated = every.groupBy("key").agg(F.sum("n").alias("all")).where("all > 1").select("key")
+    classes = held(every.join(repeated, "key", "left_semi"))
 
     hot = held(classes.groupBy("key").count().where(F.col("count") > most_group).select("key", F.lit(True).alias("hot")))
     wanted = classes.groupBy(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2")).agg(F.collect_list(F.struct(*name, "n", "at.place", "at.least", "at.most")).alias("wanted"))
