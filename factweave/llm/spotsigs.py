@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import held
+from .components import components, held
 
 #: Anchors: common words of English, French, German and Spanish.
 ANCHORS = (
@@ -60,42 +60,116 @@ def _named(docs: DataFrame, id_col: str, text_col: str, chain: int) -> DataFrame
     return rows.withColumn("name", F.md5(as_text(F.col("set"))))
 
 
-def _alike(sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Pairs (x, y: names, likeness) of the distinct ``sets`` (name, set, n) that are alike by ``threshold`` or more.
-
-    The smaller set of a pair (by size, then name) meets the larger one at a
-    signature that both have among the rarest ones of which one must be common,
-    in a partition that holds the smaller one's length.  Sizes and the place of
-    the signature prune each pair.  Lists of more than ``block`` entries are cut
-    into blocks, and all blocks of the two sides meet: no pair is left out.
-    """
-    sets = sets.where("n > 0")
+def _entries(sets: DataFrame, threshold: float) -> DataFrame:
+    """Each set (name, set, n) at the rarest of its signatures, of which one is common to any other that is alike: name, n, pos, spot."""
     spots = sets.select("name", "n", F.explode("set").alias("spot"))
     ranked = spots.join(spots.groupBy("spot").count(), "spot").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("count", "spot"))).alias("order"))
-    least = lambda share, n: F.ceil(F.lit(share) * n - 1e-9).cast("int")
-    entries = held(ranked.select("name", "n", F.posexplode(F.slice("order", F.lit(1), F.col("n") - least(threshold, F.col("n")) + 1)).alias("pos", "s")).select("name", "n", "pos", "s.spot"))
-    smaller = entries.where(F.col("pos") <= F.col("n") - least(2 * threshold / (1 + threshold), F.col("n"))).withColumn("part", length_partition(F.col("n"), threshold))
-    reach = F.sequence(length_partition(F.greatest(least(threshold, F.col("n")), F.lit(1)), threshold), length_partition(F.col("n"), threshold))
-    larger = entries.withColumn("part", F.explode(reach))
+    return held(ranked.select("name", "n", F.posexplode(F.slice("order", F.lit(1), F.col("n") - _least(threshold, F.col("n")) + 1)).alias("pos", "s")).select("name", "n", "pos", "s.spot"))
+
 
+def _least(share: float, n: Column) -> Column:
+    return F.ceil(F.lit(share) * n - 1e-9).cast("int")
+
+
+def _sides(entries: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The entries as the smaller set of a pair, in the partition of its length, and as the larger one, in all that a smaller one can have."""
+    n = F.col("n")
+    smaller = entries.where(F.col("pos") <= n - _least(2 * threshold / (1 + threshold), n)).withColumn("part", length_partition(n, threshold))
+    reach = F.sequence(length_partition(F.greatest(_least(threshold, n), F.lit(1)), threshold), length_partition(n, threshold))
+    return smaller, entries.withColumn("part", F.explode(reach))
+
+
+def _met(smaller: DataFrame, larger: DataFrame, threshold: float, block: int, other: Column | None = None) -> DataFrame:
+    """Pairs of names (x, y) that meet in a list and whose sizes and places allow the likeness; ``other`` (of columns own and own_y) rules out more.
+
+    Lists of more than ``block`` entries are cut into blocks, and all blocks of the two sides meet: no pair is left out.
+    """
     blocks = lambda df, c: df.groupBy("spot", "part").agg(F.ceil(F.count("*") / block).cast("int").alias(c))
     # Only lists that both sides have, and that are long on one, are cut.
     cut = held(blocks(smaller, "u").join(blocks(larger, "v"), ["spot", "part"]).where("u > 1 OR v > 1"))
     salted = lambda df, own: df.join(cut, ["spot", "part"], "left").withColumn(own, F.pmod(F.xxhash64("name"), F.coalesce(own, F.lit(1))).cast("int"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
-    left = salted(smaller, "u").withColumn("v", every("v")).select("spot", "part", "u", "v", F.col("name").alias("x"), "n", "pos")
-    right = salted(larger, "v").withColumn("u", every("u")).select("spot", "part", "u", "v", F.col("name").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"))
+    more = ["own"] if other is not None else []
+    left = salted(smaller, "u").withColumn("v", every("v")).select("spot", "part", "u", "v", F.col("name").alias("x"), "n", "pos", *more)
+    right = salted(larger, "v").withColumn("u", every("u")).select("spot", "part", "u", "v", F.col("name").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), *(F.col(c).alias(f"{c}_y") for c in more))
 
     n, m = F.col("n"), F.col("m")
     order = (n < m) | ((n == m) & (F.col("x") < F.col("y")))
     room = (1 + threshold) * F.least(n - F.col("pos"), m - F.col("at")) >= threshold * (n + m) - 1e-6
-    pairs = held(left.join(right, ["spot", "part", "u", "v"]).where(order & (n >= threshold * m - 1e-9) & room).select("x", "y").distinct())
+    fit = order & (n >= threshold * m - 1e-9) & room
+    return held(left.join(right, ["spot", "part", "u", "v"]).where(fit if other is None else fit & other).select("x", "y").distinct())
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (x, y) that are alike by ``threshold`` or more, with their likeness."""
     both = pairs.join(sets.select(F.col("name").alias("x"), F.col("set").alias("s")), "x").join(sets.select(F.col("name").alias("y"), F.col("set").alias("t")), "y")
     return both.select("x", "y", likeness(F.col("s"), F.col("t")).alias("likeness")).where(F.col("likeness") >= threshold - 1e-9)
 
 
+def _alike(sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Pairs (x, y: names, likeness) of the distinct ``sets`` (name, set, n) that are alike by ``threshold`` or more.
+
+    The smaller set of a pair (by size, then name) meets the larger one at a
+    signature that both have among the rarest ones of which one must be common,
+    in a partition that holds the smaller one's length.  Sizes and the place of
+    the signature prune each pair.
+    """
+    sets = sets.where("n > 0")
+    return _verified(_met(*_sides(_entries(sets, threshold), threshold), threshold, block), sets, threshold)
+
+
+def _classes(sets: DataFrame, threshold: float, block: int, turns: int) -> DataFrame:
+    """The component of each of the ``sets`` (name, set, n) that is alike to another: node, component (names).
+
+    First each entry of a list is held against the one before it, in ``turns`` random orders within blocks of
+    the list: a number of pairs in proportion to the entries, which ties a group of near copies together.
+    Then only sets of different components still meet, in the lists that hold several, as in ``_alike``:
+    what is alike across components is found there, so no link that ties two of them is lost.
+    """
+    sets = sets.where("n > 0")
+    entries = _entries(sets, threshold)
+    smaller, larger = _sides(entries, threshold)
+    parts = smaller.join(smaller.groupBy("spot", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("u")).where("u > 1"), ["spot", "part"], "left")
+    edges = None
+    for turn in range(turns):
+        salt = F.pmod(F.xxhash64(F.lit(turn), "name"), F.coalesce("u", F.lit(1)))
+        before = F.lag("name").over(Window.partitionBy("spot", "part", "salt").orderBy(F.xxhash64(F.lit(turn + turns), "name"), "name"))
+        chained = parts.withColumn("salt", salt).select(before.alias("x"), F.col("name").alias("y")).where("x IS NOT NULL")
+        tied = held(_verified(chained.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), sets, threshold).select("x", "y"))
+        edges = tied if edges is None else edges.union(tied)
+    known = components(edges, a="x", b="y").select(F.col("node").alias("name"), "component")
+    owned = held(entries.join(known, "name", "left").withColumn("own", F.coalesce("component", "name")).drop("component"))
+    smaller, larger = _sides(owned, threshold)
+    several = held(larger.groupBy("spot", "part").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("spot", "part"))  # the larger side holds the smaller one
+    inside = lambda df: df.join(several, ["spot", "part"], "left_semi")
+    across = _verified(_met(inside(smaller), inside(larger), threshold, block, F.col("own") != F.col("own_y")), sets, threshold)
+    return components(held(edges.union(across.select("x", "y"))), a="x", b="y")
+
+
+def fingerprint_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 3, block: int = 1000, turns: int = 2) -> DataFrame:
+    """Near duplicates by fingerprint: a row for each document, with its class.
+
+    ``representative`` is the smallest id with the same fingerprint, ``component_id`` the smallest id that can
+    be reached over fingerprints that are alike by ``threshold`` or more.  Documents with one fingerprint
+    are one node, and pairs within a component that is known already are not looked at (see ``_classes``),
+    so a group of near copies costs in proportion to its size.
+
+    Null text is empty; all texts without words have one fingerprint and are alike to nothing else; rows without
+    id are left out, as they cannot be named; rows that repeat an id each have their own fingerprint and row; an
+    empty table gives no rows; a very long text is one row's work; ties go to the smaller id; other columns are not looked at,
+    whatever their names.  Columns: id, representative, component_id.
+    """
+    named = held(_named(docs, id_col, text_col, chain))
+    sets = held(named.groupBy("name").agg(F.min("id").alias("first"), F.any_value("set").alias("set")).withColumn("n", F.size("set")))
+    tied = _classes(sets, threshold, block, turns).select(F.col("node").alias("name"), "component")
+    own = held(sets.select("name", "first").join(tied, "name", "left").withColumn("component", F.coalesce("component", "name")))
+    least = own.groupBy("component").agg(F.min("first").alias("component_id"))
+    classes = own.join(least, "component").select("name", F.col("first").alias("representative"), "component_id")
+    return named.select("name", F.col("id").alias(id_col)).join(classes, "name").select(id_col, "representative", "component_id")
+
+
 def fingerprint_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 3, block: int = 1000) -> DataFrame:
-    """All that is alike by ``threshold`` or more: a, b, likeness, kind.
+    """All pairs that are alike by ``threshold`` or more, for small selections (fingerprint_classes is for corpora): a, b, likeness, kind.
 
     Kind "equal": b is a row whose fingerprint equals that of a, the smallest id
     that has it (a row for each row, that of the smallest id itself included, with
@@ -183,7 +257,7 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_links(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), "likeness", "kind")
+    return fingerprint_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {"op7_spotsigs": op7_spotsigs, "op7_spotsigs_links": op7_spotsigs_links}
