@@ -269,3 +269,90 @@ NAME_HINTS = {
 
 #: Kinds of facilities that an answer may name.
 FACILITY_TYPES = ["plant", "mine", "smelter", "refinery", "laboratory", "site"]
+
+#: Shapes of a chemical formula and of a year; shapes of a person's name: initials and surname, surname and initials, surname comma name, two or three capitalised words.
+FORMULA = r"^[A-Z][a-z]?\d*(?:[A-Z][a-z]?\d*|\([A-Z][a-z]?\d*\)\d*)+$"
+YEAR_LABEL = r"(?iu)^(?:19|20)\d{2}(?:\s*(?:year|yr|г\.?|год))?$"
+PERSON_SHAPES = [
+    r"^[A-Z][a-zA-Z\-']+(?:\s+[A-Z]\.){0,2}\s+[A-Z][a-zA-Z\-']+$",
+    r"^[А-ЯЁ][а-яё\-]+(?:\s+[А-ЯЁ][а-яё\-]+){1,3}$",
+    r"^[А-ЯЁ]\.\s*[А-ЯЁ]\.\s*[А-ЯЁ][а-яё\-]+$",
+    r"^[А-ЯЁ][а-яё\-]+\s+[А-ЯЁ]\.\s*(?:[А-ЯЁ]\.\s*)?$",
+]
+AUTHOR_SHAPES = [
+    r"^[A-Z]\.\s*(?:[A-Z]\.\s*)?[A-Z][a-zA-Z\-']+(?:\s+[A-Z][a-zA-Z\-']+)?$",
+    r"^[А-ЯЁ][а-яё\-]+\s+[А-ЯЁ]\.\s*[А-ЯЁ]\.?$",
+    r"^[А-ЯЁ]\.\s*[А-ЯЁ]\.\s*[А-ЯЁ][а-яё\-]+(?:-[А-ЯЁ][а-яё\-]+)?$",
+]
+#: Words of matter, plants, work and sections, which no person is called (without those of particular sites and firms).
+NO_PERSON_WORDS = [
+    "nickel", "copper", "iron", "zinc", "cobalt", "gold", "silver", "platinum", "magnesium", "manganese", "aluminum", "aluminium", "lead", "tin", "chromium",
+    "matte", "slag", "gypsum", "sulfate", "sulphate", "chloride", "hydroxide", "catholyte", "anolyte", "electrolyte", "concentrate", "tailings", "ore",
+    "leaching", "flotation", "electrowinning", "refining", "smelting", "roasting", "crusher", "reactor", "furnace", "circuit", "heap", "treatment", "removal",
+    "water", "mine", "plant", "mill", "cell", "tank", "pump", "filter", "institute", "university", "laboratory", "department", "division", "company",
+    "mining", "metallurgy", "metallurgical", "hydrometallurgy", "pyrometallurgy",
+    "facility", "facilities", "auxiliary", "site", "condition", "conditions", "project", "information", "management", "equipment", "procurement",
+    "overview", "summary", "introduction", "conclusion", "abstract", "contents", "appendix", "section", "chapter", "maintenance", "construction", "design",
+    "engineering", "performance", "evaluation", "assessment", "background", "objective", "scope", "schedule", "safety", "environmental", "inventory",
+    "supply", "control", "monitoring", "system", "systems", "operation", "operations", "processing", "precipitation", "extraction", "recovery",
+    "pressure", "high", "low", "acid", "alkaline", "neutral", "waste", "disposal", "storage", "handling", "transport", "logistics",
+    "commissioning", "startup", "shutdown", "reagent", "reagents", "catalyst",
+    "никель", "медь", "железо", "цинк", "шлак", "гипс", "руда", "концентрат", "институт", "университет", "лаборатория", "завод", "комбинат", "рудник",
+    "объект", "площадка", "проект", "оборудование", "процесс", "установка",
+]
+#: Marks of slides and sections, marks of institutions and legal forms, roles, and what a name of an institution looks like.
+NOISE_MARKS = [
+    "presentation", "презентация", "powerpoint", "microsoft", "slide", "slides", "figure", "fig.", "рис.", "таблица", "table", "chart", "diagram", "график",
+    "copyright", "©", "confidential", "конфиденциаль", "abstract", "introduction", "conclusion", "references", "bibliography", "acknowledgement", "acknowledgment", "appendix",
+    "аннотация", "введение", "заключение", "литература", "содержание", "contents", "agenda", "outline", "summary", "page ", "страница", "стр.",
+]
+INSTITUTION_MARKS = [
+    "institute", "university", "laboratory", "laborat", "academy", "college", "research", "department", "division", "faculty", "school", "hospital", "center", "centre", "foundation", "company", "corporation", "consortium",
+    "институт", "университет", "лаборатор", "академ", "департамент", "факультет", "центр", "завод", "фгбу", "комбинат", "llc", "ltd", "inc", "corp", "gmbh", "ооо", "пао", "ао", "гмк", "рао",
+]
+AFFILIATION_MARKS = ["institute", "university", "laboratory", "department", "институт", "университет", "лаборатор"]
+ROLE_WORDS = [
+    "researcher", "scientist", "engineer", "manager", "director", "specialist", "consultant", "professor", "associate", "assistant", "coordinator", "senior", "junior", "lead", "head", "chief", "principal",
+    "исследователь", "инженер", "менеджер", "директор", "специалист", "консультант", "профессор", "ассистент", "руководитель", "эксперт",
+]
+INSTITUTION_SHAPE = r"(?iu)ПАО|ГМК|АО|ООО|LLC|Ltd\.?|Inc\.?|Corp\.?|GmbH|University|Institute|Laboratory|Лаборатория|Институт|ФГБУ|«[^»]{4,80}»"
+LEGAL_NAME = r"(?iu)ООО\s*«[^»]+»"
+NAME_DELIMITERS = r"(?iu)[;,/]|(?:\s+and\s+)|(?:\s+и\s+)|\s{2,}"
+#: Labels of lines with authors and with institutions; names in a list, with a role after a dash or alone; headings of rosters; lines of a page's head that are no names.
+AUTHOR_LABELS = [
+    r"(?iu)(?:Авторы?|Authors?|Докладчик(?:и)?|Presenter(?:s)?)\s*:?\s*([^\n]+)",
+    r"(?iu)(?:Подготовил[аи]?|Prepared by)\s*:?\s*([^\n]+)",
+    r"(?iu)(?:Исполнител(?:ь|и)|Составител(?:ь|и)|Разработал(?:и)?|Developed by)\s*:?\s*([^\n]+)",
+    r"(?iu)(?:Ответственный\s+исполнитель|Научный\s+руководитель|Руководитель\s+(?:работ|проекта))\s*:?\s*([^\n]+)",
+    r"(?iu)(?:Corresponding\s+author|Contact\s+author)\s*:?\s*([^\n]+)",
+]
+HEADER_LABELS = [r"(?iu)(?:Authors?|Author|By|Докладчик(?:и)?|Presenter(?:s)?)\s*:?\s*([^\n]+)", r"(?iu)(?:Авторы?)\s*:?\s*([^\n]+)"]
+INSTITUTION_LABELS = [
+    r"(?iu)(?:Организация|Organization|Affiliation|Место работы|Учреждение)\s*:?\s*([^\n]+)",
+    r"(?iu)(ООО\s*«[^»]+»)",
+    r"(?iu)((?:ПАО|ГМК|АО)\s*«?[^»\n]{4,100}»?)",
+    r"(?iu)((?:Институт|Institute|University|Laboratory|Лаборатория)[^\n]{3,120})",
+]
+_LISTED_NAME = r"([А-ЯЁ][а-яё\-]+(?:\s+[А-ЯЁ][а-яё\-]+){1,3}|[A-Z][a-zA-Z\-']+(?:\s+[A-Z]\.){0,2}\s+[A-Z][a-zA-Z\-']+)"
+ROSTER_ITEM = rf"(?:\d+\.\s*)?{_LISTED_NAME}\s*[–\-—]"
+NUMBERED_NAME = rf"(?m)^\s*\d+\.\s*{_LISTED_NAME}\s*$"
+ROSTER_HEADING = (
+    r"(?iu)(?:^|\n)\s*(?:Experts?(?:\s+of\s+the\s+project)?|Эксперты?(?:\s+проекта)?|Список\s+экспертов|Project\s+team|Team\s+members?|Команда(?:\s+проекта)?|Участники(?:\s+проекта)?"
+    r"|Исполнител(?:ь|и)|Составител(?:ь|и)|Ответственный\s+исполнитель|Научный\s+руководитель|Руководитель\s+(?:работ|проекта))\s*[:：]?\s*(?:\n|$)"
+)
+NO_AUTHOR_LINE = r"(?i)^(?:abstract|introduction|references|figure|table|page\s+\d+|страница\s+\d+|\d+\s*$|contents|appendix|overview|summary|discussion|conclusion|acknowledgement)"
+#: Persons in running text: two names, or three with a father's name between; words that no surname is; words of a person's role; what is said of one.
+TWO_NAMES = r"([A-Z][a-z\x{00C0}-\x{024F}]{2,}\s+[A-Z][a-z\x{00C0}-\x{024F}]{2,}|[А-ЯЁ][а-яё]{1,}\s+[А-ЯЁ][а-яё]{1,})"
+THREE_NAMES = r"((?iu:[A-Z][a-z\x{00C0}-\x{024F}]{2,}\s+[A-Z][a-z\x{00C0}-\x{04FF}]{3,}(?:ovich|evich|ovna|evna)\s+[A-Z][a-z\x{00C0}-\x{04FF}]{2,}|[А-ЯЁ][а-яё]{1,}\s+[А-ЯЁ][а-яё]{3,}(?:ович|евич|овна|евна|ич|на)\s+[А-ЯЁ][а-яё]{1,}))"
+NO_SURNAMES = [
+    "Tree", "House", "World", "Council", "Centre", "Center", "Regions", "Landscape", "Grove", "Steel", "Life", "Love", "Park", "Affairs", "Society", "Foundation", "Institute", "Holding", "Office", "Federation",
+    "Poetics", "Security", "Russian", "Creative", "Trade", "Film", "Federal", "Ethnic", "Presidential", "Foreign", "Media", "Geographical", "Regional", "Internet", "Development", "Down", "Upside", "Young", "Silk", "Mamayev",
+    "Kurgan", "Volgograd", "Moscow", "National", "Peoples", "Countries", "Frontline", "Forest", "Ensemble", "Academy", "Presidium", "Board", "Session", "Festival", "Exposition", "Designers", "Capsule", "Mos", "Kino",
+    "Economics", "Economic", "Industrial", "Organization", "Machine", "Learning", "Letters", "Theory", "Studies", "Modelling", "Modeling", "Psychology", "Software", "Product", "Transparency", "Capacities",
+    "Fluctuation", "Detection", "References", "Statistical", "Political", "Demand", "Homogenous", "Applied", "Market", "Production",
+    "Российский", "Российская", "Российское", "Федерации", "Федерация", "Области", "Регион", "Регионы", "Академии", "Университет",
+]
+ROLE_HINTS = [
+    "moderator", "soloist", "artist", "presenter", "journalist", "academician", "member", "organiser", "organizer", "author", "poet", "performed", "said", "noted", "people's artist", "people artist",
+    "модератор", "солист", "художник", "журналист", "академик", "автор", "поэт", "сказал", "сказала", "отметил", "отметила", "заявил", "подчеркнул", "выступил", "народный", "артист", "участник", "докладчик",
+]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.operators import answers, linking
+from factweave.functions import values as V
+from factweave.operators import answers, linking, people
 from factweave.plans.corpus_graph import Corpus
 from factweave.registry import query
 
@@ -139,3 +142,67 @@ def answer_names(c: Corpus) -> DataFrame:
     out = out.union(row(answers.equipment(objects), "equipment", F.lit("")))
     out = out.union(row(answers.facilities(objects), "facility", F.concat(blank(F.col("country")), blank(F.col("facility_type")))))
     return out.union(row(answers.experts(objects), "expert", blank(F.col("field"))))
+
+
+# Persons and institutions
+
+
+def _capitalised(c: Corpus) -> DataFrame:
+    """The first twelve plain words of each document, capitalised: doc_id, w."""
+    words = F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("(?<![^ \n])[a-z]{3,}(?![^ \n])"), F.lit(0)), F.initcap)
+    return c.table("documents").select("doc_id", F.slice(F.array_distinct(words), 1, 12).alias("w")).where(F.size("w") == 12)
+
+
+def _pages(c: Corpus) -> DataFrame:
+    """A title page for each document, its names made of the document's own words: doc_id, chunk_index, text."""
+    w, say = lambda i: F.get("w", F.lit(i)), F.concat_ws
+    first = say("", F.lit("Report\nAuthors: "), say(" ", w(0), w(1)), F.lit(", "), say(" ", w(2), w(3)), F.lit(" and "), say(", ", w(4), w(5)), F.lit("\nAffiliation: University of "), w(6), F.lit("\nООО «"), w(7), F.lit("» near the University of "), w(6), w(7))
+    second = say("", F.lit("Project team\n1. "), say(" ", w(8), w(9)), F.lit(" – head\n2. "), say(" ", w(10), w(11)), F.lit("\n3. Senior Engineer\n"))
+    return _capitalised(c).select("doc_id", F.posexplode(F.array(first, second)).alias("chunk_index", "text"))
+
+
+#: Names of institutions have these in them, whatever their case; and the words that no person is called are in ``no``.
+_NAMES_SQL = (
+    """WITH w0 AS (SELECT doc_id, list_distinct_ordered AS w FROM (SELECT doc_id, list_transform(list_filter(ws, lambda x, i: list_position(ws, x) = i), lambda x: upper(x[1]) || x[2:]) AS list_distinct_ordered
+ FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\n]'), lambda x: regexp_full_match(x, '[a-z]{3,}')) AS ws FROM documents))),
+w AS (SELECT doc_id, w[1:12] AS w FROM w0 WHERE len(w) >= 12),
+no AS (SELECT ["""
+    + ", ".join(f"'{x}'" for x in V.NO_PERSON_WORDS + V.ROLE_WORDS)
+    + "] AS no, '"
+    + "|".join(re.escape(x) for x in V.INSTITUTION_MARKS + V.NOISE_MARKS)
+    + """' AS marks),
+named AS (SELECT doc_id, source, pl, w[a] || ' ' || w[b] AS name, w[a] AS x, w[b] AS y FROM w, (VALUES (0, 1, 1, 2), (0, 2, 3, 4), (1, 1, 9, 10), (1, 2, 11, 12)) t(source, pl, a, b)),
+good AS (SELECT doc_id, source, pl, name FROM named, no WHERE NOT regexp_matches(lower(name), marks) AND NOT list_contains(no, lower(x)) AND NOT list_contains(no, lower(y))
+ AND NOT (source = 0 AND pl = 2 AND 'And' IN (x, y))) -- taken for the word between two names
+"""
+)
+
+
+@query(_NAMES_SQL + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY source, pl) AS place, name FROM good", over_graph=False)
+def document_authors(c: Corpus) -> DataFrame:
+    return people.document_people(_pages(c))
+
+
+@query(
+    _NAMES_SQL
+    + """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, k) AS place, name FROM
+(SELECT doc_id, 1 AS k, 'University of ' || w[7] || w[8] AS name FROM w UNION ALL SELECT doc_id, 0, 'ООО «' || w[8] || '»' FROM w)""",
+    over_graph=False,
+)
+def document_institutions(c: Corpus) -> DataFrame:
+    return people.document_organisations(_pages(c))
+
+
+@query(
+    _NAMES_SQL
+    + """, pairs AS (SELECT doc_id % 50 AS question_id, doc_id // 50 + 1 AS n, w[a] || ' ' || w[b] AS name, role FROM w, (VALUES (1, 2, 'author'), (3, 4, NULL)) t(a, b, role) WHERE NOT list_contains({stop}, w[a]) AND NOT list_contains({stop}, w[b])),
+one AS (SELECT question_id, name, min_by(coalesce(role, '-'), n) AS role, list(DISTINCT n) AS ns FROM pairs GROUP BY ALL)
+SELECT question_id, name, name || CASE WHEN role = '-' THEN '' ELSE ' — ' || role END AS claim, array_to_string(list_sort(ns), ',') AS sources FROM one""".replace("{stop}", "[" + ", ".join(f"'{x}'" for x in V.NO_SURNAMES) + "]"),
+    over_graph=False,
+)
+def persons_in_excerpts(c: Corpus) -> DataFrame:
+    """The excerpts of fifty questions: every document is one, its persons made of its own words."""
+    w = lambda i: F.get("w", F.lit(i))
+    text = F.concat_ws("", F.lit("the author "), w(0), F.lit(" "), w(1), F.lit(" x "), F.repeat(F.lit("- "), 120), w(2), F.lit(" "), w(3), F.lit(", y "), F.repeat(F.lit("- "), 120), w(4), F.lit(" "), w(5), F.lit(" z"))
+    excerpts = _capitalised(c).select((F.col("doc_id") % 50).alias("question_id"), (F.floor(F.col("doc_id") / 50) + 1).alias("n"), text.alias("text"))
+    return people.person_facts(excerpts).select("question_id", "name", "claim", F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"))
