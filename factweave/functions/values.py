@@ -356,3 +356,20 @@ ROLE_HINTS = [
     "moderator", "soloist", "artist", "presenter", "journalist", "academician", "member", "organiser", "organizer", "author", "poet", "performed", "said", "noted", "people's artist", "people artist",
     "модератор", "солист", "художник", "журналист", "академик", "автор", "поэт", "сказал", "сказала", "отметил", "отметила", "заявил", "подчеркнул", "выступил", "народный", "артист", "участник", "докладчик",
 ]
+
+#: Labels whose nodes are merged by name, and those that are shown only where they fit themselves.
+MERGED_LABELS = ("Material", "Process", "Equipment", "Facility", "Property", "Expert", "Team", "ProcessingRegime")
+SIDE_LABELS = ("Equipment", "Facility", "FigureGallery", "Expert", "Team", "Document")
+#: What a typed question is looked through for.
+QUERY_PROCESSES = [
+    "electrowinning", "электролиз", "leaching", "выщелачивание", "heap leach", "flotation", "флотация", "smelting", "плавка", "flash smelting", "desalination", "обессоливание",
+    "catholyte", "католит", "circulation", "циркуляция", "pyrometallurgy", "пирометаллургия", "hydrometallurgy", "гидрометаллургия",
+]
+QUERY_MATERIALS = [
+    "nickel", "никель", "copper", "медь", "cathode", "катод", "matte", "матт", "slag", "шлак", "sulfate", "сульфат", "chloride", "хлорид", "gypsum", "гипс", "pgm", "gold", "silver", "золото", "серебро", "electrolyte", "электролит",
+]
+QUERY_PROPERTIES = ["concentration", "концентрация", "flow rate", "расход", "temperature", "температура", "yield", "выход", "recovery", "извлечение", "dry residue", "сухой остаток"]
+QUERY_STOP = [
+    "what", "has", "been", "done", "on", "under", "and", "the", "for", "was", "were", "effect", "how", "does", "affect", "with", "in", "of", "to", "is", "are", "already", "about", "show", "me", "find",
+    "give", "good", "main", "points", "from", "your", "that", "this", "какие", "какой", "какая", "что", "где", "при", "для", "или", "все",
+]

@@ -229,3 +229,11 @@ def pruned_bullets(answers: DataFrame, sources: DataFrame, focus: list[str] | No
     kept = marked.join(texts, ["answer_id", "i"], "left").where(~F.col("heading") | F.coalesce(supported, F.lit(False)))
     whole = kept.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("kept"))
     return answers.select("answer_id").join(whole, "answer_id", "left").select("answer_id", F.coalesce("kept", F.lit("")).alias("answer"))
+
+
+def experiment_union(existing: DataFrame, found: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Experiments (name, parameters, measured and others) of two passes: all existing ones, and of those found the first, by order, of each fingerprint that the existing ones of the same key lack."""
+    marked = lambda df: df.withColumn("_print", experiment_fingerprint(F.col("name"), F.col("parameters"), F.col("measured")))
+    fresh = marked(found).join(marked(existing).select(*key, "_print").distinct(), [*key, "_print"], "left_anti")
+    first = unique_rows(fresh, {"print": F.col("_print"), **{k: F.col(k) for k in key}}, order)
+    return existing.unionByName(first.select(*existing.columns))

@@ -19,7 +19,7 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "type").union(edges.select("dst", "src", "type"))
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, node: str, skip: tuple[str, ...] = ("HAS_CHUNK", "CONTAINS_IMAGE"), limit: int = 100) -> DataFrame:
+def neighbours(nodes: DataFrame, edges: DataFrame, node: str, skip: tuple[str, ...] = ("HAS_CHUNK", "CONTAINS_IMAGE"), limit: int = 40) -> DataFrame:
     """Nodes one step from a node, in either direction, by label and name."""
     near = undirected(edges.where(((F.col("src") == node) | (F.col("dst") == node)) & ~F.col("type").isin(*skip))).where(F.col("a") == node).select(F.col("b").alias("id")).distinct()
     return nodes.join(near, "id").orderBy("label", "name", "id").limit(limit)
@@ -36,6 +36,8 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, keep: Column | None = N
     for step in range(1, hops + 1):
         near = both.join(front.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         front = kept(near.join(found.select("id"), "id", "left_anti").select("id", F.lit(step).alias("distance")))
+        if front.isEmpty():
+            break
         found = found.union(front)
     return found
 
@@ -47,6 +49,8 @@ def nearest(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     for step in range(1, hops + 1):
         near = both.join(front.select(F.col("id").alias("a"), "seed"), "a").groupBy(F.col("b").alias("id")).agg(F.min("seed").alias("seed"))
         front = kept(near.join(found.select("id"), "id", "left_anti").withColumn("distance", F.lit(step)))
+        if front.isEmpty():
+            break
         found = found.union(front)
     return found
 
@@ -85,10 +89,61 @@ def shortest_paths(edges: DataFrame, source: str, targets: DataFrame, most: int
         near = both.join(front.select(F.col("id").alias("a"), "path"), "a").groupBy(F.col("b").alias("id")).agg(F.min("path").alias("path"))
         fresh = near.join(found.select("id"), "id", "left_anti")
         front = kept(fresh.select("id", F.lit(step).alias("distance"), F.concat("path", F.array("id")).alias("path")))
+        if front.isEmpty():
+            break
         found = found.union(front)
     return found.join(targets.select("id").distinct(), "id")
 
 
+def paths_between(edges: DataFrame, ends: DataFrame, most: int = 5, allowed: DataFrame | None = None) -> DataFrame:
+    """The shortest undirected path of up to ``most`` steps between any two of a few nodes (id), through allowed nodes only: a, b, path, with a < b.
+
+    All searches take their steps together, and end when every pair is joined or nothing new is reached; a node
+    keeps one path from each start, the first by the order of its nodes.
+    """
+    both = undirected(edges).select("a", "b").distinct()
+    starts = kept(ends.select("id").distinct())
+    if allowed is not None:
+        inside = allowed.select("id").union(starts).distinct()
+        both = both.join(inside.withColumnRenamed("id", "a"), "a", "left_semi").join(inside.withColumnRenamed("id", "b"), "b", "left_semi")
+    both = kept(both)
+    n = starts.count()
+    found = front = kept(starts.select(F.col("id").alias("start"), "id", F.array("id").alias("path")))
+    met = lambda: found.join(starts, "id", "left_semi").where("start < id")
+    for _ in range(most):
+        near = both.join(front.select("start", F.col("id").alias("a"), "path"), "a").groupBy("start", F.col("b").alias("id")).agg(F.min("path").alias("path"))
+        front = kept(near.join(found.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.concat("path", F.array("id")).alias("path")))
+        if front.isEmpty():
+            break
+        found = found.union(front)
+        if met().count() == n * (n - 1) // 2:
+            break
+    return met().select(F.col("start").alias("a"), F.col("id").alias("b"), "path")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Each node of an edge table (a, b) with the smallest node that it is connected to: id, component.
+
+    Large and small stars in turn: a node hands its larger neighbours to its smallest one, then its smaller
+    ones; in rounds of a logarithmic number every node hangs on its component's smallest.
+    Minima are combined before the shuffle, and nothing but counts comes to the driver.
+    """
+    pairs = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs, before = kept(pairs), None
+    while True:
+        both = pairs.union(pairs.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        pairs = kept(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        if state == before:
+            break
+        before = state
+    return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())
+
+
 def merge_snapshots(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Union of two snapshots; a row of the right one replaces the left one's with the same key."""
     return left.join(right, key, "left_anti").unionByName(right)

@@ -117,7 +117,7 @@ def graph_stats(c: Corpus) -> DataFrame:
     return graph.label_counts(c.nodes, LABELS)
 
 
-@query("SELECT id, label, name FROM nodes JOIN (SELECT DISTINCT CASE WHEN src = 'm:7' THEN dst ELSE src END AS id FROM edges WHERE 'm:7' IN (src, dst)) USING (id) ORDER BY label, name, id LIMIT 100")
+@query("SELECT id, label, name FROM nodes JOIN (SELECT DISTINCT CASE WHEN src = 'm:7' THEN dst ELSE src END AS id FROM edges WHERE 'm:7' IN (src, dst)) USING (id) ORDER BY label, name, id LIMIT 40")
 def node_neighbours(c: Corpus) -> DataFrame:
     return graph.neighbours(c.nodes, c.edges, "m:7").select("id", "label", "name")
 
@@ -518,6 +518,6 @@ def name_classes(c: Corpus) -> DataFrame:
     return names.groupBy("name").count().select("name", "count", K.entity_kind(F.col("name")).alias("kind"))
 
 
-from factweave import queries_linking, queries_lists, queries_text  # noqa: E402, F401  they register more queries
+from factweave import queries_display, queries_linking, queries_lists, queries_text  # noqa: E402, F401  they register more queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
