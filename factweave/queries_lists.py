@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.functions import classify
 from factweave.functions import values as V
 from factweave.operators import analytics, context, entities, extraction, graph, ingest, lookup, retrieval, upserts
 from factweave.plans.corpus_graph import Corpus
@@ -136,9 +137,8 @@ def experiment_timeline(c: Corpus) -> DataFrame:
     return c.experiments.orderBy(F.asc_nulls_last("created_at"), "id").offset(50).limit(50).select("id", "regime_name", "status", "created_at")
 
 
-_OVERVIEW = """, top AS (SELECT id, 'd:' AS k FROM docs ORDER BY created_at DESC NULLS LAST, title, id LIMIT 25), near AS (SELECT dst AS id FROM edges WHERE src IN (SELECT id FROM top) UNION SELECT src FROM edges WHERE dst IN (SELECT id FROM top)),
-exps AS (SELECT src AS id FROM edges WHERE type = 'DESCRIBED_IN' AND dst IN (SELECT id FROM top)),
-ids AS (SELECT id FROM top UNION SELECT id FROM near JOIN nodes USING (id) WHERE label <> 'Property' UNION SELECT id FROM exps UNION SELECT dst FROM edges WHERE type IN ('USES_MATERIAL', 'MEASURED', 'USES_PROCESS') AND src IN (SELECT id FROM exps))"""
+_OVERVIEW = """, top AS (SELECT id, team FROM docs ORDER BY created_at DESC NULLS LAST, title, id LIMIT 25), own AS (SELECT li.id, l_partkey, l_suppkey FROM li JOIN top ON top.id = 'd:' || l_orderkey),
+ids AS (SELECT id FROM top UNION SELECT 't:' || team FROM top UNION SELECT id FROM own UNION SELECT 'm:' || l_partkey FROM own UNION SELECT 'p:' || l_suppkey FROM own UNION SELECT 'prop:' || unnest(['quantity', 'extendedprice', 'discount', 'tax']) FROM own)"""
 
 
 @query(f"{_OVERVIEW} SELECT id, label FROM nodes WHERE id IN (SELECT id FROM ids)")
@@ -353,11 +353,16 @@ def report_export(c: Corpus) -> DataFrame:
     return context.report("Gaps", counts, F.concat(F.lit("- "), "label", F.lit(": "), F.col("n").cast("string")), ["label"])
 
 
-@query("SELECT conv_id AS answer_id, string_agg(text, ' ' ORDER BY turn) AS answer, max(several) AS changed FROM (SELECT conv_id, turn, 'One ' || turn || ' [1][3].' AS text, false AS several FROM questions WHERE turn % 2 = 1 UNION ALL SELECT conv_id, turn, 'Two ' || turn || '  [1][3] Two ' || turn || '  [2]', true FROM questions WHERE turn % 2 = 0) GROUP BY 1")
+_SENTENCE = "regexp_extract(q, '[^.!?\n]*[^.!?\\s]')"
+
+
+@query(f"SELECT conv_id AS answer_id, string_agg(text, ' ' ORDER BY turn) AS answer, max(several) AS changed FROM (SELECT conv_id, turn, s || ' [1][3].' AS text, false AS several FROM (SELECT *, regexp_replace(trim({_SENTENCE}), '\\s+', ' ', 'g') AS s FROM questions) WHERE turn % 4 = 2 AND s <> '' UNION ALL SELECT conv_id, turn, regexp_replace(s, '[.,;:]+$', '') || '  [1][3] ' || regexp_replace(s, '[.,;:]+$', '') || '  [2]', true FROM (SELECT *, regexp_replace(trim({_SENTENCE}), '\\s+', ' ', 'g') AS s FROM questions) WHERE turn % 4 = 0 AND s <> '') GROUP BY 1".replace("\n]*", "\\n]*"))
 def isolated_citations(c: Corpus) -> DataFrame:
-    q = c.questions.withColumn("s", F.when(F.col("turn") % 2 == 1, F.format_string("One %d [1][3].", "turn")).otherwise(F.format_string("Two %d [1][2][3].", "turn")))
+    """Answers of the first sentences of a conversation's questions; every second one cites two documents."""
+    first = F.regexp_replace(F.trim(F.regexp_extract("q", r"[^.!?\n]*[^.!?\s]", 0)), r"\s+", " ")
+    q = c.questions.withColumn("s", first).where("s <> '' AND turn % 2 = 0").withColumn("s", F.concat("s", F.when(F.col("turn") % 4 == 2, " [1][3].").otherwise(" [1][2][3].")))
     answers = q.groupBy(F.col("conv_id").alias("answer_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "s"))), lambda x: x["s"]), " ").alias("answer"))
-    sources = answers.select("answer_id", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.lit("a").alias("d")), F.struct(F.lit(2).alias("n"), F.lit("b").alias("d")), F.struct(F.lit(3).alias("n"), F.lit("a").alias("d")))).alias("x")).select("answer_id", "x.n", F.col("x.d").alias("doc_id"))
+    sources = answers.select("answer_id", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(d).alias("doc_id")) for n, d in ((1, "a"), (2, "b"), (3, "a"))))).alias("x")).select("answer_id", "x.n", "x.doc_id")
     return retrieval.isolated_citations(answers, sources)
 
 
@@ -366,10 +371,18 @@ def sampled_chunks(c: Corpus) -> DataFrame:
     return ingest.sampled(c.chunks).withColumn("place", F.col("place").cast("long"))
 
 
-@query("SELECT name, CASE WHEN name = upper(name) THEN 'x' ELSE label END AS label, label AS was FROM nodes WHERE label = 'Team' AND false UNION ALL SELECT name, 'Process', label FROM nodes WHERE label = 'Process'")
+@query("""SELECT year::VARCHAR AS name, 'Material' AS label, 'Material' AS was FROM docs UNION ALL SELECT team[1 : 4], 'Team', 'Expert' FROM docs
+UNION ALL SELECT upper(w[1][1]) || w[1][2:] || ' ' || upper(w[2][1]) || w[2][2:], 'Expert', 'Material' FROM (SELECT string_split(name, ' ') AS w FROM materials)
+UNION ALL SELECT name || ' mine', CASE WHEN name LIKE '% ring' THEN 'Process' ELSE 'Facility' END, 'Material' FROM materials UNION ALL SELECT replace(name, ' ', '_') || '_content', 'RegimeParameter', 'Material' FROM materials
+UNION ALL SELECT name, CASE WHEN name LIKE '% ring' THEN 'Process' ELSE 'Material' END, 'Material' FROM materials""")
 def routed_entities(c: Corpus) -> DataFrame:
-    n = c.nodes.where("label = 'Process'")
-    return entities.routed(n.select("label", "name"), F.lit("process"))
+    """Years, tickers, names of two words, mines, keys of parameters and plain names, all but one kind labelled wrongly."""
+    n, d = F.col("name"), c.documents
+    as_ = lambda df, name, label: df.select(name.alias("name"), F.lit(label).alias("label"))
+    rows = as_(d, F.col("year").cast("string"), "Material").union(as_(d, F.left("team", F.lit(4)), "Expert"))
+    for name in (F.initcap(n), F.concat(n, F.lit(" mine")), F.concat(F.replace(n, F.lit(" "), F.lit("_")), F.lit("_content")), n):
+        rows = rows.union(as_(c.materials, name, "Material"))
+    return entities.routed(rows, classify.entity_kind(n))
 
 
 
@@ -399,11 +412,17 @@ def class_siblings(c: Corpus) -> DataFrame:
     return extraction.class_siblings(c.table("part").select(F.col("p_type").alias("class"), F.substring("p_type", 1, 1).alias("stage")).distinct())
 
 
-@query("""SELECT x.id AS finding_id, 'm:' || min(l_partkey) AS material_id FROM (SELECT id, l_orderkey FROM li) x JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) m USING (l_orderkey) GROUP BY 1""")
+@query("""SELECT id AS finding_id, 'm:' || arg_min(p, (r, p)) AS material_id FROM (SELECT x.id, m.p, CASE WHEN contains(x.text, name) THEN 0 WHEN contains(x.text, brand) THEN 1 ELSE 2 END AS r
+FROM (SELECT id, l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'test of the ' || p_name WHEN 1 THEN 'tests with ' || lower(p_brand) || '!' ELSE 'no name' END AS text FROM li LEFT JOIN part ON p_partkey = l_partkey) x
+JOIN (SELECT DISTINCT l_orderkey, l_partkey AS p, lower(p_name) AS name, lower(p_brand) AS brand FROM lineitem JOIN part ON p_partkey = l_partkey) m USING (l_orderkey)) GROUP BY 1""")
 def finding_materials(c: Corpus) -> DataFrame:
-    doc = F.concat(F.lit("d:"), "l_orderkey").alias("doc_id")
-    named = c._items.select(doc, "l_partkey").distinct().select("doc_id", F.concat(F.lit("m:"), "l_partkey").alias("material_id"), F.concat(F.lit("no such name "), "l_partkey").alias("name"), F.array(F.lit("")).alias("aliases"), F.col("l_partkey").alias("seq"))
-    return extraction.finding_material(c._items.select(F.col("id").alias("finding_id"), doc, F.col("id").alias("text")), named)
+    """Findings that name a material of their document, its brand, or none."""
+    doc, part = F.concat(F.lit("d:"), "l_orderkey").alias("doc_id"), c.table("part").withColumnRenamed("p_partkey", "l_partkey")
+    items = c._items.join(part, "l_partkey", "left")
+    named = items.where("p_name IS NOT NULL").select(doc, F.concat(F.lit("m:"), "l_partkey").alias("material_id"), F.col("p_name").alias("name"), F.array(F.lit(""), F.col("p_brand")).alias("aliases"), F.col("l_partkey").alias("seq")).distinct()
+    kind = F.col("l_linenumber") % 3
+    text = F.when(kind == 0, F.concat(F.lit("Test of the "), "p_name")).when(kind == 1, F.concat(F.lit("Tests with "), "p_brand", F.lit("!"))).otherwise("No name")
+    return extraction.finding_material(items.select(F.col("id").alias("finding_id"), doc, text.alias("text")), named)
 
 
 @query("SELECT conv_id, turn, '1. ' || trim(q, E' \\t\\n\\r') || ' [1][3]' AS lines FROM questions WHERE trim(q, E' \\t\\n\\r') <> ''")
@@ -429,25 +448,32 @@ def merged_passes(c: Corpus) -> DataFrame:
     return firsts.join(extraction.merged_passes(one.withColumn("seq", F.col("last_id")), ["key"], [], ["last_id"], []), "key").select("key", "first_line", "last_id", "flags")
 
 
-@query("SELECT page_id, 2020 AS year, 'Ann Lee|Bob' AS authors FROM pages", over_graph=False)
+@query(r"""SELECT page_id, 2000 + page_id::INT % 20 AS year, array_to_string(list_sort(list_distinct(list_filter([trim(replace(t, '"', '')), trim(u)], lambda x: x <> ''))), '|') AS authors
+FROM (SELECT *, coalesce(regexp_extract(html, '<a href="[^"]*">([^<&]*)</a>', 1), '') AS t, coalesce(regexp_extract(html, '<li><a href="[^"]*">[^<]*</a></li><li><a href="[^"]*">([^<&]*)</a>', 1), '') AS u FROM pages)""", over_graph=False)
 def page_people(c: Corpus) -> DataFrame:
-    """Years and authors of the pages, with a head and a byline put into each."""
-    html = F.concat(F.lit('<meta name="author" content="Bob"><meta name="date" content="May 2020">'), "html", F.lit('<p class="x byline">Ann <b>Lee</b></p>'))
+    """Years and authors of the pages, with a head and a byline of two of the page's own words put before each."""
+    word = lambda p: F.coalesce(F.regexp_extract("html", p, 1), F.lit(""))
+    first, second = word('<a href="[^"]*">([^<&]*)</a>'), word('<li><a href="[^"]*">[^<]*</a></li><li><a href="[^"]*">([^<&]*)</a>')
+    date = F.concat(F.lit('<meta name="date" content="May '), (2000 + F.col("page_id") % 20).cast("string"), F.lit('">'))
+    html = F.concat(F.lit('<meta name="author" content="'), F.replace(first, F.lit('"'), F.lit("")), F.lit('">'), date, F.lit('<p class="x byline"><b>'), second, F.lit("</b></p>"), F.coalesce("html", F.lit("")))
     return c.table("pages").select("page_id", sources.year(html).alias("year"), F.array_join(sources.authors(html), "|").alias("authors"))
 
 
-@query("SELECT page_id, 'http://a.org/b/c.png' AS image_url, 'A graph' AS caption, 'plot' AS image_type FROM pages", over_graph=False)
+@query(r"""SELECT page_id, 'http://a.org/b/' || page_id || '.png' AS image_url, 'A graph of ' || trim(t) AS caption, 'plot' AS image_type
+FROM (SELECT *, regexp_extract(html, '<li><a href="[^"]*">([\p{L}]*)</a>', 1) AS t FROM pages WHERE html IS NOT NULL) WHERE t <> ''""", over_graph=False)
 def page_images(c: Corpus) -> DataFrame:
-    """Images of the pages, with a figure and an icon put into each."""
-    p = c.table("pages").where("url IS NOT NULL OR url IS NULL")
-    figure = F.lit('<figure><img src="../b/c.png" alt="x"><figcaption>A graph</figcaption></figure><img src="i.png" width="16" height="16">')
+    """Images of the pages, with a figure named after the page and its first link, and an icon, put into each."""
+    word = F.regexp_extract("html", r'<li><a href="[^"]*">([\p{L}]*)</a>', 1)
+    p = c.table("pages").withColumn("w", word).where("w <> ''")
+    figure = F.concat(F.lit('<figure><img src="../b/'), F.col("page_id").cast("string"), F.lit('.png" alt="x"><figcaption>A graph of '), "w", F.lit('</figcaption></figure><img src="i.png" width="16" height="16">'))
     return sources.page_images(p.select("page_id", F.lit("http://a.org/x/y").alias("url"), F.concat("html", figure).alias("html")))
 
 
-@query("SELECT regexp_extract(event_type, '^.') AS kind, round(CASE lower(event_type) WHEN 'article' THEN 0.92 WHEN 'report' THEN 0.88 ELSE 0.7 END, 2)::DOUBLE AS reliability, count(*) AS n FROM events GROUP BY 1, 2", over_graph=False)
+@query("SELECT kind, reliability, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'Article' WHEN 'O' THEN 'report' ELSE o_orderpriority END AS kind, CASE o_orderstatus WHEN 'F' THEN 0.92 WHEN 'O' THEN 0.88 ELSE 0.7 END::DOUBLE AS reliability FROM orders) GROUP BY 1, 2", over_graph=False)
 def event_reliability(c: Corpus) -> DataFrame:
-    e = c.table("events")
-    return e.groupBy(F.substring("event_type", 1, 1).alias("kind"), F.round(extraction.reliability(F.col("event_type")), 2).alias("reliability")).agg(F.count("*").alias("n"))
+    """Orders as articles, reports and others."""
+    kind = F.when(F.col("o_orderstatus") == "F", "Article").when(F.col("o_orderstatus") == "O", "report").otherwise(F.col("o_orderpriority"))
+    return c.table("orders").groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).select("kind", extraction.reliability(F.col("kind")).alias("reliability"), "n")
 
 
 @query("""SELECT doc_id, page, size, sha FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, place) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY size DESC, sha) AS place FROM (
@@ -474,18 +500,27 @@ def titled_processes(c: Corpus) -> DataFrame:
 _TRIED = " || ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN ['{k}'] ELSE []::VARCHAR[] END" for p, k in V.EXPERIMENT_PHRASES)
 
 
-@query(f"SELECT doc_id, array_to_string(CASE WHEN len(k) = 0 THEN ['inline_parameters'] ELSE k END, '|') AS experiments, 7.5::DOUBLE AS density FROM (SELECT doc_id, {_TRIED} AS k FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))", over_graph=False)
+@query(f"SELECT doc_id, array_to_string(CASE WHEN len(k) = 0 THEN ['inline_parameters'] ELSE k END, '|') AS experiments, n_chars + 0.5::DOUBLE AS density FROM (SELECT doc_id, n_chars, {_TRIED} AS k FROM (SELECT doc_id, n_chars, coalesce(text, '') AS text FROM documents))", over_graph=False)
 def document_tests(c: Corpus) -> DataFrame:
-    """Experiments that the texts name, each with a density put before it."""
-    text = F.concat(F.lit("density = 7,5 kg/m3 "), F.coalesce("text", F.lit("")))
+    """Experiments that the texts name, each with its length put before it as a density."""
+    text = F.concat(F.lit("density = "), F.col("n_chars").cast("string"), F.lit(",5 kg/m3 "), F.coalesce("text", F.lit("")))
     d = c.table("documents").select("doc_id", text.alias("t"))
     return d.select("doc_id", F.array_join(extraction.experiments(F.col("t")), "|").alias("experiments"), F.filter(extraction.inline_numbers(F.col("t")), lambda x: x["property"] == "density")[0]["value"].alias("density"))
 
 
-@query("SELECT conv_id AS answer_id, string_agg(CASE turn % 2 WHEN 0 THEN '1. Ore And Slag [1].x' || turn ELSE '2. Nickel Matte [1]' END, chr(10) ORDER BY turn) AS answer FROM questions GROUP BY 1")
+@query("""WITH a AS (SELECT doc_id AS answer_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_full_match(x, '[A-Za-z ]{3,60}[.]'))[1:6] AS ls, text FROM documents),
+b AS (SELECT answer_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS s FROM a),
+h AS (SELECT answer_id, i, s, CASE i % 3 WHEN 0 THEN list_reduce(list_transform(string_split(s, ' '), lambda w: upper(w[1]) || w[2:]), lambda x, y: x || ' ' || y) ELSE s END AS c FROM b),
+m AS (SELECT *, len(list_filter(string_split(c, ' '), lambda w: w <> '')) BETWEEN 1 AND 7 AND len(list_filter(string_split(c, ' '), lambda w: w <> '' AND regexp_matches(w[1], '[a-z]'))) = 0 AS heading FROM h),
+src AS (SELECT answer_id, 'it is held in this long line of a source that all of the even ones are said: ' || coalesce(string_agg(lower(c), ' ' ORDER BY i) FILTER (i % 2 = 0), '') AS t FROM m GROUP BY 1)
+SELECT a.answer_id, coalesce((SELECT string_agg(i || '. ' || c || ' [1]', chr(10) ORDER BY i) FROM m WHERE m.answer_id = a.answer_id AND NOT (heading AND NOT contains((SELECT t FROM src WHERE src.answer_id = a.answer_id), lower(c)))), '') AS answer FROM a WHERE len(ls) > 0""", over_graph=False)
 def pruned_bullets(c: Corpus) -> DataFrame:
-    """Answers of lines that no rule takes for headings, of supported headings, and of headings without support."""
-    line = F.when(F.col("turn") % 2 == 0, F.format_string("1. Ore And Slag [1].x%d", "turn")).otherwise("2. Nickel Matte [1]")
-    rows = c.questions.select("conv_id", F.struct("turn", F.lit(0).alias("k"), line.alias("s")).alias("x")).union(c.questions.select("conv_id", F.struct("turn", F.lit(1).alias("k"), F.lit("3. Iron Ore [1]").alias("s"))))
-    answers = rows.groupBy(F.col("conv_id").alias("answer_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "\n").alias("answer"))
-    return extraction.pruned_bullets(answers, answers.select("answer_id", F.lit(1).alias("n"), F.lit("It is said that nickel matte was made of it in the end.").alias("text")))
+    """Bullets of each document's short lines, every third with capitals: lines that are no headings, headings that the source holds, and (odd ones) such that it lacks."""
+    lines = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.rlike(x, F.lit("^[A-Za-z ]{3,60}[.]$"))), 1, 6)
+    title = lambda s: F.array_join(F.transform(F.split(s, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 99))), " ")
+    d = c.table("documents").select(F.col("doc_id").alias("answer_id"), lines.alias("ls")).where("size(ls) > 0")
+    said = d.select("answer_id", F.posexplode("ls").alias("i", "s")).select("answer_id", (F.col("i") + 1).alias("i"), F.when((F.col("i") + 1) % 3 == 0, title(F.col("s"))).otherwise(F.col("s")).alias("s"))
+    one = lambda x: F.concat(x["i"].cast("string"), F.lit(". "), x["s"], F.lit(" [1]"))
+    rows = said.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("x"))
+    held = F.concat(F.lit("It is held in this long line of a source that all of the even ones are said: "), F.array_join(F.transform(F.filter("x", lambda x: x["i"] % 2 == 0), lambda x: x["s"]), " "))
+    return extraction.pruned_bullets(rows.select("answer_id", F.array_join(F.transform("x", one), "\n").alias("answer")), rows.select("answer_id", F.lit(1).alias("n"), held.alias("text")))
\ No newline at end of file

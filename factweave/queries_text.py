@@ -116,10 +116,12 @@ def question_rewrites(c: Corpus) -> DataFrame:
 
 
 @query(f"""SELECT conv_id, turn, coalesce((len(w) > 0 AND (len(h) >= 2 OR (len(h) = 1 AND length(h[1]) >= 5) OR (length(title) >= 4 AND contains(lower(q), lower(title))))), false) AS named
-FROM (SELECT *, list_filter(w, lambda t: contains(lower(q), t)) AS h FROM (SELECT *, list_filter(regexp_extract_all(lower(title), '[a-z0-9]{{2,}}'), lambda t: length(t) >= 3 AND NOT list_contains({_list(V.TITLE_STOPWORDS)}, t))[:8] AS w FROM (SELECT *, CASE conv_id % 3 WHEN 0 THEN 'Report on the nation' WHEN 1 THEN 'Station' ELSE 'And there' END AS title FROM questions)))""")
+FROM (SELECT *, list_filter(w, lambda t: contains(lower(q), t)) AS h FROM (SELECT *, list_filter(regexp_extract_all(lower(title), '[a-z0-9]{{2,}}'), lambda t: length(t) >= 3 AND NOT list_contains({_list(V.TITLE_STOPWORDS)}, t))[:8] AS w FROM (SELECT conv_id, turn, title, CASE turn % 4 WHEN 0 THEN q ELSE 'on ' || lower(title) || q END AS q FROM questions JOIN (SELECT doc_id, regexp_extract(coalesce(text, ''), '^[^\\n.]*') AS title FROM documents) ON doc_id = conv_id)))""")
 def titles_named(c: Corpus) -> DataFrame:
-    title = F.when(F.col("conv_id") % 3 == 0, "Report on the nation").when(F.col("conv_id") % 3 == 1, "Station").otherwise("And there")
-    return c.questions.select("conv_id", "turn", Q.title_named(F.col("q"), title).alias("named"))
+    """Questions and the first sentence of the document with their conversation's number; but for every second they hold it."""
+    titles = c.table("documents").select(F.col("doc_id").alias("conv_id"), F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\n.]*", 0).alias("title"))
+    asked = F.when(F.col("turn") % 4 == 0, F.col("q")).otherwise(F.concat(F.lit("on "), F.lower("title"), "q"))
+    return c.questions.join(titles, "conv_id").select("conv_id", "turn", Q.title_named(asked, F.col("title")).alias("named"))
 
 
 _CTX = "floor(greatest(1200, n - CASE WHEN n <= 8192 THEN 3000 ELSE 2500 END) * CASE WHEN n <= 8192 THEN 2.7 ELSE 3.2 END)::INT"
