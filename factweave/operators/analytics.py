@@ -72,6 +72,27 @@ def conflicting_values(corpus, materials: DataFrame) -> DataFrame:
     return groups.join(several, ["material_id", "property"]).select("material_id", "property", "value", "experiments", F.col("f.experiment_id").alias("first_id"), F.col("f.document_id").alias("first_document"), "others")
 
 
+def contradiction_classes(corpus, materials: DataFrame) -> DataFrame:
+    """The contradictions of each material and property as classes of experiments: material_id, property, value, experiments, links, first_id, first_document, against_value, against_id.
+
+    Experiments with one value are a class; it contradicts all other classes of its material and property, so
+    ``links`` is the number of experiments in those, for each of its own.  ``first_id`` stands for the
+    class, and ``against_id`` (the first of the first class with another value, in order of values) is one that it contradicts: all
+    pairs follow from these rows, whose number is that of the different values.
+    """
+    mine = edge(corpus.edges, "USES_MATERIAL", "experiment_id", "material_id").join(materials.select(F.col("id").alias("material_id")), "material_id", "left_semi")
+    values = corpus.measured.where("value IS NOT NULL").select(F.col("src").alias("experiment_id"), F.col("dst").alias("property"), "value")
+    docs = edge(corpus.edges, "DESCRIBED_IN", "experiment_id", "document_id")
+    groups = mine.join(values, "experiment_id").join(docs, "experiment_id", "left").groupBy("material_id", "property", "value").agg(F.count("*").alias("experiments"), F.min(F.struct("experiment_id", "document_id")).alias("f"))
+    least = F.struct("value", F.col("f.experiment_id").alias("id"))
+    # The two smallest values tell every class one that it contradicts.
+    per = groups.groupBy("material_id", "property").agg(F.sum("experiments").alias("total"), F.min(least).alias("one"), F.count("*").alias("n")).where("n > 1")
+    second = groups.join(per.select("material_id", "property", F.col("one.value").alias("least")), ["material_id", "property"]).where("value <> least").groupBy("material_id", "property").agg(F.min(least).alias("two"))
+    other = F.when(F.col("value") == F.col("one.value"), F.col("two")).otherwise(F.col("one"))
+    met = groups.join(per.join(second, ["material_id", "property"]), ["material_id", "property"])
+    return met.select("material_id", "property", "value", "experiments", (F.col("total") - F.col("experiments")).alias("links"), F.col("f.experiment_id").alias("first_id"), F.col("f.document_id").alias("first_document"), other["value"].alias("against_value"), other["id"].alias("against_id"))
+
+
 def contradictions(corpus, materials: DataFrame, prop: str | None = None) -> DataFrame:
     """Pairs of experiments on one material whose values of one property differ as text, with the property and their documents.
 

@@ -13,14 +13,14 @@ from factweave.store import kept
 #: Properties that items measure and that parts have of themselves (a size only from 11 on), with their category.
 MEASURED = {"quantity": "technological", "extendedprice": "economic", "discount": "economic", "tax": "economic"}
 OWN = {"size": "mechanical", "retailprice": "economic"}
-#: Tables that were stored in this process, by session, folder and name.
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+#: Tables that were stored in this process, by session, folder and name, with the input files they were made of.
+_STORED: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
 
 
 class Corpus:
     """Nodes by label, edges and chunks of one data folder.
 
-    The graph is written once for each session and folder, edges in folders by
+    The graph is written once for each session and state of the input files, edges in folders by
     type, so that a query reads the types it needs; all else is a lazy DataFrame.
     """
 
@@ -31,10 +31,26 @@ class Corpus:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def stored(self, name: str, make, *by: str) -> DataFrame:
+        """A table written once for the input files as they are: other files, other sizes or times of theirs, a new session or a cleared folder give a new one."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
-        if key not in _STORED:
-            _STORED[key] = kept(make(), *by)
-        return _STORED[key]
+        inputs = self._inputs()
+        known = _STORED.get(key)
+        if known is None or known[0] != inputs or not all(map(self._exists, known[1].inputFiles()[:1])):
+            _STORED[key] = inputs, kept(make(), *by)
+        return _STORED[key][1]
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        path, system = self._path(name)
+        return system.exists(path)
+
+    def _inputs(self) -> tuple:
+        """Name, size and time of the entries of the folder: of the tables, or of the folders that hold their files."""
+        path, system = self._path(self.folder)
+        return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in system.listStatus(path)))
 
     @cached_property
     def materials(self) -> DataFrame:

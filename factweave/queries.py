@@ -70,6 +70,14 @@ def conflicting_values(c: Corpus) -> DataFrame:
     return analytics.conflicting_values(c, c.materials)
 
 
+@query("""SELECT material_id, property, value, n AS experiments, (sum(n) OVER g - n)::BIGINT AS links, first_id, first_document, CASE WHEN value = first(value) OVER o THEN nth_value(value, 2) OVER o ELSE first(value) OVER o END AS against_value,
+CASE WHEN value = first(value) OVER o THEN nth_value(first_id, 2) OVER o ELSE first(first_id) OVER o END AS against_id
+FROM (SELECT 'm:' || l_partkey AS material_id, dst AS property, value, count(*) AS n, min(src) AS first_id, arg_min('d:' || l_orderkey, src) AS first_document FROM measured JOIN li ON src = id GROUP BY 1, 2, 3)
+WINDOW g AS (PARTITION BY material_id, property), o AS (PARTITION BY material_id, property ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) QUALIFY count(*) OVER g > 1""")
+def contradiction_classes(c: Corpus) -> DataFrame:
+    return analytics.contradiction_classes(c, c.materials)
+
+
 @query("SELECT b AS status, count(status) AS n FROM (SELECT unnest(['planned', 'ongoing', 'completed']) AS b) LEFT JOIN experiments ON status = b GROUP BY 1")
 def status_histogram(c: Corpus) -> DataFrame:
     return analytics.status_histogram(c.experiments)
