@@ -123,7 +123,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     gone = lines.select("id", "ln", "h1", "h2").join(classes.select("h1", "h2", "at", "near"), ["h1", "h2"]).where((F.col("at") < here) | (F.col("near") < here))
     dropped = held(gone.groupBy("id").agg(F.collect_set("ln").alias("dropped")))
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda _, i: ~F.array_contains("dropped", i))
+    # Places left are found by hashing, so a text of many lines with many dropped ones costs in proportion to them.
+    left = F.struct(parts.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "dropped").alias("at"))
+    kept = F.get(F.transform(F.array(left), lambda x: F.transform(x["at"], lambda i: F.get(x["lines"], i))), F.lit(0))
     return handed.join(dropped.hint("merge"), "id", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
