@@ -11,8 +11,8 @@ from factweave.llm import bpe, decontaminate, language_id, line_dedup, ngram_jac
 from factweave.llm.components import shared_folder
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no letter, or no language with half of the text.
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, least_share: float = 0.5) -> DataFrame:
+    """Drop documents without a language: no letter, or no language with ``least_share`` of the text (0 keeps all mixtures).
 
     Null and empty texts have no letter and go.  Each row is judged by itself, so
     repeated rows and ids and null ids go or stay alike; a very long text is judged
@@ -20,7 +20,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     All columns are handed on, whatever their names.
     """
     model = language_id.train(docs.where(~language_id.held_out()))
-    kept = language_id.predict(docs, model, keep=tuple(docs.columns)).where("lang_pred <> 'und' AND score >= 0.5")
+    kept = language_id.predict(docs, model, keep=tuple(docs.columns)).where((F.col("lang_pred") != "und") & (F.col("score") >= least_share))
     return kept.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 
 
