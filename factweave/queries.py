@@ -526,6 +526,6 @@ def name_classes(c: Corpus) -> DataFrame:
     return names.groupBy("name").count().select("name", "count", K.entity_kind(F.col("name")).alias("kind"))
 
 
-from factweave import queries_display, queries_linking, queries_lists, queries_text  # noqa: E402, F401  they register more queries
+from factweave import queries_display, queries_linking, queries_lists, queries_scoped, queries_text  # noqa: E402, F401  they register more queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
