@@ -373,3 +373,12 @@ QUERY_STOP = [
     "what", "has", "been", "done", "on", "under", "and", "the", "for", "was", "were", "effect", "how", "does", "affect", "with", "in", "of", "to", "is", "are", "already", "about", "show", "me", "find",
     "give", "good", "main", "points", "from", "your", "that", "this", "какие", "какой", "какая", "что", "где", "при", "для", "или", "все",
 ]
+
+#: Headers of a table's columns that hold a property, with its unit; parts of other headers that tell one; parts of the header of the column that names a row.
+HEADER_PROPERTIES = {
+    "e": ("elastic_modulus", "MPa"), "e mpa": ("elastic_modulus", "MPa"), "e, mpa": ("elastic_modulus", "MPa"), "e (mpa)": ("elastic_modulus", "MPa"), "young's modulus": ("elastic_modulus", "MPa"),
+    "youngs modulus": ("elastic_modulus", "MPa"), "модуль упругости": ("elastic_modulus", "MPa"), "модуль e": ("elastic_modulus", "MPa"), "ν": ("poisson_ratio", ""), "nu": ("poisson_ratio", ""), "v": ("poisson_ratio", ""),
+    "poisson ratio": ("poisson_ratio", ""), "коэффициент пуассона": ("poisson_ratio", ""), "пуассона": ("poisson_ratio", ""), "density": ("density", "kg/m3"), "плотность": ("density", "kg/m3"),
+    "g": ("shear_modulus", "MPa"), "shear modulus": ("shear_modulus", "MPa"), "модуль сдвига": ("shear_modulus", "MPa"),
+}
+ROW_HEADERS = ["zone", "зона", "material", "материал", "участок", "region", "область", "element", "элемент"]

@@ -237,3 +237,39 @@ def experiment_union(existing: DataFrame, found: DataFrame, key: list[str], orde
     fresh = marked(found).join(marked(existing).select(*key, "_print").distinct(), [*key, "_print"], "left_anti")
     first = unique_rows(fresh, {"print": F.col("_print"), **{k: F.col(k) for k in key}}, order)
     return existing.unionByName(first.select(*existing.columns))
+
+
+def header_property(head: Column) -> Column:
+    """The property and unit (struct) that a column's header stands for, by the table of headers or by its parts; null for others."""
+    norm = F.lower(T.regexp_clean(head))
+    known = F.coalesce(*(F.when(norm.isin(*[h for h, v in V.HEADER_PROPERTIES.items() if v == pair]), F.struct(F.lit(pair[0]).alias("property"), F.lit(pair[1]).alias("unit"))) for pair in dict.fromkeys(V.HEADER_PROPERTIES.values())))
+    pair = lambda p, u: F.struct(F.lit(p).alias("property"), F.lit(u).alias("unit"))
+    has = lambda x: F.contains(norm, F.lit(x))
+    told = F.when(F.endswith(norm, F.lit(", mpa")) | (has("модул") & has("упруг")), pair("elastic_modulus", "MPa")).when(has("пуассон"), pair("poisson_ratio", "")).when(has("плотност") | has("density"), pair("density", "kg/m3"))
+    return F.coalesce(known, told)
+
+
+def table_experiments(chunks: DataFrame, title: str = "Table row") -> DataFrame:
+    """Experiments that rows of the tables in chunks (chunk_id, text) state: chunk_id, table, row, title, summary, measured (property, value, unit).
+
+    A table has a header, a rule and rows.  The column whose header speaks of zones, materials and the like names the
+    row, else the first; an empty name is the table's caption (a line before it), else ``title``.  Columns count whose header stands for
+    a property; a row without a number in them is no experiment.  Values are numbers, or texts with one.
+    """
+    lines = lambda b: F.filter(F.transform(F.split(b, "\n"), T.strip), lambda x: (x != "") & ~F.startswith(F.upper(x), F.lit("[TABLE")))
+    cells = lambda line: F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), T.strip)
+    tables = chunks.select("chunk_id", F.posexplode(F.transform(T.table_blocks(F.col("text")), lines)).alias("table", "lines"))
+    barred = F.filter("lines", lambda x: F.startswith(x, F.lit("|")))
+    first = F.get("lines", F.lit(0))
+    tables = tables.select("chunk_id", "table", F.when(~F.startswith(first, F.lit("|")), first).otherwise("").alias("caption"), barred.alias("rows")).where("size(rows) >= 3")
+    heads = tables.withColumn("heads", F.transform(cells(F.get("rows", F.lit(0))), lambda h: F.lower(T.regexp_clean(h))))
+    zone = F.greatest(F.array_position(F.transform("heads", lambda h: T.has(h, "|".join(V.ROW_HEADERS))), F.lit(True)).cast("int") - 1, F.lit(0))
+    marked = heads.withColumn("zone", zone).withColumn("columns", F.filter(F.transform("heads", lambda h, i: F.struct(i.alias("at"), header_property(h).alias("p"))), lambda c: c["p"].isNotNull() & (c["at"] != F.col("zone"))))
+    rows = marked.where("size(columns) > 0").select("chunk_id", "table", "caption", "zone", "columns", F.posexplode(F.slice("rows", F.lit(3), F.size("rows"))).alias("row", "line"))
+    split = rows.withColumn("cells", cells(F.col("line")))
+    text = lambda c: F.coalesce(F.get("cells", c["at"]), F.lit(""))
+    value = lambda c: F.coalesce(T.plain_number(text(c)).cast("string"), F.replace(text(c), F.lit(","), F.lit(".")))
+    measured = F.transform(F.filter("columns", lambda c: T.has(text(c), r"\d")), lambda c: F.struct(c["p"]["property"].alias("property"), value(c).alias("value"), c["p"]["unit"].alias("unit")))
+    named = F.coalesce(F.nullif(F.get("cells", F.col("zone")), F.lit("")), F.nullif(F.col("caption"), F.lit("")), F.lit(title))
+    shown = F.when((F.col("caption") != "") & ~F.contains(F.lower(named), F.lower("caption")), F.concat_ws(": ", "caption", named)).otherwise(named)
+    return split.select("chunk_id", "table", F.col("row") + 1, shown.alias("title"), F.substring("line", 1, 500).alias("summary"), measured.alias("measured")).toDF("chunk_id", "table", "row", "title", "summary", "measured").where("size(measured) > 0").withColumn("title", F.substring("title", 1, 120))

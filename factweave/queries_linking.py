@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import values as V
-from factweave.operators import answers, linking, people
+from factweave.operators import answers, extraction, linking, people
 from factweave.plans.corpus_graph import Corpus
 from factweave.registry import query
 
@@ -206,3 +206,21 @@ def persons_in_excerpts(c: Corpus) -> DataFrame:
     text = F.concat_ws("", F.lit("the author "), w(0), F.lit(" "), w(1), F.lit(" x "), F.repeat(F.lit("- "), 120), w(2), F.lit(" "), w(3), F.lit(", y "), F.repeat(F.lit("- "), 120), w(4), F.lit(" "), w(5), F.lit(" z"))
     excerpts = _capitalised(c).select((F.col("doc_id") % 50).alias("question_id"), (F.floor(F.col("doc_id") / 50) + 1).alias("n"), text.alias("text"))
     return people.person_facts(excerpts).select("question_id", "name", "claim", F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"))
+
+
+# Experiments of tables
+
+
+@query("""SELECT l_orderkey AS chunk_id, n::INT AS row, 'Order ' || l_orderkey || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE ': zone ' || l_linenumber END AS title, l_quantity::VARCHAR AS modulus, CASE WHEN l_tax = 0 THEN 'about 0' ELSE l_tax::VARCHAR END AS density
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY id) AS n FROM li)""")
+def table_tests(c: Corpus) -> DataFrame:
+    """The items of an order as rows of a table; every third row has no name of its own."""
+    i = c._items
+    name = F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit("zone "), F.col("l_linenumber").cast("string")))
+    tax = F.when(F.col("l_tax") == 0, "about 0").otherwise(F.replace(F.col("l_tax").cast("string"), F.lit("."), F.lit(",")))
+    line = F.concat(F.lit("| "), F.col("l_quantity").cast("string"), F.lit(" | "), name, F.lit(" | no number | "), tax, F.lit(" |"))
+    body = i.groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    text = F.concat(F.lit("x [TABLE]\nOrder "), F.col("chunk_id").cast("string"), F.lit("\n| E, MPa | Zone | note | density of it |\n|---|---|---|---|\n"), "body", F.lit("\n| | last | - | none |\n[/TABLE] y"))
+    t = extraction.table_experiments(body.select("chunk_id", text.alias("text")))
+    value = lambda p: F.get(F.filter("measured", lambda m: m["property"] == p), F.lit(0))["value"]
+    return t.select("chunk_id", "row", "title", value("elastic_modulus").alias("modulus"), value("density").alias("density"))

@@ -78,3 +78,13 @@ def test_tables_of_answers(spark):
     assert [r.name for r in answers.equipment(o).collect()] == ["Pump"]
     assert [(r.name, r.country, r.facility_type) for r in answers.facilities(o).collect()] == [("Works A", None, "mine")]
     assert [(r.name, r.field) for r in answers.experts(o).collect()] == [("Ann Lee", None)]
+
+
+def test_table_experiments(spark):
+    from factweave.operators import extraction
+
+    text = "a [TABLE]\nSoil\n| Material | E, MPa | ν | Note |\n|---|---|---|---|\n| Clay | 12,5 | 0.3 | 7 |\n| | <5 | | |\n| Sand | none | - | 1 |\n[/TABLE] b [TABLE]| x | y |\n|-|-|\n| 1 | 2 |[/TABLE]"
+    rows = extraction.table_experiments(spark.createDataFrame([(1, text), (2, "no table"), (3, None)], "chunk_id int, text string")).orderBy("row").collect()
+    assert [(r.chunk_id, r.table, r.row, r.title, [tuple(m) for m in r.measured]) for r in rows] == [
+        (1, 0, 1, "Soil: Clay", [("elastic_modulus", "12.5", "MPa"), ("poisson_ratio", "0.3", "")]), (1, 0, 2, "Soil", [("elastic_modulus", "<5", "MPa")]),
+    ]
