@@ -55,16 +55,21 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, chain: int) -> DataFrame:
-    """Rows with an id: id, set, name (a 128-bit hash of the set)."""
+    """Rows with an id: id, set, name (a 128-bit hash of the set, in bytes)."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), signatures(F.coalesce(F.col(text_col).cast("string"), F.lit("")), chain).alias("set"))
-    return rows.withColumn("name", F.md5(as_text(F.col("set"))))
+    return rows.withColumn("name", F.unhex(F.md5(as_text(F.col("set")))))
 
 
 def _entries(sets: DataFrame, threshold: float) -> DataFrame:
-    """Each set (name, set, n) at the rarest of its signatures, of which one is common to any other that is alike: name, n, pos, spot."""
+    """Each set (name, set, n) at the rarest of its signatures, of which one is common to any other that is alike: name, n, pos, spot.
+
+    Signatures that stand in one set alone come first in the order and meet nothing: they are counted, not moved.
+    """
     spots = sets.select("name", "n", F.explode("set").alias("spot"))
-    ranked = spots.join(spots.groupBy("spot").count(), "spot").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("count", "spot"))).alias("order"))
-    return held(ranked.select("name", "n", F.posexplode(F.slice("order", F.lit(1), F.col("n") - _least(threshold, F.col("n")) + 1)).alias("pos", "s")).select("name", "n", "pos", "s.spot"))
+    common = spots.groupBy("spot").count().where("count > 1")
+    ranked = spots.join(common, "spot").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("count", "spot"))).alias("order")).withColumn("lone", F.col("n") - F.size("order"))
+    room = F.greatest(F.col("n") - _least(threshold, F.col("n")) + 1 - F.col("lone"), F.lit(0))
+    return held(ranked.select("name", "n", "lone", F.posexplode(F.slice("order", F.lit(1), room)).alias("pos", "s")).select("name", "n", (F.col("pos") + F.col("lone")).alias("pos"), "s.spot"))
 
 
 def _least(share: float, n: Column) -> Column:
@@ -146,7 +151,7 @@ def _classes(sets: DataFrame, threshold: float, block: int, turns: int) -> DataF
     return components(held(edges.union(across.select("x", "y"))), a="x", b="y")
 
 
-def fingerprint_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 3, block: int = 1000, turns: int = 2) -> DataFrame:
+def fingerprint_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 3, block: int = 1000, turns: int = 3) -> DataFrame:
     """Near duplicates by fingerprint: a row for each document, with its class.
 
     ``representative`` is the smallest id with the same fingerprint, ``component_id`` the smallest id that can
