@@ -12,7 +12,7 @@ from factweave.registry import query
 TERMS = ["the", "que", "der", "tion"]
 #: Questions that reach each way of narrowing: name, question, forced document, whether filters are set.
 CASES = [
-    ("forced", "what is it", 5, None), ("filtered", "what is it", None, "lang = 'de' AND doc_id < 20"), ("filtered away", "what is it", None, "false"), ("all", "summarise all documents", None, None),
+    ("forced", "what is it", 5, None), ("filtered", "what is it", None, "lang = 'fr'"), ("filtered away", "what is it", None, "false"), ("all", "summarise all documents", None, None),
     ("named", "what does paper00007 say", None, None), ("two named", "paper00003 or else paper00007", None, None), ("compared", "compare them", None, None), ("best", "what is it", None, None),
 ]
 
@@ -39,7 +39,7 @@ _K = f""", h AS (SELECT chunk_id, doc_id, chunk_index, ({_HITS}) AS hits FROM ch
 k AS (SELECT chunk_id, doc_id, hits, row_number() OVER (ORDER BY hits DESC, chunk_index, doc_id) AS rank FROM h QUALIFY rank <= 10),
 own AS (SELECT chunk_id, doc_id, hits, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, chunk_index) AS rank FROM h QUALIFY rank <= 10),
 top AS (SELECT doc_id, count(*) AS n FROM k GROUP BY 1 ORDER BY sum(hits) DESC, doc_id LIMIT 1),
-chosen AS (SELECT chunk_id, doc_id, row_number() OVER (ORDER BY hits DESC, chunk_index, doc_id) AS rank FROM h WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de' AND doc_id < 20) QUALIFY rank <= 10),
+chosen AS (SELECT chunk_id, doc_id, row_number() OVER (ORDER BY hits DESC, chunk_index, doc_id) AS rank FROM h WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'fr') QUALIFY rank <= 10),
 best AS (SELECT chunk_id, own.doc_id FROM own JOIN top USING (doc_id) WHERE n < 5 UNION ALL SELECT chunk_id, k.doc_id FROM k JOIN top USING (doc_id) WHERE n >= 5)"""
 
 
