@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from factweave.functions import text as T
 from factweave.functions import values as V
+from factweave.store import kept
 
 
 @pandas_udf(DoubleType())
@@ -63,7 +64,13 @@ def fuzzy_pairs(nodes: DataFrame, least: float = 0.96, reach: int = 39) -> DataF
     are alike by 0.985.  Places are met by equal blocks of ``reach`` places, so the join is an equi-join.
     """
     placed = nodes.where(F.trim("name") != "").select("id", "label", F.lower(F.trim("name")).alias("name"), T.canonical_key(F.col("name")).alias("key"))
-    placed = placed.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("name", "id"))).withColumn("block", F.floor(F.col("at") / reach))
+    # Ranges of the order are numbered by themselves, and then by what is before them (a row for each range), so no task holds a whole label.
+    ranges = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(placed.repartitionByRange(ranges, "label", "name", "id").withColumn("range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("range").count().select("range", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("label", "name", "id"))
+    placed = ranged.withColumn("own", own).join(F.broadcast(offsets), "range").withColumn("at", F.col("own") + F.col("before")).drop("own", "before", "range").withColumn("block", F.floor(F.col("at") / reach))
     other = placed.select("label", F.explode(F.array("block", F.col("block") - 1)).alias("block"), F.col("id").alias("b"), F.col("name").alias("other"), F.col("key").alias("other_key"), F.col("at").alias("then"))
     met = placed.join(other, ["label", "block"]).where((F.col("then") > F.col("at")) & (F.col("then") <= F.col("at") + reach))
     # Ratios can not exceed what lengths allow.

@@ -114,3 +114,23 @@ def test_experiment_union(spark):
     old = spark.createDataFrame([("d", 1, "A ", {"t": "5", "status": "x"}, {"m": "1"}), ("d", 2, "a", {"t": "5"}, {"m": "1"})], s)
     new = spark.createDataFrame([("d", 3, "a", {"t": "5", "status": "y"}, {"m": "1"}), ("d", 4, "a", {"t": "6"}, {"m": "1"}), ("d", 5, "a", {"t": "6"}, {"m": "1"}), ("e", 6, "a", {"t": "5"}, {"m": "1"})], s)
     assert sorted(r.id for r in extraction.experiment_union(old, new, ["document"], ["id"]).collect()) == [1, 2, 4, 6]
+
+
+def test_fuzzy_pairs_over_ranges(spark):
+    """Neighbourhoods that cross the borders of ranges, against loops."""
+    from difflib import SequenceMatcher
+
+    from factweave.operators import entities
+
+    draw = random.Random(1)
+    nodes = [(f"i{i:03}", draw.choice("AB"), f"name of a thing number {draw.randrange(60)}{draw.choice(['', '.', 's'])}") for i in range(150)]
+    got = {(r.a, r.b) for r in entities.fuzzy_pairs(spark.createDataFrame(nodes, N), reach=7).collect()}
+    want = set()
+    for label in "AB":
+        order = sorted((name, i) for i, x, name in nodes if x == label)
+        for k, (x, a) in enumerate(order):
+            for y, b in order[k + 1 : k + 8]:
+                ratio = SequenceMatcher(None, x, y).ratio()
+                if ratio >= 0.96 and (x in y or y in x or ratio >= 0.985):
+                    want.add((a, b))
+    assert got == want and len(want) > 50
