@@ -78,7 +78,7 @@ def material_processes(
        its own or is held by it; those linked here come after the others and count for the next.
     4. ``last``: what is left takes the process with the largest score above 0.
 
-    Names are compared in lower case.  A name that comes twice in a document is one material, the last
+    Names are compared in lower case, those of a list also as their capitals are.  A name that comes twice in a document is one material, the last
     one.  Nothing is compared across documents; within one, names meet by their
     first characters, mentions by blocks of the text, scores by words, and pass 3 folds the list of a document's materials.
     """
@@ -91,7 +91,10 @@ def material_processes(
     named = p.select("doc_id", "at", "process_id", F.explode("names").alias("stack"))
 
     # Pass 1, with what orders the links: the process, then its list, then the materials.
-    keys = m.select("doc_id", "low", "seq", F.explode(F.array_distinct(F.concat(F.array("low"), "aliases"))).alias("key")).groupBy("doc_id", "key").agg(F.max_by("low", "seq").alias("low"))
+    # A letter that two stand for in capitals (ß) is the same as those two; a name with the very letters goes before. Spark takes lower(upper(x)) for lower(x), hence the concat.
+    own = F.array_distinct(F.concat(F.array("low"), "aliases"))
+    spelt = F.concat(F.transform(own, lambda k: F.struct(k.alias("key"), F.lit(1).alias("exact"))), F.transform(own, lambda k: F.struct(F.lower(F.concat(F.upper(k), F.lit(""))).alias("key"), F.lit(0).alias("exact"))))
+    keys = m.select("doc_id", "low", "seq", F.explode(spelt).alias("k")).groupBy("doc_id", F.col("k.key").alias("key")).agg(F.max_by("low", F.struct("k.exact", "seq")).alias("low"))
     listed = p.select("doc_id", "at", "process_id", F.posexplode("listed").alias("place", "raw")).withColumn("key", F.lower(F.trim("raw"))).join(keys, ["doc_id", "key"])
     listed = listed.select("doc_id", "low", "at", "process_id", F.lit(0).alias("rank"), "place")
     words = m.select("doc_id", "low", "seq", F.explode(F.array_distinct(F.concat(F.array("low"), "terms"))).alias("needle"))

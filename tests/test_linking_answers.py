@@ -88,3 +88,12 @@ def test_table_experiments(spark):
     assert [(r.chunk_id, r.table, r.row, r.title, [tuple(m) for m in r.measured]) for r in rows] == [
         (1, 0, 1, "Soil: Clay", [("elastic_modulus", "12.5", "MPa"), ("poisson_ratio", "0.3", "")]), (1, 0, 2, "Soil", [("elastic_modulus", "<5", "MPa")]),
     ]
+
+
+def test_listed_names_in_capitals_with_sharp_s(spark):
+    none = "array<string>"
+    materials = spark.createDataFrame([(1, 1, "weißmetall", [], None), (1, 2, "große", [], None), (1, 3, "grosse", [], None)], f"doc_id long, seq int, name string, aliases {none}, stage string")
+    processes = spark.createDataFrame([(1, 1, "p", "zzz", [], ["WEISSMETALL", "Große", "GROSSE"])], f"doc_id long, seq int, process_id string, name string, aliases {none}, listed {none}")
+    texts = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    got = linking.material_processes(materials, processes, texts)
+    assert {(r.material, r.way) for r in got.collect()} == {("weißmetall", "listed"), ("große", "listed"), ("grosse", "listed")}
