@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factweave.functions import text as T
 from factweave.functions import values as V
 from factweave.operators import graph
-from factweave.operators.entities import _grams, node_score
+from factweave.operators.entities import node_score
 from factweave.store import kept
 
 # Merged names ------------------------------------------------------------------------------------
@@ -36,21 +36,32 @@ def shown_key(label: Column, name: Column) -> Column:
     return F.coalesce(known, F.nullif(F.regexp_replace(compact, r"\s+", "_"), F.lit("")), F.nullif(token_key(name), F.lit("")))
 
 
+def _held(keys: DataFrame) -> DataFrame:
+    """Keys (label, key, size, words) that hold another one of their label, with each of those: label, key, by (size, key).
+
+    A key meets by its whole text: of the longer ones the parts that are as long as some key
+    of the label are cut out, so a beginning that many keys share brings nothing together.
+    """
+    sizes = keys.groupBy("label").agg(F.array_sort(F.collect_set("size")).alias("sizes"))
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.col("size") - n + 1), lambda i: F.substring(F.col("key"), i, n))
+    cut = F.array_distinct(F.flatten(F.transform(F.filter("sizes", lambda n: n < F.col("size")), parts)))
+    long = keys.join(F.broadcast(sizes), "label").select("label", "key", F.col("words").alias("b"), F.explode(cut).alias("short"))
+    short = keys.select("label", F.col("key").alias("short"), F.struct("size", "key").alias("by"), F.col("words").alias("a"))
+    return long.join(short, ["label", "short"]).where(F.contains("a", F.col("b")) | F.contains("b", F.col("a"))).select("label", "key", "by")
+
+
 def shown_keepers(nodes: DataFrame, edges: DataFrame, labels: tuple[str, ...] = V.MERGED_LABELS) -> DataFrame:
     """Nodes (id, label, name) of the labels with the node that is shown for them: id, keeper, root.
 
     Names of one key are one.  Of keys of a label of which one holds the other (and whose shown names' words do), the
     shorter takes in the longer, which then takes in nothing itself: keys are decided from the shortest on,
-    each as soon as all that it holds are, a round for all of them at once.  Keys meet by the first characters of the shorter
-    one.  The shown node has most links, then the longest name, then the smallest id; names of a key are judged by its own shown node.
+    each as soon as all that it holds are, a round for all of them at once.  A key is
+    looked for among the parts of the longer ones.  The shown node has most links, then the longest name, then the smallest id; names of a key are judged by its own shown node.
     """
     ranked = nodes.where(F.col("label").isin(*labels)).select("id", "label", F.coalesce("name", F.lit("")).alias("name")).withColumn("key", shown_key(F.col("label"), F.col("name"))).where("key IS NOT NULL")
     ranked = kept(ranked.join(graph.degrees(edges), "id", "left").select("id", "label", "name", "key", F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), (-F.length("name")).alias("n"), F.col("id").alias("id")).alias("rank")))
     keys = kept(ranked.groupBy("label", "key").agg(F.min_by("name", "rank").alias("name")).withColumn("words", token_key(F.col("name"))).withColumn("size", F.length("key")))
-    short = keys.select("label", F.struct("size", "key").alias("by"), F.col("key").alias("short"), F.col("words").alias("a")).withColumn("gram", F.substring("short", 1, 3))
-    long = keys.select("label", "key", "size", F.col("words").alias("b"), F.explode(_grams(F.col("key"))).alias("gram"))
-    held = (F.col("short") != F.col("key")) & F.contains("key", F.col("short")) & (F.contains("a", F.col("b")) | F.contains("b", F.col("a")))
-    pairs = kept(long.join(short, ["label", "gram"]).where(held).select("label", "key", "by").distinct())
+    pairs = kept(_held(keys))
 
     roots = kept(keys.select("label", "key").join(pairs.select("label", "key").distinct(), ["label", "key"], "left_anti"))
     gone, open_ = None, kept(pairs.select("label", "key").distinct())
