@@ -19,10 +19,11 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "type").union(edges.select("dst", "src", "type"))
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, node: str, skip: tuple[str, ...] = ("HAS_CHUNK", "CONTAINS_IMAGE"), limit: int = 40) -> DataFrame:
-    """Nodes one step from a node, in either direction, by label and name."""
+def neighbours(nodes: DataFrame, edges: DataFrame, node: str, skip: tuple[str, ...] = ("HAS_CHUNK", "CONTAINS_IMAGE"), limit: int | None = 40) -> DataFrame:
+    """Nodes one step from a node, in either direction, by label and name: the first ``limit``, or all."""
     near = undirected(edges.where(((F.col("src") == node) | (F.col("dst") == node)) & ~F.col("type").isin(*skip))).where(F.col("a") == node).select(F.col("b").alias("id")).distinct()
-    return nodes.join(near, "id").orderBy("label", "name", "id").limit(limit)
+    found = nodes.join(near, "id").orderBy("label", "name", "id")
+    return found if limit is None else found.limit(limit)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int, keep: Column | None = None) -> DataFrame:

@@ -18,3 +18,9 @@ def test_keys_meet_by_the_whole_of_the_shorter_one(spark):
     keys = spark.createDataFrame([(label, n.replace(" ", "_"), len(n), "_".join(sorted(n.split()))) for label, n in names], "label string, key string, size int, words string")
     held = display._held(keys)
     assert {(r.label, r.key, r.by.key) for r in held.collect()} == {("Process", "supplier0007_two", "supplier0007"), ("Process", "box_x", "x")}
+
+
+def test_all_neighbours_are_listed(spark):
+    nodes = spark.createDataFrame([(f"n{i:03d}", "L", f"{i:03d}") for i in range(150)], "id string, label string, name string")
+    edges = spark.createDataFrame([("n000", f"n{i:03d}", "T") for i in range(1, 150)], "src string, dst string, type string")
+    assert [r.id for r in graph.neighbours(nodes, edges, "n000", limit=None).collect()] == [f"n{i:03d}" for i in range(1, 150)]
