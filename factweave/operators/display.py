@@ -51,7 +51,7 @@ def _held(keys: DataFrame) -> DataFrame:
 
 
 def shown_keepers(nodes: DataFrame, edges: DataFrame, labels: tuple[str, ...] = V.MERGED_LABELS) -> DataFrame:
-    """Nodes (id, label, name) of the labels with the node that is shown for them: id, keeper, root.
+    """Nodes (id, label, name) of the labels with the node that is shown for them: id, keeper, root, label.
 
     Names of one key are one.  Of keys of a label of which one holds the other (and whose shown names' words do), the
     shorter takes in the longer, which then takes in nothing itself: keys are decided from the shortest on,
@@ -77,15 +77,15 @@ def shown_keepers(nodes: DataFrame, edges: DataFrame, labels: tuple[str, ...] =
     into = pairs.withColumn("other", F.col("by.key")).join(roots.select("label", F.col("key").alias("other")), ["label", "other"], "left_semi").groupBy("label", "key").agg(F.min("by").alias("by"))
     rooted = ranked.join(into if gone is None else into.join(gone, ["label", "key"], "left_semi"), ["label", "key"], "left").withColumn("root", F.coalesce("by.key", "key"))
     keeper = rooted.groupBy("label", "root").agg(F.min("rank").alias("k"))
-    return rooted.join(keeper, ["label", "root"]).select("id", F.col("k.id").alias("keeper"), "root")
+    return rooted.join(keeper, ["label", "root"]).select("id", F.col("k.id").alias("keeper"), "root", "label")
 
 
-def merged_view(nodes: DataFrame, edges: DataFrame, keepers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes without those that others are shown for, with the other names as aliases (id, label, name, aliases); and edges between what is left, each once."""
+def merged_view(nodes: DataFrame, edges: DataFrame, keepers: DataFrame, ends: dict[str, tuple[str, str]] | None = None, once: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes without those that others are shown for, with the other names as aliases (id, label, name, aliases); and edges between what is left, each once (``ends``, ``once``: see graph.redirect)."""
     names = keepers.where("id <> keeper").join(nodes.select("id", "name"), "id").select(F.col("keeper").alias("id"), "name")
     aliases = names.groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("others"))
     left = nodes.join(keepers.where("id <> keeper").select("id"), "id", "left_anti").join(aliases, "id", "left")
-    return left.select("id", "label", "name", F.array_remove(F.coalesce("others", F.array().cast("array<string>")), F.col("name")).alias("aliases")), graph.redirect(edges, keepers)
+    return left.select("id", "label", "name", F.array_remove(F.coalesce("others", F.array().cast("array<string>")), F.col("name")).alias("aliases")), graph.redirect(edges, keepers, ends, once)
 
 
 def reconciled(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def focus_scores(nodes: DataFrame, phrases: list[str], bonus: DataFrame | None =
     scored = nodes.select("id", "label", node_score(F.col("name"), F.col("name"), F.col("label"), phrases).alias("fit"))
     if bonus is None:
         return scored.where("fit > 0").select("id", "label", F.col("fit").alias("score"))
-    points = bonus.groupBy("id").agg(F.sum("points").alias("points"))
+    points = kept(bonus.groupBy("id").agg(F.sum("points").alias("points")))
     return scored.join(points, "id", "left").select("id", "label", (F.col("fit") + F.coalesce("points", F.lit(0))).alias("score")).where("score > 0")
 
 
@@ -139,14 +139,14 @@ def focus(nodes: DataFrame, edges: DataFrame, phrases: list[str], bonus: DataFra
     side = F.col("label").isin(*V.SIDE_LABELS)
     allowed = nodes.select("id", "label").join(scores.select("id", "score"), "id", "left").where(~side | (F.col("score") >= connector)).select("id")
     paths = kept(graph.paths_between(edges, chosen.select("id"), most, allowed))
-    on_paths = paths.select(F.explode("path").alias("id")).distinct().join(nodes.select("id", "label"), "id").where(~side).select("id")
+    on_paths = kept(paths.select(F.explode("path").alias("id")).distinct()).join(nodes.select("id", "label"), "id").where(~side).select("id")
     shown = chosen.select("id").union(on_paths).distinct().join(scores.select("id", "score"), "id", "left").join(chosen.select("id", F.lit(True).alias("is_primary")), "id", "left")
     shown = kept(shown.select("id", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("is_primary", F.lit(False)).alias("is_primary")).orderBy(F.desc("score"), "id").limit(visible))
 
     ends = lambda df: df.join(shown.select(F.col("id").alias("src")), "src", "left_semi").join(shown.select(F.col("id").alias("dst")), "dst", "left_semi")
     steps = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("src"), F.get("path", i).alias("dst")))).alias("s")).select("s.src", "s.dst", F.lit("path").alias("way"))
     articles = nodes.where("label = 'Document'").select("id")
-    own = ends(edges.select("src", "dst")).join(articles.withColumnRenamed("id", "src"), "src", "left_anti").join(articles.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", F.lit("direct").alias("way"))
+    own = kept(ends(edges.select("src", "dst")).distinct()).join(articles.withColumnRenamed("id", "src"), "src", "left_anti").join(articles.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", F.lit("direct").alias("way"))
     pair = lambda df: df.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "way")
     links = kept(pair(steps).union(pair(own)).groupBy("src", "dst").agg(F.max("way").alias("way")))
     if links.isEmpty():
@@ -159,26 +159,27 @@ def focus(nodes: DataFrame, edges: DataFrame, phrases: list[str], bonus: DataFra
 # Pages, expansion, removal -----------------------------------------------------------------------
 
 
-def entity_pages(seeds: DataFrame, edges: DataFrame, most: int = 300, skip: tuple[str, ...] = ("HAS_CHUNK", "CONTAINS_IMAGE")) -> tuple[DataFrame, DataFrame]:
+def entity_pages(seeds: DataFrame, edges: DataFrame, most: int = 300, skip: tuple[str, ...] = ("HAS_CHUNK", "CONTAINS_IMAGE"), near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages of entities of a document (seeds: document, id): nodes (document, id, is_seed) and edges (document, src, dst, type).
 
     A page holds its seeds, and up to ``most`` nodes (the first by id) that are linked to one of them and to the document;
     its edges are those that touch a seed and end within the page.  All pages are made at once: what is
     near a document meets the edges once, and only edges whose other end is a seed of the same document stay.
+    If it is known which types tie seeds to what documents are tied to, ``edges`` are those of the seeds, and ``near`` those of the documents.
     """
-    used = edges.where(~F.col("type").isin(*skip)).select("src", "dst", "type").distinct()
+    used = edges.where(~F.col("type").isin(*skip))
     asked = kept(seeds.select("document", "id").distinct())
-    both = used.select(F.col("src").alias("a"), F.col("dst").alias("b"), "src", "dst", "type").union(used.select("dst", "src", "src", "dst", "type"))
-    touched = both.join(asked.withColumnRenamed("id", "a"), "a").select("document", "b", "src", "dst", "type")
+    way = lambda a, b, out: used.select(F.col(a).alias("a"), F.col(b).alias("b"), "type", F.lit(out).alias("out"))
+    touched = way("src", "dst", True).union(way("dst", "src", False)).join(asked.withColumnRenamed("id", "a"), "a").select("document", "a", "b", "type", "out")
     docs = asked.select("document").distinct()
-    plain = edges.select("src", "dst")
-    near = plain.union(plain.select("dst", "src")).join(docs.select(F.col("document").alias("src"), "document"), "src").select("document", F.col("dst").alias("b")).distinct()
+    plain = (edges if near is None else near).select("src", "dst")
+    near = plain.union(plain.select("dst", "src")).join(docs.select(F.col("document").alias("src"), "document"), "src").select("document", F.col("dst").alias("b"))
     fit = near.withColumn("is_seed", F.lit(False)).union(asked.select("document", F.col("id").alias("b"), F.lit(True))).groupBy("document", "b").agg(F.max("is_seed").alias("is_seed"))
     rows = kept(touched.join(fit, ["document", "b"]))
     place = F.row_number().over(Window.partitionBy("document").orderBy("b"))
     more = rows.where("NOT is_seed").select("document", "b").distinct().withColumn("place", place).where(F.col("place") <= most).select("document", F.col("b").alias("id"), F.lit(False).alias("is_seed"))
     page = kept(asked.withColumn("is_seed", F.lit(True)).union(more))
-    return page, rows.join(page.select("document", F.col("id").alias("b")), ["document", "b"], "left_semi").select("document", "src", "dst", "type").distinct()
+    return page, rows.join(page.select("document", F.col("id").alias("b")), ["document", "b"], "left_semi").select("document", F.when(F.col("out"), F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("out"), F.col("b")).otherwise(F.col("a")).alias("dst"), "type").distinct()
 
 
 def opened(nodes: DataFrame, links: DataFrame, documents: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -45,7 +45,7 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, keep: Column | None = N
 
 def nearest(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """For each node within ``hops`` undirected steps the seed (id) that is nearest, the smaller id first: id, seed, distance."""
-    both = undirected(edges).select("a", "b").distinct()
+    both = undirected(edges).select("a", "b")
     found = front = kept(seeds.select("id", F.col("id").alias("seed"), F.lit(0).alias("distance")).distinct())
     for step in range(1, hops + 1):
         near = both.join(front.select(F.col("id").alias("a"), "seed"), "a").groupBy(F.col("b").alias("id")).agg(F.min("seed").alias("seed"))
@@ -62,10 +62,17 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return inside.select("src", "dst", "type").distinct()
 
 
-def document_members(edges: DataFrame, documents: DataFrame) -> DataFrame:
-    """Nodes of each document: linked directly, or through an experiment described in it: document, id."""
+def document_members(edges: DataFrame, documents: DataFrame, described: DataFrame | None = None) -> DataFrame:
+    """Nodes of each document: linked directly, or through an experiment described in it: document, id.
+
+    What experiments bring along may be given as ``described`` (document, ids), then edges are those of documents alone.
+    """
     docs = documents.select(F.col("id").alias("document"))
-    direct = undirected(edges.where("type <> 'MEASURED'")).join(docs, F.col("a") == F.col("document")).select("document", F.col("b").alias("id"))
+    direct = undirected(edges.where("type <> 'MEASURED'")).select(F.col("a").alias("document"), F.col("b").alias("id"))
+    if described is not None:
+        chained = described.select("document", F.explode("ids").alias("id"))
+        return direct.union(chained).join(docs, "document", "left_semi").distinct()
+    direct = direct.join(docs, "document")
     described = edges.where("type = 'DESCRIBED_IN'").join(docs, F.col("dst") == F.col("document")).select("document", F.col("src").alias("experiment"))
     chained = edges.where("type <> 'DESCRIBED_IN'").join(described, F.col("src") == F.col("experiment")).select("document", F.col("dst").alias("id"))
     return direct.union(chained).distinct()
@@ -80,46 +87,58 @@ def shortest_paths(edges: DataFrame, source: str, targets: DataFrame, most: int
 
     A node keeps one path, the first by the order of its nodes.
     """
-    both = undirected(edges).select("a", "b").distinct()
-    if allowed is not None:
-        inside = allowed.select("id")
-        both = both.join(inside.withColumnRenamed("id", "a"), "a", "left_semi").join(inside.withColumnRenamed("id", "b"), "b", "left_semi")
-    both = kept(both)
+    both = undirected(edges).select("a", "b")
     found = front = kept(edges.sparkSession.range(1).select(F.lit(source).alias("id"), F.lit(0).alias("distance"), F.array(F.lit(source)).alias("path")))
+    front = _within(front, allowed)
     for step in range(1, most + 1):
         near = both.join(front.select(F.col("id").alias("a"), "path"), "a").groupBy(F.col("b").alias("id")).agg(F.min("path").alias("path"))
         fresh = near.join(found.select("id"), "id", "left_anti")
-        front = kept(fresh.select("id", F.lit(step).alias("distance"), F.concat("path", F.array("id")).alias("path")))
+        front = kept(_within(fresh.select("id", F.lit(step).alias("distance"), F.concat("path", F.array("id")).alias("path")), allowed))
         if front.isEmpty():
             break
         found = found.union(front)
     return found.join(targets.select("id").distinct(), "id")
 
 
+def _within(front: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """The rows of a frontier that are allowed nodes (id): the nodes meet the few of the frontier, not the edges."""
+    if allowed is None:
+        return front
+    front = kept(front)
+    inside = kept(allowed.select("id").join(kept(front.select("id").distinct()), "id", "left_semi").distinct())
+    return front.join(inside, "id", "left_semi")
+
+
 def paths_between(edges: DataFrame, ends: DataFrame, most: int = 5, allowed: DataFrame | None = None) -> DataFrame:
     """The shortest undirected path of up to ``most`` steps between any two of a few nodes (id), through allowed nodes only: a, b, path, with a < b.
 
     All searches take their steps together, and end when every pair is joined or nothing new is reached; a node
-    keeps one path from each start, the first by the order of its nodes.
+    keeps one path from each start, the first by the order of its nodes.  Whether a step would reach another
+    start is read off the edges of the starts, so that the last step is taken to those alone.
     """
-    both = undirected(edges).select("a", "b").distinct()
+    both = undirected(edges).select("a", "b")
     starts = kept(ends.select("id").distinct())
-    if allowed is not None:
-        inside = allowed.select("id").union(starts).distinct()
-        both = both.join(inside.withColumnRenamed("id", "a"), "a", "left_semi").join(inside.withColumnRenamed("id", "b"), "b", "left_semi")
-    both = kept(both)
     n = starts.count()
+    allowed = None if allowed is None else allowed.select("id").union(starts)
+    last = kept(both.join(starts.select(F.col("id").alias("b")), "b", "left_semi").distinct())
     found = front = kept(starts.select(F.col("id").alias("start"), "id", F.array("id").alias("path")))
-    met = lambda: found.join(starts, "id", "left_semi").where("start < id")
-    for _ in range(most):
-        near = both.join(front.select("start", F.col("id").alias("a"), "path"), "a").groupBy("start", F.col("b").alias("id")).agg(F.min("path").alias("path"))
-        front = kept(near.join(found.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.concat("path", F.array("id")).alias("path")))
+    met = None
+
+    def step(along: DataFrame, known: DataFrame) -> DataFrame:
+        near = along.join(front.select("start", F.col("id").alias("a"), "path"), "a").groupBy("start", F.col("b").alias("id")).agg(F.min("path").alias("path"))
+        return near.join(known.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.concat("path", F.array("id")).alias("path"))
+
+    for taken in range(1, most + 1):
+        fresh = kept(step(last, found if met is None else found.union(met)).where("start < id"))
+        met = fresh if met is None else met.union(fresh)
+        if taken == most or met.count() == n * (n - 1) // 2:
+            break
+        front = kept(_within(step(both, found), allowed))
         if front.isEmpty():
             break
         found = found.union(front)
-        if met().count() == n * (n - 1) // 2:
-            break
-    return met().select(F.col("start").alias("a"), F.col("id").alias("b"), "path")
+    empty = starts.where("false").select(F.col("id").alias("start"), "id", F.array("id").alias("path"))
+    return (empty if met is None else met).select(F.col("start").alias("a"), F.col("id").alias("b"), "path")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,13 +176,45 @@ def canonical_groups(nodes: DataFrame, edges: DataFrame, key: str = "canonical_k
     return ranked.join(keeper, key).select("id", F.col("k.id").alias("keeper"))
 
 
-def redirect(edges: DataFrame, keepers: DataFrame) -> DataFrame:
-    """Edges with merged nodes replaced by their keeper; loops go, repeats become one."""
-    out = edges
-    for end in ("src", "dst"):
-        names = keepers.select(F.col("id").alias(end), F.col("keeper").alias(f"{end}_k"))
-        out = out.join(names, end, "left").withColumn(end, F.coalesce(f"{end}_k", end)).drop(f"{end}_k")
-    return out.where("src <> dst").select("src", "dst", "type", "value").distinct()
+def redirect(edges: DataFrame, keepers: DataFrame, ends: dict[str, tuple[str, str]] | None = None, once: DataFrame | None = None) -> DataFrame:
+    """Edges with merged nodes replaced by their keeper; loops go, repeats become one.
+
+    With the labels of the two ends of each type (``ends``), and keepers that have a label, an end meets the keepers
+    of its label alone, and edges whose ends have no keepers meet none; of those that are in ``once``, each once already, none meets another either.
+    """
+    columns = ["src", "dst", "type", "value"]
+    # Most nodes keep themselves.
+    moved = keepers.where("id <> keeper")
+    if ends is None:
+        return _moved(edges, moved, moved).where("src <> dst").select(*columns).distinct()
+    moved = kept(moved.select("id", "keeper", "label"), "label")
+    labels = {r.label for r in moved.select("label").distinct().collect()}
+    of = lambda label: moved.where(F.col("label") == label) if label in labels else None
+    touched = [t for t, pair in ends.items() if labels & set(pair)]
+    rest = edges.where(~F.col("type").isin(*touched)).where("src <> dst").select(*columns).distinct() if once is None else once.where(~F.col("type").isin(*touched)).where("src <> dst").select(*columns)
+    for kind in touched:
+        rest = rest.union(_moved(edges.where(F.col("type") == kind), *map(of, ends[kind])).where("src <> dst").select(*columns).distinct())
+    return rest
+
+
+def _moved(edges: DataFrame, *moved: DataFrame | None) -> DataFrame:
+    for end, names in zip(("src", "dst"), moved):
+        if names is not None:
+            names = names.select(F.col("id").alias(end), F.col("keeper").alias(f"{end}_k"))
+            edges = edges.join(names, end, "left").withColumn(end, F.coalesce(f"{end}_k", end)).drop(f"{end}_k")
+    return edges
+
+
+def untouched(edges: DataFrame, gone: DataFrame, ends: tuple[list[str], list[str]] | None = None) -> DataFrame:
+    """Edges without those that touch some nodes (gone: id); if it is known which types start from such nodes and which lead to them (ends), others meet none."""
+    left = edges
+    for i, end in enumerate(("src", "dst")):
+        names = gone.select(F.col("id").alias(end))
+        if ends is None:
+            left = left.join(names, end, "left_anti").select(*edges.columns)
+        else:
+            left = left.where(~F.col("type").isin(*ends[i])).union(left.where(F.col("type").isin(*ends[i])).join(names, end, "left_anti").select(*edges.columns))
+    return left
 
 
 #: Edges by which a document owns a node: type, whether the document is its source.
@@ -210,22 +261,25 @@ ALIVE = {
 def orphans(nodes: DataFrame, edges: DataFrame, rules: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
     """Nodes that nothing keeps alive (see ALIVE); a material lives by a described experiment that uses it too, an expert by a team that wrote a document."""
     rules = ALIVE if rules is None else rules
-    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit("out").alias("end")), F.struct(F.col("dst").alias("id"), F.lit("in").alias("end")))).alias("e"), "type", F.col("dst").alias("other")).select("e.*", "type", "other")
-    wanted = F.lit(False)
+    judged = nodes.where(F.col("label").isin(*rules))
+    by: dict[str, list[str]] = {}
     for label, ways in rules.items():
         for end, kind in ways:
             if (label, kind) != ("Expert", "MEMBER_OF"):
-                wanted = wanted | ((F.col("label") == label) & (F.col("end") == end) & (F.col("type") == kind))
-    judged = nodes.where(F.col("label").isin(*rules))
-    alive = judged.select("id", "label").join(ends, "id").where(wanted).select("id")
+                by.setdefault(f"{end}:{kind}", []).append(label)
+    # Only the end that counts is looked at, of the types that count for it, each node once.
+    labels = F.create_map(*(x for way, names in by.items() for x in (F.lit(way), F.array(*map(F.lit, names))))) if by else F.lit(None).cast("map<string,array<string>>")
+    end = lambda name, column: F.struct(labels[F.concat(F.lit(f"{name}:"), "type")].alias("labels"), F.col(column).alias("id"))
+    ends = edges.select(F.explode(F.array(end("out", "src"), end("in", "dst"))).alias("e")).where("e.labels IS NOT NULL")
+    alive = ends.select(F.explode("e.labels").alias("label"), "e.id")
     described = edges.where("type = 'DESCRIBED_IN'").select("src").distinct()
     used = edges.where("type = 'USES_MATERIAL'").join(described, "src", "left_semi").select(F.col("dst").alias("id"))
     writers = edges.where("type = 'AUTHORED'").select(F.col("src").alias("dst")).distinct()
     members = edges.where("type = 'MEMBER_OF'").join(writers, "dst", "left_semi").select(F.col("src").alias("id"))
     for label, kept_by in (("Material", used), ("Expert", members)):
         if label in rules:
-            alive = alive.union(kept_by)
-    return judged.join(alive, "id", "left_anti")
+            alive = alive.union(kept_by.select(F.lit(label).alias("label"), "id"))
+    return judged.join(alive.distinct(), ["label", "id"], "left_anti").select(*nodes.columns)
 
 
 def purge(nodes: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -243,8 +297,8 @@ def unlinked(edges: DataFrame, document: str, types: tuple[str, ...] = ("AUTHORE
     return away.where("type <> 'PROCESSED_IN'").unionByName(links.select(*edges.columns))
 
 
-def json_ld(nodes: DataFrame, types: dict[str, str], edges: DataFrame | None = None) -> DataFrame:
-    """Nodes, and edges if given, as JSON-LD entities and relations: id, entity."""
+def json_ld(nodes: DataFrame, types: dict[str, str], edges: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """Nodes, and edges if given, as JSON-LD entities and relations, each edge once (as they are given, if ``once`` says so): id, entity."""
     kind = F.create_map(*(F.lit(x) for pair in types.items() for x in pair))
     urn = lambda c: F.concat(F.lit("urn:"), c)
     entity = F.to_json(F.struct(urn("id").alias("@id"), F.coalesce(kind[F.col("label")], F.lit("Thing")).alias("@type"), F.col("name").alias("name")))
@@ -252,7 +306,8 @@ def json_ld(nodes: DataFrame, types: dict[str, str], edges: DataFrame | None = N
     if edges is None:
         return entities
     relation = F.to_json(F.struct(urn("src").alias("subject"), F.col("type").alias("predicate"), urn("dst").alias("object")))
-    return entities.union(edges.select("src", "type", "dst").distinct().select(F.col("src").alias("id"), relation.alias("entity")))
+    edges = edges.select("src", "type", "dst")
+    return entities.union((edges if once else edges.distinct()).select(F.col("src").alias("id"), relation.alias("entity")))
 
 
 def chain_order(edges: DataFrame, most: int = 24) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import questions as Q
 from factweave.functions import text as T
+from factweave.operators import graph
 
 
 def any_term(text: Column, terms: list[str]) -> Column:
@@ -71,10 +72,9 @@ def all_tokens(query: str, *fields: Column) -> Column:
     return out
 
 
-def visual_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges without those that touch a document."""
-    docs = nodes.where("label = 'Document'").select("id")
-    return edges.join(docs.withColumnRenamed("id", "src"), "src", "left_anti").join(docs.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*edges.columns)
+def visual_edges(edges: DataFrame, nodes: DataFrame, ends: tuple[list[str], list[str]] | None = None) -> DataFrame:
+    """Edges without those that touch a document; ``ends``: the types that start from documents, and that lead to them, if known."""
+    return graph.untouched(edges, nodes.where("label = 'Document'"), ends)
 
 
 def display_label(label: Column, name: Column, value: Column | None = None, unit: Column | None = None) -> Column:
@@ -108,8 +108,17 @@ def material_details(materials: DataFrame, experiments: DataFrame, documents: Da
     return own.unionByName(rows).join(materials.select("id"), "id", "left_semi")
 
 
-def experiment_details(experiments: DataFrame, materials: DataFrame, documents: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each experiment with its material, its document and its measured values: id, regime_name, material, title, measured (sorted structs)."""
+def experiment_details(experiments: DataFrame, materials: DataFrame, documents: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Each experiment with its material, its document and its measured values: id, regime_name, material, title, measured (sorted structs).
+
+    Without edges, the experiments have what theirs lead to side by side: material_id, document_id, measured (property, value).
+    """
+    if edges is None:
+        values = F.array_sort(F.array_distinct(F.transform("measured", lambda v: F.struct(F.substring(v["property"], 6, 1 << 30).alias("name"), v["value"].alias("value")))))
+        out = experiments.select("id", "regime_name", "material_id", "document_id", "measured")
+        out = out.join(materials.select(F.col("id").alias("material_id"), F.col("name").alias("material")), "material_id", "left")
+        out = out.join(documents.select(F.col("id").alias("document_id"), "title"), "document_id", "left")
+        return out.select("id", "regime_name", "material", "title", values.alias("measured"))
     end = lambda kind, name: edges.where(F.col("type") == kind).select(F.col("src").alias("id"), F.col("dst").alias(name))
     values = edges.where("type = 'MEASURED'").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set(F.struct(F.substring("dst", 6, 1 << 30).alias("name"), "value"))).alias("measured"))
     out = experiments.select("id", "regime_name").join(end("USES_MATERIAL", "m"), "id", "left").join(materials.select(F.col("id").alias("m"), F.col("name").alias("material")), "m", "left")
@@ -193,12 +202,19 @@ def titled(hits: DataFrame, documents: DataFrame) -> DataFrame:
     return hits.join(documents.select(F.col("id").alias("doc_id"), "title"), "doc_id", "left")
 
 
-def document_experiments(edges: DataFrame, experiments: DataFrame, galleries: DataFrame) -> DataFrame:
-    """Experiments of each document with what they measured, and the document's images: document, id, regime_name, properties, images."""
+def document_experiments(edges: DataFrame | None, experiments: DataFrame, galleries: DataFrame) -> DataFrame:
+    """Experiments of each document with what they measured, and the document's images: document, id, regime_name, properties, images.
+
+    Without edges, the experiments have what theirs lead to side by side: document_id, measured (property, value).
+    """
+    images = galleries.select(F.col("doc_id").alias("document"), F.col("image_count").alias("images"))
+    shown = F.coalesce("images", F.lit(0)).cast("long").alias("images")
+    if edges is None:
+        names = F.array_sort(F.array_distinct(F.transform("measured", lambda v: F.substring(v["property"], 6, 1 << 30))))
+        return experiments.select(F.col("document_id").alias("document"), "id", "regime_name", names.alias("properties")).join(images, "document", "left").select("document", "id", "regime_name", "properties", shown)
     described = edges.where("type = 'DESCRIBED_IN'").select(F.col("src").alias("id"), F.col("dst").alias("document"))
     found = edges.where("type = 'MEASURED'").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set(F.substring("dst", 6, 1 << 30))).alias("properties"))
-    images = galleries.select(F.col("doc_id").alias("document"), F.col("image_count").alias("images"))
-    return described.join(experiments.select("id", "regime_name"), "id").join(found, "id", "left").join(images, "document", "left").select("document", "id", "regime_name", "properties", F.coalesce("images", F.lit(0)).cast("long").alias("images"))
+    return described.join(experiments.select("id", "regime_name"), "id").join(found, "id", "left").join(images, "document", "left").select("document", "id", "regime_name", "properties", shown)
 
 
 def cluster_counts(members: DataFrame) -> DataFrame:
