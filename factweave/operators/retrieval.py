@@ -257,7 +257,8 @@ def best_sentences(chunks: DataFrame, terms: list[str], k: int = 3, most: int =
     """
     text = T.strip(F.col("text"))
     none = F.array().cast("array<string>")
-    numeric = F.when(T.has(text, r"\d"), T.every(text, r"[^.!?]*\d+(?:[.,]\d+)?[^.!?]*[.!?]")).otherwise(none)
+    # A sentence starts after the end of another: without that every place of a long one would be tried, with the square of its length.
+    numeric = F.when(T.has(text, r"\d"), T.every(text, r"(?<![^.!?])[^.!?]*\d+(?:[.,]\d+)?[^.!?]*[.!?]")).otherwise(none)
     plain = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), T.strip), lambda s: s != "")
     sentences = T.bind(numeric, lambda n: F.when(F.size(n) > 0, n).otherwise(plain))
 
