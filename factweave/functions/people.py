@@ -80,27 +80,29 @@ def parted_text(text: Column) -> Column:
     return F.regexp_replace(out, r"(?U)\s+", " ")
 
 
-def person_names(text: Column) -> Column:
-    """Names of three and of two words in a parted text, each once, that can be a person's."""
+def person_names(text: Column, parts: list[str] = V.NO_NAME_PARTS, ends: list[str] = V.PATRONYMIC_ENDS) -> Column:
+    """Names of three and of two words in a parted text, each once, that can be a person's: none of their words is listed, they hold none of ``parts`` and have none of ``ends``."""
     bounded = lambda p: rf"(?<!{T.WORD}){p}(?!{T.WORD})"
     found = F.transform(F.concat(T.every(text, bounded(V.THREE_NAMES), 1), T.every(text, bounded(V.TWO_NAMES), 1)), lambda n: F.regexp_replace(T.strip(n), r"\s+", " "))
 
     def likely(name: Column) -> Column:
-        parts = F.split(name, " ")
-        good = F.forall(parts, lambda w: (F.length(w) >= 3) & T.has(w, r"^\p{L}+$") & ~w.isin(V.NO_SURNAMES))
-        return F.size(parts).between(2, 3) & good & ~T.any_of(name, ["Birch", "Russia", "Russian"]) & ~F.endswith(name, F.lit("ovich")) & ~F.endswith(name, F.lit("evich"))
+        words = F.split(name, " ")
+        good = F.forall(words, lambda w: (F.length(w) >= 3) & T.has(w, r"^\p{L}+$") & ~w.isin(V.NO_SURNAMES))
+        for end in ends:
+            good = good & ~F.endswith(name, F.lit(end))
+        return F.size(words).between(2, 3) & good & ~T.any_of(name, parts)
 
     return F.filter(_unique(found), likely)
 
 
 def role_of(text: Column, name: Column) -> Column:
-    """The first role, in the order of the list, in the 80 characters before the first place of a name and the 120 after it; null without one."""
-    low = F.lower(text)
-    at = F.instr(low, F.lower(name))
-    start = F.greatest(at - 80, F.lit(1))
-    window = F.substring(low, start, at + F.length(name) + 120 - start)
-    found = F.filter(F.array(*map(F.lit, V.ROLE_HINTS)), lambda h: F.contains(window, h))
-    return F.when(at > 0, F.get(found, F.lit(0)))
+    """The first role, in the order of the list, in the 80 characters before the first place of a name and the 120 after it; null without one.
+
+    A name stands where its words are whole, not inside of others, and its own letters are no role.
+    """
+    place = F.concat(F.lit(rf"(?iu)(?<!{T.WORD})\Q"), name, F.lit(rf"\E(?!{T.WORD})"))
+    window = T.bind(F.split(text, place, 2), lambda s: F.lower(F.concat(F.right(F.get(s, F.lit(0)), F.lit(80)), F.lit("\n"), F.left(F.get(s, F.lit(1)), F.lit(120)))))
+    return T.bind(window, lambda w: F.get(F.filter(F.array(*map(F.lit, V.ROLE_HINTS)), lambda h: F.contains(w, h)), F.lit(0)))
 
 
 def acts(text: Column, name: Column) -> Column:

@@ -62,13 +62,15 @@ def document_organisations(chunks: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.posexplode(P.organisations(F.col("text"))).alias("at", "name")).select("doc_id", (F.col("at") + 1).alias("place"), "name")
 
 
-def person_facts(excerpts: DataFrame, language: str = "en") -> DataFrame:
+def person_facts(excerpts: DataFrame, language: str = "en", parted: bool = False, parts: list[str] = V.NO_NAME_PARTS, ends: list[str] = V.PATRONYMIC_ENDS) -> DataFrame:
     """Persons who act in the excerpts (question_id, n, text) of a question, with the numbers of those that speak of them: question_id, name, claim, sources.
 
-    The claim adds the role near the name in the first of them; in English no Russian one.
+    The claim adds the role near the name in the first of them; in English no Russian one.  Words that ran together are parted
+    unless the texts are ``parted``, single blanks between their words.  Names with ``parts`` or ``ends`` are no persons'.
     """
-    rows = excerpts.select("question_id", "n", P.parted_text(F.col("text")).alias("text"))
-    named = rows.select("question_id", "n", "text", F.explode(P.person_names(F.col("text"))).alias("name")).where(P.acts(F.col("text"), F.col("name")))
+    text = F.coalesce("text", F.lit("")) if parted else P.parted_text(F.col("text"))
+    rows = excerpts.select("question_id", "n", text.alias("text"))
+    named = rows.select("question_id", "n", "text", F.explode(P.person_names(F.col("text"), parts, ends)).alias("name")).where(P.acts(F.col("text"), F.col("name")))
     merged = named.select("question_id", "n", "name", P.role_of(F.col("text"), F.col("name")).alias("role")).groupBy("question_id", "name").agg(F.min_by("role", "n").alias("role"), F.array_sort(F.collect_set("n")).alias("sources"))
     shown = F.col("role").isNotNull() & (F.lit(language != "en") | ~T.has(F.col("role"), T.CYRILLIC))
     return merged.select("question_id", "name", F.when(shown, F.concat_ws(" — ", "name", "role")).otherwise(F.col("name")).alias("claim"), "sources")

@@ -35,3 +35,27 @@ def test_person_facts(spark):
     rows = [(1, 1, "The moderator Ann Lee said hello. In the World Council; Bob Ray, a man. Steel House, too."), (1, 2, "saidAnn Lee. Ivan Petrovich Sidorov (poet)"), (1, 3, "Tom Fox walks" + "." * 200), (2, 1, "художник Ann Lee"), (2, 2, None)]
     got = people.person_facts(spark.createDataFrame(rows, "question_id int, n int, text string")).collect()
     assert sorted((r.question_id, r.claim, r.sources) for r in got) == [(1, "Ann Lee — moderator", [1, 2]), (1, "Bob Ray — moderator", [1]), (1, "Ivan Petrovich Sidorov — poet", [2]), (2, "Ann Lee", [1])]
+
+
+def documents(spark, folder, texts):
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+
+
+def same_as_sql(spark, folder, name):
+    import duckdb
+
+    from factweave import queries
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    rows = [tuple(r) for r in queries.QUERIES[name](spark, folder).collect()]
+    assert sorted(rows) == sorted(db.execute(queries.ORACLE_SQL[name]).fetchall())
+    return rows
+
+
+def test_persons_of_any_words(spark, tmp_path):
+    """Words with the end of a patronymic, a verb of speech or a role in them are names as others are, and a name is not looked for inside of others."""
+    tail = " aaa bbb ccc ddd eee fff"
+    documents(spark, str(tmp_path), [(0, "ann des des levich authors poet zzz" + tail), (50, "thstated statedor ann birchard aab aac" + tail), (100, "artistic membership thor thin aad aae" + tail), (150, "thor thinly hor thin aaf aag" + tail), (200, "uneaiquevich les noted russian aah aai" + tail), (1, None)])
+    rows = same_as_sql(spark, str(tmp_path), "persons_in_excerpts")
+    assert ("Levich Authors", "Levich Authors", "1") in [r[1:] for r in rows] and ("Hor Thin", "Hor Thin", "4") in [r[1:] for r in rows]
