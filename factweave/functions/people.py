@@ -57,10 +57,10 @@ def labelled_authors(text: Column, short: int = 400) -> Column:
     return _unique(F.concat(front, listed_people(text)))
 
 
-def organisations(text: Column) -> Column:
-    """Institutions after labels and by their legal form, the longest first, without those that a longer one holds."""
+def organisations(text: Column, plain: bool = False) -> Column:
+    """Institutions after labels and by their legal form, the longest first, without those that a longer one holds; ``plain`` texts have no marks of slides or sections."""
     legal = lambda n: T.bind(F.regexp_extract(n, V.LEGAL_NAME, 0), lambda m: F.when(m != "", T.entity_name(m)).otherwise(T.entity_name(n)))
-    found = F.filter(F.transform(F.concat(*(T.every(text, p, 1) for p in V.INSTITUTION_LABELS)), legal), K.organisation_name)
+    found = F.filter(F.transform(F.concat(*(T.every(text, p, 1) for p in V.INSTITUTION_LABELS)), legal), lambda n: K.organisation_name(n, plain))
     ordered = F.array_sort(F.transform(_unique(found), lambda n, i: F.struct((-F.length(n)).alias("n"), i.alias("i"), n.alias("name"))))
     names = F.transform(ordered, lambda x: x["name"])
     return T.bind(names, lambda c: F.filter(c, lambda n: ~F.exists(c, lambda o: (F.lower(o) != F.lower(n)) & F.contains(F.lower(o), F.lower(n)))))

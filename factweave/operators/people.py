@@ -56,10 +56,13 @@ def document_people(chunks: DataFrame, front: int = 6, part: int = 4000, heads:
     return first.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("x")).alias("place"), F.col("x.name").alias("name"))
 
 
-def document_organisations(chunks: DataFrame) -> DataFrame:
-    """The institutions of each document (chunks: doc_id, chunk_index, text), the longest first: doc_id, place, name."""
+def document_organisations(chunks: DataFrame, plain: bool = False) -> DataFrame:
+    """The institutions of each document (chunks: doc_id, chunk_index, text), the longest first: doc_id, place, name.
+
+    Names with marks of slides or sections ("table", "copyright") are none, unless the texts are ``plain``.
+    """
     texts = chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return texts.select("doc_id", F.posexplode(P.organisations(F.col("text"))).alias("at", "name")).select("doc_id", (F.col("at") + 1).alias("place"), "name")
+    return texts.select("doc_id", F.posexplode(P.organisations(F.col("text"), plain)).alias("at", "name")).select("doc_id", (F.col("at") + 1).alias("place"), "name")
 
 
 def person_facts(excerpts: DataFrame, language: str = "en", parted: bool = False, parts: list[str] = V.NO_NAME_PARTS, ends: list[str] = V.PATRONYMIC_ENDS) -> DataFrame:

@@ -59,3 +59,10 @@ def test_persons_of_any_words(spark, tmp_path):
     documents(spark, str(tmp_path), [(0, "ann des des levich authors poet zzz" + tail), (50, "thstated statedor ann birchard aab aac" + tail), (100, "artistic membership thor thin aad aae" + tail), (150, "thor thinly hor thin aaf aag" + tail), (200, "uneaiquevich les noted russian aah aai" + tail), (1, None)])
     rows = same_as_sql(spark, str(tmp_path), "persons_in_excerpts")
     assert ("Levich Authors", "Levich Authors", "1") in [r[1:] for r in rows] and ("Hor Thin", "Hor Thin", "4") in [r[1:] for r in rows]
+
+
+def test_institutions_of_any_words(spark, tmp_path):
+    """Words that hold a mark of noise, alone or where two meet, are names of institutions as others are."""
+    head = "aaa bbb ccc ddd eee fff "
+    documents(spark, str(tmp_path), [(0, head + "copyright stable zza zzb zzc zzd"), (1, head + "cota ble zza zzb zzc zzd"), (2, head + "http www zza zzb zzc zzd"), (3, head + "tag ext zza zzb zzc zzd"), (4, None)])
+    assert len(same_as_sql(spark, str(tmp_path), "document_institutions")) == 8
