@@ -188,19 +188,28 @@ def opened(nodes: DataFrame, links: DataFrame, documents: DataFrame, types: Data
     Documents stay.  Clusters of an open document stay unless their type is open, then its nodes do.  What
     an open document links to a kept node stays as well.  A graph without documents stays whole; without an open one documents alone stay.
     """
-    articles = nodes.where("label = 'Document'").select("id")
-    if articles.isEmpty():
+    is_article = F.coalesce(F.col("label") == "Document", F.lit(False))
+    articles, others = nodes.where(is_article), nodes.where(~is_article)
+    # The open documents, each once: whether the view has them, and their open types.
+    shown = types.groupBy(F.col("document").alias("id")).agg(F.collect_set("label").alias("shown"))
+    known = articles.select("id").distinct().withColumn("known", F.lit(True))
+    doors = kept(documents.select("id").distinct().join(shown, "id", "left").join(known, "id", "left").select("id", F.col("known").isNotNull().alias("known"), F.coalesce("shown", F.array().cast("array<string>")).alias("shown")))
+    strays = doors.where("NOT known")
+    if doors.where("known").isEmpty() and articles.isEmpty():
         return nodes, links
-    hubs = documents.select(F.col("id").alias("hub"))
-    inside = nodes.where("label <> 'Document'").join(hubs, "hub", "left_semi")
-    shown = types.select(F.col("document").alias("hub"), F.col("label").alias("type"), F.lit(True).alias("is_open"))
-    marked = inside.withColumn("type", F.when(F.col("label") == "Cluster", F.col("type")).otherwise(F.col("label"))).join(shown, ["hub", "type"], "left")
-    keep = kept(articles.union(marked.where((F.col("label") == "Cluster") == F.col("is_open").isNull()).select("id")).distinct())
+    kind = F.when(F.col("label") == "Cluster", F.col("type")).otherwise(F.col("label"))
+    marked = others.join(doors.select(F.col("id").alias("hub"), "shown"), "hub")
+    inside = marked.where((F.col("label") == "Cluster") != F.coalesce(F.array_contains("shown", kind), F.lit(False))).select("id")
     both = links.select("src", "dst").union(links.select("dst", "src"))
-    opened_ends = both.join(documents.select(F.col("id").alias("src")), "src", "left_semi")
-    reach = opened_ends.union(opened_ends.select("dst", "src")).join(keep.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
-    final = kept(keep.union(reach).distinct())
-    held = nodes.join(final, "id", "left_semi").select(*nodes.columns)
+    tied = lambda df: both.join(df.select(F.col("id").alias("src")), "src", "left_semi")
+    # Documents stay, so what they are linked to does.
+    more = inside.union(tied(doors.where("known")).select(F.col("dst").alias("id")))
+    if not strays.isEmpty():
+        ends = tied(strays)
+        stays = articles.select("id").union(inside).select(F.col("id").alias("src"))
+        more = more.union(ends.union(ends.select("dst", "src")).join(stays, "src", "left_semi").select("dst"))
+    held = articles.union(others.join(more, "id", "left_semi").select(*nodes.columns))
+    final = articles.select("id").union(more).distinct()
     return held, links.join(final.select(F.col("id").alias("src")), "src", "left_semi").join(final.select(F.col("id").alias("dst")), "dst", "left_semi").select(*links.columns)
 
 

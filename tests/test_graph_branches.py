@@ -52,3 +52,29 @@ def test_answers_are_read_in_many_tasks(spark):
 
     parts = queries_linking._answers(Corpus(spark, "/root/testdata/sf0.001"))
     assert parts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_items_of_documents(spark):
+    """Opened documents meet no items of others: those are not stored for it, and hold what the stored ones hold."""
+    from factweave import queries_display
+
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    docs = c.documents.where("scope = 'domestic'").select("id")
+    nodes, links = queries_display._view(c, docs)
+    assert nodes.where("label = 'Experiment'").join(docs.select(docs.id.alias("hub")), "hub", "left_anti").isEmpty()
+    for mine, whole in zip((nodes, links), queries_display._view(c)):
+        assert mine.exceptAll(whole).isEmpty()
+    assert mine.count() < whole.count()
+
+
+def test_opened_strays(spark):
+    """An open document that the view does not have stays out, and only what stays by itself is reached from it."""
+    from factweave.operators import display
+
+    view = spark.createDataFrame([("d1", "Document", None, None), ("c", "Cluster", "M", "d1"), ("m", "M", None, "d1"), ("n", "N", None, "x"), ("o", "N", None, None), ("z", None, None, "d1"), ("y", None, None, None)], "id string, label string, type string, hub string")
+    links = spark.createDataFrame([("d1", "o"), ("y", "d1"), ("x", "o"), ("m", "n"), ("x", "m"), ("m", "x"), ("n", "x")], "src string, dst string")
+    docs = spark.createDataFrame([("d1",), ("x",), ("m",), ("m",), ("e",)], "id string")
+    types = spark.createDataFrame([("d1", "M"), ("d1", "M"), ("d1", None)], "document string, label string")
+    shown, ties = display.opened(view, links, docs, types)
+    assert rows(shown.select("id")) == [("d1",), ("m",), ("n",), ("o",), ("y",)]
+    assert rows(ties) == sorted([("d1", "o"), ("y", "d1"), ("x", "o"), ("m", "n"), ("x", "m"), ("m", "x"), ("n", "x")])
