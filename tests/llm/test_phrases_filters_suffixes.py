@@ -181,6 +181,36 @@ def test_suffix_dedup_odd(spark):
     assert [r.n_removed for r in suffix_dedup.suffix_dedup(table(spark, [(1, None, None)])).collect()] == [0]
 
 
+@pytest.mark.parametrize("most", [1 << 15, 40])
+def test_suffix_dedup_frequent(spark, monkeypatch, most):
+    """A passage in many surroundings: the rows of its key, or of its strings, are split over tasks by Spark's skew handling."""
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrst") for _ in range(n))
+    passage, plans, write = word(40), [], suffix_dedup.held
+    texts = [word(30) + passage + word(30) for _ in range(400)]
+
+    def spy(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return write(df)
+
+    few = {"shuffle.partitions": "8", "autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "1k"}
+    few |= {"adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "adaptive.skewJoin.skewedPartitionFactor": "1.2"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in few}
+    monkeypatch.setattr(suffix_dedup, "held", spy)
+    try:
+        for k, v in few.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        docs = table(spark, [(i, t, "en") for i, t in enumerate(texts)], 8)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(docs, length=24, most_group=most).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert [got[i] for i in range(len(texts))] == plain_dedup(texts, 24)
+    joins = [p for p in plans if "LeftSemi" in p]
+    assert len(joins) == (1 if most > 400 else 2) and all("skew=true" in p for p in joins)
+
+
 def test_suffix_order():
     """Deep-shallow sorting against sorted(), with zeros, prefixes and long common beginnings."""
     draw = random.Random(1)
