@@ -66,3 +66,19 @@ def test_values_meet_in_one_shuffle_and_without_a_table_of_materials(spark, odd,
         plan = plan_of(own.QUERIES[name](spark, FOLDER))
         assert plan.count("Exchange ") == 1 and plan.count("Scan parquet") == 1
     assert "m:9" in {x for r in against_sql(spark, odd, name) for x in r}
+
+
+def test_names_of_documents_are_not_broadcast(spark, monkeypatch):
+    from factweave.operators import linking
+
+    plans, real = [], linking.kept
+    monkeypatch.setattr(linking, "kept", lambda df: plans.append(plan_of(df)) or real(df))
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1g")
+    try:
+        out = own.QUERIES["process_links"](spark, FOLDER)
+        assert len(plans) > 5
+        assert not any("Broadcast" in p for p in [*plans, plan_of(out)])
+    finally:
+        spark.conf.set(name, before)
