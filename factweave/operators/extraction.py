@@ -10,6 +10,7 @@ from factweave.functions import questions as Q
 from factweave.functions import scores as S
 from factweave.functions import text as T
 from factweave.functions import values as V
+from factweave.store import kept
 
 
 def template(name: Column) -> Column:
@@ -145,9 +146,15 @@ def resolved_title(core: Column, heading: Column, paragraphs: Column, stem: Colu
 
 
 def titled_processes(chunks: DataFrame) -> DataFrame:
-    """Section titles of chunks (doc_id, section_title) that name a process, each once a document: doc_id, key, name."""
-    clean = chunks.select("doc_id", T.entity_name(F.col("section_title")).alias("name")).where(process_label(F.col("name")))
-    return clean.groupBy("doc_id", T.canonical_key(F.col("name")).alias("key")).agg(F.min("name").alias("name"))
+    """Section titles of chunks (doc_id, section_title) that name a process, each once a document: doc_id, key, name.
+
+    Documents share titles, so each different title is judged once; what documents have of titles is stored for that, each pair once.
+    """
+    pairs = kept(chunks.where("section_title IS NOT NULL").select("doc_id", "section_title").distinct())
+    # Stored as well, as Spark would judge the pairs before it makes their titles distinct.
+    named = kept(pairs.select("section_title").distinct()).withColumn("name", T.entity_name(F.col("section_title")))
+    titles = kept(named.where(process_label(F.col("name"))).withColumn("key", T.canonical_key(F.col("name"))))
+    return pairs.join(titles, "section_title").groupBy("doc_id", "key").agg(F.min("name").alias("name"))
 
 
 def to_translate(strings: DataFrame, language: str) -> DataFrame:

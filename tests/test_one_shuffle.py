@@ -82,3 +82,18 @@ def test_names_of_documents_are_not_broadcast(spark, monkeypatch):
         assert not any("Broadcast" in p for p in [*plans, plan_of(out)])
     finally:
         spark.conf.set(name, before)
+
+
+def test_titles_are_judged_once_each(spark, odd, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from factweave.operators import extraction
+
+    judged, real = spark.sparkContext.accumulator(0), extraction.process_label
+    one = F.udf(lambda x: judged.add(1) or True, "boolean")
+    monkeypatch.setattr(extraction, "process_label", lambda name: real(name) & one(name))
+    rows = spark.range(2000).select((F.col("id") % 700).alias("doc_id"), F.when(F.col("id") % 4 == 0, "Of the rope").when(F.col("id") % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit("Leaching  "), F.col("id") % 2, F.lit("."))).alias("section_title"))
+    got = sorted(map(tuple, extraction.titled_processes(rows).collect()))
+    assert got == sorted((d, f"leaching_{n}", f"Leaching {n}") for d, n in {(i % 700, i % 2) for i in range(2000) if i % 4 > 1})
+    assert 1 <= judged.value <= 12  # three titles, by the filter and what Spark asks again
+    against_sql(spark, odd, "titled_processes")
