@@ -113,9 +113,18 @@ def measurements(rows: DataFrame) -> DataFrame:
 
 
 def routed(entities: DataFrame, kind: Column) -> DataFrame:
-    """Entities (label, name) under the label that the kind of their name tells, if it tells one: name, label, was."""
+    """Entities (label, name) under the label that the kind of their name tells, if it tells one: name, label, was.
+
+    ``kind`` is made of name and label alone.  Rows of a run that are the same are judged once and then written as often as
+    they were, in as many tasks as a shuffle has; runs keep a name that is everywhere in many of them.
+    """
+    run = F.shiftright(F.monotonically_increasing_id(), 18)
+    each = entities.select("name", "label", run.alias("run")).groupBy("run", "name", "label").agg(F.count(F.lit(1)).alias("n"))
+    # Few rows would be put into one task, which then writes all.
+    each = each.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run", "name")
     labels = {"organization": "Team", "person": "Expert", "process": "Process", "facility": "Facility", "equipment": "Equipment", "parameter": "RegimeParameter"}
-    return entities.select("name", F.coalesce(T.lookup(labels, kind), F.col("label")).alias("label"), F.col("label").alias("was"))
+    judged = each.select("name", F.coalesce(T.lookup(labels, kind), F.col("label")).alias("label"), F.col("label").alias("was"), "n")
+    return judged.select("name", "label", "was", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).drop("i")
 
 
 def node_score(name: Column, hay: Column, label: Column, phrases: list[str], skip: tuple[str, ...] = ("Document", "Team", "Expert")) -> Column:

@@ -97,3 +97,17 @@ def test_titles_are_judged_once_each(spark, odd, monkeypatch):
     assert got == sorted((d, f"leaching_{n}", f"Leaching {n}") for d, n in {(i % 700, i % 2) for i in range(2000) if i % 4 > 1})
     assert 1 <= judged.value <= 12  # three titles, by the filter and what Spark asks again
     against_sql(spark, odd, "titled_processes")
+
+
+def test_names_are_judged_once_a_run(spark, odd):
+    from pyspark.sql import functions as F
+
+    from factweave.operators import entities
+
+    judged = spark.sparkContext.accumulator(0)
+    kind = F.udf(lambda x: judged.add(1) or ("process" if x == "a" else None))
+    rows = spark.range(0, 3000, 1, 3).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("name"), F.lit("Material").alias("label"))
+    got = entities.routed(rows, kind(F.col("name"))).groupBy("name", "label", "was").count().collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([("a", "Process", "Material", 1000), ("b", "Material", "Material", 1000), (None, "Material", "Material", 1000)], key=str)
+    assert judged.value <= 18
+    against_sql(spark, odd, "routed_entities")
