@@ -176,10 +176,26 @@ def entity_pages(seeds: DataFrame, edges: DataFrame, most: int = 300, skip: tupl
     near = plain.union(plain.select("dst", "src")).join(docs.select(F.col("document").alias("src"), "document"), "src").select("document", F.col("dst").alias("b"))
     fit = near.withColumn("is_seed", F.lit(False)).union(asked.select("document", F.col("id").alias("b"), F.lit(True))).groupBy("document", "b").agg(F.max("is_seed").alias("is_seed"))
     rows = kept(touched.join(fit, ["document", "b"]))
-    place = F.row_number().over(Window.partitionBy("document").orderBy("b"))
-    more = rows.where("NOT is_seed").select("document", "b").distinct().withColumn("place", place).where(F.col("place") <= most).select("document", F.col("b").alias("id"), F.lit(False).alias("is_seed"))
-    page = kept(asked.withColumn("is_seed", F.lit(True)).union(more))
-    return page, rows.join(page.select("document", F.col("id").alias("b")), ["document", "b"], "left_semi").select("document", F.when(F.col("out"), F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("out"), F.col("b")).otherwise(F.col("a")).alias("dst"), "type").distinct()
+    end = lambda out, c: F.when(F.col("out") == out, F.col("a")).otherwise(F.col("b")).alias(c)
+    page, edges = _pages(asked, rows.select("document", end(True, "src"), end(False, "dst"), "type", "b", "is_seed"), most)
+    return page, edges.distinct()
+
+
+def known_pages(seeds: DataFrame, ties: DataFrame, most: int = 300) -> tuple[DataFrame, DataFrame]:
+    """What ``entity_pages`` gives where it is known already what ties a seed to what its document is tied to: seeds (document, id), ties (document, src, dst, type) from seeds to others, all rows once.
+
+    Nothing is joined, so rows that are dealt out by document stay where they are.
+    """
+    return _pages(seeds.select("document", "id"), ties.select("document", "src", "dst", "type", F.col("dst").alias("b"), F.lit(False).alias("is_seed")), most)
+
+
+def _pages(seeds: DataFrame, rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of pages, of edges (document, src, dst, type) with their end ``b`` that is a seed or another node of the document: of the others the first ``most`` stay."""
+    place = F.dense_rank().over(Window.partitionBy("document", "is_seed").orderBy(F.asc_nulls_last("b")))
+    # One without a document or an end is no edge; that is said of its place, as a filter before it would part what seeds and edges are read from.
+    held = rows.withColumn("place", F.when(F.col("document").isNotNull() & F.col("b").isNotNull(), place)).where((F.col("is_seed") & F.col("place").isNotNull()) | (F.col("place") <= most))
+    more = held.where("NOT is_seed").select("document", F.col("b").alias("id")).distinct()
+    return seeds.withColumn("is_seed", F.lit(True)).union(more.withColumn("is_seed", F.lit(False))), held.select("document", "src", "dst", "type")
 
 
 def opened(nodes: DataFrame, links: DataFrame, documents: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:

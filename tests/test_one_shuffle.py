@@ -111,3 +111,37 @@ def test_names_are_judged_once_a_run(spark, odd):
     assert sorted((tuple(r) for r in got), key=str) == sorted([("a", "Process", "Material", 1000), ("b", "Material", "Material", 1000), (None, "Material", "Material", 1000)], key=str)
     assert judged.value <= 18
     against_sql(spark, odd, "routed_entities")
+
+
+@pytest.mark.parametrize("name", ["entity_page_nodes", "entity_page_edges"])
+def test_pages_are_made_where_the_items_of_a_document_lie(spark, odd, monkeypatch, name):
+    import pyarrow.parquet as pq
+
+    from factweave.operators import display
+
+    stored, real = [], display.kept
+    monkeypatch.setattr(display, "kept", lambda df: stored.append(1) or real(df))
+    with without_broadcasts(spark):
+        # Both branches read one shuffle.
+        assert len({line.split("+- ")[-1].split("#")[0] for line in plan_of(own.QUERIES[name](spark, FOLDER)).splitlines() if "Exchange " in line}) == 1
+        df = own.QUERIES[name](spark, FOLDER)
+        df.collect()
+        final = plan_of(df).split("== Initial Plan ==")[0]
+        assert final.count("+- Exchange ") == 1 and not stored
+    whole = pq.read_table(odd / "lineitem.parquet").drop_null()
+    pq.write_table(whole, odd / "lineitem.parquet")
+    assert {r[0] for r in against_sql(spark, odd, name)} >= {"d:1", "d:8"}
+
+
+def test_known_pages_are_those_of_the_edges(spark):
+    from factweave.operators import display
+
+    seeds = [(d, f"e{d}{n}") for d in (1, 2) for n in range(3)]
+    ties = [(d, e, f"m{(i * 7 + j * d) % 5}", "T") for i, (d, e) in enumerate(seeds) for j in (0, 1)]
+    of = lambda rows, schema: spark.createDataFrame(sorted(set(rows)), schema)
+    edges = [r[1:] for r in ties] + [(d, m, "N") for d, _, m, _ in ties]
+    text = [(str(d), e) for d, e in seeds]
+    plain = display.entity_pages(of(text, "document string, id string"), of([tuple(map(str, r)) for r in edges], "src string, dst string, type string"), most=2)
+    known = display.known_pages(of(text, "document string, id string"), of([(str(d), *r) for d, *r in ties], "document string, src string, dst string, type string"), most=2)
+    for a, b in zip(plain, known, strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
