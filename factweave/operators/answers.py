@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,17 +16,21 @@ from factweave.functions import classify as K
 from factweave.functions import text as T
 from factweave.functions import values as V
 from factweave.operators.extraction import placeholder, template, unique_rows
+from factweave.store import kept
 
-_QUOTES = str.maketrans("“”‘’", "\"\"''")
 _NAMES = {"None": "null", "True": "true", "False": "false"}
 
 
+def _mended(text: str) -> str:
+    plain = text.strip().replace("“", '"').replace("”", '"').replace("‘", "'").replace("’", "'")
+    return re.sub(r"\b(None|True|False)\b", lambda m: _NAMES[m[1]], re.sub(r",\s*([}\]])", r"\1", plain))
+
+
 def _object(text: str) -> dict | None:
     """A text as an object, as it is or with quotes, closing commas and names of another language put right."""
-    mended = re.sub(r",\s*([}\]])", r"\1", text.strip().translate(_QUOTES))
-    for candidate in (text, re.sub(r"\b(None|True|False)\b", lambda m: _NAMES[m[1]], mended)):
+    for candidate in (str, _mended):
         try:
-            found = json.loads(candidate)
+            found = json.loads(candidate(text))
         except ValueError:
             continue
         if isinstance(found, dict):
@@ -41,7 +46,7 @@ def _balanced(text: str):
         if sign[-1] != "{":
             continue
         depth, quoted = 0, False
-        for at, mark in [(start, "{"), *marks[n + 1 :]]:
+        for at, mark in chain([(start, "{")], islice(marks, n + 1, None)):
             if len(mark) > 1 and quoted:
                 continue
             kind = mark[-1]
@@ -62,10 +67,11 @@ def _largest(text: str | None) -> str | None:
             inside = re.search(fence, content, re.S | re.I)
             found = found if found is not None or not inside else _object(inside[1].strip())
     if found is None:
+        size = 0
         for candidate in _balanced(content):
-            other = _object(candidate)
-            if other is not None and (found is None or len(candidate) > len(json.dumps(found))):
-                found = other
+            # What could not take its place is not read: the parts of an object that was.
+            if len(candidate) > size and (other := _object(candidate)) is not None:
+                found, size = other, len(json.dumps(other))
     if found is None and "{" in content and content.rfind("}") > content.find("{"):
         found = _object(content[content.find("{") : content.rfind("}") + 1])
     return None if found is None else json.dumps(found, ensure_ascii=False)
@@ -99,8 +105,7 @@ def composition(value: Column) -> Column:
     def one(text: Column) -> Column:
         return T.bind(T.value_range(text), lambda r: F.when(r["low"].isNotNull() & r["high"].isNotNull(), F.concat(r["low"].cast("string"), F.lit("–"), r["high"].cast("string"))).otherwise(F.coalesce(T.plain_number(text).cast("string"), T.strip(text))))
 
-    given = F.map_filter(parts, lambda _, v: v.isNotNull())
-    return F.when(F.size(given) > 0, F.transform_values(given, lambda _, v: one(v)))
+    return T.bind(F.map_filter(parts, lambda _, v: v.isNotNull()), lambda given: F.when(F.size(given) > 0, F.transform_values(given, lambda _, v: one(v))))
 
 
 def property_values(properties: Column) -> Column:
@@ -111,8 +116,8 @@ def property_values(properties: Column) -> Column:
         is_map = F.coalesce(F.startswith(T.strip(raw["value"]), F.lit("{")), F.lit(False))
         number = lambda c: T.plain_number(c)
         plain = T.property_value(F.when(~is_map, raw["value"]), number(raw["value_min"]), number(raw["value_max"]), F.nullif(raw["source_text"], F.lit("")))
-        parts = composition(raw["value"])
-        return T.bind(plain, lambda p: F.struct(entry["key"].alias("name"), F.when(is_map, F.to_json(parts)).otherwise(p["value"]).alias("value"), p["low"].alias("low"), p["high"].alias("high"), raw["unit"].alias("unit"), parts.alias("composition")))
+        read = F.struct(plain.alias("p"), composition(raw["value"]).alias("parts"))
+        return T.bind(read, lambda r: F.struct(entry["key"].alias("name"), F.when(is_map, F.to_json(r["parts"])).otherwise(r["p"]["value"]).alias("value"), r["p"]["low"].alias("low"), r["p"]["high"].alias("high"), raw["unit"].alias("unit"), r["parts"].alias("composition")))
 
     entries = F.filter(F.map_entries(F.coalesce(properties, F.create_map().cast(_PROPERTIES))), lambda e: e["value"].isNotNull())
     return F.filter(F.transform(entries, one), lambda p: p["value"].isNotNull())
@@ -124,10 +129,12 @@ def materials(objects: DataFrame, language: str = "en") -> DataFrame:
     A name that joins several stands for each of them; the first has the aliases, class, features and properties.
     Names in two languages show one; classes of matter, names of other things and leftovers of a prompt go.
     """
-    rows = listed(objects, "materials", _MATERIAL).select("answer_id", "place", "item", F.posexplode(T.compound_parts(F.col("item.name"))).alias("part", "raw_name"))
+    rows = kept(listed(objects, "materials", _MATERIAL).select("answer_id", "place", "item", F.posexplode(T.compound_parts(F.col("item.name"))).alias("part", "raw_name")))
     first = F.col("part") == 0
     none = F.array().cast("array<string>")
-    named = rows.withColumn("name", T.one_language(F.col("raw_name"), language)).where(K.material_name(F.col("name")) & ~template(F.col("name")))
+    # Answers share names, so each different one is judged once; they are stored, as Spark would judge before it makes them distinct.
+    names = kept(rows.select("raw_name").distinct()).withColumn("name", T.one_language(F.col("raw_name"), language))
+    named = rows.join(kept(names.where(K.material_name(F.col("name")) & ~template(F.col("name")))), "raw_name")
     own = lambda c: F.when(first, F.coalesce(c, none)).otherwise(none)
     properties = property_values(F.when(first, F.col("item.properties")))
     return named.select("answer_id", "place", "part", "name", own(F.col("item.aliases")).alias("aliases"), F.when(first, T.material_class(F.col("item.material_class"))).alias("material_class"), T.material_state(F.col("item.state")).alias("state"), own(F.col("item.microstructure_features")).alias("features"), properties.alias("properties"))

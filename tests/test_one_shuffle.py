@@ -145,3 +145,34 @@ def test_known_pages_are_those_of_the_edges(spark):
     known = display.known_pages(of(text, "document string, id string"), of([(str(d), *r) for d, *r in ties], "document string, src string, dst string, type string"), most=2)
     for a, b in zip(plain, known, strict=True):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_names_of_answers_are_judged_once_each(spark, monkeypatch):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from factweave.operators import answers
+
+    judged, real = spark.sparkContext.accumulator(0), answers.template
+    one = F.udf(lambda x: judged.add(1) or False, "boolean")
+    monkeypatch.setattr(answers, "template", lambda name: real(name) | one(name))
+    said = json.dumps({"materials": [{"name": "old ring | hot bolt", "properties": {"size": {"value": "1 - 3", "unit": "mm"}}}, {"name": "alloy"}, {"name": "hot bolt"}]})
+    objects = spark.range(500).select(F.col("id").alias("answer_id"), F.lit(said).alias("object"))
+    rows = [(r.place, r.part, r.name, [(p.name, p.value, p.low, p.high, p.unit) for p in r.properties]) for r in answers.materials(objects).where("answer_id = 7").collect()]
+    assert sorted(rows) == [(0, 1, "hot bolt", []), (2, 0, "hot bolt", [])]
+    assert judged.value <= 12
+
+
+def test_parts_of_an_object_that_was_read_are_not_read(monkeypatch):
+    import json
+
+    from factweave.operators import answers
+
+    tried, real = [], answers._object
+    monkeypatch.setattr(answers, "_object", lambda text: tried.append(text) or real(text))
+    inner = {"a": {"b": {"c": [{"d": n} for n in range(20)]}}}
+    assert json.loads(answers._largest("So {it} is: " + json.dumps(inner) + " and } that.")) == inner
+    assert len(tried) <= 4
+    # Of an object with many blanks in it, a part can be longer than the whole as plain JSON, and is read.
+    assert json.loads(answers._largest('x {"a": {"b"' + " " * 30 + ": 1}} y")) == {"b": 1}
